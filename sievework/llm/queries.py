@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import survivors, title_copies
+from sievework.llm import leakage, sentences, survivors, title_copies
 from sievework.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return title_copies.counts(table(spark, sf_dir, "postings"), table(spark, sf_dir, "articles"))
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.found(table(spark, sf_dir, "documents"))
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = leakage.clean(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return clean.select("doc_id", "source", "n_chars")
