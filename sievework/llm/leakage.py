@@ -27,6 +27,7 @@ SHARE = 0.4
 SHARD_CHARS = 1_000_000
 BLOCK_CHARS = 4_000_000
 APART = 400  # letters between two matches of one chain
+ANCHOR = 1.5  # a chain's longest match, in least matches: stock phrases that many texts share are shorter
 KEY = 5
 LEAST = {"cjk": 7, "hangul": 9, "other": 12, "latin": 14}  # letters of a verbatim match that counts
 
@@ -225,6 +226,8 @@ def matches(documents: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
                 for (d, j), found in by.items():
                     held = chain(found)
                     a, p, n = max(found, key=lambda m: (m[2], -m[0], -m[1]))
+                    if n < own.least[j] * ANCHOR:
+                        continue
                     rows.append((ids[d], int(own.ids[j]), held, int(own.sizes[j]), n, p))
                 cols = list(zip(*rows)) or [[]] * 6
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()])], names=["doc_id", "item_id", "held", "size", "longest", "place"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import leakage, sentences, survivors, title_copies
+from sievework.llm import canonical_values, leakage, sentences, survivors, title_copies
 from sievework.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = leakage.clean(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return clean.select("doc_id", "source", "n_chars")
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_values.found(table(spark, sf_dir, "postings"), table(spark, sf_dir, "ref_values"))
+
+
+@query
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_values.unmatched(table(spark, sf_dir, "postings"), table(spark, sf_dir, "ref_values"))
