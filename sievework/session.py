@@ -6,12 +6,26 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, so that Python tasks can import it there."""
+    context = spark.sparkContext
+    if getattr(context, "_sievework_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="sievework-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package = Path(__file__).parent
+    context.addPyFile(shutil.make_archive(f"{folder}/sievework", "zip", package.parent, package.name))
+    context._sievework_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the directory ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
