@@ -15,11 +15,11 @@ are code points; repeated documents are split each on its own; lang is not read.
 from __future__ import annotations
 
 import json
+import pkgutil
 import random
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +41,7 @@ PAIR = {"“": "”", "‘": "’", "„": "“", "「": "」", "『": "』", "
 STRIP = re.compile(r"[.!?。！？…।,、，;；]")
 LINE = re.compile(r"\r\n|[\n\r  \u0085\u000b\u000c]")
 _WORD = re.compile(r"[^\s\d.\"“„‘「(（&]+(?:\.[^\s\d.]+)*$")
-WEIGHTS = json.loads((Path(__file__).parent / "sentence_weights.json").read_text()) if (Path(__file__).parent / "sentence_weights.json").exists() else {}
+WEIGHTS = json.loads(pkgutil.get_data("sievework.llm", "sentence_weights.json") or b"{}")
 
 
 def _kind(ch: str) -> str:
