@@ -50,6 +50,16 @@ _YEAR = re.compile(r"(?<!\d)(?:20|['’‘`])(\d{2})(?!\d)")
 _NUMBER = re.compile(r"(?<!\d)(\d{1,2}) ?([가-힣]{1,2})(?![가-힣])")
 
 
+def near(a: str, b: str) -> bool:
+    """Whether two words of letters are at most one letter apart."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    return a[i:] == b[i:] or a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
+
+
 class TitleReader:
     """Reads titles by a trie of the words of all fields; tokens are kept, they repeat."""
 
@@ -82,10 +92,14 @@ class TitleReader:
         number = ""
         for m in _NUMBER.finditer(text):
             tail = jamo(m[2])
-            if tail in (jamo("팀"), jamo("본부")) or (len(m[2]) == 2 and "본" == m[2][0]) or (m[2] not in ("차", "년", "월", "일", "명") and len(tail) <= 3 and tail[0] == jamo("팀")[0]):
-                number = m[1] + ("t" if tail[0] == jamo("팀")[0] else "b")
-        if "센터" in text:
-            number = "c"
+            if near(tail, jamo("본부")):
+                number = m[1] + "b"
+            elif len(m[2]) == 1 and near(tail, jamo("팀")):
+                number = m[1] + "t"
+            elif m[1] in "12" and len(m[2]) == 1 and m[2] != "차" and near(tail, jamo("차")):
+                out["kind"] = "r" + m[1]
+        if any(near(jamo(t), jamo("센터")) for t in _TOKEN.findall(text)):
+            number = number or "c"
         trainee = False
         for t in _TOKEN.findall(text):
             if t == "수습":

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import canonical_values, leakage, linkage, sentences, survivors, title_copies
+from sievework.llm import arrivals, canonical_values, leakage, linkage, sentences, survivors, title_copies
 from sievework.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.link(*(table(spark, sf_dir, t) for t in ("board_listings", "firm_listings", "ref_values")))
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrivals.deduplicate(table(spark, sf_dir, "arrivals"), table(spark, sf_dir, "ref_values"))
+
+
+@query
+def p7_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrivals.accepted(table(spark, sf_dir, "arrivals"), table(spark, sf_dir, "ref_values"))
