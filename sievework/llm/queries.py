@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import arrivals, canonical_values, leakage, linkage, sentences, survivors, title_copies
+from sievework.llm import arrivals, canonical_values, leakage, linkage, mixture, sentences, survivors, title_copies
 from sievework.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p7_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrivals.accepted(table(spark, sf_dir, "arrivals"), table(spark, sf_dir, "ref_values"))
+
+
+@query
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixture.shares(mixture.mixture(table(spark, sf_dir, "documents"), targets), targets)
