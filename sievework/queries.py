@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievework.operators import snapshots, timestamps
-from sievework.session import table
+from sievework.functions import scalars as s
+from sievework.operators import dedup, facets, joining, monitor, ranking, rules, snapshots, state, timestamps, vectors
+from sievework.plans import pipelines
+from sievework.session import new_path, table, written
+from sievework.sources import readers, sinks
+from sievework.streaming import state_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,3 +40,472 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.found(*(table(spark, sf_dir, t) for t in ("postings", "articles", "sources")))
+
+
+# --- the reference's operators, each with its SQL twin over the same tables ---
+
+AS_OF = "2026-06-01"
+
+
+def _sig_sql(c: str) -> str:
+    return f"list_distinct(regexp_extract_all(regexp_replace(regexp_replace(lower(coalesce({c},'')), '\\[[^\\]]*\\]', ' ', 'g'), '\\s[-|][^-|]*$', ''), '[0-9a-z가-힣]{{2,}}'))"
+
+
+_WS = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}\x0b\x1c-\x1f]+"
+
+
+def _any_sql(c: str, words: list[str]) -> str:
+    return "(" + " or ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+@query(f"select posting_id, trim(regexp_replace(coalesce(title,''), '{_WS}', ' ', 'g')) as title, coalesce(nullif(native_id,''), substr(sha256(coalesce(url,'')),1,16)) as native_id, source || ':' || coalesce(nullif(native_id,''), substr(sha256(coalesce(url,'')),1,16)) as uid from postings")
+def normalise_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squeezed titles, derived ids."""
+    p = table(spark, sf_dir, "postings")
+    native = s.native_id(F.col("native_id"), F.col("url"))
+    return p.select("posting_id", s.squeeze(F.col("title")).alias("title"), native.alias("native_id"), s.uid(F.col("source"), native).alias("uid"))
+
+
+@query(
+    "with p as (select posting_id, regexp_extract(coalesce(deadline,''), '(\\d{4})\\s*[-./년]\\s*(\\d{1,2})\\s*[-./월]\\s*(\\d{1,2})', ['y','m','d']) as r from postings), "
+    "q as (select posting_id, r.y || '-' || lpad(r.m,2,'0') || '-' || lpad(r.d,2,'0') as iso from p where r.y <> '') "
+    f"select posting_id, iso, date_diff('day', date '{AS_OF}', try_cast(iso as date))::int as dday, iso >= '{AS_OF}' as open from q where try_cast(iso as date) is not null"
+)
+def deadline_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First date of a deadline, days left, openness."""
+    iso = s.iso_date(F.col("deadline"))
+    p = table(spark, sf_dir, "postings").select("posting_id", iso.alias("iso")).where("iso <> ''")
+    return p.select("posting_id", "iso", s.days_left(F.col("iso"), F.lit(AS_OF)).alias("dday"), s.is_open(F.col("iso"), F.lit(AS_OF)).alias("open"))
+
+
+@query("select posting_id, list_aggregate(regexp_extract_all(coalesce(body_excerpt,'') || ' ' || coalesce(deadline,'') || ' ' || coalesce(posted_date,''), '\\d{4}-\\d{2}-\\d{2}'), 'string_agg', ',') as dates from postings where regexp_matches(coalesce(body_excerpt,'') || ' ' || coalesce(deadline,'') || ' ' || coalesce(posted_date,''), '\\d{4}-\\d{2}-\\d{2}') and not regexp_matches(coalesce(body_excerpt,'') || ' ' || coalesce(deadline,'') || ' ' || coalesce(posted_date,''), '\\d{4}\\s*[./년]|\\d{4}-\\d-|\\d{4}-\\d\\d-\\d(\\D|$)|0000-00-00|-02-30|-13-|-00|-3[2-9]|06-31|04-31|09-31|11-31|02-31|02-29')")
+def all_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dates of texts that write them as yyyy-mm-dd."""
+    t = F.concat_ws(" ", s.text(F.col("body_excerpt")), s.text(F.col("deadline")), s.text(F.col("posted_date")))
+    p = table(spark, sf_dir, "postings").select("posting_id", t.alias("t"))
+    p = p.where(F.col("t").rlike(r"\d{4}-\d{2}-\d{2}") & ~F.col("t").rlike(r"\d{4}\s*[./년]|\d{4}-\d-|\d{4}-\d\d-\d(\D|$)|0000-00-00|-02-30|-13-|-00|-3[2-9]|06-31|04-31|09-31|11-31|02-31|02-29"))
+    return p.select("posting_id", F.concat_ws(",", s.iso_dates(F.col("t"))).alias("dates"))
+
+
+@query(
+    "select article_id, strftime(try_strptime(regexp_replace(published_at, '^[A-Za-z]{3}, ', ''), '%d %b %Y %H:%M:%S GMT'), '%Y-%m-%dT%H:%M:%S') as utc from articles where regexp_matches(published_at, '^[A-Z][a-z]{2}, \\d{2} [A-Z][a-z]{2} \\d{4} \\d{2}:\\d{2}:\\d{2} GMT$')"
+)
+def rfc822(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mail dates in UTC."""
+    a = table(spark, sf_dir, "articles").where(F.col("published_at").rlike(r"^[A-Z][a-z]{2}, \d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} GMT$"))
+    return a.select("article_id", s.rfc822_utc(F.col("published_at")).alias("utc"))
+
+
+@query("select doc_id, (length(text) + length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')))::bigint as bytes2, (length(text) + 2 * length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')))::bigint as bytes3, length(text)::bigint as points from documents where text is not null")
+def byte_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of texts by code points and by bytes of two encodings."""
+    d, t = table(spark, sf_dir, "documents").where("text is not null"), F.col("text")
+    return d.select("doc_id", s.byte_count(t, 2).cast("long").alias("bytes2"), s.byte_count(t, 3).cast("long").alias("bytes3"), F.length(t).cast("long").alias("points"))
+
+
+@query("select posting_id, case when length(title) > 40 then rtrim(substr(title,1,39), ' ') || '…' else title end as title, regexp_replace(coalesce(url,''), '[?#].*$', '') as page from postings where title is not null")
+def shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles cut with an ellipsis, URLs without query and fragment."""
+    p = table(spark, sf_dir, "postings").where("title is not null")
+    return p.select("posting_id", s.ellipsis(F.col("title"), 40).alias("title"), s.page_url(F.col("url")).alias("page"))
+
+
+@query(f"select article_id, list_sort({_sig_sql('title')})::varchar[] as tokens from articles")
+def title_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token sets of titles."""
+    return table(spark, sf_dir, "articles").select("article_id", F.array_sort(s.title_signature(F.col("title"))).alias("tokens"))
+
+
+_LABELS = {"deal": ["m&a", "딜자문"], "tax": ["세무", "tax"], "audit": ["감사", "audit"]}
+_CASE = "case " + " ".join(f"when {_any_sql('t', w)} then '{k}'" for k, w in _LABELS.items()) + " else 'other' end"
+
+
+@query(f"select posting_id, {_CASE} as label from (select posting_id, lower(coalesce(title,'') || ' ' || coalesce(category,'')) t from postings)")
+def first_label_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First label of ordered keyword rules."""
+    t = s.haystack(F.col("title"), F.col("category"))
+    return table(spark, sf_dir, "postings").select("posting_id", rules.first_label(t, _LABELS, "other").alias("label"))
+
+
+@query(
+    "with p as (select posting_id, source, lower(coalesce(title,'')) t, lower(coalesce(title,'') || ' ' || coalesce(company,'') || ' ' || coalesce(body_excerpt,'') || ' ' || coalesce(category,'')) b from postings), "
+    "q as (select *, regexp_replace(b, '(무관급|시보급)[ )/·,.\\-]*(상근|6개월)', '', 'g') r from p) "
+    "select posting_id from q where not contains(t,'remote') and (source = 'brd_susup' or (not (contains(b,'경력') and not regexp_matches(r, '무관급|시보급'))))"
+)
+def posting_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered row rules with negation-aware rescue and a bypassed source."""
+    p = table(spark, sf_dir, "postings")
+    body = s.haystack(F.col("title"), F.col("company"), F.col("body_excerpt"), F.col("category"))
+    ok = rules.keep(F.col("title"), body, F.col("source"), noise=["remote"], bypass=["brd_susup"], exclude=["경력"], rescue=["무관급", "시보급"], negators=["상근", "6개월"])
+    return p.where(ok).select("posting_id")
+
+
+@query(f"select article_id from (select article_id, lower(coalesce(title,'')) t from articles) where {_any_sql('t', ['법인세', '공시'])} and {_any_sql('t', ['점검', '정비'])} and not {_any_sql('t', ['시범'])}")
+def gate_and_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic gate, AND rule and noise exclusion."""
+    t = F.lower(s.text(F.col("title")))
+    return table(spark, sf_dir, "articles").where(rules.contains_all(t, ["법인세", "공시"], ["점검", "정비"]) & ~rules.contains_any(t, ["시범"])).select("article_id")
+
+
+@query(f"select article_id from articles where coalesce(strftime(fetched_at, '%Y-%m-%d'),'') = '' or strftime(fetched_at, '%Y-%m-%d') >= strftime(date '{AS_OF}' - case when category = '세무' then 400 else 200 end * interval 1 day, '%Y-%m-%d')")
+def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recency with a window a category."""
+    a = table(spark, sf_dir, "articles")
+    return a.where(rules.recent(F.date_format("fetched_at", "yyyy-MM-dd"), F.col("category"), AS_OF, {"세무": 400}, 200)).select("article_id")
+
+
+@query("select article_id from articles where len(list_filter(regexp_split_to_array(translate(coalesce(title,''), ',…', '  '), '\\s+'), lambda t: length(t) >= 3 and (ends_with(t,'업계') or ends_with(t,'벤처')))) > 0")
+def token_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens by ending and length."""
+    return table(spark, sf_dir, "articles").where(rules.ends_token(F.col("title"), ["업계", "벤처"], 3)).select("article_id")
+
+
+@query(
+    "with k as (select *, lower(regexp_replace(regexp_replace(coalesce(title,''), '^\\s*\\[[^\\]]*\\]', ''), '[\\s\\[\\]()·,./-]', '', 'g')) n from postings where company is not null), "
+    "r as (select *, row_number() over (partition by company, n order by case when starts_with(source,'ats_') then 0 else 1 end, posting_id) rn, min(posting_id) over (partition by company, n) place from k where n <> '' and company <> '') "
+    "select posting_id, place from r where rn = 1 union all select posting_id, posting_id as place from k where n = '' or company = ''"
+)
+def prefer_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-source dedup that prefers some sources and keeps the group's place."""
+    p = table(spark, sf_dir, "postings").where("company is not null").select("posting_id", "source", "company", s.compact_title(F.col("title")).alias("n"))
+    return dedup.prefer(p, ["company", "n"], F.col("source").startswith("ats_"), "posting_id").select("posting_id", "place")
+
+
+@query("select posting_id from (select posting_id, row_number() over (partition by url order by posting_id) n from postings where url <> '') where n = 1")
+def first_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First row of each url."""
+    return dedup.first_by(table(spark, sf_dir, "postings").where("url <> ''"), ["url"], "posting_id").select("posting_id")
+
+
+@query()
+def greedy_two_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy scan that drops rows whose url or title was kept before."""
+    p = table(spark, sf_dir, "articles").select("article_id", "url", F.lower("title").alias("title"))
+    return dedup.greedy_keys(p, ["url", "title"], "article_id").select("article_id")
+
+
+def _near_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "articles").withColumn("signature", F.array_sort(s.title_signature(F.col("title")))).where(F.size("signature") > 0)
+    return a.groupBy("signature").agg(F.min("article_id").alias("id"))
+
+
+@query()
+def near_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Representatives of equal token sets with Jaccard of at least 0.8."""
+    return dedup.prefix_pairs(_near_articles(spark, sf_dir), "id", "signature", 0.8).select("lo", "hi", F.col("shared").cast("long").alias("shared"))
+
+
+@query()
+def near_title_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy leaders over the pairs, every article with its leader."""
+    reps = written(_near_articles(spark, sf_dir), "reps")
+    pairs = dedup.prefix_pairs(reps, "id", "signature", 0.8)
+    led = dedup.leaders(reps.select("id"), pairs)
+    member = table(spark, sf_dir, "articles").select("article_id", F.array_sort(s.title_signature(F.col("title"))).alias("signature"))
+    return member.join(reps, "signature").join(led, "id").select("article_id", "leader")
+
+
+@query(
+    "with v as (select vec_id, label, embedding from embeddings), e as (select a.vec_id lo, b.vec_id hi from v a join v b on a.vec_id < b.vec_id and a.label = b.label where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.25) select lo, hi from e"
+)
+def cosine_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one label whose vectors reach a cosine, compared in blocks of rows."""
+    v = table(spark, sf_dir, "embeddings")
+    return vectors.block_edges(v, "vec_id", "embedding", "label", 0.25).select("lo", "hi")
+
+
+@query(
+    "with recursive v as (select vec_id, label, embedding from embeddings), e as (select a.vec_id lo, b.vec_id hi from v a join v b on a.vec_id <> b.vec_id and a.label = b.label where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.3), "
+    "r as (select vec_id id, vec_id low from v union select e.hi, r.low from r join e on e.lo = r.id) select id, min(low) as component from r group by id"
+)
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-link merge: components of the similarity edges."""
+    v = table(spark, sf_dir, "embeddings")
+    return dedup.components(v.select(F.col("vec_id").alias("id")), vectors.block_edges(v, "vec_id", "embedding", "label", 0.3))
+
+
+_PROTO = "p as (select label, list(x order by i) as prototype from (select label, i, avg(x) x from (select label, unnest(embedding)::double x, generate_subscripts(embedding, 1) i from embeddings) group by 1, 2) group by 1), c as (select v.vec_id, p.label, list_cosine_similarity(v.embedding::double[], p.prototype) sim from embeddings v, p)"
+
+
+@query(f"with {_PROTO} select vec_id, arg_max(label, sim) as label, round(max(sim), 6) as similarity from c group by 1 having max(sim) >= 0.2")
+def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors whose best prototype reaches a floor, with that prototype."""
+    v = table(spark, sf_dir, "embeddings")
+    scores = vectors.similarities(v, "vec_id", "embedding", vectors.prototypes(v, "label", "embedding"))
+    return vectors.gate(scores, "vec_id", 0.2).select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    f"with {_PROTO}, b as (select vec_id, arg_max(label, sim) best, max(sim) top from c group by 1) select v.vec_id, v.label, case when b.best <> v.label and b.top - c.sim > 0.05 then b.best else v.label end as new_label from embeddings v join b using (vec_id) join c on c.vec_id = v.vec_id and c.label = v.label"
+)
+def category_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels reassigned where another prototype leads by a margin."""
+    v = table(spark, sf_dir, "embeddings")
+    scores = vectors.similarities(v, "vec_id", "embedding", vectors.prototypes(v, "label", "embedding"))
+    return vectors.reassign(scores, "vec_id", v.select("vec_id", "label"), 0.05)
+
+
+@query("select label, quantile_disc_p5 as p5, p50, p95 from (select label, list_sort(list(v)) l, count(*) n, l[(round_even(0.05*(n-1),0))::int+1] quantile_disc_p5, l[(round_even(0.5*(n-1),0))::int+1] p50, l[(round_even(0.95*(n-1),0))::int+1] p95 from (select event_type label, value v from events) group by label)")
+def nearest_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles by nearest rank, half to even."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), F.col("value").alias("v"))
+    return facets.nearest_rank(e, ["label"], "v", [5, 50, 95])
+
+
+@query("select f as floor, (select count(*) from events where value < f) as below from (select unnest([5.0, 10.0, 20.0, 40.0])::double f)")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts below several floors in one pass."""
+    return facets.below(table(spark, sf_dir, "events"), "value", [5.0, 10.0, 20.0, 40.0])
+
+
+@query("select source, count(*) as total, count(*) filter (where coalesce(title,'') = '') as untitled, count(*) filter (where coalesce(url,'') = '') as no_url, count(*) filter (where coalesce(deadline,'') = '') as standing from postings group by 1")
+def conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that meet conditions, a source."""
+    blank = lambda c: s.text(F.col(c)) == ""
+    return facets.conditional(table(spark, sf_dir, "postings"), ["source"], untitled=blank("title"), no_url=blank("url"), standing=blank("deadline"))
+
+
+@query("with l(place, label) as (values (0,'정규직'),(1,'계약직'),(2,'인턴'),(3,'없는 값')) select place::int as place, l.label, count(p.posting_id) as n from l left join postings p on p.emp_type = l.label group by 1, 2")
+def facet_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of declared labels, zeros included."""
+    return facets.facet(table(spark, sf_dir, "postings"), "emp_type", ["정규직", "계약직", "인턴", "없는 값"])
+
+
+@query("select source, strftime(scraped_at, '%Y-%m-%d') as day, count(*) as n from postings group by 1, 2")
+def counts_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by source and day."""
+    return table(spark, sf_dir, "postings").groupBy("source", F.date_format("scraped_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("select article_id from (select article_id, row_number() over (partition by category, strftime(fetched_at,'%Y-%m-%d') order by fetched_at desc, article_id) n from articles) where n <= 2")
+def cap_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First rows of each category and day, newest first."""
+    a = table(spark, sf_dir, "articles").withColumn("day", F.date_format("fetched_at", "yyyy-MM-dd"))
+    return ranking.cap(a, ["category", "day"], [F.desc("fetched_at"), F.col("article_id")], 2).select("article_id")
+
+
+@query("select posting_id, posted_date from postings order by posted_date desc nulls last, posting_id limit 25")
+def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest rows."""
+    return ranking.top(table(spark, sf_dir, "postings"), [F.desc_nulls_last("posted_date"), F.col("posting_id")], 25).select("posting_id", "posted_date")
+
+
+@query(
+    f"with j as (select o_orderkey, o_orderpriority, strftime(o_orderdate,'%Y-%m-%d') d, date_diff('day', date '1998-06-01', o_orderdate::date)::int dday from orders) "
+    "select o_orderkey, d as deadline, dday from j order by case when d >= '1998-06-01' then 0 else 1 end, dday, o_orderpriority, o_orderkey limit 100"
+)
+def jobs_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open first, soonest first, then by priority: a top-k of the sort."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", day.alias("deadline"))
+    o = o.withColumn("dday", s.days_left(F.col("deadline"), F.lit("1998-06-01")))
+    order = [F.when(s.is_open(F.col("deadline"), F.lit("1998-06-01")), 0).otherwise(1), F.col("dday"), F.col("o_orderpriority"), F.col("o_orderkey")]
+    return ranking.top(o, order, 100).select("o_orderkey", "deadline", "dday")
+
+
+@query("select source, day, n, lag(n) over (partition by source order by day) as before from (select source, strftime(scraped_at, '%Y-%m-%d') as day, count(*) as n from postings group by 1, 2)")
+def previous_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day's count beside the day before."""
+    return ranking.previous(counts_by_day(spark, sf_dir), ["source"], "day", "n", "before")
+
+
+@query()
+def category_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a day's articles reordered so that no category runs long."""
+    a = table(spark, sf_dir, "articles").select("article_id", F.date_format("fetched_at", "yyyy-MM-dd").alias("day"), s.text(F.col("category")).alias("category"))
+    return ranking.spread(a, "day", "category", "article_id").select("day", "article_id", "place")
+
+
+@query()
+def digest_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of a source and day packed into messages of bounded size."""
+    a = table(spark, sf_dir, "articles").select(F.concat_ws(" ", "source", F.date_format("fetched_at", "yyyy-MM-dd")).alias("list"), "article_id", s.text(F.col("title")).alias("line"))
+    return ranking.pack(a, "list", "line", ["article_id"], 600, "Articles").select("list", "message", "lines", F.length("text").alias("size"))
+
+
+@query(
+    "select source, day, (case when h >= 2147483648 then abs(h - 4294967296) else h end) % 7 as pick from (select source, day, list_reduce(list_prepend(2166136261::hugeint, list_transform(string_split(day || '|' || source, ''), lambda x: ascii(x)::hugeint)), lambda h, x: (xor(h::bigint, x::bigint)::hugeint * 16777619) % 4294967296)::bigint h from (select s.source, d.day from sources s, (select unnest(['2026-1-1','2026-1-2','2026-11-30']) as day) d))"
+)
+def daily_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pick that changes by day and label."""
+    days = F.explode(F.array(*[F.lit(d) for d in ("2026-1-1", "2026-1-2", "2026-11-30")]))
+    return table(spark, sf_dir, "sources").select("source", days.alias("day")).withColumn("pick", s.daily_index(F.col("day"), F.col("source"), F.lit(7)))
+
+
+_UP = "with b as (select * from state_snapshots where uid is not null), d as (select max(snapshot_date) m from b), old as (select uid, arg_max(first_seen, (delivered_at, snap_row_id)) first_seen, coalesce(arg_max(deadline, (delivered_at, snap_row_id)) filter (where deadline <> ''), '') deadline, coalesce(arg_max(posted_date, (delivered_at, snap_row_id)) filter (where posted_date <> ''), '') posted_date from b, d where snapshot_date < m group by uid), new as (select uid, coalesce(arg_max(deadline, (delivered_at, snap_row_id)) filter (where deadline <> ''), '') deadline, coalesce(arg_max(posted_date, (delivered_at, snap_row_id)) filter (where posted_date <> ''), '') posted_date from b, d where snapshot_date = m group by uid)"
+
+
+def _state_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "state_snapshots").where("uid is not null").withColumn("ord", F.struct("delivered_at", "snap_row_id"))
+    last = rows.agg(F.max("snapshot_date").alias("m"))
+    both = rows.join(F.broadcast(last), F.lit(True))  # one row
+    old = state.last_stated(both.where("snapshot_date < m"), "uid", "ord", ["deadline", "posted_date"])
+    seen = both.where("snapshot_date < m").groupBy("uid").agg(F.max_by("first_seen", "ord").alias("first_seen"))
+    old = old.join(seen, "uid").withColumns({"last_seen": F.lit("2026-04-27"), "notified": F.lit(True)})
+    return old, both.where("snapshot_date = m").select("uid", "deadline", "posted_date", "ord")
+
+
+@query(
+    _UP + f", j as (select coalesce(o.uid, n.uid) uid, o.uid is null unseen, n.uid is not null present, o.first_seen, o.deadline od, n.deadline nd, o.posted_date op, n.posted_date np from old o full join new n on o.uid = n.uid), k as (select *, unseen or (present and np <> '' and substr(first_seen,1,10) < np and np <= '{AS_OF}') fresh from j) "
+    f"select uid, coalesce(nullif(nd,''), od, '') as deadline, coalesce(nullif(np,''), op, '') as posted_date, case when fresh then '{AS_OF}T08:00:00' else first_seen end as first_seen, case when present then '{AS_OF}' else '2026-04-27' end as last_seen, not fresh as notified, fresh and present as is_new from k"
+)
+def state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed upsert with field-wise merge and republish detection."""
+    old, batch = _state_and_batch(spark, sf_dir)
+    return state.upsert(old, batch, "uid", "ord", ["deadline", "posted_date"], f"{AS_OF}T08:00:00")
+
+
+@query(_UP + " select uid from old where (deadline = '' or deadline >= '2026-05-04') and uid not in (select uid from new)")
+def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open rows missing from this run, within the grace."""
+    old, batch = _state_and_batch(spark, sf_dir)
+    return state.carry_forward(old, batch, "uid", "2026-05-04", 8).select("uid")
+
+
+@query(_UP + " select count(*) as before, count(*) filter (where deadline = '' or deadline >= '2026-05-04') as after from old")
+def expire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows before and after expiry."""
+    old, _ = _state_and_batch(spark, sf_dir)
+    return old.agg(F.count("*").alias("before"), F.count_if(s.is_open(F.col("deadline"), F.lit("2026-05-04"))).alias("after"))
+
+
+@query("select uid, max(snapshot_date) as day, count(*) as rows from state_snapshots where not notified and (coalesce(deadline,'') = '' or deadline >= '2026-05-04') group by uid order by min(first_seen), uid limit 25")
+def notify_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open rows not notified, oldest first: a top-k."""
+    rows = table(spark, sf_dir, "state_snapshots").where(~F.col("notified") & s.is_open(F.col("deadline"), F.lit("2026-05-04")))
+    per = rows.groupBy("uid").agg(F.max("snapshot_date").alias("day"), F.count("*").alias("rows"), F.min("first_seen").alias("first_seen"), F.lit(False).alias("notified"), F.lit("").alias("deadline"))
+    return state.targets(per, "2026-05-04", 25, "uid").select("uid", "day", "rows")
+
+
+@query("select o_orderkey, coalesce(c.c_name, '') as name, coalesce(c.c_mktsegment, '') as segment from orders o left join customer c on o.o_custkey = c.c_custkey")
+def hydrate_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blanks filled from a known row of the same key."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("key"), F.lit("").alias("name"), F.lit("").alias("segment"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return joining.hydrate(o, c, "key", ["name", "segment"]).select("o_orderkey", "name", "segment")
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def missing_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that aren't present."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return state.remove(table(spark, sf_dir, "customer"), orders, "c_custkey").select("c_custkey")
+
+
+@query("select o_orderkey from orders where o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R')")
+def present_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that are present."""
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return sinks.keep_cached(table(spark, sf_dir, "orders"), returned, "o_orderkey").select("o_orderkey")
+
+
+@query("select user_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) n from events) where n = 1")
+def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of each key by partial aggregation."""
+    e = table(spark, sf_dir, "events").withColumn("ord", F.struct("ts", "event_id"))
+    return joining.latest_by(e, "user_id", "ord", ["event_type", "value"])
+
+
+@query("select c.c_custkey, t.scope, n.n_nationkey from customer c left join (select c_custkey, unnest(list_filter([case when c_acctbal > 5000 then 'rich' end, case when c_mktsegment = 'BUILDING' then 'build' end, 'all'], lambda x: x is not null)) as scope from customer) t using (c_custkey) left join (select n_nationkey, case n_regionkey when 0 then 'rich' when 1 then 'build' else 'none' end scope from nation) n on n.scope = t.scope")
+def scope_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with the subscribers whose scope takes them."""
+    subscribers = table(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_regionkey") == 0, "rich").when(F.col("n_regionkey") == 1, "build").otherwise("none").alias("scope"))
+    scopes = {"rich": F.col("c_acctbal") > 5000, "build": F.col("c_mktsegment") == "BUILDING", "all": F.lit(True)}
+    return joining.fan_out(table(spark, sf_dir, "customer"), subscribers, scopes, "c_custkey").select("c_custkey", "scope", "n_nationkey")
+
+
+@query("select user_id, count(*) as relevant, count(*) filter (where event_type = 'view') as ok, count(*) filter (where event_type = 'error') as transient, (count(*) filter (where event_type = 'view') > 0 or count(*) filter (where event_type = 'error') = 0) as delivered from events group by 1")
+def delivery_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each item counts as delivered."""
+    result = F.when(F.col("event_type") == "view", "ok").when(F.col("event_type") == "error", "fail").otherwise("gone")
+    return joining.outcome(table(spark, sf_dir, "events").withColumn("result", result), "user_id", 1)
+
+
+@query(
+    "with n as (select source, count(*) c from postings where scraped_at >= (select max(scraped_at) - interval 30 day from postings) group by 1), b as (select source, count(*) c from postings where scraped_at < (select max(scraped_at) - interval 30 day from postings) group by 1), j as (select coalesce(n.source,b.source) source, coalesce(n.c,0) now, coalesce(b.c,0) before from n full join b on n.source=b.source) "
+    "select source, now, before, concat_ws(',', case when now = 0 and before > 0 then 'gone' end, case when before >= 3 and now > 0 and now <= before * 0.4 then 'dropped' end) as alerts from j"
+)
+def drift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of this run against the last, with alerts."""
+    p = table(spark, sf_dir, "postings").select("source", "scraped_at")
+    cut = p.agg((F.max("scraped_at") - F.expr("interval 30 days")).alias("cut"))
+    marked = p.join(F.broadcast(cut), F.lit(True))  # one row
+    count = lambda c: marked.where(c).groupBy("source").agg(F.count("*").alias("n"))
+    both = joining.compare(count("scraped_at >= cut"), count("scraped_at < cut"), "source", "n")
+    return monitor.drift(both).select("source", F.coalesce("now", F.lit(0)).alias("now"), F.coalesce("before", F.lit(0)).alias("before"), F.concat_ws(",", "alerts").alias("alerts"))
+
+
+@query("select source, floor(date_diff('second', max(scraped_at), timestamp '2028-06-01 00:00:00') / 60.0)::bigint as age, 260::int as threshold, date_diff('second', max(scraped_at), timestamp '2028-06-01 00:00:00') / 60.0 > 260 as stale from postings group by 1")
+def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Age of each stream's last row against its threshold."""
+    last = table(spark, sf_dir, "postings").groupBy("source").agg(F.max("scraped_at").alias("last"))
+    return monitor.staleness(last, F.lit(120), F.lit("2028-06-01 00:00:00").cast("timestamp")).select("source", "age", "threshold", "stale")
+
+
+@query("select source, count(*) as total, count(*) filter (where posted_date = '2026-05-04') as today, not (count(*) >= 8 and (count(*) filter (where posted_date = '2026-05-04') >= count(*) or count(*) filter (where posted_date = '2026-05-04') / count(*) > 0.8)) as plausible from postings group by 1")
+def plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of today's rows of each source."""
+    return monitor.share_of_day(table(spark, sf_dir, "postings"), ["source"], F.col("posted_date"), "2026-05-04")
+
+
+@query("select s.source, coalesce(p.n, 0) as held, coalesce(a.n, 0) as shown, not (coalesce(p.n,0) > 0 and coalesce(a.n,0) = 0) as ok from (select source from postings union select source from articles) s left join (select source, count(*) n from postings group by 1) p using (source) left join (select source, count(*) n from articles group by 1) a using (source)")
+def shown_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams that hold rows but show none."""
+    n = lambda t: table(spark, sf_dir, t).groupBy("source").agg(F.count("*").alias("n"))
+    return monitor.shown(n("postings"), n("articles"), "source")
+
+
+@query("select user_id, case when count(*) filter (where event_type = 'error') = 0 then 'ok' when count(*) filter (where event_type = 'error' and value >= 10) = 0 then 'recoverable' else 'code' end as status from events group by 1")
+def failure_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of each group's failed checks."""
+    checks = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") != "error").alias("ok"), (F.col("value") < 10).alias("recoverable"))
+    return monitor.failure_class(checks, ["user_id"])
+
+
+@query("select p.source, count(*) as n, true as ok from postings p group by 1 union all select source, 0, false from sources where source not in (select source from postings)")
+def source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows a source, zero for those that gave none."""
+    return readers.source_report(table(spark, sf_dir, "postings"), table(spark, sf_dir, "sources"))
+
+
+@query("select event_id, json_extract_string(props, '$.k')::bigint as k from events where props like '{%'")
+def json_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number out of JSON text."""
+    e = table(spark, sf_dir, "events").withColumn("j", s.json_object(F.col("props"))).where("j is not null")
+    return e.select("event_id", F.get_json_object("j", "$.k").try_cast("long").alias("k"))
+
+
+@query("select 'posting' as kind, posting_id as id, source from postings union all select 'article', article_id, source from articles")
+def union_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union of sources in their order."""
+    of = lambda t, kind, key: table(spark, sf_dir, t).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "source")
+    return readers.union_sources([("p", of("postings", "posting", "posting_id")), ("a", of("articles", "article", "article_id"))]).drop("source_ord")
+
+
+@query()
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First, last and number of events of each user by a keyed streaming state, read to the end of the input."""
+    schema = table(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    name = f"first_seen_{uuid.uuid4().hex}"
+    out = new_path(spark, name)
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("append").parquet(out)
+
+    state_stream.running(source, "user_id", "ts").writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("user_id").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("n").alias("n"))
+
+
+@query()
+def article_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gate, recency, dedup, near-duplicate leaders and cap."""
+    out = pipelines.articles(table(spark, sf_dir, "articles"), "article_id", "2028-01-01", {**pipelines.RULES, "default_days": 2000, "days": {}})
+    return out.select("article_id", "label", "day", F.coalesce(F.size("dupes"), F.lit(0)).alias("dupes"))
+
+
+@query()
+def posting_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest rows, cross-source dedup, labels and status, queried for open ones."""
+    jobs = pipelines.postings(table(spark, sf_dir, "postings"), "posting_id", AS_OF)
+    return pipelines.jobs_query(jobs, "posting_id", {"label": ["tax", "audit"]}, "open", "수습").select("posting_id", "label", "emp_kind", "dday")
