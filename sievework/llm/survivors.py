@@ -33,9 +33,9 @@ def usable_url(url: Column) -> Column:
 
 def survivors(sightings: DataFrame, sources: DataFrame) -> DataFrame:
     """cluster_id, field and sighting_id of the row whose value survives, for source, url, deadline and body_excerpt."""
-    known = sources.groupBy(F.col("source").alias("_s")).agg(F.min("trust_rank").alias("rank"), F.first("zone").alias("zone"), F.first("date_order").alias("date_order"))
-    rows = sightings.where(F.col("cluster_id").isNotNull()).join(known, F.col("source") == F.col("_s"), "left")
-    rows = interpret(rows.select("cluster_id", "sighting_id", "source", "url", F.col("deadline").alias("text"), "body_excerpt", "scraped_at", "zone", F.coalesce("rank", F.lit(LAST)).alias("rank")))
+    known = sources.groupBy(F.col("source").alias("_s")).agg(F.min("trust_rank").alias("rank"), F.first("zone").alias("zone"))
+    rows = sightings.where(F.col("cluster_id").isNotNull()).select("cluster_id", "sighting_id", "source", "url", F.col("deadline").alias("text"), "body_excerpt", "scraped_at")
+    rows = interpret(rows.join(known, F.col("source") == F.col("_s"), "left").drop("_s").withColumn("rank", F.coalesce("rank", F.lit(LAST))))
     late = -F.unix_micros("scraped_at")
     late = F.coalesce(late, F.lit(9223372036854775807))
     trust = F.col("rank").cast("long")
