@@ -87,7 +87,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     spark = documents.sparkSession
     wanted = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 1)) for r in targets.collect() if r["source"] is not None}
     sizes = written(token_counts(documents, tokenizer), "tokens")
-    found = sizes.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("rows")).join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").collect()
+    found = sizes.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("rows")).join(targets.select("source").distinct(), "source", "left_semi").collect()
     supply, rows = {r["source"]: r["n"] for r in found}, {r["source"]: r["rows"] for r in found}  # one row a listed source
     tokens = plan(supply, wanted, total)
     every = sum(tokens.values())
@@ -96,7 +96,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
         [(s, float(t), float(tilt[s]), int(-(-t // supply[s])), max(1, rows[s] // ROWS_A_BUCKET)) for s, t in tokens.items()] or [("", 0.0, 0.0, 0, 1)],
         "source string, demand double, slope double, epochs int, buckets int",
     )
-    many = sizes.join(F.broadcast(terms), "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.col("epochs"), F.lit(1)) - 1)))
+    many = sizes.join(terms, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.col("epochs"), F.lit(1)) - 1)))
     key = F.xxhash64("doc_id", "epoch", F.lit(seed))
     many = many.withColumns({"key": key}).withColumn("bucket", F.floor((F.shiftright(F.col("key"), 16) / F.lit(2.0**47) + 1) / 2 * F.col("buckets")).cast("int"))
     sums = many.groupBy("source", "epoch", "bucket").agg(F.sum("tokens").alias("n"))

@@ -84,14 +84,14 @@ def directory(partial: DataFrame, limit: int = LIMIT) -> dict[bytes, int]:
     split: dict[bytes, int] = {}
     fresh: set[bytes] | None = None
     while fresh is None or fresh:
-        known, watch = dict(split), fresh
+        known, watch, lengths = dict(split), fresh, {len(w) for w in fresh or ()}
 
-        def count(batches: Iterator[pa.RecordBatch], known: dict = known, watch: set | None = watch) -> Iterator[pa.RecordBatch]:
+        def count(batches: Iterator[pa.RecordBatch], known: dict = known, watch: set | None = watch, lengths: set = lengths) -> Iterator[pa.RecordBatch]:
             seen: dict[bytes, list] = {}
             for b in batches:
                 for key in b.column("canon").to_pylist():
                     p = _bucket(key, known)
-                    if watch is not None and not any(p.startswith(w) for w in {p[: len(w)] for w in watch} & watch):
+                    if watch is not None and not any(p[:n] in watch for n in lengths):
                         continue
                     s = seen.get(p)
                     if s is None:
