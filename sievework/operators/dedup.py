@@ -96,14 +96,45 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFr
     return labels.select("id", F.col("low").alias("component"))
 
 
-def token_pairs(df: DataFrame, key: str, signature: str, block: str | None = None, least: int = 1) -> DataFrame:
-    """lo, hi and number of shared tokens of rows (of one block) that share at least ``least``, by an inverted index."""
-    cols = [F.col(key).alias("id"), *([F.col(block).alias("block")] if block else []), F.size(signature).alias("size"), F.explode(signature).alias("token")]
-    index = df.select(*cols)
-    on = ["token", *(["block"] if block else [])]
-    lo, hi = index.withColumnsRenamed({"id": "lo", "size": "lo_size"}), index.withColumnsRenamed({"id": "hi", "size": "hi_size"})
-    pairs = lo.join(hi, on).where("lo < hi").groupBy("lo", "hi", "lo_size", "hi_size").agg(F.count("*").alias("shared"))
-    return pairs.where(F.col("shared") >= least)
+def _rare_first(df: DataFrame, key: str, signature: str, keep: list[str]) -> DataFrame:
+    """id, kept columns, tokens by rising frequency and their number, written."""
+    each = df.select(F.col(key).alias("id"), *keep, F.explode(signature).alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("n"))
+    sets = each.join(counts, "token").groupBy("id", *keep).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("tokens"))
+    return written(sets.withColumn("size", F.size("tokens")), "sets")
+
+
+def token_pairs(df: DataFrame, key: str, signature: str, block: str, least: int) -> DataFrame:
+    """lo, hi and shared of rows of one block that share at least ``least`` tokens, exact.
+
+    Prefix filter: two such sets share a token among the first ``size - least + 1`` of each by rising frequency, so only
+    those are indexed. Rows with equal sets should be collapsed before (``representatives``).
+    """
+    sets = _rare_first(df.withColumn("_b", F.col(block)), key, signature, ["_b"]).where(F.col("size") >= least)
+    index = sets.select("id", "_b", F.explode(F.slice("tokens", F.lit(1), F.col("size") - least + 1)).alias("token"))
+    found = index.withColumnRenamed("id", "lo").join(index.withColumnRenamed("id", "hi"), ["token", "_b"]).where("lo < hi").select("lo", "hi").distinct()
+    a, b = sets.select(F.col("id").alias("lo"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("hi"), F.col("tokens").alias("tb"))
+    both = found.join(a, "lo").join(b, "hi").select("lo", "hi", F.size(F.array_intersect("ta", "tb")).cast("long").alias("shared"))
+    return both.where(F.col("shared") >= least)
+
+
+def representatives(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """The smallest key of each combination of columns, as id: equal rows collapsed by partial aggregation."""
+    return df.groupBy(*columns).agg(F.min(key).alias("id"))
+
+
+def token_leaders(df: DataFrame, key: str, signature: str, jaccard: float) -> DataFrame:
+    """id and leader of greedy clustering in key order by Jaccard similarity; rows without tokens lead themselves.
+
+    Rows with equal token sets are collapsed to their first, which changes no leader: a copy is near to whatever its
+    first is near to.
+    """
+    marked = written(df.select(F.col(key).alias("_key"), F.array_sort(signature).alias("_sig")), "signed")
+    full = marked.where(F.size("_sig") > 0)
+    reps = written(representatives(full, "_key", ["_sig"]), "reps")
+    led = leaders(reps.select("id"), prefix_pairs(reps, "id", "_sig", jaccard))
+    members = full.join(reps, "_sig").join(led, "id").select(F.col("_key").alias("id"), "leader")
+    return members.unionByName(marked.where(F.coalesce(F.size("_sig"), F.lit(0)) <= 0).select(F.col("_key").alias("id"), F.col("_key").alias("leader")))
 
 
 def prefix_pairs(df: DataFrame, key: str, signature: str, jaccard: float) -> DataFrame:
@@ -112,10 +143,7 @@ def prefix_pairs(df: DataFrame, key: str, signature: str, jaccard: float) -> Dat
     Two sets that similar share a token among their first ``size - ceil(jaccard * size) + 1`` rarest tokens, so only
     those are indexed; frequent tokens are met only by sets that have nothing else.
     """
-    each = df.select(F.col(key).alias("id"), F.explode(signature).alias("token"))
-    counts = each.groupBy("token").agg(F.count("*").alias("n"))
-    sets = each.join(counts, "token").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("tokens"))
-    sets = written(sets.withColumn("size", F.size("tokens")), "sets")
+    sets = _rare_first(df, key, signature, [])
     take = (F.col("size") - F.ceil(F.lit(jaccard) * F.col("size")) + 1).cast("int")
     index = sets.select("id", "size", F.explode(F.slice("tokens", F.lit(1), take)).alias("token"))
     lo, hi = index.withColumnsRenamed({"id": "lo", "size": "lo_size"}), index.withColumnsRenamed({"id": "hi", "size": "hi_size"})

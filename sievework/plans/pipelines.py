@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.scalars import days_left, haystack, is_open, squeeze, text, title_signature
-from sievework.operators.dedup import greedy_keys, leaders, merge_duplicates, prefer, prefix_pairs
+from sievework.operators.dedup import greedy_keys, merge_duplicates, prefer, token_leaders
 from sievework.operators.ranking import cap
 from sievework.operators.rules import contains_any, first_label, recent
 from sievework.session import written
@@ -34,9 +34,7 @@ def articles(rows: DataFrame, order: str, as_of: str, rules: Mapping = RULES) ->
     gated = gated.where(recent(F.col("day"), F.col("label"), as_of, rules["days"], rules["default_days"]))
     keyed = gated.withColumn("title_key", F.lower("title"))
     kept = written(greedy_keys(keyed, ["url", "title_key"], order).drop("title_key"), "articles")
-    signed = kept.withColumn("signature", title_signature(F.col("title")))
-    pairs = prefix_pairs(signed.where(F.size("signature") > 0), order, "signature", rules["jaccard"])
-    led = leaders(kept.select(F.col(order).alias("id")), pairs.select("lo", "hi"))
+    led = token_leaders(kept.withColumn("signature", title_signature(F.col("title"))), order, "signature", rules["jaccard"])
     merged = merge_duplicates(kept, led, order, ["title", "url", "source_label"])
     return cap(merged, ["label", "day"], [F.desc("fetched_at"), F.col(order)], rules["cap_per_day"])
 

@@ -189,7 +189,9 @@ def _near_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy("signature").agg(F.min("article_id").alias("id"))
 
 
-@query()
+@query(
+    "with r as (select list_sort(" + _sig_sql("title") + ") sig, min(article_id) id from articles group by 1 having len(sig) > 0), t as (select id, len(sig) n, unnest(sig) tok from r) select a.id as lo, b.id as hi, count(*) as shared from t a join t b on a.tok = b.tok and a.id < b.id group by a.id, b.id, a.n, b.n having count(*) >= 0.8 * (a.n + b.n - count(*))"
+)
 def near_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Representatives of equal token sets with Jaccard of at least 0.8."""
     return dedup.prefix_pairs(_near_articles(spark, sf_dir), "id", "signature", 0.8).select("lo", "hi", F.col("shared").cast("long").alias("shared"))
@@ -197,12 +199,9 @@ def near_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def near_title_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy leaders over the pairs, every article with its leader."""
-    reps = written(_near_articles(spark, sf_dir), "reps")
-    pairs = dedup.prefix_pairs(reps, "id", "signature", 0.8)
-    led = dedup.leaders(reps.select("id"), pairs)
-    member = table(spark, sf_dir, "articles").select("article_id", F.array_sort(s.title_signature(F.col("title"))).alias("signature"))
-    return member.join(reps, "signature").join(led, "id").select("article_id", "leader")
+    """Every article with its greedy leader."""
+    a = table(spark, sf_dir, "articles").withColumn("signature", s.title_signature(F.col("title")))
+    return dedup.token_leaders(a, "article_id", "signature", 0.8).select(F.col("id").alias("article_id"), "leader")
 
 
 @query(
@@ -509,3 +508,136 @@ def posting_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest rows, cross-source dedup, labels and status, queried for open ones."""
     jobs = pipelines.postings(table(spark, sf_dir, "postings"), "posting_id", AS_OF)
     return pipelines.jobs_query(jobs, "posting_id", {"label": ["tax", "audit"]}, "open", "수습").select("posting_id", "label", "emp_kind", "dday")
+
+
+@query(f"select posting_id, case when dday is null then 'always' when dday < 0 then 'closed' when dday = 0 then 'today' else 'D-' || dday end as label from (select posting_id, date_diff('day', date '{AS_OF}', try_cast(deadline as date)) dday from postings where regexp_matches(coalesce(deadline,''), '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') or coalesce(deadline,'') = '')")
+def dday_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of days left."""
+    d = s.text(F.col("deadline"))
+    p = table(spark, sf_dir, "postings").where(d.rlike(r"^\d{4}-\d{2}-\d{2}$") | (d == ""))
+    return p.select("posting_id", s.days_label(s.days_left(d, F.lit(AS_OF))).alias("label"))
+
+
+@query("select posting_id, case when replace(inner_, ' ', '') <> '' and co <> '' and rest <> '' and (contains(replace(inner_,' ',''), co) or contains(co, replace(inner_,' ',''))) then rest else title end as title from (select posting_id, title, regexp_extract(title, '^\\s*\\[([^\\]]*)\\]', 1) inner_, regexp_replace(coalesce(company,''), '\\s+', '', 'g') co, trim(regexp_replace(title, '^\\s*\\[[^\\]]*\\]', ''), ' ') rest from board) where true".replace("from board", "from (select listing_id as posting_id, title, company from board_listings where title is not null)"))
+def display_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles without a leading bracket that names the company."""
+    b = table(spark, sf_dir, "board_listings").where("title is not null")
+    return b.select(F.col("listing_id").alias("posting_id"), s.display_title(F.col("title"), F.col("company")).alias("title"))
+
+
+@query("select article_id, case when ends_with(title, '- ' || source_label) then trim(substr(title, 1, length(title) - length(source_label) - 2), ' ') else title end as title from (select article_id, title || ' - ' || source_label as title, source_label from articles where title is not null and source_label <> '')")
+def source_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles without the source's name at their end."""
+    a = table(spark, sf_dir, "articles").where("title is not null and source_label <> ''").withColumn("t", F.concat_ws(" - ", "title", "source_label"))
+    return a.select("article_id", s.strip_source_tail(F.col("t"), F.col("source_label")).alias("title"))
+
+
+@query("select posting_id, coalesce(company,'') || ': ' || coalesce(title,'') || ' (' || coalesce(deadline,'') || ')' as message from postings")
+def message_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message template compiled to one expression."""
+    p = table(spark, sf_dir, "postings")
+    return p.select("posting_id", s.template("{company}: {title} ({deadline})", ["company", "title", "deadline"]).alias("message"))
+
+
+@query("select posting_id, case when contains(coalesce(url,''), 'ats-') and not ends_with(title, ' (ATS)') then title || ' (ATS)' else title end as title from postings where title is not null")
+def title_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A suffix for titles whose url matches a rule."""
+    p = table(spark, sf_dir, "postings").where("title is not null")
+    hit = F.contains(s.text(F.col("url")), F.lit("ats-")) & ~F.col("title").endswith(" (ATS)")
+    return p.select("posting_id", F.when(hit, F.concat("title", F.lit(" (ATS)"))).otherwise(F.col("title")).alias("title"))
+
+
+@query("select uid, snapshot_date, first_seen >= '2026-04-30T00:00:00' as is_new, date_diff('second', first_seen::timestamp, timestamp '2026-05-04 00:00:00') <= 3 * 86400 as fresh from state_snapshots where regexp_matches(first_seen, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}$')")
+def newness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New within a window as text, fresh within three days as time."""
+    t = table(spark, sf_dir, "state_snapshots").where(F.col("first_seen").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"))
+    age = F.unix_timestamp(F.lit("2026-05-04 00:00:00").cast("timestamp")) - F.unix_timestamp(F.col("first_seen").cast("timestamp"))
+    return t.select("uid", "snapshot_date", (F.col("first_seen") >= "2026-04-30T00:00:00").alias("is_new"), (age <= 3 * 86400).alias("fresh"))
+
+
+@query("select posting_id, case when posting_id in (select listing_id from board_listings) then true else false end as manual, case when posting_id in (select listing_id from board_listings) then 'listed' else source end as tag from postings")
+def flag_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns set where a key is listed."""
+    p = table(spark, sf_dir, "postings").select("posting_id", F.lit(False).alias("manual"), F.col("source").alias("tag"))
+    listed = table(spark, sf_dir, "board_listings").select(F.col("listing_id").alias("posting_id"))
+    return state.mark(p, listed, "posting_id", manual=F.lit(True), tag=F.lit("listed"))
+
+
+@query("select uid, count(*) as n from state_snapshots where not notified and deadline <> '' and deadline < '2026-05-04' group by uid")
+def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that expired before they were notified."""
+    return state.suppressed(table(spark, sf_dir, "state_snapshots"), "2026-05-04").groupBy("uid").agg(F.count("*").alias("n"))
+
+
+@query(_UP + " select uid, 'run' as kind from new union all select uid, 'carried' from old where (deadline = '' or deadline >= '2026-05-04') and uid not in (select uid from new)")
+def kept_and_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the run and those carried forward."""
+    old, batch = _state_and_batch(spark, sf_dir)
+    own = batch.select("uid").distinct().withColumn("kind", F.lit("run"))
+    return own.unionByName(state.carry_forward(old, batch, "uid", "2026-05-04", 8).select("uid", F.lit("carried").alias("kind")))
+
+
+@query(
+    "with r as (select category, list_sort(" + _sig_sql("title") + ") sig, min(article_id) id from articles where category is not null group by 1, 2), t as (select category, id, unnest(sig) tok from r) select a.id as lo, b.id as hi, count(*) as shared from t a join t b on a.tok = b.tok and a.category = b.category and a.id < b.id group by 1, 2 having count(*) >= 6"
+)
+def token_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of titles of one category that share at least six tokens, between representatives of equal token sets."""
+    a = table(spark, sf_dir, "articles").where("category is not null").withColumn("signature", F.array_sort(s.title_signature(F.col("title"))))
+    return dedup.token_pairs(dedup.representatives(a, "article_id", ["category", "signature"]), "id", "signature", "category", 6)
+
+
+@query("select vec_id from embeddings where vec_id not in (select vec_id from embeddings where label < 5)")
+def vectors_to_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that aren't in the vector cache yet."""
+    v = table(spark, sf_dir, "embeddings")
+    return vectors.missing(v, v.where("label < 5"), "vec_id").select("vec_id")
+
+
+@query("with l(place, label) as (values (0,'세무소식'),(1,'거래소식'),(2,'없음')), r as (select source_label, article_id, row_number() over (partition by source_label order by article_id) n from articles) select place::int as place, label, list(article_id order by article_id) filter (where article_id is not null) as ids from l left join r on r.source_label = l.label and n <= 4 group by 1, 2")
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First rows of each declared label, empty labels kept."""
+    declared = spark.createDataFrame([(0, "세무소식"), (1, "거래소식"), (2, "없음")], "place int, label string")
+    few = ranking.cap(table(spark, sf_dir, "articles"), ["source_label"], [F.col("article_id")], 4).groupBy("source_label").agg(F.array_sort(F.collect_list("article_id")).alias("ids"))
+    return declared.join(few, F.col("label") == F.col("source_label"), "left").select("place", "label", "ids")
+
+
+@query("select lo, hi, least(len(list_intersect(a.t, b.t)), 99)::int as both, len(list_distinct(list_concat(a.t, b.t)))::int as either from (values (1,2),(3,4),(5,6),(7,8)) p(lo, hi) join (select article_id, " + _sig_sql("title") + " t from articles) a on a.article_id = lo join (select article_id, " + _sig_sql("title") + " t from articles) b on b.article_id = hi")
+def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intersection and union of token sets of stated pairs."""
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (5, 6), (7, 8)], "lo long, hi long")
+    t = table(spark, sf_dir, "articles").select("article_id", s.title_signature(F.col("title")).alias("t"))
+    both = pairs.join(t.withColumnsRenamed({"article_id": "lo", "t": "a"}), "lo").join(t.withColumnsRenamed({"article_id": "hi", "t": "b"}), "hi")
+    return both.select("lo", "hi", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_union("a", "b")).alias("either"))
+
+
+@query("select posting_id, source from postings order by case source when 'ats_gadam' then 0 when 'brd_cpa' then 1 else 2 end, coalesce(nullif(deadline,''), '9999-99-99'), posting_id limit 50")
+def digest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sort by a list of sources, then deadline: a top-k."""
+    order = [ranking.by_list(F.col("source"), ["ats_gadam", "brd_cpa"]), F.coalesce(F.nullif(F.col("deadline"), F.lit("")), F.lit("9999-99-99")), F.col("posting_id")]
+    return ranking.top(table(spark, sf_dir, "postings"), order, 50).select("posting_id", "source")
+
+
+@query("select vec_id, label from (select vec_id, label, row_number() over (partition by label order by vec_id desc) n from embeddings) where n <= 3")
+def cap_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First rows of each group."""
+    return ranking.cap(table(spark, sf_dir, "embeddings"), ["label"], [F.desc("vec_id")], 3).select("vec_id", "label")
+
+
+@query("select event_type, case when m is null then '-' when round_even(m,0) < 60 then round_even(m,0)::bigint || ' min' else (round_even(m,0)::bigint // 60) || ' h ' || (round_even(m,0)::bigint % 60) || ' min' end as age from (select event_type, date_diff('second', max(ts), timestamp '2024-02-01 00:00:30') / 60.0 m from events group by 1)")
+def age_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ages as text, rounded half to even."""
+    last = table(spark, sf_dir, "events").groupBy("event_type").agg(F.max("ts").alias("t"))
+    age = (F.unix_timestamp(F.lit("2024-02-01 00:00:30").cast("timestamp")) - F.unix_timestamp("t")) / 60
+    return last.select("event_type", s.minutes_label(age).alias("age"))
+
+
+@query("select count(*) as total, count(*) filter (where uid is not null and regexp_matches(lower(title), '경력|remote')) as leaked from postings")
+def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows hold words a filter should have kept out."""
+    return table(spark, sf_dir, "postings").agg(F.count("*").alias("total"), F.count_if(rules.contains_any(F.lower("title"), ["경력", "remote"])).alias("leaked"))
+
+
+@query()
+def json_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document of a page of rows."""
+    return sinks.json_document(table(spark, sf_dir, "sources").select("trust_rank", "source", "kind"), "sources", ["trust_rank"], 100)

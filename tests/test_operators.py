@@ -148,3 +148,36 @@ def test_hydrate_keeps_rows(spark):
     a = spark.createDataFrame([("k", "", "x"), ("m", None, "y")], "id string, v string, _v2 string")
     b = spark.createDataFrame([("k", "filled")], "id string, v string")
     assert sorted(map(tuple, joining.hydrate(a, b, "id", ["v"]).select("id", "v").collect())) == [("k", "filled"), ("m", "")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_token_leaders_and_pairs(spark, seed):
+    rng = random.Random(seed)
+    sets = {i: sorted({rng.choice("abcdefg") for _ in range(rng.randint(0, 7))}) for i in range(60)}
+    df = spark.createDataFrame([(i, v, "b") for i, v in sets.items()], "id long, sig array<string>, b string")
+    near = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= 0.8]
+    assert {r["id"]: r["leader"] for r in dedup.token_leaders(df, "id", "sig", 0.8).collect()} == sequential_leaders(len(sets), near)
+    want = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 3}
+    assert {(r["lo"], r["hi"]) for r in dedup.token_pairs(df, "id", "sig", "b", 3).collect()} == want
+
+
+def test_block_edges(spark):
+    import numpy as np
+
+    from sievework.operators import vectors
+
+    rng = np.random.default_rng(1)
+    rows = [(i, "ab"[i % 2], rng.standard_normal(4).tolist()) for i in range(40)] + [(50, "a", [0.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, k string, v array<double>")
+    cos = lambda a, b: np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b) or np.inf)
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and cos(a[2], b[2]) >= 0.5}
+    for size in (4096, 7):
+        got = [tuple(r) for r in vectors.block_edges(df, "id", "v", "k", 0.5, rows=size).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_prefer_keeps_place(spark):
+    rows = [(1, "board", "k", "x"), (2, "ats_a", "k", "x"), (3, "ats_b", "k", "x"), (4, "board", "", "x"), (5, "board", "", "x"), (6, "board", None, "x")]
+    df = spark.createDataFrame(rows, "ord long, source string, key string, _p string")
+    got = {tuple(r) for r in dedup.prefer(df.drop("_p"), ["key"], F.col("source").startswith("ats_"), "ord").select("ord", "place").collect()}
+    assert got == {(2, 1), (4, 4), (5, 5), (6, 6)}
