@@ -53,16 +53,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_PATHS: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this session wrote into the shared folder; results that read them must be done with."""
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage through a written Parquet table in the shared folder (compact; partitions may change)."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table an operator persists itself."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
 
 
 def task_count(spark: SparkSession) -> int:

@@ -76,3 +76,15 @@ def test_subscribers(spark):
     new = spark.createDataFrame([("https://e.example/1", "k2", "a", "odd", "2"), ("http://e.example/2", "k", "a", "all", "2")], schema)
     got = sinks.upsert_subscribers(old, new, ["all", "some"]).collect()
     assert [(r["p256dh"], r["scope"]) for r in got] == [("k2", "all")]
+
+
+def test_release(spark):
+    from sievework import session
+
+    kept, session._PATHS[:] = session._PATHS[:], []
+    df = session.written(spark.range(3), "gone")
+    assert df.count() == 3
+    path = session._PATHS[0].removeprefix("file://")
+    session.release(spark)
+    assert not __import__("os").path.exists(path)
+    session._PATHS[:] = kept
