@@ -182,6 +182,14 @@ def _blocks(reference: DataFrame) -> Iterator[list[tuple]]:
     yield block
 
 
+def all_entries(reference: DataFrame, most: int = 1_000_000) -> list[tuple]:
+    """The whole reference for operators that keep it in one trie; more entries than ``most`` raise, none are dropped."""
+    out = [x for block in _blocks(reference) for x in block]
+    if len(out) > most:
+        raise ValueError(f"the reference has {len(out)} entries, more than {most} for one trie")
+    return out
+
+
 def matched(values: DataFrame, reference: DataFrame) -> DataFrame:
     """field, value, ref_id and edits of distinct field and value."""
     every = None

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.canonical_values import LEGAL, Reference, Trie, _blocks, distance_for, flat, jamo
+from sievework.llm.canonical_values import LEGAL, Reference, Trie, all_entries, distance_for, flat, jamo
 from sievework.operators.timestamps import interpret
 from sievework.session import written
 
@@ -137,8 +137,7 @@ def firm_key(reference: Reference, company: str | None, title: str | None = None
 
 def read_rows(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """id, the comparison fields (null: silent) and the deadline's day number of every listing."""
-    block = next(_blocks(reference))  # the firms' names; read_rows needs them in one trie
-    own = Reference(block)
+    own = Reference(all_entries(reference))
     schema = "id long, day int, " + ", ".join(f"{f} string" for f in FIELDS)
     dated = interpret(rows.select(F.col("listing_id").alias("id"), "title", "company", "location", F.col("deadline").alias("text"), F.lit("UTC").alias("zone")))
     day = F.floor(F.try_element_at("all", F.lit(1))["ep"] / 86400).cast("int")
