@@ -4,8 +4,9 @@ A posting's vector is made of weighted codes of its firm, season, team, role and
 so that another season, team, role or place is farther than ``RADIUS`` and small edits are nearer. Centroids are fitted
 on a bounded sample of the starting history (``SAMPLE``); every row is stored in the cell of its nearest centroid with its
 full vector. A new row probes each cell that its distance bound allows: if the distance to the centroid exceeds the cell's
-radius by more than ``RADIUS``, no vector of the cell can be near. Candidates are ranked by their exact distance, the
-fields and bodies are compared, and the batch is appended to the cells. Equal native ids of a source and equal pages
+radius by more than ``APART``, the farthest that two rows of the same fields can be whatever their sketches, the cell holds
+no candidate. Candidates of the same fields are compared by the words and letters of their whole bodies, and the batch is
+appended to the cells. Equal native ids of a source and equal pages
 count as repeats too; chains of repeats are resolved to the earliest arrival.
 
 Defined results: blank native ids and urls are no keys; a row without firm, season, team or role has no content key of
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from urllib.parse import parse_qsl, urlencode, urlsplit
@@ -35,8 +37,10 @@ from sievework.session import new_path, written
 
 PARTS = [("firm", 48.0), ("season", 12.0), ("team", 4.0), ("role", 2.5), ("place", 2.5)]  # falling weights part the cells
 CODE, SKETCH = 16, 24
-RADIUS = 1.3
-SAME_BODY = 0.6  # least cosine of two bodies' sketches
+RADIUS = 1.3  # small edits are nearer; not a test of repeats
+SAME_BODY = 0.6  # least cosine of two bodies' words
+CONTAINED = 0.8  # or least share of the shorter body's words in the other: a body that was cut
+APART = 2.0  # bound of the distance of two rows of the same fields: that of two unit sketches
 SAMPLE = 20_000  # rows the centroids are fitted on
 ROWS_A_CELL = 300
 MOST_CELLS = 4096
@@ -66,6 +70,27 @@ def _seed(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big") >> 1
 
 
+def words(text: str) -> frozenset[str]:
+    return frozenset(re.findall(r"\w+", text))
+
+
+def same_words(a: frozenset[str], b: frozenset[str]) -> bool:
+    shared = len(a & b)
+    return shared > 0 and (shared * shared >= SAME_BODY * SAME_BODY * len(a) * len(b) or shared >= CONTAINED * min(len(a), len(b)))
+
+
+def same_body(a: str, b: str) -> bool:
+    """Whether two folded bodies are one with small edits, or one is a part of the other."""
+    if same_words(words(a), words(b)):
+        return True
+    x, y = letters(a), letters(b)
+    return bool(x and y) and (x in y or y in x)
+
+
+def fold(text: str | None) -> str:
+    return unicodedata.normalize("NFKC", text or "").casefold()
+
+
 class Encoder:
     """Vectors of postings; codes of values are kept, they repeat."""
 
@@ -99,9 +124,8 @@ class Encoder:
         """(vector, content key or null, whether there is a body, the body's letters)."""
         got = self.fields(title, company)
         parts = [w * self._unit(f"{f}={got[f]}", CODE, self.codes) if got.get(f) else np.zeros(CODE, np.float32) for f, w in PARTS]
-        words = re.findall(r"\w+", unicodedata.normalize("NFKC", body or "").casefold())
         sketch = np.zeros(SKETCH, np.float32)
-        for w in set(words):
+        for w in words(fold(body)):
             sketch += self._unit(w, SKETCH, self.words)
         norm = float(np.linalg.norm(sketch))
         if norm:
@@ -111,10 +135,10 @@ class Encoder:
         return np.concatenate([*parts, sketch]), sig, bool(norm), letters(body)
 
 
-ROW = "arrival_id long, batch_no int, page string, login string, sig long, exact long, body boolean, vec array<float>, cell int, away float"
+ROW = "arrival_id long, batch_no int, page string, login string, sig long, exact long, body boolean, text string, vec array<float>, cell int, away float"
 
-HELD = "exact long, arrival_id long, batch_no int, sig long, body boolean, vec array<float>, cell int, away float"
-HELD_COLUMNS = ["exact", "arrival_id", "batch_no", "sig", "body", "vec", "cell", "away"]
+HELD = "exact long, arrival_id long, batch_no int, sig long, body boolean, text string, vec array<float>, cell int, away float"
+HELD_COLUMNS = ["exact", "arrival_id", "batch_no", "sig", "body", "text", "vec", "cell", "away"]
 
 
 class Cells:
@@ -161,13 +185,13 @@ class Cells:
                 login = [f"{s}\x1f{n.strip()}" if n and n.strip() and s else None for s, n in zip(col("source"), col("native_id"))]
                 exact = [_seed(f"{g[1]}\x1f{g[3]}") if g[1] is not None else None for g in got]
                 yield pa.record_batch(
-                    [b.column("arrival_id"), b.column("batch_no"), pa.array([page_key(u) for u in col("url")], pa.string()), pa.array(login, pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array(exact, pa.int64()), pa.array([g[2] for g in got]), pa.FixedSizeListArray.from_arrays(vecs.ravel(), vecs.shape[1]).cast(pa.list_(pa.float32())), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell], pa.float32())],
-                    names=["arrival_id", "batch_no", "page", "login", "sig", "exact", "body", "vec", "cell", "away"],
+                    [b.column("arrival_id"), b.column("batch_no"), pa.array([page_key(u) for u in col("url")], pa.string()), pa.array(login, pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array(exact, pa.int64()), pa.array([g[2] for g in got]), pa.array([fold(t) for t in col("body_excerpt")], pa.string()), pa.FixedSizeListArray.from_arrays(vecs.ravel(), vecs.shape[1]).cast(pa.list_(pa.float32())), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell], pa.float32())],
+                    names=["arrival_id", "batch_no", "page", "login", "sig", "exact", "body", "text", "vec", "cell", "away"],
                 )
 
         batch.select("arrival_id", "batch_no", "source", "native_id", "url", "title", "company", "body_excerpt").mapInArrow(encode, ROW).write.parquet(f"{self.path}/part={number}")
         new = self.rows([number])
-        first = new.where("exact is not null").groupBy("exact").agg(F.min_by(F.struct("arrival_id", "batch_no", "sig", "body", "vec", "cell", "away"), F.struct("batch_no", "arrival_id")).alias("r")).select("exact", "r.*")
+        first = new.where("exact is not null").groupBy("exact").agg(F.min_by(F.struct("arrival_id", "batch_no", "sig", "body", "text", "vec", "cell", "away"), F.struct("batch_no", "arrival_id")).alias("r")).select("exact", "r.*")
         if self.batches:
             first = first.join(self.held(self.batches).select("exact"), "exact", "left_anti")
         first.select(*HELD_COLUMNS).write.parquet(f"{self.path}/held={number}")
@@ -216,42 +240,55 @@ class Cells:
                 if not len(vecs):
                     continue
                 d = _distances(vecs, centroids[live])
-                i, j = np.nonzero(d <= reach + RADIUS + 1e-3)
+                i, j = np.nonzero(d <= reach + APART + 0.1)
                 copies = n_blocks[j]
                 i, j = np.repeat(i, copies), np.repeat(j, copies)
                 block = np.arange(len(i)) - np.repeat(np.cumsum(copies) - copies, copies)
                 out = b.take(pa.array(i))
                 ids = np.asarray(out.column("arrival_id"))
-                cols = {n: out.column(n) for n in ("arrival_id", "batch_no", "sig", "body", "vec")}
+                cols = {n: out.column(n) for n in ("arrival_id", "batch_no", "sig", "body", "text")}
                 yield pa.record_batch({**cols, "cell": pa.array(live[j].astype(np.int32)), "block": pa.array(block.astype(np.int32)), "turn": pa.array((ids % turn).astype(np.int32))})
 
-        probes = queries.select("arrival_id", "batch_no", "sig", "body", "vec").mapInArrow(probe, "arrival_id long, batch_no int, sig long, body boolean, vec array<float>, cell int, block int, turn int")
+        probes = queries.select("arrival_id", "batch_no", "sig", "body", "text", "vec").mapInArrow(probe, "arrival_id long, batch_no int, sig long, body boolean, text string, cell int, block int, turn int")
         limits = self.spark.createDataFrame([(c, n) for c, n in blocks.items()] or [(-1, 1)], "cell int, blocks int")  # one row a cell
         placed = held.join(F.broadcast(limits), "cell").withColumn("block", F.pmod(F.col("arrival_id"), F.col("blocks")).cast("int"))
-        placed = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turn - 1)))).select("arrival_id", "batch_no", "sig", "body", "vec", "cell", "block", "turn")
+        placed = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turn - 1)))).select("arrival_id", "batch_no", "sig", "body", "text", "cell", "block", "turn")
 
         def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-            none = pd.DataFrame({"arrival_id": pd.Series(dtype="int64"), "first_id": pd.Series(dtype="int64")})
-            if q.empty or x.empty:
-                return none
-            x = x.sort_values(["batch_no", "arrival_id"])
-            a, b = np.stack(q.vec.to_numpy()), np.stack(x.vec.to_numpy())
-            near = _distances(a, b) <= RADIUS
-            near &= q.sig.to_numpy()[:, None] == x.sig.to_numpy()[None, :]
-            bodies = a[:, -SKETCH:] @ b[:, -SKETCH:].T >= SAME_BODY
-            near &= bodies | ~(q.body.to_numpy()[:, None] & x.body.to_numpy()[None, :])
-            qb, xb = q.batch_no.to_numpy()[:, None], x.batch_no.to_numpy()[None, :]
-            qi, xi = q.arrival_id.to_numpy()[:, None], x.arrival_id.to_numpy()[None, :]
-            near &= (xb < qb) | ((xb == qb) & (xi < qi))
-            at = np.flatnonzero(near.any(1))
-            if not len(at):
-                return none
-            return pd.DataFrame({"arrival_id": q.arrival_id.to_numpy()[at], "first_id": x.arrival_id.to_numpy()[near[at].argmax(1)]})
+            groups: dict[int, list[tuple[int, int, bool, str]]] = defaultdict(list)
+            for r in zip(x.batch_no.tolist(), x.arrival_id.tolist(), x.body.tolist(), x.text.tolist(), x.sig.tolist()):
+                groups[r[4]].append(r[:4])
+            links = Links()
+            for qb, qi, body, text, sig in zip(q.batch_no.tolist(), q.arrival_id.tolist(), q.body.tolist(), q.text.tolist(), q.sig.tolist()):
+                for xb, xi, other, held_text in groups.get(sig, ()):
+                    if (xb, xi) < (qb, qi) and links.root(xi) != links.root(qi) and (not (body and other) or same_body(text, held_text)):
+                        links.join(xi, qi)
+            got = links.edges()
+            return pd.DataFrame({"arrival_id": pd.Series([g[0] for g in got], dtype="int64"), "first_id": pd.Series([g[1] for g in got], dtype="int64")})
 
         keys = ["cell", "block", "turn"]
         return probes.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(search, "arrival_id long, first_id long")
 
 
+class Links:
+    """Sets of ids linked by any number of pairs."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, i: int) -> int:
+        while (j := self.up.get(i, i)) != i:
+            self.up[i] = i = self.up.get(j, j)
+        return i
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+
+    def edges(self) -> list[tuple[int, int]]:
+        return [(i, r) for i in self.up if (r := self.root(i)) != i]
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
     """k-means on the rows of x, distances in slices."""
     c = _spread_start(x, min(k, len(x)), np.random.default_rng(5))

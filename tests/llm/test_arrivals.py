@@ -90,3 +90,22 @@ def test_search_finds_all_near(spark):
         if x != i:
             want[i] = x
     assert got == want
+
+
+def test_cut_bodies_are_found(spark):
+    """Bodies that are the other's opening part: their random sketches are often too far apart."""
+    import random
+
+    ref = spark.createDataFrame(REF, "ref_id long, field string, name string, name_en string, aliases string")
+    teams = {"감사": 40, "세무": 40}
+    own, want, i = [], [], 0
+    for unit, most in teams.items():
+        for n in range(1, most + 1):
+            rng = random.Random(f"{unit}{n}")
+            body = [f"말{rng.randrange(10**6)}" for _ in range(30)]
+            title = f"2027년 상반기 {unit} {n}팀 세무사 채용 서울"
+            own += [(i, 0, "s", f"n{i}", None, title, "가람솔회계법인", " ".join(body), "t", 0), (i + 1, 1, "s", f"n{i + 1}", None, title, "가람솔회계법인", " ".join(body[:11]), "t", 0)]
+            want.append((i, i + 1))
+            own.append((i + 2, 1, "s", f"n{i + 2}", None, title, "가람솔회계법인", " ".join(f"글{rng.randrange(10**6)}" for _ in range(30)), "t", 0))
+            i += 3
+    assert sorted(map(tuple, ar.deduplicate(spark.createDataFrame(own, SCHEMA), ref).collect())) == want
