@@ -1,17 +1,20 @@
 """New batches against all history: an inverted-file index of content vectors with exact search.
 
-A posting's vector is made of weighted codes of its firm, season, team, role and place and of a hashed sketch of its body,
-so that another season, team, role or place is farther than ``RADIUS`` and small edits are nearer. Centroids are fitted
-on a bounded sample of the starting history (``SAMPLE``); every row is stored in the cell of its nearest centroid with its
-full vector. A new row probes each cell that its distance bound allows: if the distance to the centroid exceeds the cell's
-radius by more than ``APART``, the farthest that two rows of the same fields can be whatever their sketches, the cell holds
-no candidate. Candidates of the same fields are compared by the words and letters of their whole bodies, and the batch is
-appended to the cells. Equal native ids of a source and equal pages
-count as repeats too; chains of repeats are resolved to the earliest arrival.
-
-Defined results: blank native ids and urls are no keys; a row without firm, season, team or role has no content key of
-its own; of two rows without body the fields decide; exact copies are collapsed to their first row before the search,
-however many they are; a hot cell is searched in blocks of ``BLOCK`` rows.
+A posting's vector is made of weighted codes of its firm, season, team, role and city and of a hashed sketch of its body.
+Centroids are fitted on a bounded sample of the starting history (``SAMPLE``); the first row of every exact copy is stored
+in the cell of its nearest centroid, parted by which fields it states, with the codes of its fields, its title and its
+body. Two rows of one job have the same codes in the fields both state, so a new row probes each cell whose radius in
+every such field reaches the row's own code; no other cell can hold a candidate. Candidates are compared by fields and
+whole bodies, and the batch is appended to the cells. Equal native ids of a source and equal pages count as repeats too;
+chains of repeats are resolved to the earliest arrival.
+
+Defined results: blank native ids and urls are no keys; a field that a row doesn't state (firm, season, team, role, city,
+area) neither agrees nor disagrees. Where all but the area are stated on both sides and a body is missing, the fields
+decide. With another field silent, the titles' numbers must not differ and the bodies be the same, or where one is missing
+a firm stated and the titles' letters equal; with fewer than ``FEW`` fields stated on both sides the titles must be near
+too. A row that states less than those it is near to is linked to the earliest and to those that agree with that one.
+Exact copies are collapsed to their first row before the search, however many they are; a hot cell is searched in blocks
+of ``BLOCK`` rows. A row that states few fields is held against all rows that agree in those.
 """
 
 from __future__ import annotations
@@ -35,12 +38,14 @@ from sievework.llm.leakage import letters
 from sievework.llm.linkage import TitleReader, firm_key
 from sievework.session import new_path, written
 
-PARTS = [("firm", 48.0), ("season", 12.0), ("team", 4.0), ("role", 2.5), ("place", 2.5)]  # falling weights part the cells
+PARTS = [("firm", 48.0), ("season", 12.0), ("team", 4.0), ("role", 2.5), ("city", 2.5)]  # falling weights part the cells
 CODE, SKETCH = 16, 24
 RADIUS = 1.3  # small edits are nearer; not a test of repeats
 SAME_BODY = 0.6  # least cosine of two bodies' words
 CONTAINED = 0.8  # or least share of the shorter body's words in the other: a body that was cut
-APART = 2.0  # bound of the distance of two rows of the same fields: that of two unit sketches
+COMPARED = ["firm", "season", "team", "role", "city", "area"]
+FEW = 3
+SLACK = 1e-3  # of distances, for rounding
 SAMPLE = 20_000  # rows the centroids are fitted on
 ROWS_A_CELL = 300
 MOST_CELLS = 4096
@@ -87,6 +92,24 @@ def same_body(a: str, b: str) -> bool:
     return bool(x and y) and (x in y or y in x)
 
 
+def same_job(q: tuple, x: tuple) -> bool:
+    """Whether two rows (codes, title, body) are one job registered again: no field that both state differs."""
+    both = [a != 0 and b != 0 for a, b in zip(q[0], x[0])]
+    if any(s and a != b for s, a, b in zip(both, q[0], x[0])):
+        return False
+    bodies = bool(letters(q[2]) and letters(x[2]))
+    if all(both[:-1]):
+        return not bodies or same_body(q[2], x[2])
+    a, b = (set(re.findall(r"\d+", r[1])) for r in (q, x))
+    if not (a <= b or b <= a):
+        return False
+    if not bodies:
+        return both[0] and bool(letters(q[1])) and letters(q[1]) == letters(x[1])
+    if sum(both) < FEW and (u := words(q[1])) and (v := words(x[1])) and not same_words(u, v):
+        return False
+    return same_body(q[2], x[2])
+
+
 def fold(text: str | None) -> str:
     return unicodedata.normalize("NFKC", text or "").casefold()
 
@@ -117,11 +140,10 @@ class Encoder:
                 self.firms.clear()
             self.firms[key] = firm_key(self.reference, company, title)
         got["firm"] = self.firms[key]
-        got["place"] = f"{got.get('city') or ''}/{got.get('area') or ''}"
         return got
 
-    def encode(self, title: str | None, company: str | None, body: str | None) -> tuple[np.ndarray, int | None, bool, str]:
-        """(vector, content key or null, whether there is a body, the body's letters)."""
+    def encode(self, title: str | None, company: str | None, body: str | None) -> tuple[np.ndarray, int | None, bool, str, list[int]]:
+        """(vector, key of the fields or null, whether there is a body, the body's letters, codes of the fields or 0)."""
         got = self.fields(title, company)
         parts = [w * self._unit(f"{f}={got[f]}", CODE, self.codes) if got.get(f) else np.zeros(CODE, np.float32) for f, w in PARTS]
         sketch = np.zeros(SKETCH, np.float32)
@@ -130,19 +152,36 @@ class Encoder:
         norm = float(np.linalg.norm(sketch))
         if norm:
             sketch /= norm
-        stated = all(got.get(f) for f, _ in PARTS)
-        sig = _seed("\x1f".join(got[f] or "" for f, _ in PARTS)) if stated else None
-        return np.concatenate([*parts, sketch]), sig, bool(norm), letters(body)
+        codes = [_seed(f"{f}={got[f]}") if got.get(f) else 0 for f in COMPARED]
+        sig = _seed("\x1f".join(got.get(f) or "" for f in COMPARED)) if all(codes[:-1]) else None
+        return np.concatenate([*parts, sketch]), sig, bool(norm), letters(body), codes
+
+
+def exact_key(codes: list[int], title: str, body: str) -> int | None:
+    """Key of exact copies: stated fields and body, and the title where a field is silent; null where nothing tells."""
+    if all(codes[:-1]):
+        return _seed(f"{codes}\x1f{body}")
+    return _seed(f"{codes}\x1f{title}\x1f{body}") if body or (codes[0] and title) else None
+
 
+def field_distances(codes: np.ndarray, centroids: np.ndarray, f: int) -> np.ndarray:
+    """Distances of rows to centroids in the vector's part of a field; 0 where the field is silent."""
+    own, at = np.unique(codes[:, f], return_inverse=True)
+    c = centroids[:, f * CODE : (f + 1) * CODE].astype(np.float64)
+    u = np.stack([np.random.default_rng(int(k)).standard_normal(CODE).astype(np.float32) for k in own])
+    d = _distances((PARTS[f][1] * (u / np.linalg.norm(u, axis=1, keepdims=True))).astype(np.float64), c)
+    d[own == 0] = 0
+    return d[at.ravel()]
 
-ROW = "arrival_id long, batch_no int, page string, login string, sig long, exact long, body boolean, text string, vec array<float>, cell int, away float"
 
-HELD = "exact long, arrival_id long, batch_no int, sig long, body boolean, text string, vec array<float>, cell int, away float"
-HELD_COLUMNS = ["exact", "arrival_id", "batch_no", "sig", "body", "text", "vec", "cell", "away"]
+ROW = "arrival_id long, batch_no int, page string, login string, exact long, codes array<long>, title string, text string, mask int, cell int, away array<double>"
+
+HELD = "exact long, arrival_id long, batch_no int, codes array<long>, title string, text string, mask int, cell int, away array<double>"
+HELD_COLUMNS = ["exact", "arrival_id", "batch_no", "codes", "title", "text", "mask", "cell", "away"]
 
 
 class Cells:
-    """The persisted index: cells of full vectors, one written part a batch."""
+    """The persisted index: cells of rows that state the same fields, one written part a batch."""
 
     def __init__(self, reference: DataFrame, path: str | None = None):
         self.spark = reference.sparkSession
@@ -150,8 +189,9 @@ class Cells:
         self.path = path or new_path(self.spark, "cells")
         self.centroids: np.ndarray | None = None
         self.batches: list[int] = []
-        self.cells: dict[int, tuple[int, float]] = {}  # rows and radius of each cell, at most MOST_CELLS
-        self.asked: dict[int, int] = {}
+        # rows and radius by field of each cell and mask of stated fields, at most MOST_CELLS a mask
+        self.cells: dict[tuple[int, int], tuple[int, list[float]]] = {}
+        self.asked: dict[tuple[int, int], int] = {}
 
     def fit(self, rows: DataFrame, expected: int) -> None:
         """Centroids by k-means on at most SAMPLE rows of the starting history, fitted in one task."""
@@ -183,34 +223,40 @@ class Cells:
                 d = _distances(vecs, centroids)
                 cell = d.argmin(1)
                 login = [f"{s}\x1f{n.strip()}" if n and n.strip() and s else None for s, n in zip(col("source"), col("native_id"))]
-                exact = [_seed(f"{g[1]}\x1f{g[3]}") if g[1] is not None else None for g in got]
+                codes = np.array([g[4] for g in got], dtype=np.int64)
+                titles = [fold(x) for x in col("title")]
+                exact = [exact_key(g[4], letters(x), g[3]) for g, x in zip(got, titles)]
+                away = np.stack([field_distances(codes, centroids, f)[np.arange(len(cell)), cell] for f in range(len(PARTS))], axis=1)
+                lists = lambda m: pa.FixedSizeListArray.from_arrays(m.ravel(), m.shape[1])
+                mask = ((codes != 0) << np.arange(len(COMPARED))).sum(1)
                 yield pa.record_batch(
-                    [b.column("arrival_id"), b.column("batch_no"), pa.array([page_key(u) for u in col("url")], pa.string()), pa.array(login, pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array(exact, pa.int64()), pa.array([g[2] for g in got]), pa.array([fold(t) for t in col("body_excerpt")], pa.string()), pa.FixedSizeListArray.from_arrays(vecs.ravel(), vecs.shape[1]).cast(pa.list_(pa.float32())), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell], pa.float32())],
-                    names=["arrival_id", "batch_no", "page", "login", "sig", "exact", "body", "text", "vec", "cell", "away"],
+                    [b.column("arrival_id"), b.column("batch_no"), pa.array([page_key(u) for u in col("url")], pa.string()), pa.array(login, pa.string()), pa.array(exact, pa.int64()), lists(codes).cast(pa.list_(pa.int64())), pa.array(titles, pa.string()), pa.array([fold(x) for x in col("body_excerpt")], pa.string()), pa.array(mask, pa.int32()), pa.array(cell, pa.int32()), lists(away).cast(pa.list_(pa.float64()))],
+                    names=["arrival_id", "batch_no", "page", "login", "exact", "codes", "title", "text", "mask", "cell", "away"],
                 )
 
         batch.select("arrival_id", "batch_no", "source", "native_id", "url", "title", "company", "body_excerpt").mapInArrow(encode, ROW).write.parquet(f"{self.path}/part={number}")
         new = self.rows([number])
-        first = new.where("exact is not null").groupBy("exact").agg(F.min_by(F.struct("arrival_id", "batch_no", "sig", "body", "text", "vec", "cell", "away"), F.struct("batch_no", "arrival_id")).alias("r")).select("exact", "r.*")
+        first = new.where("exact is not null").groupBy("exact").agg(F.min_by(F.struct("arrival_id", "batch_no", "codes", "title", "text", "mask", "cell", "away"), F.struct("batch_no", "arrival_id")).alias("r")).select("exact", "r.*")
         if self.batches:
             first = first.join(self.held(self.batches).select("exact"), "exact", "left_anti")
         first.select(*HELD_COLUMNS).write.parquet(f"{self.path}/held={number}")
         self.batches.append(number)
         self.asked = {}
-        for r in self.held([number]).groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect():  # one row a cell
-            n, radius = self.cells.get(r["cell"], (0, 0.0))
-            self.cells[r["cell"]] = (n + r["n"], max(radius, float(r["radius"])))
-            self.asked[r["cell"]] = r["n"]
+        far = [F.max(F.col("away")[f]).alias(f"r{f}") for f in range(len(PARTS))]
+        for r in self.held([number]).groupBy("cell", "mask").agg(F.count("*").alias("n"), *far).collect():  # one row a cell and mask
+            n, radius = self.cells.get((r["cell"], r["mask"]), (0, [0.0] * len(PARTS)))
+            self.cells[r["cell"], r["mask"]] = (n + r["n"], [max(x, r[f"r{f}"]) for f, x in enumerate(radius)])
+            self.asked[r["cell"], r["mask"]] = r["n"]
 
     def held(self, numbers: list[int]) -> DataFrame:
-        """The first row of each exact copy, with its vector."""
+        """The first row of each exact copy."""
         return self.spark.read.schema(HELD).parquet(*[f"{self.path}/held={n}" for n in numbers])
 
     def rows(self, numbers: list[int]) -> DataFrame:
         return self.spark.read.schema(ROW).parquet(*[f"{self.path}/part={n}" for n in numbers])
 
     def repeats(self, number: int) -> DataFrame:
-        """arrival_id of a batch and the least earlier id that it repeats, by each key and by content."""
+        """arrival_id of a batch and an id that it is linked to, by each key and by content; ``codes`` see ``_near``."""
         new, every = self.rows([number]), self.rows(self.batches)
         earlier = (F.col("x.batch_no") < F.col("q.batch_no")) | ((F.col("x.batch_no") == F.col("q.batch_no")) & (F.col("x.arrival_id") < F.col("q.arrival_id")))
         found = []
@@ -218,56 +264,83 @@ class Cells:
             asked = new.where(F.col(key).isNotNull()).select(key).distinct()
             first = every.join(asked, key, "left_semi").groupBy(key).agg(F.min(F.struct("batch_no", "arrival_id")).alias("f")).select(key, "f.*")
             own = new.where(F.col(key).isNotNull()).alias("q").join(first.alias("x"), F.col(f"q.{key}") == F.col(f"x.{key}"))
-            found.append(own.where(earlier).select(F.col("q.arrival_id").alias("arrival_id"), F.col("x.arrival_id").alias("first_id")))
+            found.append(own.where(earlier).select(F.col("q.arrival_id").alias("arrival_id"), F.col("x.arrival_id").alias("first_id"), F.lit(None).cast("array<long>").alias("codes")))
         found.append(self._near(number))
         return reduce(DataFrame.unionByName, found)
 
     def _near(self, number: int) -> DataFrame:
+        """Links by content; of rows that state less than the other (arrival_id), with the other's codes."""
         queries, held = self.held([number]), self.held(self.batches)
-        asked = self.asked
-        radius = {c: r for c, (_, r) in self.cells.items()}
-        blocks = {c: -(-n // BLOCK) for c, (n, _) in self.cells.items()}
-        turns = {c: -(-n // BLOCK) for c, n in asked.items()}
-        turn = max(turns.values(), default=1)
+        blocks = {k: -(-n // BLOCK) for k, (n, _) in self.cells.items()}
+        turn = max((-(-n // BLOCK) for n in self.asked.values()), default=1)
         centroids = self.centroids
-        live = np.array(sorted(radius), dtype=np.int64)
-        reach = np.array([radius[c] for c in live.tolist()], dtype=np.float32)
-        n_blocks = np.array([blocks[c] for c in live.tolist()], dtype=np.int64)
+        live = sorted(self.cells)
+        cell_of, mask_of = (np.array([k[i] for k in live], dtype=np.int32) for i in (0, 1))
+        reach = np.array([self.cells[k][1] for k in live]).reshape(len(live), len(PARTS)) + SLACK
+        n_blocks = np.array([blocks[k] for k in live], dtype=np.int64)
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                vecs = np.stack(b.column("vec").to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros((0, 1), np.float32)
-                if not len(vecs):
-                    continue
-                d = _distances(vecs, centroids[live])
-                i, j = np.nonzero(d <= reach + APART + 0.1)
-                copies = n_blocks[j]
-                i, j = np.repeat(i, copies), np.repeat(j, copies)
-                block = np.arange(len(i)) - np.repeat(np.cumsum(copies) - copies, copies)
-                out = b.take(pa.array(i))
-                ids = np.asarray(out.column("arrival_id"))
-                cols = {n: out.column(n) for n in ("arrival_id", "batch_no", "sig", "body", "text")}
-                yield pa.record_batch({**cols, "cell": pa.array(live[j].astype(np.int32)), "block": pa.array(block.astype(np.int32)), "turn": pa.array((ids % turn).astype(np.int32))})
-
-        probes = queries.select("arrival_id", "batch_no", "sig", "body", "text", "vec").mapInArrow(probe, "arrival_id long, batch_no int, sig long, body boolean, text string, cell int, block int, turn int")
-        limits = self.spark.createDataFrame([(c, n) for c, n in blocks.items()] or [(-1, 1)], "cell int, blocks int")  # one row a cell
-        placed = held.join(F.broadcast(limits), "cell").withColumn("block", F.pmod(F.col("arrival_id"), F.col("blocks")).cast("int"))
-        placed = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turn - 1)))).select("arrival_id", "batch_no", "sig", "body", "text", "cell", "block", "turn")
+            for whole in batches:
+                for start in range(0, whole.num_rows, 1024):
+                    b = whole.slice(start, 1024)
+                    codes = np.array(b.column("codes").to_pylist(), dtype=np.int64)
+                    reached = np.ones((len(codes), len(live)), dtype=bool)
+                    for f in range(len(PARTS)):
+                        near = field_distances(codes, centroids, f)[:, cell_of] <= reach[:, f]
+                        reached &= near | (codes[:, f] == 0)[:, None] | ((mask_of >> f) & 1 == 0)[None, :]
+                    i, j = np.nonzero(reached)
+                    copies = n_blocks[j]
+                    i, j = np.repeat(i, copies), np.repeat(j, copies)
+                    block = np.arange(len(i)) - np.repeat(np.cumsum(copies) - copies, copies)
+                    out = b.take(pa.array(i))
+                    ids = np.asarray(out.column("arrival_id"))
+                    cols = {n: out.column(n) for n in ("arrival_id", "batch_no", "codes", "title", "text")}
+                    yield pa.record_batch({**cols, "cell": pa.array(cell_of[j]), "mask": pa.array(mask_of[j]), "block": pa.array(block.astype(np.int32)), "turn": pa.array((ids % turn).astype(np.int32))})
+
+        row = ["arrival_id", "batch_no", "codes", "title", "text"]
+        keys = ["cell", "mask", "block", "turn"]
+        probes = queries.select(*row).mapInArrow(probe, "arrival_id long, batch_no int, codes array<long>, title string, text string, cell int, mask int, block int, turn int")
+        limits = self.spark.createDataFrame([(*k, n) for k, n in blocks.items()] or [(-1, 0, 1)], "cell int, mask int, blocks int")  # one row a cell and mask
+        placed = held.join(F.broadcast(limits), ["cell", "mask"]).withColumn("block", F.pmod(F.col("arrival_id"), F.col("blocks")).cast("int"))
+        placed = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turn - 1)))).select(*row, *keys)
 
         def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-            groups: dict[int, list[tuple[int, int, bool, str]]] = defaultdict(list)
-            for r in zip(x.batch_no.tolist(), x.arrival_id.tolist(), x.body.tolist(), x.text.tolist(), x.sig.tolist()):
-                groups[r[4]].append(r[:4])
-            links = Links()
-            for qb, qi, body, text, sig in zip(q.batch_no.tolist(), q.arrival_id.tolist(), q.body.tolist(), q.text.tolist(), q.sig.tolist()):
-                for xb, xi, other, held_text in groups.get(sig, ()):
-                    if (xb, xi) < (qb, qi) and links.root(xi) != links.root(qi) and (not (body and other) or same_body(text, held_text)):
-                        links.join(xi, qi)
-            got = links.edges()
-            return pd.DataFrame({"arrival_id": pd.Series([g[0] for g in got], dtype="int64"), "first_id": pd.Series([g[1] for g in got], dtype="int64")})
-
-        keys = ["cell", "block", "turn"]
-        return probes.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(search, "arrival_id long, first_id long")
+            got: list[tuple[int, int, list[int] | None]] = []
+            if not q.empty and not x.empty:
+                mask = [c != 0 for c in x.codes.iloc[0]]  # the same fields are stated by all rows of a cell
+                rows = lambda d: zip(d.batch_no.tolist(), d.arrival_id.tolist(), [tuple(map(int, c)) for c in d.codes], d.title.tolist(), d.text.tolist())
+                asked: dict[tuple, list[tuple]] = defaultdict(list)
+                for r in rows(q):
+                    asked[tuple(bool(c) and m for c, m in zip(r[2], mask))].append(r)
+                links = Links()
+                for both, own in asked.items():
+                    shared = lambda c, both=both: tuple(v for v, s in zip(c, both) if s)
+                    groups: dict[tuple, list[tuple]] = defaultdict(list)
+                    for r in rows(x):
+                        groups[shared(r[2])].append(r)
+                    for a in own:
+                        for b in groups.get(shared(a[2]), ()):
+                            if b[:2] >= a[:2]:
+                                continue
+                            if a[2] == b[2]:
+                                if links.root(a[1]) != links.root(b[1]) and same_job(a[2:], b[2:]):
+                                    links.join(a[1], b[1])
+                            elif same_job(a[2:], b[2:]):
+                                less, more = (a, b) if sum(map(bool, a[2])) <= sum(map(bool, b[2])) else (b, a)
+                                got.append((less[1], more[1], list(more[2])))
+                got += [(i, r, None) for i, r in links.edges()]
+            return pd.DataFrame({"arrival_id": pd.Series([g[0] for g in got], dtype="int64"), "first_id": pd.Series([g[1] for g in got], dtype="int64"), "codes": pd.Series([g[2] for g in got], dtype="object")})
+
+        return probes.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(search, "arrival_id long, first_id long, codes array<long>")
+
+
+def agreeing(links: DataFrame) -> DataFrame:
+    """Links without those of a row that states less to rows at odds with the earliest it is near to."""
+    other = links.where("codes is not null").distinct()
+    first = other.groupBy("arrival_id").agg(F.min_by("codes", "first_id").alias("lead"))
+    fits = F.forall(F.arrays_zip("codes", "lead"), lambda p: (p["codes"] == 0) | (p["lead"] == 0) | (p["codes"] == p["lead"]))
+    kept = other.join(first, "arrival_id").where(fits)
+    return links.where("codes is null").select("arrival_id", "first_id").unionByName(kept.select("arrival_id", "first_id"))
 
 
 class Links:
@@ -355,7 +428,7 @@ def deduplicate(arrivals: DataFrame, reference: DataFrame, path: str | None = No
     for number in numbers if batchwise else numbers[:1]:
         cells.append(dated.where(F.col("batch_no") == number) if batchwise else dated, number)
         edges.append(written(cells.repeats(number), f"repeats-{number}"))
-    return resolve(reduce(DataFrame.unionByName, edges))
+    return resolve(agreeing(reduce(DataFrame.unionByName, edges)))
 
 
 def accepted(arrivals: DataFrame, reference: DataFrame) -> DataFrame:

@@ -109,3 +109,48 @@ def test_cut_bodies_are_found(spark):
             own.append((i + 2, 1, "s", f"n{i + 2}", None, title, "가람솔회계법인", " ".join(f"글{rng.randrange(10**6)}" for _ in range(30)), "t", 0))
             i += 3
     assert sorted(map(tuple, ar.deduplicate(spark.createDataFrame(own, SCHEMA), ref).collect())) == want
+
+
+def test_silent_fields_and_unread_titles(spark):
+    """Recall against the rule over all pairs, without the index: titles that omit fields or are outside the word list."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    ref = spark.createDataFrame(REF, "ref_id long, field string, name string, name_en string, aliases string")
+    bodies = [" ".join(f"말{rng.integers(10**6)}" for _ in range(20)) for _ in range(6)]
+    own = []
+    for i in range(150):
+        parts = ["2027년 상반기", "감사 1팀", "세무사 채용", f"서울 {['동부', '서부'][rng.integers(2)]}"]
+        if i % 3 == 0:
+            parts.pop(int(rng.integers(4)))
+        title = ["Gardener 2027 wanted at once", "Gardener 2028 wanted at once", "Wanted: Gardener 2027, at once"][rng.integers(3)] if i % 5 == 0 else " ".join(parts)
+        own.append((i, int(i > 90), "s", f"n{i}", None, title, "가람솔회계법인" if i % 7 else None, bodies[rng.integers(6)] if i % 11 else None, "t", 0))
+    df = spark.createDataFrame(own, SCHEMA)
+    got = {r["arrival_id"]: r["original_id"] for r in ar.deduplicate(df, ref).collect()}
+    encoder = ar.Encoder(ar.Reference(REF))
+    rows = [(tuple(encoder.encode(r[5], r[6], r[7])[4]), ar.fold(r[5]), ar.fold(r[7])) for r in own]
+    links, more = ar.Links(), {}
+    for i in range(len(own)):
+        for j in range(i):
+            if ar.same_job(rows[i], rows[j]):
+                if rows[i][0] == rows[j][0]:
+                    links.join(i, j)
+                else:
+                    a, b = (i, j) if sum(map(bool, rows[i][0])) <= sum(map(bool, rows[j][0])) else (j, i)
+                    more.setdefault(a, []).append(b)
+    for a, others in more.items():
+        lead = rows[min(others)][0]
+        for b in others:
+            if all(not x or not y or x == y for x, y in zip(rows[b][0], lead)):
+                links.join(a, b)
+    assert got == dict(links.edges())
+    assert {r["arrival_id"]: r["original_id"] for r in ar.deduplicate(df, ref, batchwise=True).collect()} == got
+
+
+def test_title_without_area_and_outside_the_words(spark):
+    ref = spark.createDataFrame(REF, "ref_id long, field string, name string, name_en string, aliases string")
+    t, firm, garden = "2027년 상반기 감사 1팀 세무사 채용 서울", "가람솔회계법인", "Gardener wanted at once, season {}"
+    b, c = BODY.format(5, 11), "Roses and lawns of the office park need daily care by someone patient. Ask at extension 77."
+    own = [(1, t + " 동부", firm, b), (2, t, firm, b), (3, t + " 서부", firm, b), (4, garden.format(1), firm, c), (5, garden.format(1) + "!", firm, c + " Again."), (6, garden.format(2), firm, c), (7, "채용", firm, "전혀 다른 글이며 겹치는 말이 없습니다")]
+    rows = [(i, 0, "s", f"n{i}", None, title, company, body, "t", 0) for i, title, company, body in own]
+    assert sorted(map(tuple, ar.deduplicate(spark.createDataFrame(rows, SCHEMA), ref).collect())) == [(1, 2), (4, 5)]
