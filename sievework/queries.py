@@ -641,3 +641,34 @@ def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON document of a page of rows."""
     return sinks.json_document(table(spark, sf_dir, "sources").select("trust_rank", "source", "kind"), "sources", ["trust_rank"], 100)
+
+
+# --- over every row, where the query with the SQL twin keeps to the forms the twin can follow ---
+
+
+@query()
+def all_dates_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dates of every posting's texts, whatever their style; empty where there is none."""
+    t = F.concat_ws(" ", s.text(F.col("body_excerpt")), s.text(F.col("deadline")), s.text(F.col("posted_date")))
+    return table(spark, sf_dir, "postings").select("posting_id", F.concat_ws(",", s.iso_dates(t)).alias("dates"))
+
+
+@query()
+def rfc822_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mail dates of every article in UTC, numeric offsets too; empty where the text is no mail date."""
+    return table(spark, sf_dir, "articles").select("article_id", s.rfc822_utc(F.col("published_at")).alias("utc"))
+
+
+@query()
+def dday_label_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of days left of every posting; a deadline that is no yyyy-mm-dd date has no end."""
+    left = s.days_left(s.text(F.col("deadline")), F.lit(AS_OF))
+    return table(spark, sf_dir, "postings").select("posting_id", s.days_label(left).alias("label"))
+
+
+@query()
+def newness_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newness and freshness of every row; first_seen may have blanks at its ends or for the T, and fractions."""
+    seen = F.regexp_replace(s.squeeze(F.col("first_seen")), r"^(\d{4}-\d{2}-\d{2}) ", "$1T")
+    age = F.unix_micros(F.lit("2026-05-04 00:00:00").cast("timestamp")) - F.unix_micros(seen.try_cast("timestamp"))
+    return table(spark, sf_dir, "state_snapshots").select("uid", "snapshot_date", (seen >= "2026-04-30T00:00:00").alias("is_new"), (age <= 3 * 86_400_000_000).alias("fresh"))
