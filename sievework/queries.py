@@ -672,3 +672,10 @@ def newness_every(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = F.regexp_replace(s.squeeze(F.col("first_seen")), r"^(\d{4}-\d{2}-\d{2}) ", "$1T")
     age = F.unix_micros(F.lit("2026-05-04 00:00:00").cast("timestamp")) - F.unix_micros(seen.try_cast("timestamp"))
     return table(spark, sf_dir, "state_snapshots").select("uid", "snapshot_date", (seen >= "2026-04-30T00:00:00").alias("is_new"), (age <= 3 * 86_400_000_000).alias("fresh"))
+
+
+@query(f"select article_id, len(list_intersect(a, b))::int as both, len(list_distinct(list_concat(a, b)))::int as either from (select article_id, {_sig_sql('title')} a, {_sig_sql('summary')} b from articles)")
+def set_algebra_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intersection and union of the token sets of every article's title and summary."""
+    a, b = s.title_signature(F.col("title")), s.title_signature(F.col("summary"))
+    return table(spark, sf_dir, "articles").select("article_id", F.size(F.array_intersect(a, b)).alias("both"), F.size(F.array_union(a, b)).alias("either"))

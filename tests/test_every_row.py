@@ -29,3 +29,10 @@ def test_newness_of_every_row(spark, tmp_path):
     sf = fixture(spark, tmp_path, "state_snapshots", [(u, "2026-05-04", f) for u, f in rows], "uid string, snapshot_date string, first_seen string")
     got = {r["uid"]: (r["is_new"], r["fresh"]) for r in QUERIES["newness_every"](spark, sf).collect()}
     assert got == {"a": (True, False), "b": (True, False), "c": (True, True), "d": (True, False), "e": (False, False)}
+
+
+def test_set_algebra_of_every_article(spark, tmp_path):
+    rows = [(1, "가나 다라 마바", "다라 사아"), (9, "[가나] 다라", "다라"), (77, None, "가나"), (1000, None, None)]
+    sf = fixture(spark, tmp_path, "articles", rows, "article_id long, title string, summary string")
+    got = {r["article_id"]: (r["both"], r["either"]) for r in QUERIES["set_algebra_every"](spark, sf).collect()}
+    assert got == {1: (1, 4), 9: (1, 1), 77: (0, 1), 1000: (0, 0)}
