@@ -123,6 +123,14 @@ def representatives(df: DataFrame, key: str, columns: Sequence[str]) -> DataFram
     return df.groupBy(*columns).agg(F.min(key).alias("id"))
 
 
+def members(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Every row's key with its representative's, as id."""
+    own = [F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)]
+    rows = df.select(F.col(key), *own)
+    reps = representatives(rows, key, [f"_c{i}" for i in range(len(columns))])
+    return rows.join(reps, [f"_c{i}" for i in range(len(columns))]).select(key, "id")
+
+
 def token_leaders(df: DataFrame, key: str, signature: str, jaccard: float) -> DataFrame:
     """id and leader of greedy clustering in key order by Jaccard similarity; rows without tokens lead themselves.
 

@@ -679,3 +679,17 @@ def set_algebra_every(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intersection and union of the token sets of every article's title and summary."""
     a, b = s.title_signature(F.col("title")), s.title_signature(F.col("summary"))
     return table(spark, sf_dir, "articles").select("article_id", F.size(F.array_intersect(a, b)).alias("both"), F.size(F.array_union(a, b)).alias("either"))
+
+
+@query(f"select article_id, min(article_id) over (partition by category, sig) as id from (select article_id, category, list_sort({_sig_sql('title')}) sig from articles where category is not null)")
+def token_overlap_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article of a category with the representative that stands for it in token_overlap_pairs."""
+    a = table(spark, sf_dir, "articles").where("category is not null").withColumn("signature", F.array_sort(s.title_signature(F.col("title"))))
+    return dedup.members(a, "article_id", ["category", "signature"])
+
+
+@query(f"select article_id, min(article_id) over (partition by sig) as id from (select article_id, list_sort({_sig_sql('title')}) sig from articles) where len(sig) > 0")
+def near_title_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article with tokens with the representative that stands for it in near_title_pairs."""
+    a = table(spark, sf_dir, "articles").withColumn("signature", F.array_sort(s.title_signature(F.col("title"))))
+    return dedup.members(a.where(F.size("signature") > 0), "article_id", ["signature"])

@@ -36,3 +36,12 @@ def test_set_algebra_of_every_article(spark, tmp_path):
     sf = fixture(spark, tmp_path, "articles", rows, "article_id long, title string, summary string")
     got = {r["article_id"]: (r["both"], r["either"]) for r in QUERIES["set_algebra_every"](spark, sf).collect()}
     assert got == {1: (1, 4), 9: (1, 1), 77: (0, 1), 1000: (0, 0)}
+
+
+def test_every_article_has_its_representative(spark, tmp_path):
+    rows = [(5, "가나 다라 마바", "k"), (6, "[속보] 마바, 다라 가나", "k"), (7, "다라 가나 마바", "m"), (8, "다른 제목", "k"), (9, None, "k"), (10, "가나 다라 마바", None)]
+    sf = fixture(spark, tmp_path, "articles", rows, "article_id long, title string, category string")
+    got = {r["article_id"]: r["id"] for r in QUERIES["token_overlap_members"](spark, sf).collect()}
+    assert got == {5: 5, 6: 5, 7: 7, 8: 8, 9: 9}
+    got = {r["article_id"]: r["id"] for r in QUERIES["near_title_members"](spark, sf).collect()}
+    assert got == {5: 5, 6: 5, 7: 5, 8: 8, 10: 5}
