@@ -693,3 +693,41 @@ def near_title_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every article with tokens with the representative that stands for it in near_title_pairs."""
     a = table(spark, sf_dir, "articles").withColumn("signature", F.array_sort(s.title_signature(F.col("title"))))
     return dedup.members(a.where(F.size("signature") > 0), "article_id", ["signature"])
+
+
+_UP_SEEN = _UP.replace("select uid, arg_max(first_seen", "select uid, arg_max(last_seen, (delivered_at, snap_row_id)) last_seen, arg_max(first_seen", 1)
+_GRACE = "(deadline = '' or deadline >= '2026-05-04') and last_seen >= '2026-04-26' and uid not in (select uid from new)"
+
+
+def _seen_state_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The state with last_seen as each uid's latest delivery before the run gives it."""
+    old, batch = _state_and_batch(spark, sf_dir)
+    rows = table(spark, sf_dir, "state_snapshots").where("uid is not null")
+    before = rows.join(F.broadcast(rows.agg(F.max("snapshot_date").alias("m"))), F.lit(True)).where("snapshot_date < m")  # one row
+    seen = before.groupBy("uid").agg(F.max_by("last_seen", F.struct("delivered_at", "snap_row_id")).alias("last_seen"))
+    return old.drop("last_seen").join(seen, "uid"), batch
+
+
+@query(
+    _UP_SEEN + f", j as (select coalesce(o.uid, n.uid) uid, o.uid is null unseen, n.uid is not null present, o.first_seen, o.last_seen, o.deadline od, n.deadline nd, o.posted_date op, n.posted_date np from old o full join new n on o.uid = n.uid), k as (select *, unseen or (present and np <> '' and substr(first_seen,1,10) < np and np <= '{AS_OF}') fresh from j) "
+    f"select uid, coalesce(nullif(nd,''), od, '') as deadline, coalesce(nullif(np,''), op, '') as posted_date, case when fresh then '{AS_OF}T08:00:00' else first_seen end as first_seen, case when present then '{AS_OF}' else last_seen end as last_seen, not fresh as notified, fresh and present as is_new from k"
+)
+def state_upsert_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed upsert that keeps each absent row's own last_seen."""
+    old, batch = _seen_state_and_batch(spark, sf_dir)
+    return state.upsert(old, batch, "uid", "ord", ["deadline", "posted_date"], f"{AS_OF}T08:00:00")
+
+
+@query(_UP_SEEN + f" select uid from old where {_GRACE}")
+def carry_forward_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open rows missing from this run, last seen within the grace by the table's own last_seen."""
+    old, batch = _seen_state_and_batch(spark, sf_dir)
+    return state.carry_forward(old, batch, "uid", "2026-05-04", 8).select("uid")
+
+
+@query(_UP_SEEN + f" select uid, 'run' as kind from new union all select uid, 'carried' from old where {_GRACE}")
+def kept_and_carried_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the run and those carried forward within the grace."""
+    old, batch = _seen_state_and_batch(spark, sf_dir)
+    own = batch.select("uid").distinct().withColumn("kind", F.lit("run"))
+    return own.unionByName(state.carry_forward(old, batch, "uid", "2026-05-04", 8).select("uid", F.lit("carried").alias("kind")))

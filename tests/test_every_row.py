@@ -45,3 +45,13 @@ def test_every_article_has_its_representative(spark, tmp_path):
     assert got == {5: 5, 6: 5, 7: 7, 8: 8, 9: 9}
     got = {r["article_id"]: r["id"] for r in QUERIES["near_title_members"](spark, sf).collect()}
     assert got == {5: 5, 6: 5, 7: 5, 8: 8, 10: 5}
+
+
+def test_grace_by_own_last_seen(spark, tmp_path):
+    rows = [(1, "2026-04-13", 1, "a", "2026-04-25"), (2, "2026-04-13", 1, "b", "2026-04-30"), (3, "2026-04-27", 2, "b", "2026-04-26"), (4, "2026-04-27", 2, "c", "2026-04-25"), (5, "2026-05-04", 3, "d", "2026-05-04")]
+    schema = "snap_row_id long, snapshot_date string, delivered_at long, uid string, last_seen string, deadline string, posted_date string, first_seen string"
+    sf = fixture(spark, tmp_path, "state_snapshots", [(*r, "", "", "2026-04-01T00:00:00") for r in rows], schema)
+    assert [r["uid"] for r in QUERIES["carry_forward_seen"](spark, sf).collect()] == ["b"]
+    assert sorted(map(tuple, QUERIES["kept_and_carried_seen"](spark, sf).collect())) == [("b", "carried"), ("d", "run")]
+    got = {r["uid"]: r["last_seen"] for r in QUERIES["state_upsert_seen"](spark, sf).collect()}
+    assert got == {"a": "2026-04-25", "b": "2026-04-26", "c": "2026-04-25", "d": "2026-06-01"}
