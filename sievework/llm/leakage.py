@@ -28,7 +28,7 @@ SHARD_CHARS = 1_000_000
 BLOCK_CHARS = 4_000_000
 APART = 400  # letters between two matches of one chain
 ANCHOR = 1.5  # a chain's longest match, in least matches: stock phrases that many texts share are shorter
-KEY = 5
+KEY = 5  # letters of a packed key, fewer where the alphabet is wide
 LEAST = {"cjk": 7, "hangul": 9, "other": 12, "latin": 14}  # letters of a verbatim match that counts
 
 
@@ -48,7 +48,7 @@ def least_match(text: str) -> int:
     return LEAST[max(n, key=n.get)]
 
 
-def suffix_array(codes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def suffix_array(codes: np.ndarray, keys: np.ndarray, packed: int = KEY) -> np.ndarray:
     """Positions of all suffixes in order. Separators differ from each other, so no order runs over a document's end."""
     n = len(codes)
     order = np.argsort(keys, kind="stable")
@@ -57,7 +57,7 @@ def suffix_array(codes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     group = np.flatnonzero(new)[np.cumsum(new) - 1]  # of each place in order: where its group begins
     rank = np.empty(n, dtype=np.int64)
     rank[order] = group
-    step = KEY
+    step = packed
     while True:
         single = np.ones(n, dtype=bool)
         single[:-1] = new[1:]
@@ -78,10 +78,10 @@ def suffix_array(codes: np.ndarray, keys: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def _pack(codes: np.ndarray, bits: int) -> np.ndarray:
+def _pack(codes: np.ndarray, bits: int, packed: int) -> np.ndarray:
     keys = np.zeros(len(codes), dtype=np.int64)
-    padded = np.concatenate([codes, np.zeros(KEY, dtype=np.int64)])
-    for i in range(KEY):
+    padded = np.concatenate([codes, np.zeros(packed, dtype=np.int64)])
+    for i in range(packed):
         keys = (keys << bits) | padded[i : i + len(codes)]
     return keys
 
@@ -124,19 +124,18 @@ def shard_matches(docs: list[str], items: Items) -> tuple[np.ndarray, np.ndarray
     raw = _points("\x00".join(docs) + "\x00")
     found = np.unique(np.concatenate([raw, _points(items.text)]))
     bits = max(1, int(len(found) + 1).bit_length())
-    if bits * KEY > 62:
-        raise ValueError("more than 4,095 distinct letters in one shard; lower SHARD_CHARS")
+    packed = min(KEY, 62 // bits)  # at least 2: a code point has 21 bits
     codes, want = np.searchsorted(found, raw), np.searchsorted(found, _points(items.text))
     ends = np.cumsum(sizes + 1) - 1
-    keys = _pack(codes, bits)
-    sa = suffix_array(codes, keys)
+    keys = _pack(codes, bits, packed)
+    sa = suffix_array(codes, keys, packed)
     sorted_keys = keys[sa]
-    wanted = _pack(want, bits)[items.at]
+    wanted = _pack(want, bits, packed)[items.at]
     lo, hi = np.searchsorted(sorted_keys, wanted, "left"), np.searchsorted(sorted_keys, wanted, "right")
     keep = lo < hi
     at, lo, hi = items.at[keep], lo[keep], hi[keep]
     least = items.least[items.owner[at]]
-    for offset in range(KEY, int(least.max()) if len(least) else 0):
+    for offset in range(packed, int(least.max()) if len(least) else 0):
         on = np.flatnonzero(offset < least)
         letter = want[at[on] + offset]
         a = _bisect(codes, sa, lo[on], hi[on], letter, offset, right=False)

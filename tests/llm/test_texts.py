@@ -99,6 +99,18 @@ def test_leaks(spark):
     assert lk.found(d, e.where("item_id > 99")).collect() == [] and lk.found(d.where("doc_id > 99"), e).collect() == []
 
 
+@pytest.mark.parametrize("letters", [3000, 5000, 40_000, 300_000])
+def test_wide_alphabets(letters):
+    """Longest matches by hand, with keys of 5, 4, 3 and 3 letters."""
+    rng = random.Random(letters)
+    wide = "".join(chr(c) for c in range(0x3400, 0x3400 + letters) if not 0xD800 <= c < 0xE000)
+    items = lk.Items([(i, "".join(chr(rng.randrange(0x4E00, 0x4E00 + 2500)) for _ in range(30))) for i in range(5)])
+    texts = items.text.split("\x00")
+    docs = [wide + texts[0][3:25] + "a", "b" + texts[1], wide[:50] + texts[2][:6], texts[3][:9] + "c" + texts[3][9:]]
+    got = sorted(zip(*(x.tolist() for x in lk.shard_matches(docs, items))))
+    assert got == [(0, 0, 3, len(wide), 22), (1, 1, 0, 1, 30), (3, 3, 0, 0, 9), (3, 3, 9, 10, 21)]
+
+
 def test_plan_and_positions(spark):
     supply, targets = {"a": 1000, "b": 100, "z": 5}, {"a": (0.5, 1), "b": (0.3, 4), "c": (0.2, 9)}
     held = mx.plan(supply, targets)
