@@ -256,7 +256,11 @@ def choose(values: DataFrame, sources: DataFrame, default_zone: str = "UTC", tas
     spark = values.sparkSession
     known = sources.select(F.col("source").alias("_s"), "zone", "date_order").dropDuplicates(["_s"])
     joined = values.join(known, values["source"] == known["_s"], "left").select("kind", "id", "source", "ord", "text", "zone", "date_order")
-    read = interpret(joined, default_zone)  # a filter on its result would be pushed down and repeat all its steps
+    tasks = tasks or task_count(spark)
+    keys = ["kind", "source", "ord", "id"]
+    # the keys don't depend on the reading: rows are ranged and sorted raw, so that the sample of the range shuffle reads no text
+    placed = joined.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    read = interpret(placed, default_zone)  # a filter on its result would be pushed down and repeat all its steps
     place = F.array_position(F.array(*map(F.lit, ORDERS)), F.col("date_order")) - 1
 
     def pack(x: Column) -> Column:
@@ -265,10 +269,7 @@ def choose(values: DataFrame, sources: DataFrame, default_zone: str = "UTC", tas
         flag = lambda c: F.when(c, 1).otherwise(0)
         return x["ep"] * 32 + x["fmt"] * 8 + flag(against) * 4 + flag(same) * 2 + flag(x["day"])
 
-    rows = read.select("kind", "source", "ord", "id", F.transform("all", pack).alias("packed"))
-    tasks = tasks or task_count(spark)
-    keys = ["kind", "source", "ord", "id"]
-    held = cut(rows.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).select("kind", "source", "id", "packed"))
+    held = cut(read.select("kind", "source", "id", F.transform("all", pack).alias("packed")))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
