@@ -1,14 +1,17 @@
 """Matching job openings across two listings without a key: probabilistic record linkage.
 
-Titles are read into season, team, role, place and terms, firms into entries of the reference list. Several blocking
-passes propose pairs of a board row and a firm row; each blocks on a combination of fields and, where both rows state
-one, on the week of the deadline, so a firm that holds a third of all rows falls into many small blocks. Pairs are
-compared field by field (agree, one side silent, disagree); expectation-maximisation over the counts of the comparison
-patterns estimates how often true pairs agree, value frequencies of all rows how often others do. The posterior is the
-confidence.
+Titles are read into season, team, role, place and terms, firms into entries of the reference list. Rows that read the
+same are collapsed to one profile with its number of rows. Four blocking passes, each on three of firm, season, team and
+role, propose pairs of profiles, so one field misread or silent loses no pair; where both sides state a deadline a block is
+cut into windows of ``WINDOW`` days, so a firm that holds a third of all rows falls into many small blocks. Pairs are
+compared field by field in levels (disagree, near, agree, silent). Expectation-maximisation over the counts of the
+comparison patterns estimates how often the levels occur among matches and among non-matches, which are a mixture: chance
+pairs of each pass (its own fields agree by construction) and, for every field, siblings that differ in that field. The
+posterior of the match class is the confidence, and it alone decides.
 
 Defined results: a field a title doesn't state is silent, it neither agrees nor disagrees; rows without title and firm
 match nothing; unreadable deadlines are silent; several board rows may match one firm row; repeated rows match each.
+A pair that agrees in fewer than three of firm, season, team and role isn't proposed, nor one more than two windows apart.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.canonical_values import LEGAL, Reference, Trie, all_entries, distance_for, flat, jamo
@@ -42,9 +45,15 @@ WORDS = {
     "grade": {"주니어급": "junior", "선임급": "senior", "전임급": "full", "시보급": "trainee", "무관급": "any", "entry급": "entry"},
     "mode": {"상근": "regular", "6개월": "6m", "12개월": "12m", "주4일": "4d", "야간조": "night"},
 }
+EXPERT = ["전문가", "전문인력", "스페셜리스트", "specialist"]  # of tax: the licensed one
 FIELDS = ["firm", "season", "team", "role", "city", "area", "grade", "mode"]
+NAMES = [*FIELDS, "deadline"]
 MAX_APART = 7
+WINDOW = 28  # days of a block
 LEAST_CONFIDENCE = 0.9
+MOST_ERRORS = 0.01  # bound of the share of matches in which a stated field disagrees, by misreading
+PRIOR = 2.0  # pairs that the starting values weigh as
+DISAGREE, NEAR, AGREE, SILENT = range(4)
 _TOKEN = re.compile(r"[^\W_]+")
 _YEAR = re.compile(r"(?<!\d)(?:20|['’‘`])(\d{2})(?!\d)")
 _NUMBER = re.compile(r"(?<!\d)(\d{1,2}) ?([가-힣]{1,2})(?![가-힣])")
@@ -101,11 +110,14 @@ class TitleReader:
         if any(near(jamo(t), jamo("센터")) for t in _TOKEN.findall(text)):
             number = number or "c"
         trainee = False
-        for t in _TOKEN.findall(text):
+        tokens = _TOKEN.findall(text)
+        for t, after in zip(tokens, [*tokens[1:], ""]):
             if t == "수습":
                 trainee = True
                 continue
             hit = self.token(t)
+            if hit == ("role", "taxan") and any(near(jamo(after), jamo(w)) for w in EXPERT):
+                hit = ("role", "cta")
             if hit and (hit[0] not in out or hit[0] == "mode"):
                 out[hit[0]] = hit[1]
         if trainee:
@@ -162,94 +174,146 @@ def read_rows(rows: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 PASSES = [  # fields that must agree in a blocking pass
-    ["firm", "season", "team", "role"],
-    ["firm", "season", "role", "city", "area"],
-    ["firm", "team", "role", "city", "mode"],
-    ["season", "team", "role", "city", "area", "grade", "mode"],
+    ["firm", "season", "team"],
+    ["firm", "season", "role"],
+    ["firm", "team", "role"],
+    ["season", "team", "role"],
 ]
 
 
+def profiles(rows: DataFrame) -> DataFrame:
+    """Each combination of fields and day once, with its number of rows ``n`` and the smallest id as ``id``."""
+    return rows.groupBy(*FIELDS, "day").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+
+
 def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of ids proposed by any blocking pass, each once."""
-    week = lambda d: F.floor(F.col("day") / MAX_APART)
+    """Pairs of profiles (a, b) proposed by any blocking pass, each once."""
+    window = F.floor(F.col("day") / WINDOW)
     found = []
     for fields in PASSES:
         stated = reduce(lambda x, y: x & y, [F.col(f).isNotNull() for f in fields])
-        left, right = a.where(stated), b.where(stated)
         key = F.xxhash64(*fields).alias("key")
-        dated = left.where("day is not null").select(F.col("id").alias("a"), key, week("day").alias("week")).join(
-            right.where("day is not null").select(F.col("id").alias("b"), key, F.explode(F.array(*[week("day") + k for k in (-1, 0, 1)])).alias("week")), ["key", "week"]
-        )
-        found.append(dated.select("a", "b"))
-        silent = left.where("day is null").select(F.col("id").alias("a"), key).join(right.select(F.col("id").alias("b"), key), "key")
-        found.append(silent.select("a", "b"))
-        other = left.where("day is not null").select(F.col("id").alias("a"), key).join(right.where("day is null").select(F.col("id").alias("b"), key), "key")
-        found.append(other.select("a", "b"))
+        left, right = a.where(stated), b.where(stated)
+        # a dated row meets the windows beside its own and the rows without a day; a row without a day meets all
+        near = F.array(*[window + k for k in (-1, 0, 1)])
+        lo = left.select(F.col("id").alias("a"), key, F.explode(F.when(F.col("day").isNull(), F.array(F.lit("any"))).otherwise(F.array(window.cast("string"), F.lit("dated")))).alias("when"))
+        hi = right.select(F.col("id").alias("b"), key, F.explode(F.when(F.col("day").isNull(), F.array(F.lit("any"), F.lit("dated"))).otherwise(F.concat(F.transform(near, lambda x: x.cast("string")), F.array(F.lit("any"))))).alias("when"))
+        found.append(lo.join(hi, ["key", "when"]).select("a", "b"))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, u: np.ndarray, rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray]:
-    """Share of true pairs, m (levels a field: disagree, agree, silent) and the posterior of every pattern.
-
-    ``u`` (field, level) is fixed from value frequencies; silence is as likely for both kinds of pairs.
+def compare(f: str) -> Column:
+    """Level of a field of two rows (columns f_a and f_b)."""
+    a, b = F.col(f"{f}_a"), F.col(f"{f}_b")
+    if f == "deadline":
+        a, b = F.col("day_a"), F.col("day_b")
+        near = F.abs(a - b) <= MAX_APART
+    elif f == "firm":  # names that aren't in the reference
+        near = ~a.startswith("#") & ~b.startswith("#") & (F.levenshtein(a, b) * 4 <= F.least(F.length(a), F.length(b)))
+    elif f == "season":
+        near = F.substring(a, 1, 2) == F.substring(b, 1, 2)
+    elif f == "team":
+        near = F.regexp_replace(a, r"\d.*$|c$", "") == F.regexp_replace(b, r"\d.*$|c$", "")
+    else:
+        near = F.lit(False)
+    return F.when(a.isNull() | b.isNull(), SILENT).when(a == b, AGREE).when(near, NEAR).otherwise(DISAGREE)
+
+
+class Mixture:
+    """The match class, a chance class a pass and a sibling class a field, fitted to counts of patterns by EM.
+
+    A pattern holds the level of every field. Silence is as likely in every class and left out; a pass's class explains
+    only pairs that agree in its fields, a field's sibling class only pairs that differ in it.
     """
-    m = np.tile(np.array([0.05, 0.95]), (len(u), 1))
-    share = 0.5
-
-    def likelihood(p: np.ndarray) -> np.ndarray:
-        out = np.ones(len(patterns))
-        for f in range(len(u)):
-            level = patterns[:, f]
-            out *= np.where(level == 2, 1.0, p[f][np.minimum(level, 1)])
-        return out
 
-    post = np.zeros(len(patterns))
-    lu = likelihood(u)
-    for _ in range(rounds):
-        lm = likelihood(m)
-        post = share * lm / np.maximum(share * lm + (1 - share) * lu, 1e-300)
-        w = post * counts
-        share = float(min(max(w.sum() / counts.sum(), 1e-6), 1 - 1e-6))
-        for f in range(len(u)):
-            agree, dis = w[patterns[:, f] == 1].sum(), w[patterns[:, f] == 0].sum()
-            m[f, 1] = min(max((agree + 1) / (agree + dis + 2), 0.5), 0.9999)
-            m[f, 0] = 1 - m[f, 1]
-    return share, m, post
-
-
-def link(board: DataFrame, firm: DataFrame, reference: DataFrame) -> DataFrame:
-    """listing_a, listing_b (smaller id first), confidence and ``agreed`` (no stated field disagrees) of proposed pairs."""
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, chance: np.ndarray, rounds: int = 200):
+        n = len(NAMES)
+        names = ["match", *[f"pass {i}" for i in range(len(PASSES))], *[f"sibling {f}" for f in NAMES]]
+        p = np.tile(np.array([0.02, 0.03, 0.95]), (len(names), n, 1))  # (class, field, level)
+        fixed = np.zeros((len(names), n, 3), dtype=bool)  # levels a class can't have
+        p[0, :] = (0.005, 0.005, 0.99)
+        p[0, -1] = (0.005, 0.4, 0.595)
+        for i, fields in enumerate(PASSES):
+            p[1 + i] = np.stack([0.8 * (1 - chance), 0.2 * (1 - chance), chance], axis=1)
+            for f in fields:
+                fixed[1 + i, NAMES.index(f), :AGREE] = True
+        for f in range(n):
+            k = 1 + len(PASSES) + f
+            fixed[k, f, AGREE] = True
+            if NAMES[f] == "deadline":
+                fixed[k, f, NEAR] = True
+        p = np.where(fixed, 0.0, p)
+        p /= p.sum(2, keepdims=True)
+        share = np.array([0.3, *[0.4 / len(PASSES)] * len(PASSES), *[0.3 / n] * n])
+        possible = np.ones((len(names), len(patterns)), dtype=bool)
+        for f in range(n):
+            possible[1 + len(PASSES) + f] = patterns[:, f] != SILENT
+        for i, fields in enumerate(PASSES):
+            possible[1 + i] = np.all([patterns[:, NAMES.index(f)] == AGREE for f in fields], axis=0)
+        self.names = names
+        start, first = p.copy(), share.copy()  # priors that weigh as few pairs, for small inputs
+        for _ in range(rounds):
+            like = np.where(possible, share[:, None], 0.0)
+            for f in range(n):
+                level = patterns[:, f]
+                like *= np.where(level == SILENT, 1.0, p[:, f, :][:, np.minimum(level, AGREE)])
+            post = like / np.maximum(like.sum(0), 1e-300)
+            w = post * counts
+            old, share = share, (w.sum(1) + PRIOR * first) / (w.sum() + PRIOR)
+            for f in range(n):
+                seen = np.stack([w[:, patterns[:, f] == x].sum(1) for x in range(3)], axis=1) + PRIOR * start[:, f]
+                seen = np.where(fixed[:, f], 0.0, seen)
+                own = seen / seen.sum(1, keepdims=True)
+                top = MOST_ERRORS if NAMES[f] == "deadline" else MOST_ERRORS / 2
+                held = np.minimum(own[0], [top, 1.0 if NAMES[f] == "deadline" else top, 1.0])
+                held[AGREE] += 1 - held.sum()
+                p[:, f] = own
+                p[0, f] = held
+            if np.abs(share - old).max() < 1e-9:
+                break
+        self.share, self.levels, self.posterior = share, p, post[0]
+
+
+def _expanded(scored: DataFrame, a: DataFrame, pa_: DataFrame, b: DataFrame, pb: DataFrame) -> DataFrame:
+    """Pairs of profiles to pairs of rows."""
+    for side, rows, own in (("a", a, pa_), ("b", b, pb)):
+        same = reduce(lambda x, y: x & y, [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*FIELDS, "day"]])
+        member = rows.alias("r").join(own.alias("p"), same).select(F.col("p.id").alias(side), F.col("r.id").alias(f"row_{side}"))
+        scored = scored.join(member, side)
+    return scored.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "confidence")
+
+
+def link(board: DataFrame, firm: DataFrame, reference: DataFrame, least: float | None = None) -> DataFrame:
+    """listing_a, listing_b (smaller id first) and confidence of the proposed pairs, those below ``least`` left out."""
     a, b = written(read_rows(board, reference), "board"), written(read_rows(firm, reference), "firm")
-    pairs = candidates(a, b)
-    left = a.select(F.col("id").alias("a"), F.col("day").alias("day_a"), *[F.col(f).alias(f"{f}_a") for f in FIELDS])
-    right = b.select(F.col("id").alias("b"), F.col("day").alias("day_b"), *[F.col(f).alias(f"{f}_b") for f in FIELDS])
-    level = lambda f: F.when(F.col(f"{f}_a").isNull() | F.col(f"{f}_b").isNull(), 2).when(F.col(f"{f}_a") == F.col(f"{f}_b"), 1).otherwise(0)
-    near = F.when(F.col("day_a").isNull() | F.col("day_b").isNull(), 2).when(F.abs(F.col("day_a") - F.col("day_b")) <= MAX_APART, 1).otherwise(0)
-    names = [*FIELDS, "deadline"]
-    levels = [level(f).cast("int").alias(f) for f in FIELDS] + [near.cast("int").alias("deadline")]
-    compared = written(pairs.join(left, "a").join(right, "b").select("a", "b", *levels), "compared")
-    grouped = compared.groupBy(*names).count().collect()  # at most 3^9 patterns
+    pa_, pb = written(profiles(a), "board-profiles"), written(profiles(b), "firm-profiles")
+    left = pa_.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("day").alias("day_a"), *[F.col(f).alias(f"{f}_a") for f in FIELDS])
+    right = pb.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("day").alias("day_b"), *[F.col(f).alias(f"{f}_b") for f in FIELDS])
+    code = reduce(lambda x, y: x + y, [compare(f).cast("long") * 4**i for i, f in enumerate(NAMES)])
+    compared = written(candidates(pa_, pb).join(left, "a").join(right, "b").select("a", "b", code.alias("code"), (F.col("n_a") * F.col("n_b")).alias("n")), "compared")
+    grouped = compared.groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most 4^9 patterns
     if not grouped:
-        return compared.select(F.col("a").alias("listing_a"), F.col("b").alias("listing_b"), F.lit(0.0).alias("confidence"), F.lit(False).alias("agreed"))
-    # chance agreement of two rows, from the values of all rows
-    chance = []
-    for f in FIELDS:
-        va, vb = (d.where(F.col(f).isNotNull()).groupBy(f).count() for d in (a, b))
-        na, nb = F.sum("count").alias("n"), F.sum("count").alias("n")
-        met = va.join(vb.withColumnRenamed("count", "other"), f).agg(F.sum(F.col("count").cast("double") * F.col("other"))).first()[0] or 0.0
-        total = (va.agg(na).first()[0] or 1) * (vb.agg(nb).first()[0] or 1)
-        chance.append(min(max(met / total, 1e-6), 0.9))
-    chance.append(0.05)  # two deadlines of a season within a week
-    u = np.array([[1 - c, c] for c in chance])
-    patterns = np.array([[r[f] for f in names] for r in grouped])
-    _, _, post = estimate(patterns, np.array([r["count"] for r in grouped], dtype=float), u)
-    known = compared.sparkSession.createDataFrame([(*map(int, p), float(x)) for p, x in zip(patterns, post)], ", ".join(f"{f} int" for f in names) + ", confidence double")
-    scored = compared.join(F.broadcast(known), names)  # at most 3^9 rows
-    agreed = reduce(lambda x, y: x & y, [F.col(f) != 0 for f in names]) & (F.col("firm") == 1)
-    return scored.select(F.least("a", "b").alias("listing_a"), F.greatest("a", "b").alias("listing_b"), "confidence", agreed.alias("agreed"))
+        return compared.select(F.col("a").alias("listing_a"), F.col("b").alias("listing_b"), F.lit(0.0).alias("confidence"))
+    codes = np.array([r["code"] for r in grouped], dtype=np.int64)
+    patterns = (codes[:, None] >> (2 * np.arange(len(NAMES)))) & 3
+    fitted = Mixture(patterns, np.array([r["n"] for r in grouped], dtype=float), chance_agreement(pa_, pb))
+    known = [(int(c), float(x)) for c, x in zip(codes, fitted.posterior) if least is None or x >= least]
+    table = compared.sparkSession.createDataFrame(known or [(-1, 0.0)], "code long, confidence double")  # at most 4^9 rows
+    scored = compared.join(F.broadcast(table), "code").select("a", "b", "confidence")
+    return _expanded(scored, a, pa_, b, pb).select(F.least("a", "b").alias("listing_a"), F.greatest("a", "b").alias("listing_b"), "confidence")
+
+
+def chance_agreement(a: DataFrame, b: DataFrame) -> np.ndarray:
+    """How often two rows agree in each field by chance, from the values of all rows in one pass; where EM starts."""
+    each = lambda d, side: d.select(F.lit(side).alias("side"), "n", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("v")) for i, f in enumerate(FIELDS)])).alias("x"))
+    rows = each(a, 0).unionByName(each(b, 1)).where("x.v is not null")
+    on = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).cast("double")
+    values = rows.groupBy("x.f", "x.v").agg(on(0).alias("na"), on(1).alias("nb"))
+    met = {r["f"]: r for r in values.groupBy("f").agg(F.sum(F.col("na") * F.col("nb")).alias("met"), (F.sum("na") * F.sum("nb")).alias("all")).collect()}  # one row a field
+    own = [met[i]["met"] / met[i]["all"] if i in met and met[i]["all"] else 0.1 for i in range(len(FIELDS))]
+    return np.clip(np.array([*own, 0.1]), 1e-4, 0.9)
 
 
 def found(board: DataFrame, firm: DataFrame, reference: DataFrame) -> DataFrame:
-    """listing_a and listing_b of the pairs that are one opening."""
-    pairs = link(board, firm, reference)
-    return pairs.where(f"agreed and confidence >= {LEAST_CONFIDENCE}").select("listing_a", "listing_b")
+    """listing_a and listing_b of the pairs whose confidence that they are one opening is at least ``LEAST_CONFIDENCE``."""
+    return link(board, firm, reference, LEAST_CONFIDENCE).select("listing_a", "listing_b")

@@ -62,11 +62,53 @@ def test_linkage(spark):
     assert lk.found(a.where("listing_id > 99"), b, ref).collect() == []
 
 
-def test_estimate_separates():
-    rng = np.random.default_rng(1)
-    true = rng.random((300, 4)) < 0.95
-    false = rng.random((3000, 4)) < 0.2
-    patterns, counts = np.unique(np.vstack([true, false]).astype(int), axis=0, return_counts=True)
-    share, m, post = lk.estimate(patterns, counts.astype(float), np.array([[0.8, 0.2]] * 4))
-    assert abs(share - 300 / 3300) < 0.03 and m[:, 1].min() > 0.85
-    assert post[(patterns == 1).all(1)][0] > 0.9 and post[(patterns == 0).all(1)][0] < 0.01
+def _pairs(rng, n, levels):
+    return np.stack([rng.choice(len(p), size=n, p=p) for p in levels], axis=1)
+
+
+def test_mixture_separates_matches_from_siblings():
+    """Pairs of three kinds: matches with a few misread fields, siblings that differ in the team, chance pairs of a pass."""
+    rng, n = np.random.default_rng(1), len(lk.NAMES)
+    same, other = [0.002, 0.0, 0.798, 0.2], [0.9, 0.0, 0.05, 0.05]
+    true = _pairs(rng, 900, [same] * n)
+    siblings = _pairs(rng, 400, [[0, 0, 1, 0]] * 2 + [[0.6, 0.4, 0, 0]] + [same] * (n - 3))
+    chance = _pairs(rng, 700, [[0, 0, 1, 0]] * 2 + [other] + [[0, 0, 1, 0]] + [other] * (n - 4))
+    patterns, at, counts = np.unique(np.vstack([true, siblings, chance]), axis=0, return_inverse=True, return_counts=True)
+    fitted = lk.Mixture(patterns, counts.astype(float), np.full(n, 0.1))
+    taken = fitted.posterior[at.ravel()] >= lk.LEAST_CONFIDENCE
+    core = (true[:, :4] != 3).all(1)
+    assert abs(fitted.share[0] - 0.45) < 0.08
+    assert taken[:900][core].mean() > 0.95 and not taken[900:1300].any() and taken[1300:].mean() < 0.02
+    assert ((fitted.posterior > 0) & (fitted.posterior < lk.LEAST_CONFIDENCE)).sum() > 10  # the threshold rejects patterns
+
+
+def test_threshold_rejects_pairs(spark):
+    """Proposed pairs with a lower confidence stay out of the result, and it is the confidence alone that keeps them out."""
+    ref = spark.createDataFrame(REF, "ref_id long, field string, name string, name_en string, aliases string")
+    t = "2027년도 1차 {} {}팀 {} 채용 {}"
+    firm, board, true = [], [], []
+    for i in range(120):
+        unit, role, city = ["감사", "세무", "딜자문"][i % 3], ["세무사", "회계사", "공시 담당자", "자금 담당자"][i % 4], ["서울", "부산", "대구", "인천", "광주"][i % 5]
+        number, day = i % 7 + 1, f"2027-0{i % 6 + 1}-{i % 27 + 1:02d}"
+        firm.append((1000 + i, "f", t.format(unit, number, role, city), "가람솔회계법인", day, city, "x"))
+        board.append((i, "b", t.format(unit, number, role, city), "(주)가람솔회계법인", day, None, "x"))
+        true.append((i, 1000 + i))
+        if i % 4 == 0:  # a sibling of another team
+            board.append((500 + i, "b", t.format(unit, number + 1, role, city), "가람솔회계법인", day, None, "x"))
+    a, b = spark.createDataFrame(board, LISTING), spark.createDataFrame(firm, LISTING)
+    got = set(map(tuple, lk.found(a, b, ref).collect()))
+    scored = {(r[0], r[1]): r[2] for r in lk.link(a, b, ref).collect()}
+    assert got == {k for k, v in scored.items() if v >= lk.LEAST_CONFIDENCE} and set(true) <= got
+    low = {k for k, v in scored.items() if v < lk.LEAST_CONFIDENCE}
+    assert len(low) > 50 and not any((500 + i, 1000 + i) in got for i in range(0, 120, 4))
+
+
+def test_equal_rows_are_compared_once_and_all_come_out(spark):
+    ref = spark.createDataFrame(REF, "ref_id long, field string, name string, name_en string, aliases string")
+    t = "2027년도 1차 감사 3팀 세무사 채용 인천 동부 선임급 상근"
+    board = [(i, "b", t, "가람솔회계법인", None, None, "x") for i in range(30)]
+    firm = [(100 + i, "f", t, "가람솔회계법인", None, None, "x") for i in range(20)]
+    a, b = spark.createDataFrame(board, LISTING), spark.createDataFrame(firm, LISTING)
+    read = lk.read_rows(a, ref)
+    assert lk.profiles(read).count() == 1 and lk.candidates(lk.profiles(read), lk.profiles(lk.read_rows(b, ref))).count() == 1
+    assert len(set(map(tuple, lk.found(a, b, ref).collect()))) == 600
