@@ -112,7 +112,7 @@ class TitleReader:
         trainee = False
         tokens = _TOKEN.findall(text)
         for t, after in zip(tokens, [*tokens[1:], ""]):
-            if t == "수습":
+            if t == "수습" or near(jamo(t), jamo("수습")) and self.token(after) == ("role", "cpa"):
                 trainee = True
                 continue
             hit = self.token(t)

@@ -41,6 +41,7 @@ def test_title_reader():
     assert full == {"season": "27r1", "team": "ma3t", "role": "control", "city": "incheon", "area": "east", "grade": "senior", "mode": "6m"}
     assert read("'27년도 1처, M&A 3팀, 내부통제 실무자 2차 충원, Incheon 동부") == {k: full[k] for k in ("season", "team", "role", "city", "area")}
     assert read("수습 CPA 채용 감사 센타")["role"] == "trainee" and read("수습 CPA 채용 감사 센타")["team"] == "auditc"
+    assert read("슈습 CPA 채용")["role"] == "trainee" and read("택스 전문인력 모집")["role"] == "cta" and read("택스 애널리스트")["role"] == "taxan"
     assert read(None) == {} and read("x" * 10000) == {}
 
 
