@@ -1,20 +1,23 @@
 """New batches against all history: an inverted-file index of content vectors with exact search.
 
-A posting's vector is made of weighted codes of its firm, season, team, role and city and of a hashed sketch of its body.
-Centroids are fitted on a bounded sample of the starting history (``SAMPLE``); the first row of every exact copy is stored
-in the cell of its nearest centroid, parted by which fields it states, with the codes of its fields, its title and its
-body. Two rows of one job have the same codes in the fields both state, so a new row probes each cell whose radius in
-every such field reaches the row's own code; no other cell can hold a candidate. Candidates are compared by fields and
-whole bodies, and the batch is appended to the cells. Equal native ids of a source and equal pages count as repeats too;
-chains of repeats are resolved to the earliest arrival.
+A posting's vector is made of weighted codes of its firm, season, team, role, city and area; it is kept as the codes of its
+parts, from which it is exact. Centroids are fitted on a bounded sample of the starting history (``SAMPLE``); the first row
+of every exact copy is stored in the cell of its nearest centroid, parted by which fields it states, with its whole title
+and body. The distance of two rows is that of the parts both state. A new row probes every cell that can hold a row within
+``NEAR``: by the triangle inequality in each part, from its distance to the centroid and the cell's radius there, so no cell
+that could hold a nearer row is left out. Within the probed cells distances are computed exactly, rows within ``NEAR`` are
+reranked by their whole texts, and the batch is appended to the cells. Equal native ids of a source, equal pages and exact
+copies are looked up in a persisted index of keys, parted by hash. Every batch reads only the cells and the parts of the key
+index that it touches; chains of repeats are resolved to the earliest arrival.
 
 Defined results: blank native ids and urls are no keys; a field that a row doesn't state (firm, season, team, role, city,
 area) neither agrees nor disagrees. Where all but the area are stated on both sides and a body is missing, the fields
 decide. With another field silent, the titles' numbers must not differ and the bodies be the same, or where one is missing
 a firm stated and the titles' letters equal; with fewer than ``FEW`` fields stated on both sides the titles must be near
 too. A row that states less than those it is near to is linked to the earliest and to those that agree with that one.
-Exact copies are collapsed to their first row before the search, however many they are; a hot cell is searched in blocks
-of ``BLOCK`` rows. A row that states few fields is held against all rows that agree in those.
+Exact copies are collapsed to their first row before the search, however many they are; a hot cell is searched in blocks of
+about ``BLOCK`` rows, parted by the codes so that a row that states all the cell's fields meets one block. A row that
+states few fields is held against all rows that agree in those.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ import hashlib
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterator, Sequence
+from functools import lru_cache, reduce
 from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import numpy as np
@@ -36,20 +39,22 @@ from pyspark.sql import functions as F
 from sievework.llm.canonical_values import Reference, all_entries
 from sievework.llm.leakage import letters
 from sievework.llm.linkage import TitleReader, firm_key
+from sievework.operators.joining import lookup
 from sievework.session import new_path, written
 
-PARTS = [("firm", 48.0), ("season", 12.0), ("team", 4.0), ("role", 2.5), ("city", 2.5)]  # falling weights part the cells
-CODE, SKETCH = 16, 24
-RADIUS = 1.3  # small edits are nearer; not a test of repeats
+PARTS = [("firm", 48.0), ("season", 12.0), ("team", 4.0), ("role", 2.5), ("city", 2.5), ("area", 2.5)]  # falling weights part the cells
+COMPARED = [f for f, _ in PARTS]
+CODE = 32  # numbers of a part; codes of two values are hardly ever nearer than 0.8 of their weight
+NEAR = 0.5  # greatest distance of two rows of one job, over the parts both state
 SAME_BODY = 0.6  # least cosine of two bodies' words
 CONTAINED = 0.8  # or least share of the shorter body's words in the other: a body that was cut
-COMPARED = ["firm", "season", "team", "role", "city", "area"]
 FEW = 3
 SLACK = 1e-3  # of distances, for rounding
 SAMPLE = 20_000  # rows the centroids are fitted on
 ROWS_A_CELL = 300
 MOST_CELLS = 4096
 BLOCK = 4096
+SHARES = 64  # parts of the key index; its files are sorted by them, so that a lookup skips the others
 # Parameters of a url that don't choose the page.
 NOISE = re.compile(r"^(?:utm_\w+|ref|page|from|src|fbclid|gclid|session\w*|sid)$", re.I)
 
@@ -84,30 +89,63 @@ def same_words(a: frozenset[str], b: frozenset[str]) -> bool:
     return shared > 0 and (shared * shared >= SAME_BODY * SAME_BODY * len(a) * len(b) or shared >= CONTAINED * min(len(a), len(b)))
 
 
-def same_body(a: str, b: str) -> bool:
-    """Whether two folded bodies are one with small edits, or one is a part of the other."""
-    if same_words(words(a), words(b)):
-        return True
-    x, y = letters(a), letters(b)
-    return bool(x and y) and (x in y or y in x)
+@lru_cache(100_000)
+def unit(code: int) -> np.ndarray:
+    """The vector of length 1 that stands for a code, 0 for silence."""
+    u = np.random.default_rng(code).standard_normal(CODE) if code else np.zeros(CODE)
+    return u / max(float(np.linalg.norm(u)), 1e-300)
 
 
-def same_job(q: tuple, x: tuple) -> bool:
-    """Whether two rows (codes, title, body) are one job registered again: no field that both state differs."""
-    both = [a != 0 and b != 0 for a, b in zip(q[0], x[0])]
-    if any(s and a != b for s, a, b in zip(both, q[0], x[0])):
-        return False
-    bodies = bool(letters(q[2]) and letters(x[2]))
+def units(codes: np.ndarray, f: int) -> np.ndarray:
+    """The weighted code vectors of a part; zero where it is silent."""
+    return PARTS[f][1] * np.stack([unit(k) for k in codes.tolist()]) if len(codes) else np.zeros((0, CODE))
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of rows (codes, one a line) to rows, over the parts both state."""
+    total = np.zeros((len(a), len(b)))
+    for f in range(len(PARTS)):
+        (x, at), (y, to) = np.unique(a[:, f], return_inverse=True), np.unique(b[:, f], return_inverse=True)
+        d = _distances(units(x, f), units(y, f)) ** 2
+        d[x == 0] = 0
+        d[:, y == 0] = 0
+        d[x[:, None] == y[None, :]] = 0
+        total += d[at.ravel()][:, to.ravel()]
+    return np.sqrt(total)
+
+
+class Texts:
+    """A row's title and body with what is compared of them, read once."""
+
+    def __init__(self, title: str, body: str):
+        self.body, self.title = letters(body), letters(title)
+        self.words, self.title_words = words(body), words(title)
+        self.numbers = frozenset(re.findall(r"\d+", title))
+
+    def same_body(self, other: Texts) -> bool:
+        """Whether two bodies are one with small edits, or one is a part of the other."""
+        return same_words(self.words, other.words) or bool(self.body and other.body) and (self.body in other.body or other.body in self.body)
+
+
+def same_texts(both: Sequence[bool], q: Texts, x: Texts) -> bool:
+    """Whether whole titles and bodies of two rows within ``NEAR`` are one job's; ``both``: the fields stated on both sides."""
+    bodies = bool(q.body and x.body)
     if all(both[:-1]):
-        return not bodies or same_body(q[2], x[2])
-    a, b = (set(re.findall(r"\d+", r[1])) for r in (q, x))
-    if not (a <= b or b <= a):
+        return not bodies or q.same_body(x)
+    if not (q.numbers <= x.numbers or x.numbers <= q.numbers):
         return False
     if not bodies:
-        return both[0] and bool(letters(q[1])) and letters(q[1]) == letters(x[1])
-    if sum(both) < FEW and (u := words(q[1])) and (v := words(x[1])) and not same_words(u, v):
+        return both[0] and bool(q.title) and q.title == x.title
+    if sum(both) < FEW and q.title_words and x.title_words and not same_words(q.title_words, x.title_words):
         return False
-    return same_body(q[2], x[2])
+    return q.same_body(x)
+
+
+def same_job(q: tuple, x: tuple) -> bool:
+    """Whether two rows (codes, title, body) are one job registered again: within ``NEAR``, and their texts agree."""
+    if float(distances(np.array([q[0]], dtype=np.int64), np.array([x[0]], dtype=np.int64))[0, 0]) > NEAR:
+        return False
+    return same_texts([a != 0 and b != 0 for a, b in zip(q[0], x[0])], Texts(*q[1:]), Texts(*x[1:]))
 
 
 def fold(text: str | None) -> str:
@@ -115,23 +153,13 @@ def fold(text: str | None) -> str:
 
 
 class Encoder:
-    """Vectors of postings; codes of values are kept, they repeat."""
+    """Codes of the fields of postings; what was read is kept, values repeat."""
 
     def __init__(self, reference: Reference, keep: int = 200_000):
         self.reference, self.reader, self.keep = reference, TitleReader(keep), keep
-        self.codes: dict[str, np.ndarray] = {}
-        self.words: dict[str, np.ndarray] = {}
+        self.codes: dict[str, int] = {}
         self.firms: dict[str, str | None] = {}
 
-    def _unit(self, text: str, n: int, store: dict[str, np.ndarray]) -> np.ndarray:
-        got = store.get(text)
-        if got is None:
-            got = np.random.default_rng(_seed(text)).standard_normal(n).astype(np.float32)
-            got /= np.linalg.norm(got)
-            if len(store) < self.keep:
-                store[text] = got
-        return got
-
     def fields(self, title: str | None, company: str | None) -> dict[str, str | None]:
         got: dict[str, str | None] = dict(self.reader.read(title))
         key = company if company and company.strip() else f"\x00{title}"
@@ -142,46 +170,42 @@ class Encoder:
         got["firm"] = self.firms[key]
         return got
 
-    def encode(self, title: str | None, company: str | None, body: str | None) -> tuple[np.ndarray, int | None, bool, str, list[int]]:
-        """(vector, key of the fields or null, whether there is a body, the body's letters, codes of the fields or 0)."""
-        got = self.fields(title, company)
-        parts = [w * self._unit(f"{f}={got[f]}", CODE, self.codes) if got.get(f) else np.zeros(CODE, np.float32) for f, w in PARTS]
-        sketch = np.zeros(SKETCH, np.float32)
-        for w in words(fold(body)):
-            sketch += self._unit(w, SKETCH, self.words)
-        norm = float(np.linalg.norm(sketch))
-        if norm:
-            sketch /= norm
-        codes = [_seed(f"{f}={got[f]}") if got.get(f) else 0 for f in COMPARED]
-        sig = _seed("\x1f".join(got.get(f) or "" for f in COMPARED)) if all(codes[:-1]) else None
-        return np.concatenate([*parts, sketch]), sig, bool(norm), letters(body), codes
-
-
-def exact_key(codes: list[int], title: str, body: str) -> int | None:
+    def encode(self, title: str | None, company: str | None) -> list[int]:
+        """The code of each field, 0 where it is silent."""
+        got, out = self.fields(title, company), []
+        for f in COMPARED:
+            text = f"{f}={got[f]}" if got.get(f) else ""
+            code = self.codes.get(text)
+            if code is None:
+                code = _seed(text) if text else 0
+                if len(self.codes) < self.keep:
+                    self.codes[text] = code
+            out.append(code)
+        return out
+
+
+def exact_key(codes: Sequence[int], title: str, body: str) -> int | None:
     """Key of exact copies: stated fields and body, and the title where a field is silent; null where nothing tells."""
     if all(codes[:-1]):
         return _seed(f"{codes}\x1f{body}")
     return _seed(f"{codes}\x1f{title}\x1f{body}") if body or (codes[0] and title) else None
 
 
-def field_distances(codes: np.ndarray, centroids: np.ndarray, f: int) -> np.ndarray:
-    """Distances of rows to centroids in the vector's part of a field; 0 where the field is silent."""
+def part_distances(codes: np.ndarray, centroids: np.ndarray, f: int) -> np.ndarray:
+    """Distances of rows to centroids in a part of the vector; 0 where the row is silent."""
     own, at = np.unique(codes[:, f], return_inverse=True)
-    c = centroids[:, f * CODE : (f + 1) * CODE].astype(np.float64)
-    u = np.stack([np.random.default_rng(int(k)).standard_normal(CODE).astype(np.float32) for k in own])
-    d = _distances((PARTS[f][1] * (u / np.linalg.norm(u, axis=1, keepdims=True))).astype(np.float64), c)
+    d = _distances(units(own, f), centroids[:, f * CODE : (f + 1) * CODE].astype(np.float64))
     d[own == 0] = 0
     return d[at.ravel()]
 
 
-ROW = "arrival_id long, batch_no int, page string, login string, exact long, codes array<long>, title string, text string, mask int, cell int, away array<double>"
-
-HELD = "exact long, arrival_id long, batch_no int, codes array<long>, title string, text string, mask int, cell int, away array<double>"
-HELD_COLUMNS = ["exact", "arrival_id", "batch_no", "codes", "title", "text", "mask", "cell", "away"]
+ROW = "arrival_id long, batch_no int, keys array<string>, codes array<long>, title string, text string, mask int, cell int, away array<double>"
+HELD = "arrival_id long, batch_no int, codes array<long>, title string, text string, mask int, cell int, away array<double>, batch int"
+KEY = "key string, n long, batch_no int, first_id long, fresh boolean, share int, batch int"
 
 
 class Cells:
-    """The persisted index: cells of rows that state the same fields, one written part a batch."""
+    """The persisted index: cells of rows that state the same fields and the keys seen, one written part a batch."""
 
     def __init__(self, reference: DataFrame, path: str | None = None):
         self.spark = reference.sparkSession
@@ -189,9 +213,8 @@ class Cells:
         self.path = path or new_path(self.spark, "cells")
         self.centroids: np.ndarray | None = None
         self.batches: list[int] = []
-        # rows and radius by field of each cell and mask of stated fields, at most MOST_CELLS a mask
-        self.cells: dict[tuple[int, int], tuple[int, list[float]]] = {}
-        self.asked: dict[tuple[int, int], int] = {}
+        # of each cell and mask of stated fields: rows, most rows of equal codes, radius by part; at most MOST_CELLS a mask
+        self.cells: dict[tuple[int, int], tuple[int, int, list[float]]] = {}
 
     def fit(self, rows: DataFrame, expected: int) -> None:
         """Centroids by k-means on at most SAMPLE rows of the starting history, fitted in one task."""
@@ -200,16 +223,30 @@ class Cells:
         def kmeans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder, found = Encoder(Reference(entries)), []
             for b in batches:
-                found += [encoder.encode(*r)[0] for r in zip(*(b.column(c).to_pylist() for c in ("title", "company", "body_excerpt")))]
+                found += [encoder.encode(*r) for r in zip(*(b.column(c).to_pylist() for c in ("title", "company")))]
             if found:
-                yield pa.record_batch([pa.array(list(_kmeans(np.stack(found), cells)), pa.list_(pa.float32()))], names=["c"])
-
-        sample = rows.select("title", "company", "body_excerpt").orderBy(F.xxhash64("arrival_id")).limit(SAMPLE)
+                codes = np.array(found, dtype=np.int64)
+                parts = []
+                for f in range(len(PARTS)):
+                    own, at = np.unique(codes[:, f], return_inverse=True)
+                    parts.append(units(own, f)[at.ravel()])
+                vectors = np.concatenate(parts, axis=1).astype(np.float32)
+                yield pa.record_batch([pa.array(list(_kmeans(vectors, cells)), pa.list_(pa.float32()))], names=["c"])
+
+        sample = rows.select("title", "company").orderBy(F.xxhash64("arrival_id")).limit(SAMPLE)
         got = sample.coalesce(1).mapInArrow(kmeans, "c array<float>").collect()  # at most MOST_CELLS rows
-        self.centroids = np.array([r["c"] for r in got] or [[0.0] * (CODE * len(PARTS) + SKETCH)], dtype=np.float32)
+        self.centroids = np.array([r["c"] for r in got] or [[0.0] * (CODE * len(PARTS))], dtype=np.float32)
+
+    def take(self, batch: DataFrame, number: int, size: int) -> DataFrame:
+        """Take in a batch: encode its rows, look up and append their keys, search the cells, append to them.
 
-    def append(self, batch: DataFrame, number: int) -> None:
-        """Encode the rows of a batch and append them to their cells."""
+        Gives arrival_id and first_id of the links found; ``codes`` see ``agreeing``.
+        """
+        self._encode(batch, number)
+        links = self._keys(number, size)
+        return links.unionByName(self._near(number))
+
+    def _encode(self, batch: DataFrame, number: int) -> None:
         centroids, entries = self.centroids, self.entries
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,122 +255,174 @@ class Cells:
                 col = lambda c: b.column(c).to_pylist()  # noqa: E731, B023
                 if not b.num_rows:
                     continue
-                got = [encoder.encode(*r) for r in zip(col("title"), col("company"), col("body_excerpt"))]
-                vecs = np.stack([g[0] for g in got])
-                d = _distances(vecs, centroids)
-                cell = d.argmin(1)
-                login = [f"{s}\x1f{n.strip()}" if n and n.strip() and s else None for s, n in zip(col("source"), col("native_id"))]
-                codes = np.array([g[4] for g in got], dtype=np.int64)
-                titles = [fold(x) for x in col("title")]
-                exact = [exact_key(g[4], letters(x), g[3]) for g, x in zip(got, titles)]
-                away = np.stack([field_distances(codes, centroids, f)[np.arange(len(cell)), cell] for f in range(len(PARTS))], axis=1)
+                codes = np.array([encoder.encode(*r) for r in zip(col("title"), col("company"))], dtype=np.int64)
+                by_part = np.stack([part_distances(codes, centroids, f) for f in range(len(PARTS))])
+                cell = (by_part**2).sum(0).argmin(1)
+                away = by_part[:, np.arange(len(cell)), cell].T
+                titles, texts = [fold(x) for x in col("title")], [fold(x) for x in col("body_excerpt")]
+                keys = []
+                for own, source, native, url, title, text in zip(codes.tolist(), col("source"), col("native_id"), col("url"), titles, texts):
+                    page, exact = page_key(url), exact_key(own, letters(title), letters(text))
+                    login = f"n\x1f{source}\x1f{native.strip()}" if native and native.strip() and source else None
+                    keys.append([k for k in (f"p\x1f{page}" if page else None, login, f"e\x1f{exact}" if exact is not None else None) if k])
                 lists = lambda m: pa.FixedSizeListArray.from_arrays(m.ravel(), m.shape[1])
                 mask = ((codes != 0) << np.arange(len(COMPARED))).sum(1)
                 yield pa.record_batch(
-                    [b.column("arrival_id"), b.column("batch_no"), pa.array([page_key(u) for u in col("url")], pa.string()), pa.array(login, pa.string()), pa.array(exact, pa.int64()), lists(codes).cast(pa.list_(pa.int64())), pa.array(titles, pa.string()), pa.array([fold(x) for x in col("body_excerpt")], pa.string()), pa.array(mask, pa.int32()), pa.array(cell, pa.int32()), lists(away).cast(pa.list_(pa.float64()))],
-                    names=["arrival_id", "batch_no", "page", "login", "exact", "codes", "title", "text", "mask", "cell", "away"],
+                    [b.column("arrival_id"), b.column("batch_no"), pa.array(keys, pa.list_(pa.string())), lists(codes).cast(pa.list_(pa.int64())), pa.array(titles, pa.string()), pa.array(texts, pa.string()), pa.array(mask, pa.int32()), pa.array(cell, pa.int32()), lists(away).cast(pa.list_(pa.float64()))],
+                    names=["arrival_id", "batch_no", "keys", "codes", "title", "text", "mask", "cell", "away"],
                 )
 
         batch.select("arrival_id", "batch_no", "source", "native_id", "url", "title", "company", "body_excerpt").mapInArrow(encode, ROW).write.parquet(f"{self.path}/part={number}")
-        new = self.rows([number])
-        first = new.where("exact is not null").groupBy("exact").agg(F.min_by(F.struct("arrival_id", "batch_no", "codes", "title", "text", "mask", "cell", "away"), F.struct("batch_no", "arrival_id")).alias("r")).select("exact", "r.*")
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        """A table of the index, one folder a batch."""
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def _keys(self, number: int, size: int) -> DataFrame:
+        """Links of rows to the first row of each of their keys; keys not seen before are appended to the index."""
+        rows = self.spark.read.schema(ROW).parquet(f"{self.path}/part={number}")
+        each = rows.select("arrival_id", "batch_no", F.explode("keys").alias("key"))
+        share = F.pmod(F.xxhash64("key"), F.lit(SHARES)).cast("int").alias("share")
+        own = each.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("batch_no", "arrival_id")).alias("f")).select("key", share, "n", F.col("f.batch_no").alias("batch_no"), F.col("f.arrival_id").alias("own_id"))
         if self.batches:
-            first = first.join(self.held(self.batches).select("exact"), "exact", "left_anti")
-        first.select(*HELD_COLUMNS).write.parquet(f"{self.path}/held={number}")
-        self.batches.append(number)
-        self.asked = {}
-        far = [F.max(F.col("away")[f]).alias(f"r{f}") for f in range(len(PARTS))]
-        for r in self.held([number]).groupBy("cell", "mask").agg(F.count("*").alias("n"), *far).collect():  # one row a cell and mask
-            n, radius = self.cells.get((r["cell"], r["mask"]), (0, [0.0] * len(PARTS)))
-            self.cells[r["cell"], r["mask"]] = (n + r["n"], [max(x, r[f"r{f}"]) for f, x in enumerate(radius)])
-            self.asked[r["cell"], r["mask"]] = r["n"]
-
-    def held(self, numbers: list[int]) -> DataFrame:
-        """The first row of each exact copy."""
-        return self.spark.read.schema(HELD).parquet(*[f"{self.path}/held={n}" for n in numbers])
-
-    def rows(self, numbers: list[int]) -> DataFrame:
-        return self.spark.read.schema(ROW).parquet(*[f"{self.path}/part={n}" for n in numbers])
-
-    def repeats(self, number: int) -> DataFrame:
-        """arrival_id of a batch and an id that it is linked to, by each key and by content; ``codes`` see ``_near``."""
-        new, every = self.rows([number]), self.rows(self.batches)
-        earlier = (F.col("x.batch_no") < F.col("q.batch_no")) | ((F.col("x.batch_no") == F.col("q.batch_no")) & (F.col("x.arrival_id") < F.col("q.arrival_id")))
-        found = []
-        for key in ("page", "login", "exact"):
-            asked = new.where(F.col(key).isNotNull()).select(key).distinct()
-            first = every.join(asked, key, "left_semi").groupBy(key).agg(F.min(F.struct("batch_no", "arrival_id")).alias("f")).select(key, "f.*")
-            own = new.where(F.col(key).isNotNull()).alias("q").join(first.alias("x"), F.col(f"q.{key}") == F.col(f"x.{key}"))
-            found.append(own.where(earlier).select(F.col("q.arrival_id").alias("arrival_id"), F.col("x.arrival_id").alias("first_id"), F.lit(None).cast("array<long>").alias("codes")))
-        found.append(self._near(number))
-        return reduce(DataFrame.unionByName, found)
+            known = self._table("keys", KEY).where("fresh").select("share", "key", F.col("first_id").alias("known_id"))
+            if size < SHARES:  # a small batch touches few parts: only those are read
+                known = known.where(F.col("share").isin([r["share"] for r in each.select(share).distinct().collect()]))  # at most SHARES
+            own = own.join(known, ["share", "key"], "left")
+        else:
+            own = own.withColumn("known_id", F.lit(None).cast("long"))
+        firsts = own.select("key", "n", "batch_no", F.coalesce("known_id", "own_id").alias("first_id"), F.col("known_id").isNull().alias("fresh"), "share")
+        firsts.repartition(F.col("share")).sortWithinPartitions("share", "key").write.parquet(f"{self.path}/keys/batch={number}")
+        firsts = self._table("keys", KEY).where(F.col("batch") == number)
+        shared = firsts.where("n > 1 or not fresh")
+        linked = lookup(each, shared, "key", ["first_id"], "n").where(F.col("arrival_id") != F.col("first_id"))
+        return linked.select("arrival_id", "first_id", F.lit(None).cast("array<long>").alias("codes"))
 
     def _near(self, number: int) -> DataFrame:
         """Links by content; of rows that state less than the other (arrival_id), with the other's codes."""
-        queries, held = self.held([number]), self.held(self.batches)
-        blocks = {k: -(-n // BLOCK) for k, (n, _) in self.cells.items()}
-        turn = max((-(-n // BLOCK) for n in self.asked.values()), default=1)
-        centroids = self.centroids
+        rows = self.spark.read.schema(ROW).parquet(f"{self.path}/part={number}")
+        first = self._table("keys", KEY).where(F.col("batch") == number).where("fresh and startswith(key, 'e')").select(F.col("first_id").alias("arrival_id"))
+        fresh = rows.join(first, "arrival_id", "left_semi").select("arrival_id", "batch_no", "codes", "title", "text", "mask", "cell", "away")
+        fresh.repartition(F.col("cell")).sortWithinPartitions("cell").write.parquet(f"{self.path}/held/batch={number}")
+        self.batches.append(number)
+        queries = self._table("held", HELD).where(F.col("batch") == number)
+        far = [F.max(F.col("away")[f]).alias(f"r{f}") for f in range(len(PARTS))]
+        asked = {}
+        equal = queries.groupBy("cell", "mask", "codes").agg(F.count("*").alias("same"), *far)
+        far = [F.max(f"r{f}").alias(f"r{f}") for f in range(len(PARTS))]
+        for r in equal.groupBy("cell", "mask").agg(F.sum("same").alias("n"), F.max("same").alias("same"), *far).collect():  # one row a cell and mask
+            key = (r["cell"], r["mask"])
+            n, same, radius = self.cells.get(key, (0, 0, [0.0] * len(PARTS)))
+            self.cells[key] = (n + r["n"], same + r["same"], [max(x, r[f"r{f}"]) for f, x in enumerate(radius)])
+            asked[key] = (r["n"], r["same"])
+        if not asked:
+            return self.spark.createDataFrame([], "arrival_id long, first_id long, codes array<long>")
         live = sorted(self.cells)
         cell_of, mask_of = (np.array([k[i] for k in live], dtype=np.int32) for i in (0, 1))
-        reach = np.array([self.cells[k][1] for k in live]).reshape(len(live), len(PARTS)) + SLACK
-        n_blocks = np.array([blocks[k] for k in live], dtype=np.int64)
+        reach = np.array([self.cells[k][2] for k in live]).reshape(len(live), len(PARTS)) + SLACK
+        blocks = np.array([-(-self.cells[k][0] // BLOCK) for k in live], dtype=np.int64)
+        salts = np.array([-(-self.cells[k][1] // BLOCK) for k in live], dtype=np.int64)
+        turns = [max(-(-asked.get(k, (1, 1))[0] // (BLOCK * int(b))), -(-asked.get(k, (1, 1))[1] // BLOCK)) for k, b in zip(live, blocks)]
+        plain = max(map(int, blocks)) == max(map(int, salts)) == max(turns) == 1
+        centroids = self.centroids
+        bits = (mask_of[:, None] >> np.arange(len(PARTS))) & 1  # stated by the rows of a cell
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for start in range(0, whole.num_rows, 1024):
                     b = whole.slice(start, 1024)
-                    codes = np.array(b.column("codes").to_pylist(), dtype=np.int64)
-                    reached = np.ones((len(codes), len(live)), dtype=bool)
+                    codes, ids = np.array(b.column("codes").to_pylist(), dtype=np.int64), b.column("arrival_id").to_pylist()
+                    least = np.zeros((len(codes), len(live)))  # the square of the least distance a row of the cell can have
                     for f in range(len(PARTS)):
-                        near = field_distances(codes, centroids, f)[:, cell_of] <= reach[:, f]
-                        reached &= near | (codes[:, f] == 0)[:, None] | ((mask_of >> f) & 1 == 0)[None, :]
-                    i, j = np.nonzero(reached)
-                    copies = n_blocks[j]
-                    i, j = np.repeat(i, copies), np.repeat(j, copies)
-                    block = np.arange(len(i)) - np.repeat(np.cumsum(copies) - copies, copies)
-                    out = b.take(pa.array(i))
-                    ids = np.asarray(out.column("arrival_id"))
+                        over = np.maximum(part_distances(codes, centroids, f)[:, cell_of] - reach[:, f], 0)
+                        least += np.where((codes[:, f] != 0)[:, None] & (bits[:, f] == 1)[None, :], over**2, 0)
+                    i, j = np.nonzero(least <= NEAR**2)
+                    at, block, salt, turn = [], [], [], []
+                    for k, (q, c) in enumerate(zip(i.tolist(), j.tolist())):
+                        if plain:
+                            break
+                        one = blocks[c] == 1 or all(x or not m for x, m in zip(codes[q], bits[c]))
+                        for x in [place(codes[q] * bits[c], blocks[c])] if one else range(blocks[c]):
+                            for y in range(salts[c]):
+                                at.append(k)
+                                block.append(x)
+                                salt.append(y)
+                                turn.append(ids[q] % turns[c])
+                    if plain:
+                        at, block = slice(None), np.zeros(len(i), dtype=np.int32)
+                        salt = turn = block
+                    out = b.take(pa.array(i[at]))
                     cols = {n: out.column(n) for n in ("arrival_id", "batch_no", "codes", "title", "text")}
-                    yield pa.record_batch({**cols, "cell": pa.array(cell_of[j]), "mask": pa.array(mask_of[j]), "block": pa.array(block.astype(np.int32)), "turn": pa.array((ids % turn).astype(np.int32))})
+                    yield pa.record_batch({**cols, "cell": pa.array(cell_of[j[at]]), "mask": pa.array(mask_of[j[at]]), "block": pa.array(block, pa.int32()), "salt": pa.array(salt, pa.int32()), "turn": pa.array(turn, pa.int32())})
 
         row = ["arrival_id", "batch_no", "codes", "title", "text"]
-        keys = ["cell", "mask", "block", "turn"]
-        probes = queries.select(*row).mapInArrow(probe, "arrival_id long, batch_no int, codes array<long>, title string, text string, cell int, mask int, block int, turn int")
-        limits = self.spark.createDataFrame([(*k, n) for k, n in blocks.items()] or [(-1, 0, 1)], "cell int, mask int, blocks int")  # one row a cell and mask
-        placed = held.join(F.broadcast(limits), ["cell", "mask"]).withColumn("block", F.pmod(F.col("arrival_id"), F.col("blocks")).cast("int"))
-        placed = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turn - 1)))).select(*row, *keys)
-
-        def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-            got: list[tuple[int, int, list[int] | None]] = []
-            if not q.empty and not x.empty:
-                mask = [c != 0 for c in x.codes.iloc[0]]  # the same fields are stated by all rows of a cell
-                rows = lambda d: zip(d.batch_no.tolist(), d.arrival_id.tolist(), [tuple(map(int, c)) for c in d.codes], d.title.tolist(), d.text.tolist())
-                asked: dict[tuple, list[tuple]] = defaultdict(list)
-                for r in rows(q):
-                    asked[tuple(bool(c) and m for c, m in zip(r[2], mask))].append(r)
-                links = Links()
-                for both, own in asked.items():
-                    shared = lambda c, both=both: tuple(v for v, s in zip(c, both) if s)
-                    groups: dict[tuple, list[tuple]] = defaultdict(list)
-                    for r in rows(x):
-                        groups[shared(r[2])].append(r)
-                    for a in own:
-                        for b in groups.get(shared(a[2]), ()):
-                            if b[:2] >= a[:2]:
-                                continue
-                            if a[2] == b[2]:
-                                if links.root(a[1]) != links.root(b[1]) and same_job(a[2:], b[2:]):
-                                    links.join(a[1], b[1])
-                            elif same_job(a[2:], b[2:]):
-                                less, more = (a, b) if sum(map(bool, a[2])) <= sum(map(bool, b[2])) else (b, a)
-                                got.append((less[1], more[1], list(more[2])))
-                got += [(i, r, None) for i, r in links.edges()]
-            return pd.DataFrame({"arrival_id": pd.Series([g[0] for g in got], dtype="int64"), "first_id": pd.Series([g[1] for g in got], dtype="int64"), "codes": pd.Series([g[2] for g in got], dtype="object")})
-
+        keys = ["cell", "mask", "block", "salt", "turn"]
+        probes = queries.select(*row).mapInArrow(probe, "arrival_id long, batch_no int, codes array<long>, title string, text string, cell int, mask int, block int, salt int, turn int")
+        held = self._table("held", HELD)
+        if sum(n for n, _ in asked.values()) < len(live):  # a small batch touches few cells: only those are read
+            probes = written(probes, "probes")
+            touched = sorted({r["cell"] for r in probes.select("cell").distinct().collect()})  # at most MOST_CELLS
+            held = held.where(F.col("cell").isin(touched))  # files are sorted by cell: pushed down, other pages are skipped
+        many = {k: (int(b), int(y), t) for k, b, y, t in zip(live, blocks, salts, turns) if b > 1 or y > 1 or t > 1}
+
+        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = list(zip(b.column("cell").to_pylist(), b.column("mask").to_pylist()))
+                block, salt, copies = np.zeros((3, len(own)), dtype=np.int32)
+                copies += 1
+                for k, key in enumerate(own):
+                    if key in many:
+                        block[k] = place(np.array(b.column("codes")[k].as_py(), dtype=np.int64), many[key][0])
+                        salt[k] = b.column("arrival_id")[k].as_py() % many[key][1]
+                        copies[k] = many[key][2]
+                at = np.repeat(np.arange(len(own)), copies)
+                turn = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+                out = b.take(pa.array(at))
+                yield pa.record_batch({**{n: out.column(n) for n in [*row, "cell", "mask"]}, "block": pa.array(block[at]), "salt": pa.array(salt[at]), "turn": pa.array(turn.astype(np.int32))})
+
+        placed = held.select(*row, "cell", "mask").mapInArrow(settle, "arrival_id long, batch_no int, codes array<long>, title string, text string, cell int, mask int, block int, salt int, turn int")
         return probes.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(search, "arrival_id long, first_id long, codes array<long>")
 
 
+def place(codes: np.ndarray, blocks: int) -> int:
+    """The block of a cell's rows of these codes."""
+    return 0 if blocks == 1 else _seed(str(codes.tolist())) % int(blocks)
+
+
+def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+    """Links of queries to earlier rows of a cell: exact distances, then whole texts."""
+    got: list[tuple[int, int, list[int] | None]] = []
+    if not q.empty and not x.empty:
+        qc, xc = (np.array(d.codes.tolist(), dtype=np.int64) for d in (q, x))
+        qk, xk = (list(zip(d.batch_no.tolist(), d.arrival_id.tolist())) for d in (q, x))
+        texts: dict[tuple[int, int], Texts] = {}
+
+        def read(key: tuple[int, int], d: pd.DataFrame, k: int) -> Texts:
+            if key not in texts:
+                texts[key] = Texts(d.title.iat[k], d.text.iat[k])
+            return texts[key]
+
+        links = Links()
+        for start in range(0, len(qc), 256):
+            for i, j in np.argwhere(distances(qc[start : start + 256], xc) <= NEAR).tolist():
+                a, b = qk[start + i], xk[j]
+                if b >= a:
+                    continue
+                own, other = qc[start + i], xc[j]
+                equal = bool((own == other).all())
+                if equal and links.root(a[1]) == links.root(b[1]):
+                    continue
+                if not same_texts([u != 0 and v != 0 for u, v in zip(own, other)], read(a, q, start + i), read(b, x, j)):
+                    continue
+                if equal:
+                    links.join(a[1], b[1])
+                else:
+                    (less, _), (more, codes) = ((a, own), (b, other)) if (own != 0).sum() <= (other != 0).sum() else ((b, other), (a, own))
+                    got.append((less[1], more[1], codes.tolist()))
+        got += [(i, r, None) for i, r in links.edges()]
+    return pd.DataFrame({"arrival_id": pd.Series([g[0] for g in got], dtype="int64"), "first_id": pd.Series([g[1] for g in got], dtype="int64"), "codes": pd.Series([g[2] for g in got], dtype="object")})
+
+
 def agreeing(links: DataFrame) -> DataFrame:
     """Links without those of a row that states less to rows at odds with the earliest it is near to."""
     other = links.where("codes is not null").distinct()
@@ -394,28 +483,30 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0))
 
 
-def resolve(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """arrival_id and original_id: the smallest id each row is linked to over any number of links."""
+def resolve(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """arrival_id and original_id: the smallest id each row is linked to over any number of links.
+
+    Labels double their reach every round; a graph that isn't done after ``rounds`` raises.
+    """
     both = edges.select(F.col("arrival_id").alias("a"), F.col("first_id").alias("b")).where("a != b").distinct()
     links = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = written(links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), "labels")
     for _ in range(rounds):
         heard = links.join(labels.select(F.col("a").alias("b"), F.col("low").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
         jump = labels.select(F.col("a").alias("low"), F.col("low").alias("j"))
-        new = labels.join(heard, "a").join(jump, "low", "left").select("a", F.least("low", "l", F.coalesce("j", "low")).alias("low"))
+        new = labels.join(heard, "a").join(jump, "low", "left").select("a", F.least("low", "l", F.coalesce("j", "low")).alias("low"), (F.least("l", F.coalesce("j", "low")) < F.col("low")).alias("moved"))
         new = written(new, "labels")
-        changed = new.join(labels.withColumnRenamed("low", "old"), "a").where("low != old").limit(1).count()
-        labels = new
-        if not changed:
-            break
-    return labels.where("a != low").select(F.col("low").alias("original_id"), F.col("a").alias("arrival_id"))
+        labels = new.select("a", "low")
+        if not new.where("moved").limit(1).count():
+            return labels.where("a != low").select(F.col("low").alias("original_id"), F.col("a").alias("arrival_id"))
+    raise RuntimeError(f"links not resolved after {rounds} rounds")
 
 
-def deduplicate(arrivals: DataFrame, reference: DataFrame, path: str | None = None, batchwise: bool = False) -> DataFrame:
+def deduplicate(arrivals: DataFrame, reference: DataFrame, path: str | None = None) -> DataFrame:
     """original_id and arrival_id of every repeat.
 
-    A whole history is loaded as one part: every row probes the cells for rows before it. With ``batchwise`` it is taken
-    in as it came, each batch appended and checked against the cells of all before; the result is the same (tested).
+    Batches are taken in by their number, each checked against the persisted cells and keys of all before and of itself,
+    then part of them. Rows without a batch number are never taken in.
     """
     cells = Cells(reference, path)
     dated = arrivals.where(F.col("batch_no").isNotNull())
@@ -424,16 +515,13 @@ def deduplicate(arrivals: DataFrame, reference: DataFrame, path: str | None = No
         return arrivals.select(F.col("arrival_id").alias("original_id"), "arrival_id").limit(0)
     numbers = sorted(sizes)
     cells.fit(dated.where(F.col("batch_no") == numbers[0]), sum(sizes.values()))
-    edges = []
-    for number in numbers if batchwise else numbers[:1]:
-        cells.append(dated.where(F.col("batch_no") == number) if batchwise else dated, number)
-        edges.append(written(cells.repeats(number), f"repeats-{number}"))
+    edges = [written(cells.take(dated.where(F.col("batch_no") == n), n, sizes[n]), f"links-{n}") for n in numbers]
     return resolve(agreeing(reduce(DataFrame.unionByName, edges)))
 
 
 def accepted(arrivals: DataFrame, reference: DataFrame) -> DataFrame:
     """Every arrival with its original and the first_seen kept from it, batch by batch; new postings are their own original."""
-    repeats = deduplicate(arrivals, reference, batchwise=True)
+    repeats = deduplicate(arrivals, reference)
     own = arrivals.select("arrival_id", "batch_no", F.col("first_seen").alias("own_seen")).join(repeats, "arrival_id", "left")
     own = own.withColumn("original_id", F.coalesce("original_id", "arrival_id"))
     seen = arrivals.select(F.col("arrival_id").alias("original_id"), "first_seen")

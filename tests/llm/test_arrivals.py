@@ -47,9 +47,7 @@ def test_repeats(spark, monkeypatch, block):
     monkeypatch.setattr(ar, "BLOCK", block)
     ref = spark.createDataFrame(REF, "ref_id long, field string, name string, name_en string, aliases string")
     df = spark.createDataFrame(rows(), SCHEMA)
-    for batchwise in (False, True):
-        got = sorted(map(tuple, ar.deduplicate(df, ref, batchwise=batchwise).collect()))
-        assert got == [(1, 3), (1, 6), (1, 9), (2, 5), (7, 8)]
+    assert sorted(map(tuple, ar.deduplicate(df, ref).collect())) == [(1, 3), (1, 6), (1, 9), (2, 5), (7, 8)]
 
 
 def test_first_seen_and_empty(spark):
@@ -60,36 +58,37 @@ def test_first_seen_and_empty(spark):
     assert ar.deduplicate(df.where("arrival_id > 99"), ref).collect() == []
 
 
+def brute(own):
+    """Original of every repeat by the rule over all pairs, without keys, cells or blocks."""
+    encoder = ar.Encoder(ar.Reference(REF))
+    rows = [(tuple(encoder.encode(r[5], r[6])), ar.fold(r[5]), ar.fold(r[7])) for r in own]
+    links, more = ar.Links(), {}
+    for i in range(len(own)):
+        for j in range(i):
+            if ar.same_job(rows[i], rows[j]):
+                if rows[i][0] == rows[j][0]:
+                    links.join(i, j)
+                else:
+                    a, b = (i, j) if sum(map(bool, rows[i][0])) <= sum(map(bool, rows[j][0])) else (j, i)
+                    more.setdefault(a, []).append(b)
+    for a, others in more.items():
+        lead = rows[min(others)][0]
+        for b in others:
+            if all(not x or not y or x == y for x, y in zip(rows[b][0], lead)):
+                links.join(a, b)
+    return dict(links.edges())
+
+
 def test_search_finds_all_near(spark):
-    """Recall of the cells against brute force over all pairs of a batch."""
+    """Recall of the cells against brute force over all pairs, in five batches."""
     import numpy as np
 
     rng = np.random.default_rng(3)
     ref = spark.createDataFrame(REF, "ref_id long, field string, name string, name_en string, aliases string")
     teams, cities = ["감사 1팀", "세무 2팀", "딜자문 3본부"], ["서울", "부산 동부", "대전"]
-    own = [(i, int(i > 200), "s", f"n{i}", None, f"2027년 상반기 {teams[rng.integers(3)]} 세무사 채용 {cities[rng.integers(3)]}", "가람솔회계법인", BODY.format(rng.integers(3), rng.integers(2)), "t", 0) for i in range(300)]
+    own = [(i, i // 60, "s", f"n{i}", None, f"2027년 상반기 {teams[rng.integers(3)]} 세무사 채용 {cities[rng.integers(3)]}", "가람솔회계법인", BODY.format(rng.integers(3), rng.integers(2)), "t", 0) for i in range(300)]
     got = {r["arrival_id"]: r["original_id"] for r in ar.deduplicate(spark.createDataFrame(own, SCHEMA), ref).collect()}
-    encoder = ar.Encoder(ar.Reference(REF))
-    vecs = [encoder.encode(r[5], r[6], r[7]) for r in own]
-    root = list(range(len(own)))
-    for i in range(len(own)):
-        for j in range(i):
-            a, b = vecs[i], vecs[j]
-            if a[1] == b[1] and float(np.linalg.norm(a[0] - b[0])) <= ar.RADIUS and float(a[0][-ar.SKETCH :] @ b[0][-ar.SKETCH :]) >= ar.SAME_BODY:
-                x, y = i, j
-                while root[x] != x:
-                    x = root[x]
-                while root[y] != y:
-                    y = root[y]
-                root[max(x, y)] = min(x, y)
-    want = {}
-    for i in range(len(own)):
-        x = i
-        while root[x] != x:
-            x = root[x]
-        if x != i:
-            want[i] = x
-    assert got == want
+    assert got == brute(own)
 
 
 def test_cut_bodies_are_found(spark):
@@ -127,24 +126,48 @@ def test_silent_fields_and_unread_titles(spark):
         own.append((i, int(i > 90), "s", f"n{i}", None, title, "가람솔회계법인" if i % 7 else None, bodies[rng.integers(6)] if i % 11 else None, "t", 0))
     df = spark.createDataFrame(own, SCHEMA)
     got = {r["arrival_id"]: r["original_id"] for r in ar.deduplicate(df, ref).collect()}
+    assert got == brute(own)
+
+
+@pytest.mark.parametrize("cells", [1, 40])
+def test_probed_cells_hold_every_near_row(spark, monkeypatch, cells):
+    """Titles half outside the word list, cells and blocks of few rows: the bounds leave out no cell that holds a repeat."""
+    import random
+
+    monkeypatch.setattr(ar, "ROWS_A_CELL", max(1, 120 // cells))
+    monkeypatch.setattr(ar, "BLOCK", 5)
+    ref = spark.createDataFrame(REF, "ref_id long, field string, name string, name_en string, aliases string")
+    rng, own = random.Random(4), []
+    for i in range(120):
+        trade = rng.choice(["Gardener", "Senior Software Engineer, Platform", "마케팅 매니저", "2027년 상반기 감사 1팀 세무사", "세무 2팀 회계사"])
+        body = f"Daily work number {rng.randrange(4)} for patient people. " + rng.choice(["Ask at the gate.", "Ask at extension 7 before noon.", ""])
+        own.append((i, i // 30, "s", f"n{i}", None, f"{trade} {rng.choice(['서울', '부산', ''])}", rng.choice(["Acme", "가람솔회계법인", None]), body, "t", 0))
+    got = {r["arrival_id"]: r["original_id"] for r in ar.deduplicate(spark.createDataFrame(own, SCHEMA), ref).collect()}
+    assert got == brute(own) and len(got) > 40
+
+
+def test_distance_rejects_rows_of_a_probed_cell(spark, monkeypatch):
+    """All rows in one cell: it is their distance that keeps other teams and places apart, and a wider one links them."""
+    monkeypatch.setattr(ar, "MOST_CELLS", 1)
+    ref = spark.createDataFrame(REF, "ref_id long, field string, name string, name_en string, aliases string")
+    own = [(i, i, "s", f"n{i}", None, f"2027년 상반기 감사 {n}팀 세무사 채용 {c}", "가람솔회계법인", BODY.format(5, i), "t", 0) for i, (n, c) in enumerate([(1, "서울"), (2, "서울"), (1, "부산"), (1, "서울")])]
+    df = spark.createDataFrame(own, SCHEMA)
+    assert sorted(map(tuple, ar.deduplicate(df, ref).collect())) == [(0, 3)]
     encoder = ar.Encoder(ar.Reference(REF))
-    rows = [(tuple(encoder.encode(r[5], r[6], r[7])[4]), ar.fold(r[5]), ar.fold(r[7])) for r in own]
-    links, more = ar.Links(), {}
-    for i in range(len(own)):
-        for j in range(i):
-            if ar.same_job(rows[i], rows[j]):
-                if rows[i][0] == rows[j][0]:
-                    links.join(i, j)
-                else:
-                    a, b = (i, j) if sum(map(bool, rows[i][0])) <= sum(map(bool, rows[j][0])) else (j, i)
-                    more.setdefault(a, []).append(b)
-    for a, others in more.items():
-        lead = rows[min(others)][0]
-        for b in others:
-            if all(not x or not y or x == y for x, y in zip(rows[b][0], lead)):
-                links.join(a, b)
-    assert got == dict(links.edges())
-    assert {r["arrival_id"]: r["original_id"] for r in ar.deduplicate(df, ref, batchwise=True).collect()} == got
+    codes = [encoder.encode(r[5], r[6]) for r in own]
+    import numpy as np
+
+    d = ar.distances(np.array(codes), np.array(codes))
+    assert d[0, 3] == 0 and min(d[0, 1], d[0, 2], d[1, 2]) > ar.NEAR
+
+
+def test_hot_keys(spark):
+    """A page that a third of all rows lead to, and a batch of one row."""
+    ref = spark.createDataFrame(REF, "ref_id long, field string, name string, name_en string, aliases string")
+    own = [(i, 0, "s", f"n{i}", "https://x.example/1" if i % 3 == 0 else f"https://x.example/p{i}", None, None, None, "t", 0) for i in range(600)]
+    own.append((1000, 1, "s", "n7", "https://x.example/1?utm_source=q", None, None, None, "t", 0))
+    got = {r["arrival_id"]: r["original_id"] for r in ar.deduplicate(spark.createDataFrame(own, SCHEMA), ref).collect()}
+    assert got == {**{i: 0 for i in range(3, 600, 3)}, 7: 0, 1000: 0}
 
 
 def test_title_without_area_and_outside_the_words(spark):
