@@ -54,6 +54,7 @@ SAMPLE = 20_000  # rows the centroids are fitted on
 ROWS_A_CELL = 300
 MOST_CELLS = 4096
 BLOCK = 4096
+MOST_SENT = 200_000  # probes of a batch, 32 bytes each, that are sent to all tasks to filter the cells
 SHARES = 64  # parts of the key index; its files are sorted by them, so that a lookup skips the others
 # Parameters of a url that don't choose the page.
 NOISE = re.compile(r"^(?:utm_\w+|ref|page|from|src|fbclid|gclid|session\w*|sid)$", re.I)
@@ -199,8 +200,8 @@ def part_distances(codes: np.ndarray, centroids: np.ndarray, f: int) -> np.ndarr
     return d[at.ravel()]
 
 
-ROW = "arrival_id long, batch_no int, keys array<string>, codes array<long>, title string, text string, mask int, cell int, away array<double>"
-HELD = "arrival_id long, batch_no int, codes array<long>, title string, text string, mask int, cell int, away array<double>, batch int"
+ROW = "arrival_id long, batch_no int, keys array<string>, codes array<long>, title string, text string, mask int, cell int, away array<double>, hash long"
+HELD = "arrival_id long, batch_no int, codes array<long>, title string, text string, mask int, cell int, away array<double>, hash long, batch int"
 KEY = "key string, n long, batch_no int, first_id long, fresh boolean, share int, batch int"
 
 
@@ -268,8 +269,8 @@ class Cells:
                 lists = lambda m: pa.FixedSizeListArray.from_arrays(m.ravel(), m.shape[1])
                 mask = ((codes != 0) << np.arange(len(COMPARED))).sum(1)
                 yield pa.record_batch(
-                    [b.column("arrival_id"), b.column("batch_no"), pa.array(keys, pa.list_(pa.string())), lists(codes).cast(pa.list_(pa.int64())), pa.array(titles, pa.string()), pa.array(texts, pa.string()), pa.array(mask, pa.int32()), pa.array(cell, pa.int32()), lists(away).cast(pa.list_(pa.float64()))],
-                    names=["arrival_id", "batch_no", "keys", "codes", "title", "text", "mask", "cell", "away"],
+                    [b.column("arrival_id"), b.column("batch_no"), pa.array(keys, pa.list_(pa.string())), lists(codes).cast(pa.list_(pa.int64())), pa.array(titles, pa.string()), pa.array(texts, pa.string()), pa.array(mask, pa.int32()), pa.array(cell, pa.int32()), lists(away).cast(pa.list_(pa.float64())), pa.array([content(c) for c in codes.tolist()], pa.int64())],
+                    names=["arrival_id", "batch_no", "keys", "codes", "title", "text", "mask", "cell", "away", "hash"],
                 )
 
         batch.select("arrival_id", "batch_no", "source", "native_id", "url", "title", "company", "body_excerpt").mapInArrow(encode, ROW).write.parquet(f"{self.path}/part={number}")
@@ -302,7 +303,7 @@ class Cells:
         """Links by content; of rows that state less than the other (arrival_id), with the other's codes."""
         rows = self.spark.read.schema(ROW).parquet(f"{self.path}/part={number}")
         first = self._table("keys", KEY).where(F.col("batch") == number).where("fresh and startswith(key, 'e')").select(F.col("first_id").alias("arrival_id"))
-        fresh = rows.join(first, "arrival_id", "left_semi").select("arrival_id", "batch_no", "codes", "title", "text", "mask", "cell", "away")
+        fresh = rows.join(first, "arrival_id", "left_semi").select("arrival_id", "batch_no", "codes", "title", "text", "mask", "cell", "away", "hash")
         fresh.repartition(F.col("cell")).sortWithinPartitions("cell").write.parquet(f"{self.path}/held/batch={number}")
         self.batches.append(number)
         queries = self._table("held", HELD).where(F.col("batch") == number)
@@ -332,17 +333,27 @@ class Cells:
                 for start in range(0, whole.num_rows, 1024):
                     b = whole.slice(start, 1024)
                     codes, ids = np.array(b.column("codes").to_pylist(), dtype=np.int64), b.column("arrival_id").to_pylist()
-                    least = np.zeros((len(codes), len(live)))  # the square of the least distance a row of the cell can have
-                    for f in range(len(PARTS)):
-                        over = np.maximum(part_distances(codes, centroids, f)[:, cell_of] - reach[:, f], 0)
-                        least += np.where((codes[:, f] != 0)[:, None] & (bits[:, f] == 1)[None, :], over**2, 0)
-                    i, j = np.nonzero(least <= NEAR**2)
+                    pairs = []
+                    by_part = [np.maximum(part_distances(codes, centroids, f), 0) for f in range(len(PARTS))]
+                    for firm in np.unique(codes[:, 0]).tolist():  # the firm's part weighs most and leaves few cells
+                        rows = np.flatnonzero(codes[:, 0] == firm)
+                        over = np.maximum(by_part[0][rows[0], cell_of] - reach[:, 0], 0)
+                        cols = np.flatnonzero((over <= NEAR) | (bits[:, 0] == 0) | (firm == 0))
+                        # the square of the least distance a row of the cell can have
+                        least = np.tile(np.where((bits[cols, 0] == 1) & (firm != 0), over[cols] ** 2, 0), (len(rows), 1))
+                        for f in range(1, len(PARTS)):
+                            over = np.maximum(by_part[f][rows][:, cell_of[cols]] - reach[cols, f], 0)
+                            least += np.where((codes[rows, f] != 0)[:, None] & (bits[cols, f] == 1)[None, :], over**2, 0)
+                        x, y = np.nonzero(least <= NEAR**2)
+                        pairs.append((rows[x], cols[y]))
+                    i, j = (np.concatenate([p[k] for p in pairs]).astype(np.int64) for k in (0, 1)) if pairs else (np.zeros(0, dtype=np.int64),) * 2
+                    whole_mask = np.all((codes[i] != 0) | (bits[j] == 0), axis=1)
+                    hashes = [content(c) if w else None for c, w in zip((codes[i] * bits[j]).tolist(), whole_mask.tolist())]
                     at, block, salt, turn = [], [], [], []
                     for k, (q, c) in enumerate(zip(i.tolist(), j.tolist())):
                         if plain:
                             break
-                        one = blocks[c] == 1 or all(x or not m for x, m in zip(codes[q], bits[c]))
-                        for x in [place(codes[q] * bits[c], blocks[c])] if one else range(blocks[c]):
+                        for x in range(blocks[c]) if hashes[k] is None else [hashes[k] % int(blocks[c])]:
                             for y in range(salts[c]):
                                 at.append(k)
                                 block.append(x)
@@ -353,16 +364,20 @@ class Cells:
                         salt = turn = block
                     out = b.take(pa.array(i[at]))
                     cols = {n: out.column(n) for n in ("arrival_id", "batch_no", "codes", "title", "text")}
-                    yield pa.record_batch({**cols, "cell": pa.array(cell_of[j[at]]), "mask": pa.array(mask_of[j[at]]), "block": pa.array(block, pa.int32()), "salt": pa.array(salt, pa.int32()), "turn": pa.array(turn, pa.int32())})
+                    yield pa.record_batch({**cols, "cell": pa.array(cell_of[j[at]]), "mask": pa.array(mask_of[j[at]]), "block": pa.array(block, pa.int32()), "salt": pa.array(salt, pa.int32()), "turn": pa.array(turn, pa.int32()), "hash": pa.array([hashes[k] for k in (range(len(i)) if plain else at)], pa.int64())})
 
         row = ["arrival_id", "batch_no", "codes", "title", "text"]
         keys = ["cell", "mask", "block", "salt", "turn"]
-        probes = queries.select(*row).mapInArrow(probe, "arrival_id long, batch_no int, codes array<long>, title string, text string, cell int, mask int, block int, salt int, turn int")
+        probes = queries.select(*row).mapInArrow(probe, "arrival_id long, batch_no int, codes array<long>, title string, text string, cell int, mask int, block int, salt int, turn int, hash long")
+        probes = written(probes, "probes")
         held = self._table("held", HELD)
         if sum(n for n, _ in asked.values()) < len(live):  # a small batch touches few cells: only those are read
-            probes = written(probes, "probes")
             touched = sorted({r["cell"] for r in probes.select("cell").distinct().collect()})  # at most MOST_CELLS
             held = held.where(F.col("cell").isin(touched))  # files are sorted by cell: pushed down, other pages are skipped
+        wanted = probes.select(F.col("cell").alias("_c"), F.col("mask").alias("_m"), F.col("hash").alias("_h")).distinct()
+        if probes.count() <= MOST_SENT:  # rows that no query can be near to stay where they are
+            can = (F.col("cell") == F.col("_c")) & (F.col("mask") == F.col("_m")) & (F.col("_h").isNull() | (F.col("hash") == F.col("_h")))
+            held = held.join(F.broadcast(wanted), can, "left_semi")
         many = {k: (int(b), int(y), t) for k, b, y, t in zip(live, blocks, salts, turns) if b > 1 or y > 1 or t > 1}
 
         def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +387,7 @@ class Cells:
                 copies += 1
                 for k, key in enumerate(own):
                     if key in many:
-                        block[k] = place(np.array(b.column("codes")[k].as_py(), dtype=np.int64), many[key][0])
+                        block[k] = b.column("hash")[k].as_py() % many[key][0]
                         salt[k] = b.column("arrival_id")[k].as_py() % many[key][1]
                         copies[k] = many[key][2]
                 at = np.repeat(np.arange(len(own)), copies)
@@ -380,13 +395,13 @@ class Cells:
                 out = b.take(pa.array(at))
                 yield pa.record_batch({**{n: out.column(n) for n in [*row, "cell", "mask"]}, "block": pa.array(block[at]), "salt": pa.array(salt[at]), "turn": pa.array(turn.astype(np.int32))})
 
-        placed = held.select(*row, "cell", "mask").mapInArrow(settle, "arrival_id long, batch_no int, codes array<long>, title string, text string, cell int, mask int, block int, salt int, turn int")
+        placed = held.select(*row, "cell", "mask", "hash").mapInArrow(settle, "arrival_id long, batch_no int, codes array<long>, title string, text string, cell int, mask int, block int, salt int, turn int")
         return probes.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(search, "arrival_id long, first_id long, codes array<long>")
 
 
-def place(codes: np.ndarray, blocks: int) -> int:
-    """The block of a cell's rows of these codes."""
-    return 0 if blocks == 1 else _seed(str(codes.tolist())) % int(blocks)
+def content(codes: Sequence[int]) -> int:
+    """Hash of a row's codes."""
+    return _seed(str(list(codes)))
 
 
 def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
