@@ -6,13 +6,15 @@ Missing text is the empty string; null counts as empty where a function takes te
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The date pattern, the tokens of a title signature, the digits of full width.
 DATE = r"(?U)(\d{4})\s*[-./년]\s*(\d{1,2})\s*[-./월]\s*(\d{1,2})"
 SIGNATURE_TOKEN = "[0-9a-z가-힣]{2,}"
+WIDE_DIGITS = "０１２３４５６７８９"
 
 
 def text(c: Column) -> Column:
@@ -45,14 +47,15 @@ def _iso(y: Column, m: Column, d: Column) -> Column:
 
 def iso_date(c: Column) -> Column:
     """The first date in a text as yyyy-mm-dd; empty if there is none or it isn't in the calendar (later ones aren't tried)."""
-    part = [F.regexp_extract(text(c), DATE, i) for i in (1, 2, 3)]
+    plain = F.translate(text(c), WIDE_DIGITS, "0123456789")
+    part = [F.regexp_extract(plain, DATE, i) for i in (1, 2, 3)]
     iso = _iso(*part)
     return F.when((part[0] != "") & iso.try_cast("date").isNotNull(), iso).otherwise("")
 
 
 def iso_dates(c: Column) -> Column:
     """All dates in a text in order, those not in the calendar left out."""
-    found = F.regexp_extract_all(text(c), F.lit(DATE), F.lit(0))
+    found = F.regexp_extract_all(F.translate(text(c), WIDE_DIGITS, "0123456789"), F.lit(DATE), F.lit(0))
     plain = F.transform(found, lambda x: _iso(*[F.regexp_extract(x, DATE, i) for i in (1, 2, 3)]))
     return F.filter(plain, lambda x: x.try_cast("date").isNotNull())
 
@@ -120,18 +123,65 @@ def title_signature(c: Column) -> Column:
 
 
 def strip_source_tail(title: Column, source: Column) -> Column:
-    """A title without its trailing ``- source``."""
+    """A title without its trailing ``- source``; a blank source strips nothing."""
     tail = F.concat(F.lit("- "), source)
-    return F.when(title.endswith(tail), F.trim(F.substring(title, F.lit(1), F.length(title) - F.length(tail)))).otherwise(title)
+    return F.when((source != "") & title.endswith(tail), F.trim(F.substring(title, F.lit(1), F.length(title) - F.length(tail)))).otherwise(title)
 
 
 def display_title(title: Column, company: Column) -> Column:
-    """Without a leading ``[company]`` that names the company or is named by it; never empty."""
-    inner = F.regexp_replace(F.regexp_extract(title, r"^\s*\[([^\]]*)\]", 1), r"\s+", "")
-    firm = F.regexp_replace(text(company), r"\s+", "")
-    rest = F.trim(F.regexp_replace(title, r"^\s*\[[^\]]*\]", ""))
-    same = (inner != "") & (firm != "") & (F.contains(inner, firm) | F.contains(firm, inner))
-    return F.when(same & (rest != ""), rest).otherwise(title)
+    """Without a leading ``[company]`` that names the company or is named by it, or without the company's name in front;
+    never empty."""
+    t, own = F.trim(title), F.trim(text(company))
+    bracket = t.rlike(r"^\[[^\]]*\]")
+    inner = F.regexp_replace(F.regexp_extract(t, r"^\[([^\]]*)\]", 1), r"\s+", "")
+    firm = F.regexp_replace(own, r"\s+", "")
+    named = bracket & (F.contains(inner, firm) | F.contains(firm, inner))
+    plain = ~bracket & F.startswith(F.regexp_replace(t, r"\s+", ""), firm)
+    rest = F.when(named, F.regexp_replace(t, r"^\[[^\]]*\]\s*", "")).when(plain, F.regexp_replace(F.substring(t, F.length(own) + 1, F.length(t)), r"^[\s\-–·:|]+", "")).otherwise(t)
+    return F.when((firm == "") | (F.trim(rest) == ""), t).otherwise(F.trim(rest))
+
+
+def stated(c: Column, otherwise: str) -> Column:
+    """The text, or another where it is empty."""
+    return F.coalesce(F.nullif(text(c), F.lit("")), F.lit(otherwise))
+
+
+def title_suffix(title: Column, url: Column, suffixes: Sequence[tuple[str, str]]) -> Column:
+    """A title with the suffix of each (part of a url, suffix) that fits and isn't there yet; incomplete pairs are skipped."""
+    out = title
+    for part, suffix in suffixes:
+        if part and suffix:
+            out = F.when(F.contains(text(url), F.lit(part)) & ~out.contains(suffix), F.concat(out, F.lit(suffix))).otherwise(out)
+    return out
+
+
+def message(pattern: str, fallbacks: Mapping[str, str], excerpt: Column, divider: str) -> Column:
+    """A message of a pattern whose empty fields show a fallback, with the excerpt under a divider if there is one."""
+    body = template(pattern, list(fallbacks), {f: stated(F.col(f).cast("string"), x) for f, x in fallbacks.items()})
+    return F.concat(body, F.when(text(excerpt) != "", F.concat(F.lit(f"\n{divider}\n"), excerpt)).otherwise(""))
+
+
+def payload(title: str, body: str, fallbacks: Mapping[str, str], tag: Column, most_title: int = 120, most_body: int = 200) -> Column:
+    """title, body and tag of a notification: patterns with fallbacks, cut to their sizes; a blank tag is the title."""
+    values = {f: stated(F.col(f).cast("string"), x) for f, x in fallbacks.items()}
+    t, b = template(title, list(fallbacks), values), template(body, list(fallbacks), values)
+    return F.struct(F.substring(t, 1, most_title).alias("title"), F.substring(b, 1, most_body).alias("body"), F.coalesce(F.nullif(text(tag), F.lit("")), t).alias("tag"))
+
+
+def is_new(first_seen: Column, now: Column, hours: int, posted: Column, most_days: int) -> Column:
+    """Seen first within some hours before now (texts of one form compare as text) and not posted longer ago than some days.
+
+    A blank or unreadable posted day doesn't count against it.
+    """
+    since = F.date_format(now - F.make_dt_interval(hours=F.lit(hours)), "yyyy-MM-dd'T'HH:mm:ss")
+    age = F.datediff(F.to_date(now), F.when(text(posted).rlike(r"^\d{4}-\d{2}-\d{2}$"), posted).try_cast("date"))
+    return (text(first_seen) >= since) & F.coalesce(age <= most_days, F.lit(True))
+
+
+def within_days(first_seen: Column, now: Column, days: int) -> Column:
+    """Whether a time is at most some days before now; unreadable ones aren't. A blank may stand for the T."""
+    seen = F.regexp_replace(squeeze(first_seen), r"^(\d{4}-\d{2}-\d{2}) ", "$1T").try_cast("timestamp")
+    return F.coalesce(F.unix_micros(now) - F.unix_micros(seen) <= days * 86_400_000_000, F.lit(False))
 
 
 def compact_title(c: Column) -> Column:
@@ -156,7 +206,8 @@ def daily_index(day: Column, label: Column, n: Column) -> Column:
     return F.abs(F.when(h >= 2147483648, h - 4294967296).otherwise(h)) % n
 
 
-def template(pattern: str, fields: Sequence[str]) -> Column:
+def template(pattern: str, fields: Sequence[str], values: Mapping[str, Column] | None = None) -> Column:
     """``{name}`` placeholders of a fixed pattern compiled to one expression; unknown names stay as written."""
-    parts = [F.col(m[1:-1]).cast("string") if m.startswith("{") and m[1:-1] in fields else F.lit(m) for m in re.split(r"(\{\w+\})", pattern) if m]
+    value = lambda f: values[f] if values else F.col(f).cast("string")
+    parts = [value(m[1:-1]) if m.startswith("{") and m[1:-1] in fields else F.lit(m) for m in re.split(r"(\{\w+\})", pattern) if m]
     return F.concat(*[text(p) for p in parts])

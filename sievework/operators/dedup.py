@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.session import written
 
+LOCAL = 100_000  # edges of a component that one task decides
+
 
 def first_by(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The first row of each key; rank runs in the map tasks first, so a hot key sends one row a task."""
@@ -55,17 +58,49 @@ def greedy_keys(df: DataFrame, keys: Sequence[str], order: str, rounds: int = 10
         todo = written(rest.select("_o", *[f"_k{i}" for i in range(len(keys))]), "greedy")
         if not todo.limit(1).count():
             break
+    else:
+        raise RuntimeError(f"rows undecided after {rounds} rounds")
     return df.join(kept, F.col(order) == F.col("_o"), "left_semi")
 
 
 def leaders(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """Greedy leader clustering over similarity edges (lo < hi): id and leader of every node.
 
-    A row is a leader iff no earlier leader is adjacent; others belong to their first adjacent leader. Rounds: a row
-    without an undecided or leading earlier neighbour leads; a row with a leading earlier neighbour follows.
+    A row is a leader iff no earlier leader is adjacent; others belong to their first adjacent leader. Nodes without an
+    edge lead. The others are grouped by connected component: a component of at most ``LOCAL`` edges is decided whole in
+    one task, by one scan in order. Larger ones go by rounds: a row without an undecided or leading earlier neighbour
+    leads; a row with a leading earlier neighbour follows; what isn't decided after ``rounds`` raises.
     """
-    state = written(nodes.select("id", F.lit(None).cast("boolean").alias("leads")), "leaders")
     edges = written(edges.select("lo", "hi").distinct(), "edges")
+    if not edges.limit(1).count():
+        return nodes.select("id", F.col("id").alias("leader"))
+    ends = edges.select(F.col("lo").alias("id")).unionByName(edges.select(F.col("hi").alias("id"))).distinct()
+    parts = components(ends, edges)
+    placed = written(edges.join(parts.withColumnRenamed("id", "lo"), "lo"), "placed")
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
+    small = placed.join(sizes.where(F.col("n") <= LOCAL), "component").select("component", "lo", "hi")
+
+    def scan(d: pd.DataFrame) -> pd.DataFrame:
+        before: dict[int, list[int]] = {}
+        for lo, hi in zip(d.lo.tolist(), d.hi.tolist()):
+            before.setdefault(lo, [])
+            before.setdefault(hi, []).append(lo)
+        own: dict[int, int] = {}
+        for i in sorted(before):
+            own[i] = min((j for j in before[i] if own[j] == j), default=i)
+        return pd.DataFrame({"id": list(own), "leader": list(own.values())})
+
+    out = small.groupBy("component").applyInPandas(scan, "id long, leader long")
+    large = written(placed.join(sizes.where(F.col("n") > LOCAL), "component").select("lo", "hi"), "large")
+    if large.limit(1).count():
+        out = out.unionByName(_leaders_by_rounds(large, rounds))
+    decided = written(out, "decided")
+    return decided.unionByName(nodes.join(decided, "id", "left_anti").select("id", F.col("id").alias("leader")))
+
+
+def _leaders_by_rounds(edges: DataFrame, rounds: int) -> DataFrame:
+    nodes = edges.select(F.col("lo").alias("id")).unionByName(edges.select(F.col("hi").alias("id"))).distinct()
+    state = written(nodes.select("id", F.lit(None).cast("boolean").alias("leads")), "leaders")
     for _ in range(rounds):
         known = edges.join(state.select(F.col("id").alias("lo"), F.col("leads").alias("l")), "lo")
         seen = known.groupBy("hi").agg(F.max(F.coalesce(F.col("l"), F.lit(False))).alias("led"), F.max(F.col("l").isNull()).alias("open"))
@@ -76,6 +111,8 @@ def leaders(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame
         state = written(new, "leaders")
         if not state.where("leads is null").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"leaders undecided after {rounds} rounds")
     own = edges.join(state.where("leads").select(F.col("id").alias("lo")), "lo").groupBy("hi").agg(F.min("lo").alias("first"))
     return state.join(own, F.col("id") == F.col("hi"), "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("first")).alias("leader"))
 
@@ -93,6 +130,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFr
         labels = new.select("id", "low")
         if not new.where("low != old").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"components not found after {rounds} rounds")
     return labels.select("id", F.col("low").alias("component"))
 
 
@@ -118,6 +157,28 @@ def token_pairs(df: DataFrame, key: str, signature: str, block: str, least: int)
     return both.where(F.col("shared") >= least)
 
 
+def overlap_pairs(df: DataFrame, key: str, signature: str, overlap: float, least: int) -> DataFrame:
+    """lo, hi and shared of sets that share at least ``least`` tokens and ``overlap`` of the smaller set, exact.
+
+    Prefix filter: sets that share k tokens have their rarest common token among the first ``size - k + 1`` of each; of the
+    smaller set k is at least ``max(least, overlap * size)``, of the larger one ``least``.
+    """
+    sets = _rare_first(df, key, signature, []).where(F.col("size") >= least)
+    own = F.greatest(F.lit(least), F.ceil(F.lit(overlap) * F.col("size") - F.lit(1e-9))).cast("int")
+    tight = sets.select("id", "size", F.explode(F.slice("tokens", F.lit(1), F.col("size") - own + 1)).alias("token"))
+    wide = sets.select("id", "size", F.explode(F.slice("tokens", F.lit(1), F.col("size") - least + 1)).alias("token"))
+    a, b = tight.withColumnsRenamed({"id": "a", "size": "na"}), wide.withColumnsRenamed({"id": "b", "size": "nb"})
+    found = a.join(b, "token").where((F.col("a") != F.col("b")) & (F.col("na") <= F.col("nb"))).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    x, y = sets.select(F.col("id").alias("lo"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("hi"), F.col("tokens").alias("tb"))
+    both = found.join(x, "lo").join(y, "hi").select("lo", "hi", F.size(F.array_intersect("ta", "tb")).alias("shared"), F.least(F.size("ta"), F.size("tb")).alias("small"))
+    return both.where((F.col("shared") >= least) & (F.col("shared") >= F.lit(overlap) * F.col("small"))).select("lo", "hi", "shared")
+
+
+def same_issue_pairs(df: DataFrame, key: str, signature: str, jaccard: float, overlap: float, least: int) -> DataFrame:
+    """lo, hi and shared of titles of one issue: near by Jaccard, or with most tokens of the shorter one and at least ``least``."""
+    return prefix_pairs(df, key, signature, jaccard).unionByName(overlap_pairs(df, key, signature, overlap, least)).distinct()
+
+
 def representatives(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """The smallest key of each combination of columns, as id: equal rows collapsed by partial aggregation."""
     return df.groupBy(*columns).agg(F.min(key).alias("id"))
@@ -131,8 +192,9 @@ def members(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return rows.join(reps, [f"_c{i}" for i in range(len(columns))]).select(key, "id")
 
 
-def token_leaders(df: DataFrame, key: str, signature: str, jaccard: float) -> DataFrame:
-    """id and leader of greedy clustering in key order by Jaccard similarity; rows without tokens lead themselves.
+def token_leaders(df: DataFrame, key: str, signature: str, jaccard: float, overlap: float | None = None, least: int = 4) -> DataFrame:
+    """id and leader of greedy clustering in key order by Jaccard similarity, with ``overlap`` also by the share of the
+    smaller set (``same_issue_pairs``); rows without tokens lead themselves.
 
     Rows with equal token sets are collapsed to their first, which changes no leader: a copy is near to whatever its
     first is near to.
@@ -140,7 +202,8 @@ def token_leaders(df: DataFrame, key: str, signature: str, jaccard: float) -> Da
     marked = written(df.select(F.col(key).alias("_key"), F.array_sort(signature).alias("_sig")), "signed")
     full = marked.where(F.size("_sig") > 0)
     reps = written(representatives(full, "_key", ["_sig"]), "reps")
-    led = leaders(reps.select("id"), prefix_pairs(reps, "id", "_sig", jaccard))
+    near = prefix_pairs(reps, "id", "_sig", jaccard) if overlap is None else same_issue_pairs(reps, "id", "_sig", jaccard, overlap, least)
+    led = leaders(reps.select("id"), near)
     members = full.join(reps, "_sig").join(led, "id").select(F.col("_key").alias("id"), "leader")
     return members.unionByName(marked.where(F.coalesce(F.size("_sig"), F.lit(0)) <= 0).select(F.col("_key").alias("id"), F.col("_key").alias("leader")))
 
@@ -163,8 +226,17 @@ def prefix_pairs(df: DataFrame, key: str, signature: str, jaccard: float) -> Dat
     return both.where(F.col("shared") >= F.lit(jaccard) * F.col("all")).select("lo", "hi", "shared")
 
 
+def duplicate_rows(df: DataFrame, leader: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """leader, key and fields of every follower, one row each: the flat form, for clusters of any size."""
+    rows = df.join(leader.select(F.col("id").alias("_i"), F.col("leader").alias("_lead")), F.col(key) == F.col("_i")).drop("_i")
+    return rows.where(F.col(key) != F.col("_lead")).select(F.col("_lead").alias("leader"), key, *fields)
+
+
 def merge_duplicates(df: DataFrame, leader: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """Rows of the leaders with ``dupes``: their followers as structs in order, null where there are none."""
-    rows = df.join(leader, F.col(key) == F.col("id")).drop("id")
-    follow = rows.where(F.col(key) != F.col("leader")).groupBy(F.col("leader").alias("_l")).agg(F.array_sort(F.collect_list(F.struct(key, *fields))).alias("dupes"))
-    return rows.where(F.col(key) == F.col("leader")).join(follow, F.col("leader") == F.col("_l"), "left").drop("_l", "leader")
+    """Rows of the leaders with ``dupes``: their followers as structs in order, null where there are none.
+
+    A row holds its whole cluster; where clusters may outgrow a row take ``duplicate_rows``.
+    """
+    rows = df.join(leader.select(F.col("id").alias("_i"), F.col("leader").alias("_lead")), F.col(key) == F.col("_i")).drop("_i")
+    follow = rows.where(F.col(key) != F.col("_lead")).groupBy(F.col("_lead").alias("_l")).agg(F.array_sort(F.collect_list(F.struct(key, *fields))).alias("dupes"))
+    return rows.where(F.col(key) == F.col("_lead")).join(follow, F.col("_lead") == F.col("_l"), "left").drop("_l", "_lead")

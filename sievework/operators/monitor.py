@@ -34,6 +34,24 @@ def share_of_day(df: DataFrame, keys: list[str], day: Column, today: str, least:
     return n.withColumn("plausible", ~bad)
 
 
+def leaks(df: DataFrame, title: Column, source: Column, words: list[str], bypass: list[str]) -> DataFrame:
+    """total and leaked: rows whose title holds, as plain text, a word that the filter keeps out; sources let through don't count."""
+    from sievework.operators.rules import contains_any
+
+    let = F.coalesce(source.isin(*bypass), F.lit(False)) if bypass else F.lit(False)
+    return df.agg(F.count("*").alias("total"), F.count_if(contains_any(F.lower(title), words) & ~let).alias("leaked"))
+
+
+def run_report(report: DataFrame, shown: DataFrame) -> DataFrame:
+    """One line a source in its order and a last one of totals: what a run prints. report: source_ord, source, n, error;
+    shown: status of what is shown."""
+    line = F.concat(F.lit("- "), F.col("source"), F.lit(": "), F.when(F.col("error").isNull(), F.col("n").cast("string")).otherwise(F.concat(F.lit("failed "), F.col("error"))))
+    lines = report.select(F.col("source_ord").cast("long").alias("place"), line.alias("line"))
+    n = shown.agg(F.count("*").alias("all"), F.count_if(F.col("status") == "open").alias("open"), F.count_if(F.col("status") == "closed").alias("closed"))
+    total = n.select(F.lit(2**31).cast("long").alias("place"), F.format_string("passed %d (open %d, closed %d)", "all", "open", "closed").alias("line"))
+    return lines.unionByName(total)
+
+
 def shown(held: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """Streams that hold rows of which none is shown fail."""
     both = held.select(key, F.col("n").alias("held")).join(seen.select(key, F.col("n").alias("shown")), key, "full_outer")

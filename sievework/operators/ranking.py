@@ -22,6 +22,11 @@ def top(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def placed(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of an order with their ``place`` from 1: a top-k, numbered after it."""
+    return top(df, order, n).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def by_list(c: Column, values: Sequence[str]) -> Column:
     """Sort key: place in a list, values outside it after all others."""
     out = None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column
@@ -74,6 +75,54 @@ def recent(day: Column, category: Column, as_of: str, days: Mapping[str, int], d
     return (text(day) == "") | (text(day) >= limit)
 
 
+@dataclass(frozen=True)
+class ArticleRules:
+    """Word lists of ``article_gate``; an empty list switches its rule off."""
+
+    sources: Sequence[str] = ()  # parts of source labels that are left out
+    noise: Sequence[str] = ()  # words that leave a title out
+    topics: Sequence[str] = ()  # lower-case words of which a title must hold one
+    endings: Sequence[str] = ()  # with ``actions``: titles about places that act
+    actions: Sequence[str] = ()
+    least: int = 3  # letters of such a place
+    pairs: Sequence[tuple[Sequence[str], Sequence[str]]] = ()  # lists whose words together leave a title out
+    kept: Sequence[str] = ()  # words that keep a title in spite of endings and the first of ``pairs``
+    always: Sequence[tuple[Sequence[str], Sequence[str]]] = ()  # pairs without such an exception
+    scoped: Mapping[str, Sequence[str]] = field(default_factory=dict)  # noise of one category only
+    abroad: Sequence[str] = ()  # categories in which what is abroad is left out:
+    abroad_sources: Sequence[str] = ()  # every title of these sources (lower case),
+    abroad_names: Sequence[str] = ()  # titles with these names (lower case),
+    home: Sequence[str] = ()  # unless they hold one of these words (lower case)
+
+
+def article_gate(title: Column, source: Column, category: Column, rules: ArticleRules) -> Column:
+    """Row predicate over articles as one expression, so that Catalyst runs it in the scan's stage."""
+    t, low, label, kind = text(title), F.lower(text(title)), text(source), text(category)
+    out = contains_any(label, rules.sources) | contains_any(t, rules.noise)
+    if rules.topics:
+        out = out | ~contains_any(low, rules.topics)
+    act = reduce(lambda a, b: a | b, [contains_all(t, *p) for p in rules.pairs], F.lit(False))
+    if rules.endings and rules.actions:
+        act = act | (ends_token(t, rules.endings, rules.least) & contains_any(t, rules.actions))
+    out = out | (act & ~contains_any(t, rules.kept))
+    out = reduce(lambda a, b: a | b, [contains_all(t, *p) for p in rules.always], out)
+    out = reduce(lambda a, b: a | b, [(kind == c) & contains_any(t, words) for c, words in rules.scoped.items()], out)
+    if rules.abroad:
+        foreign = contains_any(F.lower(label), rules.abroad_sources) | (contains_any(low, rules.abroad_names) & ~contains_any(low, rules.home))
+        out = out | (kind.isin(*rules.abroad) & foreign)
+    return ~out
+
+
+def fallback_label(source: Column, c: Column, by_source: Mapping[str, str], labels: Mapping[str, Sequence[str]], local: str, words: Sequence[str], other: str) -> Column:
+    """The source's own label; where that is ``local`` or the source isn't listed: the first label whose words a text
+    holds, else ``local`` if it holds one of ``words``, else ``other``."""
+    own = None
+    for s, label in by_source.items():
+        own = F.when(source == s, label) if own is None else own.when(source == s, label)
+    own = F.lit(local) if own is None else F.coalesce(own, F.lit(local))
+    return F.when(own != local, own).otherwise(first_label(c, {**labels, local: [*labels.get(local, ()), *words]}, other))
+
+
 def ends_token(c: Column, endings: Sequence[str], least: int) -> Column:
     """Whether a token (commas and ellipses part tokens too) of a least length has one of the endings."""
     tokens = F.split(F.translate(text(c), ",…", "  "), r"\s+")

@@ -26,7 +26,7 @@ def upsert(state: DataFrame, batch: DataFrame, key: str, order: str, fields: Seq
     new = last_stated(batch, key, order, fields).select(F.col(key).alias("_k"), *[F.col(f).alias(f"_{f}") for f in fields])
     both = state.join(new, F.col(key) == F.col("_k"), "full_outer")
     unseen, present = F.col(key).isNull(), F.col("_k").isNotNull()
-    again = present & ~unseen & (F.substring("first_seen", 1, 10) < F.col(f"_{day_field}")) & (F.col(f"_{day_field}") <= today) & (text(F.col(f"_{day_field}")) != "")
+    again = present & ~unseen & (F.substring("first_seen", 1, 10) < F.col(f"_{day_field}")) & (F.col(f"_{day_field}") <= today) & (text(F.col(f"_{day_field}")) != "") & (text(F.col("first_seen")) != "")
     fresh = unseen | F.coalesce(again, F.lit(False))
     return both.select(
         F.coalesce(F.col(key), F.col("_k")).alias(key),

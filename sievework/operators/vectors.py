@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.scalars import cosine
+from sievework.operators.dedup import components, token_pairs
+from sievework.session import written
 
 
 def prototypes(vectors: DataFrame, label: str, vector: str) -> DataFrame:
@@ -20,21 +24,34 @@ def prototypes(vectors: DataFrame, label: str, vector: str) -> DataFrame:
 def similarities(vectors: DataFrame, key: str, vector: str, protos: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
     """key, label and cosine with every prototype.
 
-    Prototypes are few by definition (one a label); their number is checked before they are broadcast, beyond the bound
-    they are joined in blocks.
+    Prototypes are few by definition (one a label). Their size is measured: within ``limit_bytes`` they are sent to all
+    tasks in one piece, beyond it in pieces of that size, each a pass over the vectors, so that no vector is shuffled and
+    no task holds more than one piece. A row without a vector has no similarity.
+    """
+    size = protos.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("prototype")), F.lit(1)).alias("m")).first()
+    pieces = max(1, -(-int(size["n"]) * int(size["m"]) * 8 // limit_bytes))
+    own = written(protos.withColumn("_piece", F.pmod(F.xxhash64("label"), F.lit(pieces))), "prototypes")
+    rows, out = vectors.where(F.col(vector).isNotNull()).select(key, vector), None
+    for k in range(pieces):
+        held = own.where(F.col("_piece") == k).agg(F.collect_list(F.struct("label", "prototype")).alias("p"))  # one row of bounded size
+        each = rows.join(F.broadcast(held)).select(key, vector, F.explode("p").alias("p"))
+        part = each.select(key, "p.label", cosine(F.col(vector), F.col("p.prototype")).alias("similarity"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def gate(scores: DataFrame, key: str, floor: float, rows: DataFrame | None = None) -> DataFrame:
+    """Keys whose best similarity reaches the floor, with the best label (ties: the smallest) and its lead over the next.
+
+    With ``rows``, keys of it that have no similarity (no vector) are kept, without a label.
     """
-    rows = protos.count()
-    if rows * 4096 <= limit_bytes:
-        protos = F.broadcast(protos)
-    pairs = vectors.select(key, vector, F.lit(1).alias("_one")).join(protos.withColumn("_two", F.lit(1)), F.col("_one") == F.col("_two"))
-    return pairs.select(key, "label", cosine(F.col(vector), F.col("prototype")).alias("similarity"))
-
-
-def gate(scores: DataFrame, key: str, floor: float) -> DataFrame:
-    """Keys whose best similarity reaches the floor, with the best label (ties: the smallest) and its lead over the next."""
     best = scores.groupBy(key).agg(F.max(F.struct("similarity", (-F.col("label")).alias("minus"))).alias("b"), F.sort_array(F.collect_list("similarity"), asc=False).alias("all"))
     out = best.select(key, (-F.col("b.minus")).alias("label"), F.col("b.similarity").alias("similarity"), (F.try_element_at("all", F.lit(1)) - F.coalesce(F.try_element_at("all", F.lit(2)), F.lit(0.0))).alias("margin"))
-    return out.where(F.col("similarity") >= floor)
+    passed = out.where(F.col("similarity") >= floor)
+    if rows is None:
+        return passed
+    bare = rows.select(key).join(scores.select(key).distinct(), key, "left_anti")
+    return passed.unionByName(bare, allowMissingColumns=True)
 
 
 def reassign(scores: DataFrame, key: str, current: DataFrame, margin: float) -> DataFrame:
@@ -83,6 +100,27 @@ def block_edges(vectors: DataFrame, key: str, vector: str, block: str, threshold
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "lo long, hi long")
 
 
+def refine(rows: DataFrame, key: str, category: str, signature: str, vectors: DataFrame, vector: str, threshold: float, least: int, fields: Sequence[str], dupes: str = "dupes") -> DataFrame:
+    """Rows merged where they share a category, ``least`` title tokens and a cosine, over any number of links.
+
+    The smallest key of a group stays, with its own ``dupes`` first, then each absorbed row followed by its dupes, in key
+    order. Rows without tokens, vector or category are never merged. Candidates come from an exact prefix filter on
+    tokens, so no category is held against itself.
+    """
+    able = rows.where(F.col(category).isNotNull() & (F.size(signature) > 0)).select(key, category, signature)
+    pairs = token_pairs(able, key, signature, category, least)
+    linked = components(rows.select(F.col(key).alias("id")), edges(vectors, key, vector, pairs, threshold))
+    whole = rows.join(linked.select(F.col("id").alias("_i"), F.col("component").alias("_g")), F.col(key) == F.col("_i")).drop("_i")
+    kind = whole.schema[dupes].dataType if dupes in rows.columns else None
+    own = F.array(F.struct(key, *fields))
+    held = F.coalesce(F.col(dupes), F.array().cast(kind)) if kind else None
+    absorbed = whole.where(F.col(key) != F.col("_g")).withColumn("_d", F.concat(own.cast(kind), held) if kind else own)
+    more = absorbed.groupBy(F.col("_g").alias("_c")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(key, "_d"))), lambda x: x["_d"])).alias("_more"))
+    kept = whole.where(F.col(key) == F.col("_g")).join(more, F.col("_g") == F.col("_c"), "left")
+    both = F.concat(held, F.coalesce("_more", F.array().cast(kind))) if kind else F.col("_more")
+    return kept.withColumn(dupes, F.when(F.size(both) > 0, both)).drop("_c", "_more", "_g")
+
+
 def missing(items: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """Items whose vector isn't in the cache."""
     return items.join(cache.select(key).distinct(), key, "left_anti")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import scalars as s
@@ -78,24 +77,6 @@ def deadline_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("posting_id", "iso", s.days_left(F.col("iso"), F.lit(AS_OF)).alias("dday"), s.is_open(F.col("iso"), F.lit(AS_OF)).alias("open"))
 
 
-@query("select posting_id, list_aggregate(regexp_extract_all(coalesce(body_excerpt,'') || ' ' || coalesce(deadline,'') || ' ' || coalesce(posted_date,''), '\\d{4}-\\d{2}-\\d{2}'), 'string_agg', ',') as dates from postings where regexp_matches(coalesce(body_excerpt,'') || ' ' || coalesce(deadline,'') || ' ' || coalesce(posted_date,''), '\\d{4}-\\d{2}-\\d{2}') and not regexp_matches(coalesce(body_excerpt,'') || ' ' || coalesce(deadline,'') || ' ' || coalesce(posted_date,''), '\\d{4}\\s*[./년]|\\d{4}-\\d-|\\d{4}-\\d\\d-\\d(\\D|$)|0000-00-00|-02-30|-13-|-00|-3[2-9]|06-31|04-31|09-31|11-31|02-31|02-29')")
-def all_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All dates of texts that write them as yyyy-mm-dd."""
-    t = F.concat_ws(" ", s.text(F.col("body_excerpt")), s.text(F.col("deadline")), s.text(F.col("posted_date")))
-    p = table(spark, sf_dir, "postings").select("posting_id", t.alias("t"))
-    p = p.where(F.col("t").rlike(r"\d{4}-\d{2}-\d{2}") & ~F.col("t").rlike(r"\d{4}\s*[./년]|\d{4}-\d-|\d{4}-\d\d-\d(\D|$)|0000-00-00|-02-30|-13-|-00|-3[2-9]|06-31|04-31|09-31|11-31|02-31|02-29"))
-    return p.select("posting_id", F.concat_ws(",", s.iso_dates(F.col("t"))).alias("dates"))
-
-
-@query(
-    "select article_id, strftime(try_strptime(regexp_replace(published_at, '^[A-Za-z]{3}, ', ''), '%d %b %Y %H:%M:%S GMT'), '%Y-%m-%dT%H:%M:%S') as utc from articles where regexp_matches(published_at, '^[A-Z][a-z]{2}, \\d{2} [A-Z][a-z]{2} \\d{4} \\d{2}:\\d{2}:\\d{2} GMT$')"
-)
-def rfc822(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mail dates in UTC."""
-    a = table(spark, sf_dir, "articles").where(F.col("published_at").rlike(r"^[A-Z][a-z]{2}, \d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} GMT$"))
-    return a.select("article_id", s.rfc822_utc(F.col("published_at")).alias("utc"))
-
-
 @query("select doc_id, (length(text) + length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')))::bigint as bytes2, (length(text) + 2 * length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')))::bigint as bytes3, length(text)::bigint as points from documents where text is not null")
 def byte_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of texts by code points and by bytes of two encodings."""
@@ -160,17 +141,6 @@ def token_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "articles").where(rules.ends_token(F.col("title"), ["업계", "벤처"], 3)).select("article_id")
 
 
-@query(
-    "with k as (select *, lower(regexp_replace(regexp_replace(coalesce(title,''), '^\\s*\\[[^\\]]*\\]', ''), '[\\s\\[\\]()·,./-]', '', 'g')) n from postings where company is not null), "
-    "r as (select *, row_number() over (partition by company, n order by case when starts_with(source,'ats_') then 0 else 1 end, posting_id) rn, min(posting_id) over (partition by company, n) place from k where n <> '' and company <> '') "
-    "select posting_id, place from r where rn = 1 union all select posting_id, posting_id as place from k where n = '' or company = ''"
-)
-def prefer_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-source dedup that prefers some sources and keeps the group's place."""
-    p = table(spark, sf_dir, "postings").where("company is not null").select("posting_id", "source", "company", s.compact_title(F.col("title")).alias("n"))
-    return dedup.prefer(p, ["company", "n"], F.col("source").startswith("ats_"), "posting_id").select("posting_id", "place")
-
-
 @query("select posting_id from (select posting_id, row_number() over (partition by url order by posting_id) n from postings where url <> '') where n = 1")
 def first_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First row of each url."""
@@ -197,13 +167,6 @@ def near_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.prefix_pairs(_near_articles(spark, sf_dir), "id", "signature", 0.8).select("lo", "hi", F.col("shared").cast("long").alias("shared"))
 
 
-@query()
-def near_title_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every article with its greedy leader."""
-    a = table(spark, sf_dir, "articles").withColumn("signature", s.title_signature(F.col("title")))
-    return dedup.token_leaders(a, "article_id", "signature", 0.8).select(F.col("id").alias("article_id"), "leader")
-
-
 @query(
     "with v as (select vec_id, label, embedding from embeddings), e as (select a.vec_id lo, b.vec_id hi from v a join v b on a.vec_id < b.vec_id and a.label = b.label where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.25) select lo, hi from e"
 )
@@ -226,14 +189,6 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROTO = "p as (select label, list(x order by i) as prototype from (select label, i, avg(x) x from (select label, unnest(embedding)::double x, generate_subscripts(embedding, 1) i from embeddings) group by 1, 2) group by 1), c as (select v.vec_id, p.label, list_cosine_similarity(v.embedding::double[], p.prototype) sim from embeddings v, p)"
 
 
-@query(f"with {_PROTO} select vec_id, arg_max(label, sim) as label, round(max(sim), 6) as similarity from c group by 1 having max(sim) >= 0.2")
-def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors whose best prototype reaches a floor, with that prototype."""
-    v = table(spark, sf_dir, "embeddings")
-    scores = vectors.similarities(v, "vec_id", "embedding", vectors.prototypes(v, "label", "embedding"))
-    return vectors.gate(scores, "vec_id", 0.2).select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
-
-
 @query(
     f"with {_PROTO}, b as (select vec_id, arg_max(label, sim) best, max(sim) top from c group by 1) select v.vec_id, v.label, case when b.best <> v.label and b.top - c.sim > 0.05 then b.best else v.label end as new_label from embeddings v join b using (vec_id) join c on c.vec_id = v.vec_id and c.label = v.label"
 )
@@ -270,12 +225,6 @@ def facet_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.facet(table(spark, sf_dir, "postings"), "emp_type", ["정규직", "계약직", "인턴", "없는 값"])
 
 
-@query("select source, strftime(scraped_at, '%Y-%m-%d') as day, count(*) as n from postings group by 1, 2")
-def counts_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows by source and day."""
-    return table(spark, sf_dir, "postings").groupBy("source", F.date_format("scraped_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
-
-
 @query("select article_id from (select article_id, row_number() over (partition by category, strftime(fetched_at,'%Y-%m-%d') order by fetched_at desc, article_id) n from articles) where n <= 2")
 def cap_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First rows of each category and day, newest first."""
@@ -289,19 +238,6 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top(table(spark, sf_dir, "postings"), [F.desc_nulls_last("posted_date"), F.col("posting_id")], 25).select("posting_id", "posted_date")
 
 
-@query(
-    f"with j as (select o_orderkey, o_orderpriority, strftime(o_orderdate,'%Y-%m-%d') d, date_diff('day', date '1998-06-01', o_orderdate::date)::int dday from orders) "
-    "select o_orderkey, d as deadline, dday from j order by case when d >= '1998-06-01' then 0 else 1 end, dday, o_orderpriority, o_orderkey limit 100"
-)
-def jobs_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open first, soonest first, then by priority: a top-k of the sort."""
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", day.alias("deadline"))
-    o = o.withColumn("dday", s.days_left(F.col("deadline"), F.lit("1998-06-01")))
-    order = [F.when(s.is_open(F.col("deadline"), F.lit("1998-06-01")), 0).otherwise(1), F.col("dday"), F.col("o_orderpriority"), F.col("o_orderkey")]
-    return ranking.top(o, order, 100).select("o_orderkey", "deadline", "dday")
-
-
 @query("select source, day, n, lag(n) over (partition by source order by day) as before from (select source, strftime(scraped_at, '%Y-%m-%d') as day, count(*) as n from postings group by 1, 2)")
 def previous_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A day's count beside the day before."""
@@ -334,40 +270,6 @@ def daily_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UP = "with b as (select * from state_snapshots where uid is not null), d as (select max(snapshot_date) m from b), old as (select uid, arg_max(first_seen, (delivered_at, snap_row_id)) first_seen, coalesce(arg_max(deadline, (delivered_at, snap_row_id)) filter (where deadline <> ''), '') deadline, coalesce(arg_max(posted_date, (delivered_at, snap_row_id)) filter (where posted_date <> ''), '') posted_date from b, d where snapshot_date < m group by uid), new as (select uid, coalesce(arg_max(deadline, (delivered_at, snap_row_id)) filter (where deadline <> ''), '') deadline, coalesce(arg_max(posted_date, (delivered_at, snap_row_id)) filter (where posted_date <> ''), '') posted_date from b, d where snapshot_date = m group by uid)"
 
 
-def _state_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, sf_dir, "state_snapshots").where("uid is not null").withColumn("ord", F.struct("delivered_at", "snap_row_id"))
-    last = rows.agg(F.max("snapshot_date").alias("m"))
-    both = rows.join(F.broadcast(last), F.lit(True))  # one row
-    old = state.last_stated(both.where("snapshot_date < m"), "uid", "ord", ["deadline", "posted_date"])
-    seen = both.where("snapshot_date < m").groupBy("uid").agg(F.max_by("first_seen", "ord").alias("first_seen"))
-    old = old.join(seen, "uid").withColumns({"last_seen": F.lit("2026-04-27"), "notified": F.lit(True)})
-    return old, both.where("snapshot_date = m").select("uid", "deadline", "posted_date", "ord")
-
-
-@query(
-    _UP + f", j as (select coalesce(o.uid, n.uid) uid, o.uid is null unseen, n.uid is not null present, o.first_seen, o.deadline od, n.deadline nd, o.posted_date op, n.posted_date np from old o full join new n on o.uid = n.uid), k as (select *, unseen or (present and np <> '' and substr(first_seen,1,10) < np and np <= '{AS_OF}') fresh from j) "
-    f"select uid, coalesce(nullif(nd,''), od, '') as deadline, coalesce(nullif(np,''), op, '') as posted_date, case when fresh then '{AS_OF}T08:00:00' else first_seen end as first_seen, case when present then '{AS_OF}' else '2026-04-27' end as last_seen, not fresh as notified, fresh and present as is_new from k"
-)
-def state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed upsert with field-wise merge and republish detection."""
-    old, batch = _state_and_batch(spark, sf_dir)
-    return state.upsert(old, batch, "uid", "ord", ["deadline", "posted_date"], f"{AS_OF}T08:00:00")
-
-
-@query(_UP + " select uid from old where (deadline = '' or deadline >= '2026-05-04') and uid not in (select uid from new)")
-def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open rows missing from this run, within the grace."""
-    old, batch = _state_and_batch(spark, sf_dir)
-    return state.carry_forward(old, batch, "uid", "2026-05-04", 8).select("uid")
-
-
-@query(_UP + " select count(*) as before, count(*) filter (where deadline = '' or deadline >= '2026-05-04') as after from old")
-def expire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows before and after expiry."""
-    old, _ = _state_and_batch(spark, sf_dir)
-    return old.agg(F.count("*").alias("before"), F.count_if(s.is_open(F.col("deadline"), F.lit("2026-05-04"))).alias("after"))
-
-
 @query("select uid, max(snapshot_date) as day, count(*) as rows from state_snapshots where not notified and (coalesce(deadline,'') = '' or deadline >= '2026-05-04') group by uid order by min(first_seen), uid limit 25")
 def notify_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open rows not notified, oldest first: a top-k."""
@@ -376,14 +278,6 @@ def notify_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.targets(per, "2026-05-04", 25, "uid").select("uid", "day", "rows")
 
 
-@query("select o_orderkey, coalesce(c.c_name, '') as name, coalesce(c.c_mktsegment, '') as segment from orders o left join customer c on o.o_custkey = c.c_custkey")
-def hydrate_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blanks filled from a known row of the same key."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("key"), F.lit("").alias("name"), F.lit("").alias("segment"))
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
-    return joining.hydrate(o, c, "key", ["name", "segment"]).select("o_orderkey", "name", "segment")
-
-
 @query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
 def missing_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that aren't present."""
@@ -474,28 +368,6 @@ def json_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.get_json_object("j", "$.k").try_cast("long").alias("k"))
 
 
-@query("select 'posting' as kind, posting_id as id, source from postings union all select 'article', article_id, source from articles")
-def union_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union of sources in their order."""
-    of = lambda t, kind, key: table(spark, sf_dir, t).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "source")
-    return readers.union_sources([("p", of("postings", "posting", "posting_id")), ("a", of("articles", "article", "article_id"))]).drop("source_ord")
-
-
-@query()
-def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First, last and number of events of each user by a keyed streaming state, read to the end of the input."""
-    schema = table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    name = f"first_seen_{uuid.uuid4().hex}"
-    out = new_path(spark, name)
-
-    def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append").parquet(out)
-
-    state_stream.running(source, "user_id", "ts").writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).groupBy("user_id").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("n").alias("n"))
-
-
 @query()
 def article_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate, recency, dedup, near-duplicate leaders and cap."""
@@ -510,28 +382,6 @@ def posting_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.jobs_query(jobs, "posting_id", {"label": ["tax", "audit"]}, "open", "수습").select("posting_id", "label", "emp_kind", "dday")
 
 
-@query(f"select posting_id, case when dday is null then 'always' when dday < 0 then 'closed' when dday = 0 then 'today' else 'D-' || dday end as label from (select posting_id, date_diff('day', date '{AS_OF}', try_cast(deadline as date)) dday from postings where regexp_matches(coalesce(deadline,''), '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') or coalesce(deadline,'') = '')")
-def dday_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of days left."""
-    d = s.text(F.col("deadline"))
-    p = table(spark, sf_dir, "postings").where(d.rlike(r"^\d{4}-\d{2}-\d{2}$") | (d == ""))
-    return p.select("posting_id", s.days_label(s.days_left(d, F.lit(AS_OF))).alias("label"))
-
-
-@query("select posting_id, case when replace(inner_, ' ', '') <> '' and co <> '' and rest <> '' and (contains(replace(inner_,' ',''), co) or contains(co, replace(inner_,' ',''))) then rest else title end as title from (select posting_id, title, regexp_extract(title, '^\\s*\\[([^\\]]*)\\]', 1) inner_, regexp_replace(coalesce(company,''), '\\s+', '', 'g') co, trim(regexp_replace(title, '^\\s*\\[[^\\]]*\\]', ''), ' ') rest from board) where true".replace("from board", "from (select listing_id as posting_id, title, company from board_listings where title is not null)"))
-def display_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles without a leading bracket that names the company."""
-    b = table(spark, sf_dir, "board_listings").where("title is not null")
-    return b.select(F.col("listing_id").alias("posting_id"), s.display_title(F.col("title"), F.col("company")).alias("title"))
-
-
-@query("select article_id, case when ends_with(title, '- ' || source_label) then trim(substr(title, 1, length(title) - length(source_label) - 2), ' ') else title end as title from (select article_id, title || ' - ' || source_label as title, source_label from articles where title is not null and source_label <> '')")
-def source_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles without the source's name at their end."""
-    a = table(spark, sf_dir, "articles").where("title is not null and source_label <> ''").withColumn("t", F.concat_ws(" - ", "title", "source_label"))
-    return a.select("article_id", s.strip_source_tail(F.col("t"), F.col("source_label")).alias("title"))
-
-
 @query("select posting_id, coalesce(company,'') || ': ' || coalesce(title,'') || ' (' || coalesce(deadline,'') || ')' as message from postings")
 def message_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A message template compiled to one expression."""
@@ -539,22 +389,6 @@ def message_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("posting_id", s.template("{company}: {title} ({deadline})", ["company", "title", "deadline"]).alias("message"))
 
 
-@query("select posting_id, case when contains(coalesce(url,''), 'ats-') and not ends_with(title, ' (ATS)') then title || ' (ATS)' else title end as title from postings where title is not null")
-def title_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A suffix for titles whose url matches a rule."""
-    p = table(spark, sf_dir, "postings").where("title is not null")
-    hit = F.contains(s.text(F.col("url")), F.lit("ats-")) & ~F.col("title").endswith(" (ATS)")
-    return p.select("posting_id", F.when(hit, F.concat("title", F.lit(" (ATS)"))).otherwise(F.col("title")).alias("title"))
-
-
-@query("select uid, snapshot_date, first_seen >= '2026-04-30T00:00:00' as is_new, date_diff('second', first_seen::timestamp, timestamp '2026-05-04 00:00:00') <= 3 * 86400 as fresh from state_snapshots where regexp_matches(first_seen, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}$')")
-def newness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New within a window as text, fresh within three days as time."""
-    t = table(spark, sf_dir, "state_snapshots").where(F.col("first_seen").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"))
-    age = F.unix_timestamp(F.lit("2026-05-04 00:00:00").cast("timestamp")) - F.unix_timestamp(F.col("first_seen").cast("timestamp"))
-    return t.select("uid", "snapshot_date", (F.col("first_seen") >= "2026-04-30T00:00:00").alias("is_new"), (age <= 3 * 86400).alias("fresh"))
-
-
 @query("select posting_id, case when posting_id in (select listing_id from board_listings) then true else false end as manual, case when posting_id in (select listing_id from board_listings) then 'listed' else source end as tag from postings")
 def flag_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns set where a key is listed."""
@@ -569,14 +403,6 @@ def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.suppressed(table(spark, sf_dir, "state_snapshots"), "2026-05-04").groupBy("uid").agg(F.count("*").alias("n"))
 
 
-@query(_UP + " select uid, 'run' as kind from new union all select uid, 'carried' from old where (deadline = '' or deadline >= '2026-05-04') and uid not in (select uid from new)")
-def kept_and_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the run and those carried forward."""
-    old, batch = _state_and_batch(spark, sf_dir)
-    own = batch.select("uid").distinct().withColumn("kind", F.lit("run"))
-    return own.unionByName(state.carry_forward(old, batch, "uid", "2026-05-04", 8).select("uid", F.lit("carried").alias("kind")))
-
-
 @query(
     "with r as (select category, list_sort(" + _sig_sql("title") + ") sig, min(article_id) id from articles where category is not null group by 1, 2), t as (select category, id, unnest(sig) tok from r) select a.id as lo, b.id as hi, count(*) as shared from t a join t b on a.tok = b.tok and a.category = b.category and a.id < b.id group by 1, 2 having count(*) >= 6"
 )
@@ -593,23 +419,6 @@ def vectors_to_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.missing(v, v.where("label < 5"), "vec_id").select("vec_id")
 
 
-@query("with l(place, label) as (values (0,'세무소식'),(1,'거래소식'),(2,'없음')), r as (select source_label, article_id, row_number() over (partition by source_label order by article_id) n from articles) select place::int as place, label, list(article_id order by article_id) filter (where article_id is not null) as ids from l left join r on r.source_label = l.label and n <= 4 group by 1, 2")
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First rows of each declared label, empty labels kept."""
-    declared = spark.createDataFrame([(0, "세무소식"), (1, "거래소식"), (2, "없음")], "place int, label string")
-    few = ranking.cap(table(spark, sf_dir, "articles"), ["source_label"], [F.col("article_id")], 4).groupBy("source_label").agg(F.array_sort(F.collect_list("article_id")).alias("ids"))
-    return declared.join(few, F.col("label") == F.col("source_label"), "left").select("place", "label", "ids")
-
-
-@query("select lo, hi, least(len(list_intersect(a.t, b.t)), 99)::int as both, len(list_distinct(list_concat(a.t, b.t)))::int as either from (values (1,2),(3,4),(5,6),(7,8)) p(lo, hi) join (select article_id, " + _sig_sql("title") + " t from articles) a on a.article_id = lo join (select article_id, " + _sig_sql("title") + " t from articles) b on b.article_id = hi")
-def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intersection and union of token sets of stated pairs."""
-    pairs = spark.createDataFrame([(1, 2), (3, 4), (5, 6), (7, 8)], "lo long, hi long")
-    t = table(spark, sf_dir, "articles").select("article_id", s.title_signature(F.col("title")).alias("t"))
-    both = pairs.join(t.withColumnsRenamed({"article_id": "lo", "t": "a"}), "lo").join(t.withColumnsRenamed({"article_id": "hi", "t": "b"}), "hi")
-    return both.select("lo", "hi", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_union("a", "b")).alias("either"))
-
-
 @query("select posting_id, source from postings order by case source when 'ats_gadam' then 0 when 'brd_cpa' then 1 else 2 end, coalesce(nullif(deadline,''), '9999-99-99'), posting_id limit 50")
 def digest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sort by a list of sources, then deadline: a top-k."""
@@ -631,103 +440,447 @@ def age_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("event_type", s.minutes_label(age).alias("age"))
 
 
-@query("select count(*) as total, count(*) filter (where uid is not null and regexp_matches(lower(title), '경력|remote')) as leaked from postings")
-def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows hold words a filter should have kept out."""
-    return table(spark, sf_dir, "postings").agg(F.count("*").alias("total"), F.count_if(rules.contains_any(F.lower("title"), ["경력", "remote"])).alias("leaked"))
+@query(f"select article_id, min(article_id) over (partition by category, sig) as id from (select article_id, category, list_sort({_sig_sql('title')}) sig from articles where category is not null)")
+def token_overlap_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article of a category with the representative that stands for it in token_overlap_pairs."""
+    a = table(spark, sf_dir, "articles").where("category is not null").withColumn("signature", F.array_sort(s.title_signature(F.col("title"))))
+    return dedup.members(a, "article_id", ["category", "signature"])
 
 
-@query()
-def json_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON document of a page of rows."""
-    return sinks.json_document(table(spark, sf_dir, "sources").select("trust_rank", "source", "kind"), "sources", ["trust_rank"], 100)
+@query(f"select article_id, min(article_id) over (partition by sig) as id from (select article_id, list_sort({_sig_sql('title')}) sig from articles) where len(sig) > 0")
+def near_title_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article with tokens with the representative that stands for it in near_title_pairs."""
+    a = table(spark, sf_dir, "articles").withColumn("signature", F.array_sort(s.title_signature(F.col("title"))))
+    return dedup.members(a.where(F.size("signature") > 0), "article_id", ["signature"])
 
 
-# --- over every row, where the query with the SQL twin keeps to the forms the twin can follow ---
+_WIDE = "translate({}, '０１２３４５６７８９', '0123456789')"
+_DAY = r"(\d{4})\s*[-./년]\s*(\d{1,2})\s*[-./월]\s*(\d{1,2})"
+_ISO = f"regexp_extract(x, '{_DAY}', 1) || '-' || lpad(regexp_extract(x, '{_DAY}', 2), 2, '0') || '-' || lpad(regexp_extract(x, '{_DAY}', 3), 2, '0')"
 
 
-@query()
-def all_dates_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(
+    f"with p as (select posting_id, {_WIDE.format("coalesce(body_excerpt,'') || ' ' || coalesce(deadline,'') || ' ' || coalesce(posted_date,'')")} as t from postings), "
+    f"d as (select posting_id, list_filter(list_transform(regexp_extract_all(t, '{_DAY}'), lambda x: {_ISO}), lambda y: try_cast(y as date) is not null and y >= '0001') as l from p) "
+    "select posting_id, coalesce(array_to_string(l, ','), '') as dates from d"
+)
+def all_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All dates of every posting's texts, whatever their style; empty where there is none."""
     t = F.concat_ws(" ", s.text(F.col("body_excerpt")), s.text(F.col("deadline")), s.text(F.col("posted_date")))
     return table(spark, sf_dir, "postings").select("posting_id", F.concat_ws(",", s.iso_dates(t)).alias("dates"))
 
 
-@query()
-def rfc822_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+_MAIL = r"^(\d{1,2}) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) (\d{4}) (\d{2}:\d{2}:\d{2}) (GMT|UTC|[+-]\d{4})$"
+
+
+@query(
+    "with a as (select article_id, regexp_replace(coalesce(published_at,''), '^[A-Za-z]{3},\\s*', '') t from articles), "
+    f"g as (select article_id, t, regexp_extract(t, '{_MAIL}', 5) z, try_strptime(regexp_extract(t, '{_MAIL}', 1) || ' ' || regexp_extract(t, '{_MAIL}', 2) || ' ' || regexp_extract(t, '{_MAIL}', 3) || ' ' || regexp_extract(t, '{_MAIL}', 4), '%d %b %Y %H:%M:%S') w from a) "
+    "select article_id, coalesce(strftime(case when z in ('GMT','UTC') then w when z <> '' then w - (case when z[1] = '-' then -1 else 1 end) * (to_hours(try_cast(z[2:3] as int)) + to_minutes(try_cast(z[4:5] as int))) end, '%Y-%m-%dT%H:%M:%S'), '') as utc from g"
+)
+def rfc822(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mail dates of every article in UTC, numeric offsets too; empty where the text is no mail date."""
     return table(spark, sf_dir, "articles").select("article_id", s.rfc822_utc(F.col("published_at")).alias("utc"))
 
 
-@query()
-def dday_label_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(
+    f"select posting_id, case when dday is null then 'always' when dday < 0 then 'closed' when dday = 0 then 'today' else 'D-' || dday end as label from "
+    f"(select posting_id, case when regexp_full_match(coalesce(deadline,''), '\\d{{4}}-\\d{{2}}-\\d{{2}}') then date_diff('day', date '{AS_OF}', try_cast(deadline as date)) end dday from postings)"
+)
+def dday_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of days left of every posting; a deadline that is no yyyy-mm-dd date has no end."""
     left = s.days_left(s.text(F.col("deadline")), F.lit(AS_OF))
     return table(spark, sf_dir, "postings").select("posting_id", s.days_label(left).alias("label"))
 
 
-@query()
-def newness_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newness and freshness of every row; first_seen may have blanks at its ends or for the T, and fractions."""
-    seen = F.regexp_replace(s.squeeze(F.col("first_seen")), r"^(\d{4}-\d{2}-\d{2}) ", "$1T")
-    age = F.unix_micros(F.lit("2026-05-04 00:00:00").cast("timestamp")) - F.unix_micros(seen.try_cast("timestamp"))
-    return table(spark, sf_dir, "state_snapshots").select("uid", "snapshot_date", (seen >= "2026-04-30T00:00:00").alias("is_new"), (age <= 3 * 86_400_000_000).alias("fresh"))
+_NOW = "2026-05-04T00:00:00"
+
+
+@query(
+    f"with t as (select uid, snapshot_date, posted_date, coalesce(first_seen,'') f, regexp_replace(trim(regexp_replace(coalesce(first_seen,''), '{_WS}', ' ', 'g')), '^(\\d{{4}}-\\d{{2}}-\\d{{2}}) ', '\\1T') x from state_snapshots) "
+    "select uid, snapshot_date, f >= '2026-05-03T00:00:00' and coalesce(case when regexp_full_match(coalesce(posted_date,''), '\\d{4}-\\d{2}-\\d{2}') then date_diff('day', try_cast(posted_date as date), date '2026-05-04') end <= 2, true) as is_new, "
+    f"coalesce(epoch_us(timestamp '{_NOW}') - epoch_us(try_cast(x as timestamp)) <= 3 * 86400000000, false) as fresh from t"
+)
+def newness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New within a day and posted within two, and fresh within three days, of every row."""
+    now = F.lit(_NOW).cast("timestamp")
+    t = table(spark, sf_dir, "state_snapshots")
+    return t.select("uid", "snapshot_date", s.is_new(F.col("first_seen"), now, 24, F.col("posted_date"), 2).alias("is_new"), s.within_days(F.col("first_seen"), now, 3).alias("fresh"))
+
+
+@query(
+    "with k as (select *, lower(regexp_replace(regexp_replace(coalesce(title,''), '^\\s*\\[[^\\]]*\\]', ''), '[\\s\\[\\]()·,./-]', '', 'g')) n from postings), "
+    "r as (select *, row_number() over (partition by company, n order by case when starts_with(source,'ats_') then 0 else 1 end, posting_id) rn, min(posting_id) over (partition by company, n) place from k where n <> '' and company <> '') "
+    "select posting_id, place from r where rn = 1 union all select posting_id, posting_id as place from k where n = '' or coalesce(company,'') = ''"
+)
+def prefer_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-source dedup that prefers some sources and keeps the group's place; rows without firm or title are never merged."""
+    p = table(spark, sf_dir, "postings").select("posting_id", "source", "company", s.compact_title(F.col("title")).alias("n"))
+    return dedup.prefer(p, ["company", "n"], F.col("source").startswith("ats_"), "posting_id").select("posting_id", "place")
 
 
 @query(f"select article_id, len(list_intersect(a, b))::int as both, len(list_distinct(list_concat(a, b)))::int as either from (select article_id, {_sig_sql('title')} a, {_sig_sql('summary')} b from articles)")
-def set_algebra_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intersection and union of the token sets of every article's title and summary."""
     a, b = s.title_signature(F.col("title")), s.title_signature(F.col("summary"))
     return table(spark, sf_dir, "articles").select("article_id", F.size(F.array_intersect(a, b)).alias("both"), F.size(F.array_union(a, b)).alias("either"))
 
 
-@query(f"select article_id, min(article_id) over (partition by category, sig) as id from (select article_id, category, list_sort({_sig_sql('title')}) sig from articles where category is not null)")
-def token_overlap_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every article of a category with the representative that stands for it in token_overlap_pairs."""
-    a = table(spark, sf_dir, "articles").where("category is not null").withColumn("signature", F.array_sort(s.title_signature(F.col("title"))))
-    return dedup.members(a, "article_id", ["category", "signature"])
+@query(
+    "with l as (select trust_rank as place, source_label as label from sources), r as (select source_label, article_id, row_number() over (partition by source_label order by article_id) n from articles where source_label is not null) "
+    "select place::int as place, label, list(article_id order by article_id) filter (where article_id is not null) as ids from l left join r on r.source_label = l.label and n <= 4 group by 1, 2"
+)
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First articles of each label of the sources, empty labels kept."""
+    declared = table(spark, sf_dir, "sources").select(F.col("trust_rank").alias("place"), F.col("source_label").alias("label"))
+    return facets.boxes(table(spark, sf_dir, "articles"), declared, "source_label", "article_id", 4)
 
 
-@query(f"select article_id, min(article_id) over (partition by sig) as id from (select article_id, list_sort({_sig_sql('title')}) sig from articles) where len(sig) > 0")
-def near_title_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every article with tokens with the representative that stands for it in near_title_pairs."""
-    a = table(spark, sf_dir, "articles").withColumn("signature", F.array_sort(s.title_signature(F.col("title"))))
-    return dedup.members(a.where(F.size("signature") > 0), "article_id", ["signature"])
+@query(
+    "with f as (select article_id, source_label, row_number() over (partition by url order by article_id) n from articles), g as (select article_id, row_number() over (partition by source_label order by article_id) k from f where n = 1) select article_id from g where k <= 12"
+)
+def insights_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First article of each url, at most twelve a source label."""
+    return pipelines.insights(table(spark, sf_dir, "articles"), "article_id", 12).select("article_id")
+
+
+@query(
+    "select article_id, case when l <> '' and ends_with(t, '- ' || l) then trim(substr(t, 1, length(t) - length(l) - 2), ' ') else t end as title from "
+    "(select article_id, coalesce(source_label,'') l, coalesce(title,'') || ' - ' || coalesce(source_label,'') t from articles)"
+)
+def source_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles as feeds give them, without the source's name at their end."""
+    label = s.text(F.col("source_label"))
+    given = F.concat(s.text(F.col("title")), F.lit(" - "), label)
+    return table(spark, sf_dir, "articles").select("article_id", s.strip_source_tail(given, label).alias("title"))
 
 
-_UP_SEEN = _UP.replace("select uid, arg_max(first_seen", "select uid, arg_max(last_seen, (delivered_at, snap_row_id)) last_seen, arg_max(first_seen", 1)
+@query(
+    "with a as (select posting_id, coalesce(url,'') u, case when contains(coalesce(url,''), 'ats-') and not contains(coalesce(title,''), ' (ATS)') then coalesce(title,'') || ' (ATS)' else coalesce(title,'') end t from postings) "
+    "select posting_id, case when contains(u, 'view') and not contains(t, ' (view)') then t || ' (view)' else t end as title from a"
+)
+def title_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffixes for titles whose url matches a rule; a rule without a suffix is skipped."""
+    rules_ = [("ats-", " (ATS)"), ("", " (x)"), ("view", " (view)"), ("y", "")]
+    return table(spark, sf_dir, "postings").select("posting_id", s.title_suffix(s.text(F.col("title")), F.col("url"), rules_).alias("title"))
+
+
+@query("select count(*) as total, count(*) filter (where regexp_matches(lower(title), '경력|remote') and not coalesce(source = 'brd_susup', false)) as leaked from postings")
+def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows hold words a filter should have kept out, sources let through aside."""
+    return monitor.leaks(table(spark, sf_dir, "postings"), F.col("title"), F.col("source"), ["경력", "remote"], ["brd_susup"])
+
+
+@query("select source, strftime(scraped_at, '%Y-%m-%d') as day, count(*) as n from postings group by 1, 2")
+def counts_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by source and day."""
+    return facets.count_by(table(spark, sf_dir, "postings"), "source", F.date_format("scraped_at", "yyyy-MM-dd").alias("day"))
+
+
+@query(
+    "with k as (select uid, arg_max(company, (scraped_at, posting_id)) filter (where coalesce(company,'') <> '') company, arg_max(deadline, (scraped_at, posting_id)) filter (where coalesce(deadline,'') <> '') deadline from postings group by uid) "
+    "select posting_id, coalesce(nullif(p.company,''), k.company, '') as company, coalesce(nullif(p.deadline,''), k.deadline, '') as deadline from postings p left join k using (uid)"
+)
+def hydrate_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank firms and deadlines filled from what the same uid last stated."""
+    p = table(spark, sf_dir, "postings")
+    known = state.last_stated(p.withColumn("ord", F.struct("scraped_at", "posting_id")), "uid", "ord", ["company", "deadline"])
+    return joining.hydrate(p, known, "uid", ["company", "deadline"]).select("posting_id", "company", "deadline")
+
+
+@query("select 'posting' as kind, posting_id as id, source, 0::int as source_ord from postings union all select 'article', article_id, source, 1::int from articles")
+def union_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union of sources with their order."""
+    of = lambda t, kind, key: table(spark, sf_dir, t).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "source")
+    return readers.union_sources([("p", of("postings", "posting", "posting_id")), ("a", of("articles", "article", "article_id"))])
+
+
+_UP = _UP.replace("select uid, arg_max(first_seen", "select uid, arg_max(last_seen, (delivered_at, snap_row_id)) last_seen, arg_max(first_seen", 1)
 _GRACE = "(deadline = '' or deadline >= '2026-05-04') and last_seen >= '2026-04-26' and uid not in (select uid from new)"
 
 
-def _seen_state_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The state with last_seen as each uid's latest delivery before the run gives it."""
-    old, batch = _state_and_batch(spark, sf_dir)
-    rows = table(spark, sf_dir, "state_snapshots").where("uid is not null")
-    before = rows.join(F.broadcast(rows.agg(F.max("snapshot_date").alias("m"))), F.lit(True)).where("snapshot_date < m")  # one row
-    seen = before.groupBy("uid").agg(F.max_by("last_seen", F.struct("delivered_at", "snap_row_id")).alias("last_seen"))
-    return old.drop("last_seen").join(seen, "uid"), batch
+def _state_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The state before the last delivery, with first_seen and last_seen as each uid's latest row gives them, and that delivery."""
+    rows = table(spark, sf_dir, "state_snapshots").where("uid is not null").withColumn("ord", F.struct("delivered_at", "snap_row_id"))
+    both = rows.join(F.broadcast(rows.agg(F.max("snapshot_date").alias("m"))), F.lit(True))  # one row
+    before = both.where("snapshot_date < m")
+    old = state.last_stated(before, "uid", "ord", ["deadline", "posted_date"])
+    seen = joining.latest_by(before, "uid", "ord", ["first_seen", "last_seen"])
+    return old.join(seen, "uid").withColumn("notified", F.lit(True)), both.where("snapshot_date = m").select("uid", "deadline", "posted_date", "ord")
 
 
 @query(
-    _UP_SEEN + f", j as (select coalesce(o.uid, n.uid) uid, o.uid is null unseen, n.uid is not null present, o.first_seen, o.last_seen, o.deadline od, n.deadline nd, o.posted_date op, n.posted_date np from old o full join new n on o.uid = n.uid), k as (select *, unseen or (present and np <> '' and substr(first_seen,1,10) < np and np <= '{AS_OF}') fresh from j) "
+    _UP + f", j as (select coalesce(o.uid, n.uid) uid, o.uid is null unseen, n.uid is not null present, o.first_seen, o.last_seen, o.deadline od, n.deadline nd, o.posted_date op, n.posted_date np from old o full join new n on o.uid = n.uid), k as (select *, unseen or (present and np <> '' and coalesce(first_seen,'') <> '' and substr(first_seen,1,10) < np and np <= '{AS_OF}') fresh from j) "
     f"select uid, coalesce(nullif(nd,''), od, '') as deadline, coalesce(nullif(np,''), op, '') as posted_date, case when fresh then '{AS_OF}T08:00:00' else first_seen end as first_seen, case when present then '{AS_OF}' else last_seen end as last_seen, not fresh as notified, fresh and present as is_new from k"
 )
-def state_upsert_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed upsert that keeps each absent row's own last_seen."""
-    old, batch = _seen_state_and_batch(spark, sf_dir)
+def state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed upsert with field-wise merge and republish detection; absent rows keep their own last_seen."""
+    old, batch = _state_and_batch(spark, sf_dir)
     return state.upsert(old, batch, "uid", "ord", ["deadline", "posted_date"], f"{AS_OF}T08:00:00")
 
 
-@query(_UP_SEEN + f" select uid from old where {_GRACE}")
-def carry_forward_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open rows missing from this run, last seen within the grace by the table's own last_seen."""
-    old, batch = _seen_state_and_batch(spark, sf_dir)
+@query(_UP + f" select uid from old where {_GRACE}")
+def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open rows missing from this run, last seen within the grace."""
+    old, batch = _state_and_batch(spark, sf_dir)
     return state.carry_forward(old, batch, "uid", "2026-05-04", 8).select("uid")
 
 
-@query(_UP_SEEN + f" select uid, 'run' as kind from new union all select uid, 'carried' from old where {_GRACE}")
-def kept_and_carried_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_UP + f" select uid, 'run' as kind from new union all select uid, 'carried' from old where {_GRACE}")
+def kept_and_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the run and those carried forward within the grace."""
-    old, batch = _seen_state_and_batch(spark, sf_dir)
+    old, batch = _state_and_batch(spark, sf_dir)
     own = batch.select("uid").distinct().withColumn("kind", F.lit("run"))
     return own.unionByName(state.carry_forward(old, batch, "uid", "2026-05-04", 8).select("uid", F.lit("carried").alias("kind")))
+
+
+@query(_UP + " select uid, deadline from old where deadline = '' or deadline >= '2026-05-04'")
+def expire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state without rows whose deadline has passed."""
+    old, _ = _state_and_batch(spark, sf_dir)
+    return state.unexpired(old, "2026-05-04").select("uid", "deadline")
+
+
+@query("select '{\"count\":' || count(*) || ',\"sources\":[' || string_agg('{\"trust_rank\":' || trust_rank || ',\"source\":\"' || source || '\",\"kind\":\"' || kind || '\"}', ',' order by trust_rank) || ']}' as document from sources")
+def json_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document of a page of rows."""
+    return sinks.json_document(table(spark, sf_dir, "sources").select("trust_rank", "source", "kind"), "sources", ["trust_rank"], 100)
+
+
+@query(
+    "with b as (select listing_id as posting_id, trim(coalesce(title,''), ' ') t, trim(coalesce(company,''), ' ') c from board_listings), "
+    "x as (select *, regexp_replace(c, '\\s+', '', 'g') firm, regexp_matches(t, '^\\[[^\\]]*\\]') bracket, regexp_replace(regexp_extract(t, '^\\[([^\\]]*)\\]', 1), '\\s+', '', 'g') inner_ from b), "
+    "y as (select *, case when bracket and (contains(inner_, firm) or contains(firm, inner_)) then regexp_replace(t, '^\\[[^\\]]*\\]\\s*', '') when not bracket and starts_with(regexp_replace(t, '\\s+', '', 'g'), firm) then regexp_replace(substr(t, length(c) + 1), '^[\\s\\-–·:|]+', '') else t end rest from x) "
+    "select posting_id, case when firm = '' or trim(rest, ' ') = '' then t else trim(rest, ' ') end as title from y"
+)
+def display_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles without the company in front, bracketed or plain."""
+    b = table(spark, sf_dir, "board_listings")
+    return b.select(F.col("listing_id").alias("posting_id"), s.display_title(s.text(F.col("title")), F.col("company")).alias("title"))
+
+
+_SEEN_VECTORS = "(select vec_id, label, case when label <> 7 then embedding end embedding from embeddings)"
+
+
+@query(
+    f"with {_PROTO.replace('from embeddings v', f'from {_SEEN_VECTORS} v').replace(', p)', ', p where v.embedding is not null)')}, g as (select vec_id, arg_max(label, sim) as label, max(sim) s from c group by 1) "
+    "select vec_id, label, round(s, 6) as similarity from g where s >= 0.2 union all select vec_id, null, null from embeddings where label = 7"
+)
+def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors whose best prototype reaches a floor, with that prototype; rows whose vector is missing (label 7) are kept."""
+    v = table(spark, sf_dir, "embeddings")
+    held = v.withColumn("embedding", F.when(F.col("label") != 7, F.col("embedding")))
+    scores = vectors.similarities(held, "vec_id", "embedding", vectors.prototypes(v, "label", "embedding"))
+    return vectors.gate(scores, "vec_id", 0.2, held).select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
+_ISSUE = "count(*) >= 0.8 * (a.n + b.n - count(*)) or (count(*) >= 4 and count(*) >= 0.8 * least(a.n, b.n))"
+
+
+@query("with r as (select list_sort(" + _sig_sql("title") + ") sig, min(article_id) id from articles group by 1 having len(sig) > 0), t as (select id, len(sig) n, unnest(sig) tok from r) select a.id as lo, b.id as hi, count(*) as shared from t a join t b on a.tok = b.tok and a.id < b.id group by a.id, b.id, a.n, b.n having " + _ISSUE)
+def same_issue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Representatives of equal token sets that are near or hold most of the shorter one's tokens; members in near_title_members."""
+    return dedup.same_issue_pairs(_near_articles(spark, sf_dir), "id", "signature", 0.8, 0.8, 4).select("lo", "hi", F.col("shared").cast("long").alias("shared"))
+
+
+@query(
+    "with recursive r as (select list_sort(" + _sig_sql("title") + ") sig, min(article_id) id from articles group by 1 having len(sig) > 0), t as (select id, len(sig) n, unnest(sig) tok from r), "
+    "e as (select a.id lo, b.id hi from t a join t b on a.tok = b.tok and a.id < b.id group by a.id, b.id, a.n, b.n having " + _ISSUE + "), "
+    "nodes as (select id, row_number() over (order by id) k from r), adj as (select hi, list(lo order by lo) los from e group by hi), "
+    "walk(k, leads) as (select 0::bigint, []::bigint[] union all select n.k, case when len(list_intersect(coalesce(a.los, []), w.leads)) > 0 then w.leads else list_append(w.leads, n.id) end from walk w join nodes n on n.k = w.k + 1 left join adj a on a.hi = n.id), "
+    "leaders as (select unnest(leads) id from walk where k = (select max(k) from walk)), "
+    "led as (select n.id, case when n.id in (select id from leaders) then n.id else (select min(lo) from e where e.hi = n.id and lo in (select id from leaders)) end leader from nodes n) "
+    "select a.article_id, coalesce(l.leader, a.article_id) as leader from (select article_id, list_sort(" + _sig_sql("title") + ") sig from articles) a left join r on r.sig = a.sig left join led l on l.id = r.id"
+)
+def near_title_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article with its greedy leader of one issue."""
+    a = table(spark, sf_dir, "articles").withColumn("signature", s.title_signature(F.col("title")))
+    return dedup.token_leaders(a, "article_id", "signature", 0.8, 0.8, 4).select(F.col("id").alias("article_id"), "leader")
+
+
+@query(
+    "with recursive a as (select article_id id, category, " + _sig_sql("title") + " sig, embedding v from articles left join embeddings on vec_id = article_id), t as (select id, category, v, unnest(sig) tok from a where category is not null), "
+    "e as (select x.id lo, y.id hi from t x join t y on x.tok = y.tok and x.category = y.category and x.id < y.id and x.v is not null and y.v is not null group by x.id, y.id having count(*) >= 2 and list_cosine_similarity(any_value(x.v)::double[], any_value(y.v)::double[]) >= 0.2), "
+    "both_ as (select lo, hi from e union all select hi, lo from e), c as (select id, id low from a union select b.hi, c.low from c join both_ b on b.lo = c.id), m as (select id, min(low) low from c group by id) "
+    "select low as article_id, array_to_string(list(id order by id) filter (where id <> low), ',') as absorbed from m group by low"
+)
+def refined_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles merged by category, shared tokens and vectors, with the ids they absorbed in order."""
+    a = table(spark, sf_dir, "articles").select("article_id", "category", s.title_signature(F.col("title")).alias("signature"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id"), "embedding")
+    out = vectors.refine(a, "article_id", "category", "signature", v, "embedding", 0.2, 2, ["category"])
+    return out.select("article_id", F.when(F.col("dupes").isNotNull(), F.concat_ws(",", F.transform("dupes", lambda d: d["article_id"].cast("string")))).alias("absorbed"))
+
+
+_GATE = rules.ArticleRules(sources=["Quayside"], noise=["공모"], topics=["법인세", "공시", "배당", "연결재무", "가업승계"], endings=["업계", "벤처"], actions=["철회", "연기"], pairs=[(["심사"], ["착수", "요구"])], kept=["최종"], always=[(["점검"], ["공개"])], scoped={"거래": ["정비"], "세무": ["개편"]}, abroad=["해외"], abroad_sources=["southern"], abroad_names=["남미", "중동"], home=["수도권", "법인세"])
+
+
+@query(
+    "with a as (select article_id, coalesce(title,'') t, lower(coalesce(title,'')) lo, coalesce(source_label,'') l, coalesce(category,'') c, "
+    "len(list_filter(regexp_split_to_array(translate(coalesce(title,''), ',…', '  '), '\\s+'), lambda x: length(x) >= 3 and (ends_with(x,'업계') or ends_with(x,'벤처')))) > 0 place from articles) "
+    "select article_id from a where not contains(l, 'Quayside') and not contains(t, '공모') and regexp_matches(lo, '법인세|공시|배당|연결재무|가업승계') "
+    "and not (not contains(t, '최종') and ((place and regexp_matches(t, '철회|연기')) or (contains(t, '심사') and regexp_matches(t, '착수|요구')))) "
+    "and not (contains(t, '점검') and contains(t, '공개')) and not (c = '거래' and contains(t, '정비')) and not (c = '세무' and contains(t, '개편')) "
+    "and not (c = '해외' and (contains(lower(l), 'southern') or (regexp_matches(lo, '남미|중동') and not regexp_matches(lo, '수도권|법인세'))))"
+)
+def article_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules of an article gate: sources, noise, topics, acting places, word pairs, one category's noise, what is abroad."""
+    a = table(spark, sf_dir, "articles")
+    return a.where(rules.article_gate(F.col("title"), F.col("source_label"), F.col("category"), _GATE)).select("article_id")
+
+
+_FIRM = "lower(coalesce(company,'') || ' ' || coalesce(title,''))"
+_KIND = "case when coalesce(emp_type,'') = '' then coalesce(category,'') else emp_type end"
+_JOBS_SQL = (
+    "with sn as (select uid, arg_max(first_seen, (delivered_at, snap_row_id)) first_seen from state_snapshots group by uid), "
+    f"j as (select p.*, coalesce(sn.first_seen,'') fs, {_FIRM} named, lower(coalesce(title,'') || ' ' || coalesce(body_excerpt,'')) body, {_KIND} kind from postings p left join sn using (uid)), "
+    "k as (select posting_id, title, company, posted_date, source, fs as first_seen, case when source = 'ats_gadam' then 'gadam' when source = 'ats_bosol' then 'bosol' when regexp_matches(named, '회계법인|accounting') then 'accounting' when regexp_matches(named, '세무법인|세무회계') then 'tax firm' when contains(named, '감사반') then 'local' else 'other' end firm, "
+    "case when contains(body, '수습') then 'trainee' when regexp_matches(body, '회계사|세무사|cpa|cta') then 'licensed' else 'any' end qualification, "
+    "case when contains(lower(kind), '인턴') then 'intern' when regexp_matches(lower(kind), '계약|기간제') then 'contract' when regexp_matches(lower(kind), '파트|시간제') then 'part' else 'regular' end emp_kind, kind as emp_type, "
+    f"case when coalesce(deadline,'') = '' or deadline >= '{AS_OF}' then 'open' else 'closed' end status, case when regexp_full_match(coalesce(deadline,''), '\\d{{4}}-\\d{{2}}-\\d{{2}}') then date_diff('day', date '{AS_OF}', try_cast(deadline as date))::int end dday, "
+    "fs >= '2026-04-30T00:00:00' and coalesce(case when regexp_full_match(coalesce(posted_date,''), '\\d{4}-\\d{2}-\\d{2}') then date_diff('day', try_cast(posted_date as date), date '2026-05-01') end <= 2, true) is_new from j) "
+)
+
+
+def _job_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snaps = table(spark, sf_dir, "state_snapshots").where("uid is not null").withColumn("ord", F.struct("delivered_at", "snap_row_id"))
+    return pipelines.job_items(table(spark, sf_dir, "postings"), joining.latest_by(snaps, "uid", "ord", ["first_seen"]), "uid", AS_OF, F.lit("2026-05-01T00:00:00").cast("timestamp"))
+
+
+@query(_JOBS_SQL + "select posting_id, firm, qualification, emp_kind, emp_type, status, dday, first_seen, is_new from k")
+def job_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each job card shows."""
+    return _job_items(spark, sf_dir).select("posting_id", "firm", "qualification", "emp_kind", "emp_type", "status", "dday", "first_seen", "is_new")
+
+
+@query(_JOBS_SQL + "select posting_id, row_number() over (order by case when status = 'open' then 0 else 1 end, coalesce(dday, 1000000), posting_id)::int as place, dday from k qualify place <= 100")
+def jobs_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open first, soonest first: a top-k of the sort."""
+    jobs = _job_items(spark, sf_dir)
+    return ranking.placed(jobs, pipelines.sort_jobs(jobs, "posting_id"), 100).select("posting_id", "place", "dday")
+
+
+@query(_JOBS_SQL + "select posting_id from k where firm in ('accounting','gadam') and qualification = 'trainee' and status = 'open' and dday is not null and contains(lower(coalesce(title,'') || ' ' || coalesce(company,'')), '세무')")
+def open_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facets, open with a deadline, and a keyword in title or company."""
+    return pipelines.jobs_query(_job_items(spark, sf_dir), "posting_id", {"firm": ["accounting", "gadam"], "qualification": ["trainee"], "emp_kind": []}, "open", " 세무 ").select("posting_id")
+
+
+@query(_JOBS_SQL + "select posting_id from k where status = 'open' and dday is null and is_new")
+def standing_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New ones without a deadline."""
+    return pipelines.jobs_query(_job_items(spark, sf_dir), "posting_id", {}, "standing", only_new=True).select("posting_id")
+
+
+@query(_JOBS_SQL + "select posting_id, row_number() over (order by coalesce(nullif(posted_date,''), substr(first_seen,1,10)) desc, first_seen desc, posting_id)::int as place from k where status = 'closed' qualify place <= 200")
+def posted_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed ones by the day they were posted or first seen, newest first: a top-k of the sort."""
+    jobs = pipelines.jobs_query(_job_items(spark, sf_dir), "posting_id", {}, "closed", sort="posted").limit(200)
+    return jobs.select("posting_id", (F.row_number().over(Window.orderBy(*pipelines.posted_order(jobs, "posting_id")))).alias("place"))
+
+
+@query(_JOBS_SQL + ", l(place, label) as (values (0,'accounting'),(1,'tax firm'),(2,'gadam'),(3,'nobody')) select place::int as place, l.label, count(k.posting_id) as n from l left join k on k.firm = l.label and k.status = 'open' and k.dday is not null group by 1, 2")
+def open_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of declared firms among the open ones, zeros included."""
+    return facets.facet(pipelines.jobs_query(_job_items(spark, sf_dir), "posting_id", {}, "open"), "firm", ["accounting", "tax firm", "gadam", "nobody"])
+
+
+@query("select posting_id, source_label || ' ' || coalesce(title,'') || ' / ' || coalesce(nullif(company,''),'-') || ' / ' || coalesce(nullif(deadline,''),'always') || case when coalesce(body_excerpt,'') <> '' then chr(10) || '--' || chr(10) || body_excerpt else '' end as message from (select posting_id, coalesce(source_label,'') source_label, title, company, deadline, body_excerpt from postings)")
+def message_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with fallbacks and the excerpt under a divider."""
+    fallbacks = {"source_label": "", "title": "", "company": "-", "deadline": "always"}
+    return table(spark, sf_dir, "postings").select("posting_id", s.message("{source_label} {title} / {company} / {deadline}", fallbacks, F.col("body_excerpt"), "--").alias("message"))
+
+
+@query("with p as (select posting_id, coalesce(nullif(title,''),'New posting') || ' ' || coalesce(nullif(company,''),'') t, coalesce(nullif(source_label,''),'Jobs') || ' · ' || coalesce(nullif(deadline,''),'always') || ' ' || coalesce(body_excerpt,'') b, coalesce(uid,'') u from postings) select posting_id, substr(t,1,40) as title, substr(b,1,80) as body, case when u = '' then t else u end as tag from p")
+def push_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notifications with fallbacks, cut to their sizes."""
+    fallbacks = {"title": "New posting", "company": "", "source_label": "Jobs", "deadline": "always", "body_excerpt": ""}
+    each = s.payload("{title} {company}", "{source_label} · {deadline} {body_excerpt}", fallbacks, F.col("uid"), 40, 80)
+    return table(spark, sf_dir, "postings").select("posting_id", each.alias("p")).select("posting_id", "p.*")
+
+
+@query("select posting_id, coalesce(nullif(deadline,''),'always') as deadline from postings")
+def deadline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deadlines with a text for those that have none."""
+    return table(spark, sf_dir, "postings").select("posting_id", s.stated(F.col("deadline"), "always").alias("deadline"))
+
+
+@query("select * from (values (0,'deal',0,'feed_deal','a',20),(1,'tax',0,'feed_tax','b',20),(2,'tax',1,'feed_tax_2','c',20),(3,'tax',2,'feed_tax_3','d',20)) v(source_ord, category, pool, source, query, \"limit\")")
+def feed_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds of categories with one or several query pools."""
+    return readers.feed_pools(spark, {"deal": "a", "tax": ["b", "c", "d"]}, "feed_", 20)
+
+
+@query(
+    f"with s as (select source, trust_rank::bigint place, (select count(*) from postings p where p.source = s.source) n from sources s), t as (select count(*) a, count(*) filter (where coalesce(deadline,'') = '' or deadline >= '{AS_OF}') o from postings) "
+    "select place, '- ' || source || ': ' || case when n = 0 then 'failed no rows' else n::varchar end as line from s union all select 2147483648, 'passed ' || a || ' (open ' || o || ', closed ' || (a - o) || ')' from t"
+)
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run prints: a line a source, then totals."""
+    p = table(spark, sf_dir, "postings")
+    found = readers.source_report(p, table(spark, sf_dir, "sources")).join(table(spark, sf_dir, "sources").select("source", F.col("trust_rank").alias("source_ord")), "source")
+    return monitor.run_report(found.withColumn("error", F.when(~F.col("ok"), "no rows")), p.select(F.when(s.is_open(F.col("deadline"), F.lit(AS_OF)), "open").otherwise("closed").alias("status")))
+
+
+@query(
+    "with n as (select source, count(*) c from postings group by 1), a as (select source, count(*) c from articles group by 1) "
+    "select source, now, before, outside, concat_ws(',', case when now = 0 and before > 0 then 'gone' end, case when before >= 3 and now > 0 and now <= before * 0.4 then 'dropped' end, case when outside >= greatest(now * 1.5, now + 3) then 'outside' end) as alerts from "
+    "(select s.source, coalesce(n.c,0) now, coalesce(n.c,0) + trust_rank before, coalesce(a.c,0) + 2 * trust_rank outside from sources s left join n using (source) left join a using (source))"
+)
+def drift_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a run against the last and against a count from outside."""
+    n = lambda t, c: facets.count_by(table(spark, sf_dir, t), "source", name=c)
+    each = table(spark, sf_dir, "sources").select("source", "trust_rank").join(n("postings", "p"), "source", "left").join(n("articles", "a"), "source", "left")
+    now, outside = F.coalesce("p", F.lit(0)), F.coalesce("a", F.lit(0)) + 2 * F.col("trust_rank")
+    counts = each.select("source", now.alias("now"), (now + F.col("trust_rank")).alias("before"), outside.alias("outside"))
+    return monitor.drift(counts).select("source", "now", "before", "outside", F.concat_ws(",", "alerts").alias("alerts"))
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files; times without a zone are UTC, as the session is."""
+    stream = spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
+    return stream.withColumns({c: F.col(c).cast("timestamp") for c, t in stream.dtypes if t == "timestamp_ntz"})
+
+
+def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream gives over all its input, read to the end."""
+    out = new_path(spark, "streamed")
+    run = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, n: batch.withColumn("_batch", F.lit(n)).write.mode("append").parquet(out))
+    run.option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("select user_id, min(ts) as first, max(ts) as last, count(*) as n from events group by 1")
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First, last and number of events of each user by a keyed streaming aggregate, read to the end of the input."""
+    got = _drained(spark, state_stream.running(_stream(spark, sf_dir, "events"), "user_id", "ts"), "update")
+    last = joining.latest_by(got, "user_id", "_batch", ["first", "last", "n"])
+    return last.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
+
+
+@query("select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n from events group by 1, 2")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each type and day by a windowed streaming count with a watermark, the latest state of each window."""
+    got = _drained(spark, state_stream.windowed_counts(_stream(spark, sf_dir, "events"), ["event_type"], "ts", "1 day", "30 days"), "update")
+    return got.groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "event_type").agg(F.max_by("n", "_batch").alias("n"))
+
+
+@query("select distinct user_id from events")
+def stream_seen_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as they are first met in a stream, each once within the watermark."""
+    return _drained(spark, state_stream.first_seen(_stream(spark, sf_dir, "events"), "user_id", "ts", "365 days"), "append").select("user_id")
+
+
+@query(
+    "with o as (select uid, coalesce(arg_max(deadline, (delivered_at, snap_row_id)) filter (where coalesce(deadline,'') <> ''), '') deadline, coalesce(arg_max(posted_date, (delivered_at, snap_row_id)) filter (where coalesce(posted_date,'') <> ''), '') posted_date from state_snapshots where uid is not null group by uid) "
+    f"select uid, deadline, posted_date, '{AS_OF}T08:00:00' as first_seen, '{AS_OF}' as last_seen, false as notified from o where deadline = '' or deadline >= '{AS_OF}'"
+)
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A polling run over a stream: each batch merged into the versioned state, closed rows dropped."""
+    stream = _stream(spark, sf_dir, "state_snapshots").where("uid is not null").withColumn("ord", F.struct("delivered_at", "snap_row_id"))
+    schema = "uid string, deadline string, posted_date string, first_seen string, last_seen string, notified boolean"
+    kept = sinks.Versioned(spark, new_path(spark, "state"))
+    run = state_stream.run_upsert(stream, kept, schema, "uid", "ord", ["deadline", "posted_date"], lambda n: f"{AS_OF}T08:00:00", new_path(spark, "poll"))
+    run.awaitTermination()
+    return kept.read(schema)

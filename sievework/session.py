@@ -32,13 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is unset (tests, local mode) a temporary folder is made and entered as the checkpoint
-    folder of this session; it is removed when the process ends.
+    Only in local mode, where that setting is unset (tests), a temporary folder is made and entered as the checkpoint
+    folder of this session; it is removed when the process ends. On a cluster an unset folder raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="sievework-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         found = f"file://{local}"

@@ -5,7 +5,9 @@ A document that can't be read gives no rows; it never fails the others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import json
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.functions.scalars import ellipsis, native_id, page_url, squeeze, strip_source_tail, text, uid
+from sievework.functions.scalars import ellipsis, iso_dates, native_id, page_url, squeeze, strip_source_tail, text, uid
 from sievework.operators.dedup import first_by, greedy_keys
 from sievework.operators.ranking import cap
 from sievework.schema import POSTING, SUBSCRIBER
@@ -37,9 +39,25 @@ def json_rows(spark: SparkSession, path: str, schema: T.StructType, field: str |
 
 
 def subscriptions(spark: SparkSession, path: str) -> DataFrame:
-    """Subscribers from ``{"subscriptions": [...]}`` or a bare list, those with an endpoint."""
-    wrapped, bare = json_rows(spark, path, SUBSCRIBER, "subscriptions"), json_rows(spark, path, SUBSCRIBER)
-    return wrapped.unionByName(bare).where(text(F.col("endpoint")) != "")
+    """Subscribers from ``{"subscriptions": [...]}`` or a bare list, those with an endpoint; the file is read once."""
+    try:
+        raw = spark.read.text(path, wholetext=True)
+        raw.schema  # noqa: B018 - resolves the path
+    except Exception:  # noqa: BLE001 - no such file
+        return spark.createDataFrame([], SUBSCRIBER)
+    rows = T.ArrayType(SUBSCRIBER)
+    body = F.when(F.ltrim("value").startswith("["), F.from_json("value", rows)).otherwise(F.from_json("value", T.StructType([T.StructField("subscriptions", rows)]))["subscriptions"])
+    each = raw.select(F.explode(body).alias("r")).where("r is not null").select("r.*")
+    return each.where(text(F.col("endpoint")) != "")
+
+
+def keyed_values(pages: DataFrame, prefix: str) -> DataFrame:
+    """key and value of a key-value listing read page by page: pages (page, cursor, keys, values, complete) up to the first
+    complete one, keys of one prefix; the last value of a key counts."""
+    end = pages.agg(F.min(F.when(F.col("complete"), F.col("page"))).alias("end"))
+    each = pages.join(F.broadcast(end)).where(F.col("end").isNull() | (F.col("page") <= F.col("end")))  # one row
+    pairs = each.select("page", F.explode(F.arrays_zip("keys", "values")).alias("p")).where(F.col("p.keys").startswith(prefix))
+    return pairs.groupBy(F.col("p.keys").alias("key")).agg(F.max_by(F.col("p.values"), "page").alias("value"))
 
 
 def rss_items(feeds: DataFrame, xml: str, order: str, limit: int = 75) -> DataFrame:
@@ -54,6 +72,38 @@ def rss_items(feeds: DataFrame, xml: str, order: str, limit: int = 75) -> DataFr
     return cap(rows, ["source"], [F.col(order), F.col("item_ord")], limit)
 
 
+def feed_pools(spark: SparkSession, queries: Mapping[str, str | Sequence[str]], prefix: str, limit: int) -> DataFrame:
+    """Descriptors of feeds: each category's pools in order, the second and later ones with a suffix to their source."""
+    rows = []
+    for category, pools in queries.items():
+        for k, q in enumerate([pools] if isinstance(pools, str) else pools):
+            rows.append((len(rows), category, k, f"{prefix}{category}" + (f"_{k + 1}" if k else ""), q, limit))
+    return spark.createDataFrame(rows, "source_ord int, category string, pool int, source string, query string, limit int")
+
+
+def registry(spark: SparkSession, sources: Sequence[Mapping]) -> DataFrame:
+    """Sources in their fixed order with what each is read by (pattern, skip set, parameters) as one JSON descriptor."""
+    return spark.createDataFrame([(i, s["source"], json.dumps(dict(s), ensure_ascii=False, sort_keys=True)) for i, s in enumerate(sources)], "source_ord int, source string, descriptor string")
+
+
+def script_id(c: Column, call: str) -> Column:
+    """The first argument of a script call in an attribute, null if there is none."""
+    return F.nullif(F.regexp_extract(text(c), re.escape(call) + r"\(\s*'?([^',)\s]+)", 1), F.lit(""))
+
+
+def first_and_last_date(c: Column) -> tuple[Column, Column]:
+    """Posted day and deadline of a text: its first and its last date; a single one is both, none empty."""
+    dates = iso_dates(c)
+    return text(F.try_element_at(dates, F.lit(1))), text(F.try_element_at(dates, F.lit(-1)))
+
+
+def labelled_values(cells: Column, labels: Sequence[str]) -> Column:
+    """Values of a page's label/value table as a map: of each row of cells the one after a label."""
+    pairs = F.flatten(F.transform(cells, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))), lambda i: F.struct(F.try_element_at(r, i).alias("key"), F.try_element_at(r, i + 1).alias("value")))))
+    known = F.filter(pairs, lambda p: p["key"].isin(*labels) & p["value"].isNotNull())
+    return F.aggregate(known, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["key"]), F.create_map(p["key"], p["value"])))
+
+
 class _Links(HTMLParser):
     def __init__(self) -> None:
         super().__init__()
@@ -64,10 +114,14 @@ class _Links(HTMLParser):
         self.in_title = False
         self.cells: list[list[str]] = []
         self.cell: list[str] | None = None
+        self.call = ""
+        self.calls: list[tuple[str, str, int]] = []  # script call and text of a link, and the table row it stands in
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "a":
-            self.href, self.words = dict(attrs).get("href") or "", []
+            own = dict(attrs)
+            self.href, self.words = own.get("href") or "", []
+            self.call = own.get("onclick") or ""
         elif tag == "title":
             self.in_title = True
         elif tag == "tr":
@@ -78,6 +132,8 @@ class _Links(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "a" and self.href is not None:
             self.rows.append((self.href, " ".join("".join(self.words).split())))
+            if self.call:
+                self.calls.append((self.call, self.rows[-1][1], len(self.cells) - 1))
             self.href = None
         elif tag == "title":
             self.in_title = False
@@ -117,6 +173,29 @@ def html_pages(pages: DataFrame, html: str) -> DataFrame:
     return pages.mapInPandas(read, schema)
 
 
+def call_rows(pages: DataFrame, html: str, order: str, call: str) -> DataFrame:
+    """Rows of a list page whose links are script calls: source, native_id (the call's argument), title, cells and text of
+    the table row, in page order; links without an id are left out."""
+    kept = [f for f in pages.schema.fields if f.name != html]
+    schema = T.StructType([*kept, T.StructField("rows", T.ArrayType(T.StructType([T.StructField("call", T.StringType()), T.StructField("title", T.StringType()), T.StructField("cells", T.ArrayType(T.StringType()))])))])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = []
+            for h in b[html]:
+                parser = _Links()
+                try:
+                    parser.feed(h or "")
+                except Exception:  # noqa: BLE001 - what was read so far counts
+                    pass
+                got.append([{"call": c, "title": t, "cells": parser.cells[i] if 0 <= i < len(parser.cells) else []} for c, t, i in parser.calls])
+            yield b.drop(columns=[html]).assign(rows=got)
+
+    each = pages.mapInPandas(read, schema).select("source", F.col(order).alias("page_ord"), F.posexplode("rows").alias("row_ord", "r"))
+    rows = each.select("source", "page_ord", "row_ord", script_id(F.col("r.call"), call).alias("native_id"), squeeze(F.col("r.title")).alias("title"), F.col("r.cells").alias("cells"), F.array_join("r.cells", " ").alias("line"))
+    return rows.where("native_id is not null")
+
+
 def link_rows(pages: DataFrame, html: str, order: str, pattern: str, base: str = "", least: int = 7, most: int = 80, limit: int = 12) -> DataFrame:
     """Links of article pages: href without query by pattern, title long enough, cut with an ellipsis; kept greedily by
     url and title, capped a source."""
@@ -133,13 +212,18 @@ def table_rows(pages: DataFrame, html: str, order: str, columns: Sequence[str],
     return each.select("source", "page_ord", "row_ord", *[F.try_element_at("c", F.lit(i + 1)).alias(n) for i, n in enumerate(columns)])
 
 
-def api_pages(pages: DataFrame, body: str, item: T.StructType, items: str, drop: Column | None = None) -> DataFrame:
-    """Items of JSON API pages up to the first page of a source that is empty or unreadable."""
+def api_pages(pages: DataFrame, body: str, item: T.StructType, items: str, drop: Column | None = None, total: str | None = None, require: str | None = None) -> DataFrame:
+    """Items of JSON API pages up to the first page of a source that is empty or unreadable, or the last by ``total`` (a
+    JSON path to the number of pages, 1 where it is missing); ``require`` names a field without which an item is left out."""
     from pyspark.sql import Window
 
+    if total is not None:
+        pages = pages.where(F.col("page") <= F.coalesce(F.get_json_object(F.col(body), total).try_cast("int"), F.lit(1)))
     parsed = pages.withColumn("_items", F.from_json(F.col(body), T.StructType([T.StructField(items, T.ArrayType(item))]))[items])
     stopped = F.max(F.when(F.coalesce(F.size("_items"), F.lit(0)) <= 0, 1).otherwise(0)).over(Window.partitionBy("source").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
     rows = parsed.withColumn("_stop", stopped).where("_stop = 0").select("source", "page", F.posexplode("_items").alias("item_ord", "i")).select("source", "page", "item_ord", "i.*")
+    if require is not None:
+        rows = rows.where(F.col(require).isNotNull())
     return rows if drop is None else rows.where(~F.coalesce(drop, F.lit(False)))
 
 

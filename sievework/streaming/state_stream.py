@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sievework.operators.state import carry_forward, unexpired, upsert
+from sievework.session import written
 from sievework.sources.sinks import Versioned
 
 
@@ -25,20 +24,8 @@ def windowed_counts(stream: DataFrame, keys: Sequence[str], at: str, width: str,
 
 
 def running(stream: DataFrame, key: str, at: str) -> DataFrame:
-    """first, last and n of each key, updated with every batch by a keyed state."""
-
-    def fold(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        low, high, n = state.get if state.exists else (None, None, 0)
-        for p in parts:
-            t = p[at]
-            low = t.min() if low is None else min(pd.Timestamp(low), t.min())
-            high = t.max() if high is None else max(pd.Timestamp(high), t.max())
-            n += len(p)
-        state.update((low, high, n))
-        yield pd.DataFrame({key: [own[0]], "first": [low], "last": [high], "n": [n]})
-
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, first timestamp, last timestamp, n long", "first timestamp, last timestamp, n long", "update", GroupStateTimeout.NoTimeout)
+    """first, last and n of each key, updated with every batch: a streaming aggregate, so its state lives in the JVM."""
+    return stream.groupBy(key).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
 
 
 def run_upsert(
@@ -53,14 +40,17 @@ def run_upsert(
     deliver: Callable[[DataFrame], None] | None = None,
     grace_days: int = 2,
 ) -> StreamingQuery:
-    """Merge every batch into the versioned state: upsert, deliver what is new and open, expire; all input, then stop."""
+    """Merge every batch into the versioned state: upsert, deliver what is new and open, drop what is closed or unseen
+    beyond the grace; all input, then stop. A batch that comes again after a failure merges to the same state."""
 
     def merge(batch: DataFrame, number: int) -> None:
         now = clock(number)
-        merged = upsert(table.read(schema), batch, key, order, fields, now)
+        merged = written(upsert(table.read(schema), batch, key, order, fields, now), "merged")
         if deliver is not None:
             deliver(unexpired(merged.where("is_new"), now[:10]))
-        table.write(unexpired(merged.drop("is_new"), now[:10]), guard=True)
+        kept = unexpired(merged.drop("is_new"), now[:10])
+        since = F.date_sub(F.lit(now[:10]).cast("date"), grace_days).cast("string")
+        table.write(kept.where(F.coalesce(F.col("last_seen") >= since, F.lit(True))), guard=True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
