@@ -48,20 +48,13 @@ def test_units_cover_all_text(spark):
     assert [tuple(r) for r in st.found(df).collect()] == [(1, 0, 6), (1, 7, 12)]
 
 
-def test_training_learns_joints():
-    lines = [f"The group moved work to {i} p.m. today." for i in range(40)] + [f"We met Dr. Lee {i} times." for i in range(40)] + [f"ฝ่ายบุคคลเลื่อนงาน {i} ครั้ง" for i in range(40)]
-    w = st.train(lines[::2])
-    held = " ".join(lines[1:80:13])
-    assert len(st.decode(held, 0, len(held), w)) in (len(lines[1:80:13]) - 1, len(lines[1:80:13]))
-
-
 def test_suffix_array():
     rng = random.Random(2)
     for _ in range(20):
         docs = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 30))) for _ in range(4)]
         text = "\x00".join(docs) + "\x00"
         codes = np.searchsorted(np.unique(lk._points(text)), lk._points(text))
-        sa = lk.suffix_array(codes, lk._pack(codes, 2))
+        sa = lk.suffix_array(codes, lk._pack(codes, 2, lk.KEY))
         assert sorted(sa.tolist()) == list(range(len(text)))
         ends = [text[i : text.index("\x00", i)] for i in sa.tolist()]
         assert ends == sorted(ends)
