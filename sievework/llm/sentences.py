@@ -107,7 +107,7 @@ def features(c: Context) -> list[str]:
     if c[0] == "joint":
         return [f"joint {c[1]}|", f"joint |{c[2]}", f"joint {c[1][-1:]}|{c[2][:1]}", f"joint {c[1][-1:]}|", f"joint |{c[2][:1]}", "joint"]
     sort, prev, gap, nxt, word = c
-    out = [sort, f"{sort} {gap} {nxt}", f"{sort} {prev} {gap}"]
+    out = [sort, f"{sort} {gap}", f"{sort} {gap} {nxt}", f"{sort} {prev} {gap}"]
     if word:
         out += [f"stop {word}", f"stop {word} {nxt}", f"stop {word} {gap}", f"stop {prev} {word} {gap} {nxt}"]
     return out
@@ -115,7 +115,7 @@ def features(c: Context) -> list[str]:
 
 def steps_of(last: str, sort: str, distance: int) -> list[str]:
     """Features of the transition from the last event's tag to a boundary, over some letters; the tag inside scores 0."""
-    return [f"{last}>B", f"{last}>B {min(distance.bit_length(), 7)}", f"{last}>B {sort}"]
+    return [f"{last}>B", f"{last}>B {'near' if distance < 4 else 'far'}"]
 
 
 class Scorer:
@@ -124,7 +124,7 @@ class Scorer:
     def __init__(self, weights: dict[str, float], keep: int = 200_000):
         self.weights, self.keep = weights, keep
         self.known: dict[Context, float] = {}
-        self.steps: dict[tuple[str, str, int], float] = {}
+        self.steps: dict[tuple[str, str, bool], float] = {}
 
     def boundary(self, c: Context) -> float:
         got = self.known.get(c)
@@ -135,7 +135,7 @@ class Scorer:
         return got
 
     def step(self, last: str, sort: str, distance: int) -> float:
-        key = (last, sort, min(distance.bit_length(), 7))
+        key = (last, sort, distance < 4)
         got = self.steps.get(key)
         if got is None:
             got = self.steps[key] = sum(self.weights.get(f, 0.0) for f in steps_of(last, sort, distance))
@@ -314,11 +314,11 @@ def script(line: str) -> str:
     return max(("spaced", "cjk", "deva", "hangul", "lower"), key=kinds.count)
 
 
-def joined(lines: list[str], kind: str, strip: bool, lower: bool) -> tuple[str, set[int]]:
+def joined(lines: list[str], kind: str, strip: bool, lower: bool, tight: bool = False) -> tuple[str, set[int]]:
     """Lines of one sentence each as one text with the positions of their ends, but the last."""
     parts = [STRIP.sub("", x).strip() if strip else x for x in lines]
     parts = [x.lower() if lower else x for x in parts if x]
-    glue = "" if kind == "cjk" else " "
+    glue = "" if kind == "cjk" or tight else " "
     text, want = "", set()
     for x in parts[:-1]:
         text += x
@@ -329,7 +329,7 @@ def joined(lines: list[str], kind: str, strip: bool, lower: bool) -> tuple[str,
 
 def samples(lines: list[str], size: int, rng: random.Random) -> list[tuple[str, set[int], bool]]:
     """Joined texts to learn from: of spaced scripts stripped, of Chinese and Japanese as they are and stripped, of others
-    as they are and in lower case."""
+    as they are and a few in lower case, a few without a blank between."""
     by: dict[tuple[str, bool, bool], list[str]] = defaultdict(list)  # lines of one language are joined
     for line in lines:
         by[script(line), bool(re.search("[가-힣\u3040-\u30ff]", line)), len(GERMAN & set(line.lower().split())) > 0].append(line)
@@ -343,7 +343,7 @@ def samples(lines: list[str], size: int, rng: random.Random) -> list[tuple[str,
             elif kind == "cjk":
                 out += [(*joined(some, kind, False, False), False), (*joined(some, kind, True, False), True)]
             else:
-                out.append((*joined(some, kind, False, rng.random() < 0.05), False))
+                out.append((*joined(some, kind, False, rng.random() < 0.05, rng.random() < 0.1), False))
     rng.shuffle(out)
     return out
 
