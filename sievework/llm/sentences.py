@@ -21,6 +21,7 @@ import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,6 +51,7 @@ _WORD = re.compile(r"[^\s\d.\"“„‘「(（&]+(?:\.[^\s\d.]+)*$")
 WEIGHTS = json.loads(pkgutil.get_data("sievework.llm", "sentence_weights.json") or b"{}")
 
 
+@lru_cache(20_000)
 def _kind(ch: str) -> str:
     """Class of a character; empty: the text's end."""
     if not ch:
@@ -153,6 +155,15 @@ def _joints(text: str, start: int, stop: int) -> list[tuple[int, int, str]]:
     return [(m.start(), m.start(), "joint") for m in JOINT.finditer(text, start + 1, stop)]
 
 
+_IN, _END = (None, "I"), (None, "B")
+
+
+def _put(paths: dict, key: tuple, value: float, trail: tuple | None) -> None:
+    old = paths.get(key)
+    if old is None or value > old[0]:
+        paths[key] = (value, trail)
+
+
 def decode(text: str, start: int, stop: int, scorer: Scorer, want: set[int] | None = None, stripped: bool = False) -> tuple[list[int], list[tuple]]:
     """Boundaries inside text[start:stop] on the best path, whose end is one by itself, and the path's steps.
 
@@ -172,21 +183,6 @@ def decode(text: str, start: int, stop: int, scorer: Scorer, want: set[int] | No
     for lo, hi, kind in events:
         new: dict[tuple[str | None, str], tuple[float, tuple | None]] = {}
 
-        def put(key: tuple, value: float, trail: tuple | None, new: dict = new) -> None:
-            if key not in new or value > new[key][0]:
-                new[key] = (value, trail)
-
-        def tags(key: tuple, value: float, trail: tuple | None, c: Context, place: int, distance: int, put=put) -> None:
-            """Continue a path outside quotations with either tag."""
-            if place >= stop:  # the block's end is a boundary by itself
-                put((None, key[1]), value, trail)
-                return
-            for tag in "IB":
-                if want is not None and (tag == "B") != (place in want):
-                    continue
-                s = scorer.step(key[1], c[0], distance) + scorer.boundary(c) if tag == "B" else 0.0
-                put((None, tag), value + s, (place if tag == "B" else None, c, key[1], distance, trail))
-
         if kind in ("end", "gap", "joint"):
             if kind == "end" and len(paths) <= 2 and all(k[0] is None for k in paths):
                 while hi < stop and block[hi] == "'":
@@ -195,29 +191,38 @@ def decode(text: str, start: int, stop: int, scorer: Scorer, want: set[int] | No
                 c, place = ("joint", block[max(start, lo - 2) : lo], block[lo : lo + 2]), lo
             else:
                 c, place = context(block, start, lo, hi, german), lo if kind == "gap" else hi
+            score, distance = scorer.boundary(c), lo - at
             for key, (value, trail) in paths.items():
-                if key[0] is None:
-                    tags(key, value, trail, c, place, lo - at)
+                if key[0] is not None or place >= stop:  # the block's end is a boundary by itself
+                    _put(new, key, value, trail)
                 else:
-                    put(key, value, trail)
+                    if want is None or place not in want:
+                        _put(new, _IN, value, (None, c, key[1], distance, trail))
+                    if want is None or place in want:
+                        _put(new, _END, value + score + scorer.step(key[1], c[0], distance), (place, c, key[1], distance, trail))
             at = hi
         else:
             mark = block[lo:hi]
             apostrophe = mark == "’" and lo > start and block[lo - 1].isalpha() and hi < stop and block[hi].isalpha() and _kind(block[hi]) in ("lower", "upper")
+            loose = UNMATCHED + scorer.boundary(("unmatched", mark))
             for key, (value, trail) in paths.items():
                 if apostrophe:
-                    put(key, value, trail)
+                    _put(new, key, value, trail)
                     continue
-                put(key, value + UNMATCHED + scorer.boundary(("unmatched", mark)), (None, ("unmatched", mark), key[1], 0, trail))
+                _put(new, key, value + loose, (None, ("unmatched", mark), key[1], 0, trail))
                 if key[0] == mark:  # closes
-                    if block[lo - 1] in ".!?…" or block[lo - 1] in WIDE:
-                        tags((None, key[1]), value, trail, context(block, start, lo, hi, german), hi, lo - at)
+                    if hi < stop and (block[lo - 1] in ".!?…" or block[lo - 1] in WIDE):
+                        c, distance = context(block, start, lo, hi, german), lo - at
+                        if want is None or hi not in want:
+                            _put(new, _IN, value, (None, c, key[1], distance, trail))
+                        if want is None or hi in want:
+                            _put(new, _END, value + scorer.boundary(c) + scorer.step(key[1], c[0], distance), (hi, c, key[1], distance, trail))
                     else:
-                        put((None, key[1]), value, trail)
+                        _put(new, (None, key[1]), value, trail)
                 elif key[0] is None and mark in PAIR:
-                    put((PAIR[mark], key[1]), value, trail)
+                    _put(new, (PAIR[mark], key[1]), value, trail)
                 elif key[0] is not None and mark in PAIR and kind != "both":
-                    put(key, value - 0.5, trail)  # a bracket inside a quotation
+                    _put(new, key, value - 0.5, trail)  # a bracket inside a quotation
         paths = new or paths
     ends = []
     for (mark, last), (value, trail) in paths.items():
