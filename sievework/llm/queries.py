@@ -48,6 +48,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+@query
+def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks with the letters held, the longest verbatim match and its place."""
+    return leakage.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 @query
 def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = leakage.clean(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))

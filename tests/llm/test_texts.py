@@ -129,3 +129,62 @@ def test_mixture(spark):
     assert report["a"]["share"] == pytest.approx(7 / 9, abs=0.02) and report["b"]["share"] == pytest.approx(2 / 9, abs=0.02)
     assert report["b"]["repeats"] <= 5 and report["c"]["tokens"] == 0
     assert mx.mixture(d.where("doc_id < 0"), t).collect() == []
+
+
+def _corpus(rng, words, n):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def test_long_documents_and_item_blocks(spark, monkeypatch):
+    """A document cut into overlapping pieces and items in several blocks give what whole ones give."""
+    rng = random.Random(9)
+    words = [f"word{i:03d}" for i in range(400)]
+    items = [(k, _corpus(rng, words, 30)) for k in range(6)]
+    texts = [(1, _corpus(rng, words, 300) + " " + items[0][1] + " " + _corpus(rng, words, 500) + " " + items[3][1] + " " + _corpus(rng, words, 300)), (2, items[1][1]), (3, _corpus(rng, words, 50)), (4, items[4][1][: len(items[4][1]) // 2] + " inserted here " + items[4][1][len(items[4][1]) // 2 :])]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    e = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, lk.matches(d, e).collect()))
+    assert [(r[0], r[1]) for r in want] == [(1, 0), (1, 3), (2, 1), (4, 4)]
+    assert sorted(map(tuple, lk.matches(d, e, shard_chars=1000).collect())) == want
+    monkeypatch.setattr(lk, "BLOCK_CHARS", 500)
+    assert sorted(map(tuple, lk.matches(d, e).collect())) == want
+    assert sorted(map(tuple, lk.matches(d, e, shard_chars=1000).collect())) == want
+
+
+def test_six_thousand_letters():
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + i) for i in range(6000)]
+    items = [(k, "".join(rng.choice(letters) for _ in range(60))) for k in range(3)]
+    docs = ["".join(letters), "".join(rng.choice(letters) for _ in range(500)) + items[1][1] + "".join(rng.choice(letters) for _ in range(500))]
+    got = sorted(zip(*(x.tolist() for x in lk.shard_matches(docs, lk.Items(items)))))
+    assert got == [(1, 1, 0, 500, 60)]
+
+
+def test_chain_against_all_pairs():
+    def plain(matches):
+        matches = sorted(set(matches), key=lambda m: (m[1], m[0], m[2]))
+        best = []
+        for a, d, n in matches:
+            most = n
+            for k, (pa, pd, pn) in enumerate(matches[: len(best)]):
+                skip = max(0, pa + pn - a, pd + pn - d)
+                if skip < n and d - pd - pn <= lk.APART and pa <= a:
+                    most = max(most, best[k] + n - skip)
+            best.append(most)
+        return max(best, default=0)
+
+    rng = random.Random(6)
+    for _ in range(60):
+        matches = [(rng.randrange(300), rng.randrange(3000), rng.randrange(5, 60)) for _ in range(rng.randrange(0, 40))]
+        assert lk.chain(matches) == plain(matches)
+
+
+def test_short_matches_that_hold_most_of_an_item_count(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(30)]
+    item = "".join(words)
+    changed = "".join(w if i % 3 else "zz" + w[2:] for i, w in enumerate(words))  # every match is short
+    d = spark.createDataFrame([(1, changed), (2, item[:70])], "doc_id long, text string")
+    e = spark.createDataFrame([(5, item)], "item_id long, text string")
+    row = lk.matches(d, e).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in row] == [(1, 5)] and row[0]["longest"] < lk.LEAST["latin"] * 2
