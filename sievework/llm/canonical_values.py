@@ -6,6 +6,10 @@ its last syllable). A value is read whole, then in parts (brackets, separators,
 reading walks the trie as a Levenshtein automaton with transpositions that returns all entries within a distance that
 depends on its length. The entry at least distance of the longest reading is the one meant; none: 0.
 
+An answer's rank (exact before near before inside a word, then reading, edits and id) is compared over all blocks of the
+reference, so the result doesn't depend on their size. ``within`` gives all entries within the distance. Aliases are data:
+the reference's own column and, if given, a table of further ones (``with_aliases``).
+
 Defined results: null and blank values are no case; a value that is exactly a name isn't either; equal values get equal
 entries; among entries at the same distance the smallest id is taken; an empty reference leaves every value unmatched.
 """
@@ -20,18 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.session import task_count
+from sievework.operators.joining import lookup
+from sievework.session import task_count, written
 
 BLOCK_ENTRIES = 50_000  # entries in one trie; a longer reference is searched in blocks
 FIELDS = ("company", "emp_type", "category")
-# Legal forms and tails of firm names, and further names of entries by field.
+# Legal forms of firm names, and tails of theirs with their short forms.
 LEGAL = re.compile(r"\((?:주|유|재|사)\)|㈜|주식회사|유한회사|유한책임회사|\bco\.?,? ?ltd\.?|\b(?:inc|llc|ltd|corp|gmbh)\b\.?", re.I)
 SUFFIXES = ["회계법인", "세무법인", "세무회계", "자산운용", "감사반", "캐피탈", "홀딩스", "테크", "산업", "물산"]
 SHORT = {"회계법인": ["회계"], "세무법인": ["세무"], "세무회계": ["세무", "회계"], "자산운용": ["운용", "자산"]}
-MORE = {
-    "emp_type": {"정규직": ["정규", "fulltime"], "계약직": ["fixedterm"], "인턴": ["internship"], "파트타임": ["parttime"], "프리랜서": ["freelancer", "프리"], "파견직": ["파견근로"], "수습": ["실무수습"]},
-    "category": {"신입": ["entry", "entrylevel", "newgrad"], "경력": ["experiencedhire"], "경력무관": ["경력사항무관"], "신입·경력": ["경력신입", "신입및경력", "경력및신입", "entryexperienced", "experiencedentry"]},
-}
 MARKUP = re.compile(r"<[^<>]*>|&(?:nbsp|amp|quot|lt|gt);")
 PARTS = re.compile(r"[()\[\]{}【】『』「」“”\"'/|,;:·~]|\s-\s|-")
 _INSIDE = 2  # least syllables of an alias found inside a word
@@ -107,7 +108,8 @@ class Reference:
             inside = self.inside.setdefault(field, {})
             given = [x for x in (name, name_en, *(aliases or "").split(";")) if x and x.strip()]
             for path in map(flat, given):
-                trie.add(jamo(path), ref)
+                short = field != "company" and len(path) <= 2 and path != flat(name or "")
+                trie.add(jamo(path), ref, near=not short)
             if field == "company":
                 own = flat(name or "")
                 for suffix in SUFFIXES:
@@ -118,43 +120,53 @@ class Reference:
                             trie.add(jamo(stem + tail), ref, near=False)
                         break
             else:
-                more = MORE.get(field, {}).get(name or "", [])
-                if name and name.endswith("직"):
-                    more = [*more, name[:-1]]
-                for path in map(flat, more):
+                tails = [name[:-1]] if name and name.endswith("직") else []
+                for path in map(flat, tails):
                     trie.add(jamo(path), ref, near=len(path) > 2)
-                for path in map(flat, [*given, *more]):
-                    if len(path) >= _INSIDE:
-                        inside.setdefault(path, ref)
+                for path in map(flat, [*given, *tails]):
+                    if len(path) >= _INSIDE and (path not in inside or ref < inside[path]):
+                        inside[path] = ref
 
-    def search(self, field: str, value: str) -> tuple[int, int]:
-        """(entry, edits) of a value, (0, -1) if none is meant."""
+    def ranked(self, field: str, value: str) -> tuple[tuple[int, int, int, int], int, int]:
+        """(rank, entry, edits) of a value: the lower rank over several references is the answer of all of them together.
+
+        Rank: 0, number of the first reading that is an entry's path, 0, entry; 1, edits, letters of the reading (less is
+        more), entry; 2, place and letters of an alias inside the value, entry; 3 if none is meant.
+        """
         trie = self.tries.get(field)
+        best: tuple[tuple[int, int, int, int], int, int] = ((3, 0, 0, 0), 0, -1)
         if trie is None:
-            return 0, -1
-        best: tuple | None = None
-        for reading in readings(value):
+            return best
+        for k, reading in enumerate(readings(value)):
             letters = jamo(reading)
-            most = distance_for(len(letters))
-            for entry, e in trie.within(letters, most).items():
-                key = (e, -len(reading), entry)
-                if best is None or key < best:
-                    best = key
+            for entry, e in trie.within(letters, distance_for(len(letters))).items():
+                best = min(best, ((0, k, 0, entry) if e == 0 else (1, e, -len(reading), entry), entry, e))
             if reading != (single := re.sub(r"([가-힣])\1", r"\1", reading)):
-                for entry, _ in trie.within(jamo(single), 0).items():
-                    key = (1, -len(reading), entry)
-                    best = key if best is None or key < best else best
-            if best is not None and best[0] == 0:
-                break
-        if best is not None:
-            return best[2], best[0]
-        hits = []
-        words = flat(value)
-        for path, entry in self.inside.get(field, {}).items():
-            at = words.find(path)
-            if at >= 0:
-                hits.append((at, -len(path), entry))
-        return (min(hits)[2], 0) if hits else (0, -1)
+                for entry in trie.within(jamo(single), 0):
+                    best = min(best, ((1, 1, -len(reading), entry), entry, 1))
+            if best[0][0] == 0:
+                return best
+        if best[0][0] == 3:
+            whole = flat(value)
+            for path, entry in self.inside.get(field, {}).items():
+                at = whole.find(path)
+                if at >= 0:
+                    best = min(best, ((2, at, -len(path), entry), entry, 0))
+        return best
+
+    def search(self, field: str, value: str) -> tuple[int, int]:
+        """(entry, edits) of a value, (0, -1) if none is meant."""
+        return self.ranked(field, value)[1:]
+
+    def within(self, field: str, value: str) -> dict[int, int]:
+        """All entries within the distance of any reading of a value, with the least edits."""
+        out: dict[int, int] = {}
+        trie = self.tries.get(field)
+        for reading in readings(value) if trie is not None else []:
+            letters = jamo(reading)
+            for entry, e in trie.within(letters, distance_for(len(letters))).items():
+                out[entry] = min(e, out.get(entry, e))
+        return out
 
 
 def readings(value: str) -> list[str]:
@@ -172,11 +184,11 @@ def readings(value: str) -> list[str]:
     return [x for x in dict.fromkeys(out) if x]
 
 
-def _blocks(reference: DataFrame) -> Iterator[list[tuple]]:
-    block = []
+def _blocks(reference: DataFrame, size: int = BLOCK_ENTRIES) -> Iterator[list[tuple]]:
+    block: list[tuple] = []
     for r in reference.select("ref_id", "field", "name", "name_en", "aliases").toLocalIterator():
         block.append(tuple(r))
-        if len(block) == BLOCK_ENTRIES:
+        if len(block) == size:
             yield block
             block = []
     yield block
@@ -190,40 +202,74 @@ def all_entries(reference: DataFrame, most: int = 1_000_000) -> list[tuple]:
     return out
 
 
-def matched(values: DataFrame, reference: DataFrame) -> DataFrame:
-    """field, value, ref_id and edits of distinct field and value."""
-    every = None
-    for block in _blocks(reference):
+def with_aliases(reference: DataFrame, more: DataFrame) -> DataFrame:
+    """The reference with further aliases (field, name, alias) added to its own."""
+    added = more.groupBy(F.col("field").alias("_f"), F.col("name").alias("_n")).agg(F.concat_ws(";", F.array_sort(F.collect_set("alias"))).alias("_more"))
+    joined = reference.join(added, (F.col("field") == F.col("_f")) & (F.col("name") == F.col("_n")), "left")
+    whole = F.concat_ws(";", F.nullif(F.col("aliases"), F.lit("")), F.col("_more"))
+    return joined.withColumn("aliases", F.nullif(whole, F.lit(""))).select(*reference.columns)
+
+
+def matched(values: DataFrame, reference: DataFrame, block_entries: int | None = None) -> DataFrame:
+    """The rows of ``values`` (field, value and others) with ref_id and edits."""
+    every, blocks, kept = None, 0, [f"{c} {t}" for c, t in values.dtypes]
+    for block in _blocks(reference, block_entries or BLOCK_ENTRIES):
         if not block and every is not None:
             break
         own = Reference(block)
 
         def search(batches: Iterator[pa.RecordBatch], own: Reference = own) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                fields, texts = b.column("field").to_pylist(), b.column("value").to_pylist()
-                got = [own.search(f, v) for f, v in zip(fields, texts)]
-                yield pa.record_batch([b.column("field"), b.column("value"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32())], names=["field", "value", "ref_id", "edits"])
+                got = [own.ranked(f, v) for f, v in zip(b.column("field").to_pylist(), b.column("value").to_pylist())]
+                rank = pa.array([list(g[0]) for g in got], pa.list_(pa.int64()))
+                yield pa.record_batch([*b.columns, rank, pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int32())], names=[*b.schema.names, "rank", "ref_id", "edits"])
 
-        part = values.mapInArrow(search, "field string, value string, ref_id long, edits int")
-        every = part if every is None else every.unionByName(part)
-    rank = F.struct(F.when(F.col("ref_id") == 0, 99).otherwise(F.col("edits")), "ref_id")
-    return every.groupBy("field", "value").agg(F.min_by(F.struct("ref_id", "edits"), rank).alias("m")).select("field", "value", "m.*")
+        part = values.mapInArrow(search, ", ".join([*kept, "rank array<long>", "ref_id long", "edits int"]))
+        every, blocks = part if every is None else every.unionByName(part), blocks + 1
+    if blocks == 1:  # nothing to compare
+        return every.drop("rank")
+    return every.groupBy(*values.columns).agg(F.min_by(F.struct("ref_id", "edits"), "rank").alias("m")).select(*values.columns, "m.*")
 
 
-def found(postings: DataFrame, reference: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """posting_id, field and ref_id of every typed value that is not blank and not exactly a name."""
+def cases(postings: DataFrame, reference: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """posting_id, field and value of every typed value that is not blank and not exactly a name."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
     typed = postings.select("posting_id", each.alias("v")).select("posting_id", "v.*").where(F.regexp_replace("value", r"(?U)[\s​]+", "") != "")
     names = reference.select(F.col("field").alias("_f"), F.col("name").alias("_n")).where(F.col("_n").isNotNull())
-    cases = typed.join(names, (F.col("field") == F.col("_f")) & (F.col("value") == F.col("_n")), "left_anti")
-    distinct = cases.select("field", "value").distinct().repartition(task_count(postings.sparkSession))
-    answers = matched(distinct, reference)
-    keyed = answers.select(F.col("field").alias("_f"), F.col("value").alias("_v"), "ref_id")
-    return cases.join(keyed, (F.col("field") == F.col("_f")) & (F.col("value") == F.col("_v"))).select("posting_id", "field", "ref_id")
+    return typed.join(names, (F.col("field") == F.col("_f")) & (F.col("value") == F.col("_n")), "left_anti")
+
+
+def answers(typed: DataFrame, reference: DataFrame, block_entries: int | None = None) -> DataFrame:
+    """field, value, n (cases that have it), ref_id and edits of the distinct values."""
+    distinct = typed.groupBy("field", "value").agg(F.count("*").alias("n")).repartition(task_count(typed.sparkSession))
+    return matched(distinct, reference, block_entries)
+
+
+def found(postings: DataFrame, reference: DataFrame, fields: tuple[str, ...] = FIELDS, block_entries: int | None = None) -> DataFrame:
+    """posting_id, field and ref_id of every case."""
+    typed = cases(postings, reference, fields).withColumn("_key", F.concat_ws("\x1f", "field", "value"))
+    known = written(answers(typed, reference, block_entries).withColumn("_key", F.concat_ws("\x1f", "field", "value")), "answers")
+    return lookup(typed, known, "_key", ["ref_id"], "n").select("posting_id", "field", "ref_id")
 
 
 def unmatched(postings: DataFrame, reference: DataFrame) -> DataFrame:
     """field, value and postings of every typed value that means no entry."""
-    rows = found(postings, reference).where("ref_id = 0")
-    value = F.when(F.col("field") == "company", F.col("company")).when(F.col("field") == "emp_type", F.col("emp_type")).otherwise(F.col("category"))
-    return rows.join(postings.select("posting_id", *FIELDS), "posting_id").groupBy("field", value.alias("value")).agg(F.count("*").alias("postings"))
+    return answers(cases(postings, reference), reference).where("ref_id = 0").select("field", "value", F.col("n").alias("postings"))
+
+
+def entries(postings: DataFrame, reference: DataFrame) -> DataFrame:
+    """field, value, ref_id and edits of all entries within the distance of each distinct typed value."""
+    distinct = cases(postings, reference).select("field", "value").distinct().repartition(task_count(postings.sparkSession))
+    every = None
+    for block in _blocks(reference, BLOCK_ENTRIES):
+        own = Reference(block)
+
+        def search(batches: Iterator[pa.RecordBatch], own: Reference = own) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [(f, v, *x) for f, v in zip(b.column("field").to_pylist(), b.column("value").to_pylist()) for x in own.within(f, v).items()]
+                cols = list(zip(*rows)) or [[]] * 4
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), pa.int64(), pa.int32()])], names=["field", "value", "ref_id", "edits"])
+
+        part = distinct.mapInArrow(search, "field string, value string, ref_id long, edits int")
+        every = part if every is None else every.unionByName(part)
+    return every

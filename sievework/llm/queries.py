@@ -60,14 +60,33 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "source", "n_chars")
 
 
+# Further names of entries, beside the reference's own aliases: data of this deployment.
+ALIASES = [
+    ("emp_type", "정규직", "정규;fulltime"), ("emp_type", "계약직", "fixedterm"), ("emp_type", "인턴", "internship"), ("emp_type", "파트타임", "parttime"),
+    ("emp_type", "프리랜서", "freelancer;프리"), ("emp_type", "파견직", "파견근로"), ("emp_type", "수습", "실무수습"),
+    ("category", "신입", "entry;entrylevel;newgrad"), ("category", "경력", "experiencedhire"), ("category", "경력무관", "경력사항무관"),
+    ("category", "신입·경력", "경력신입;신입및경력;경력및신입;entryexperienced;experiencedentry"),
+]
+
+
+def ref_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_values.with_aliases(table(spark, sf_dir, "ref_values"), spark.createDataFrame(ALIASES, "field string, name string, alias string"))
+
+
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical_values.found(table(spark, sf_dir, "postings"), table(spark, sf_dir, "ref_values"))
+    return canonical_values.found(table(spark, sf_dir, "postings"), ref_values(spark, sf_dir))
 
 
 @query
 def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical_values.unmatched(table(spark, sf_dir, "postings"), table(spark, sf_dir, "ref_values"))
+    return canonical_values.unmatched(table(spark, sf_dir, "postings"), ref_values(spark, sf_dir))
+
+
+@query
+def p2_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries within the distance of each typed value."""
+    return canonical_values.entries(table(spark, sf_dir, "postings"), ref_values(spark, sf_dir))
 
 
 @query

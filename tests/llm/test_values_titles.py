@@ -92,3 +92,41 @@ def test_no_titles(spark):
     p = spark.createDataFrame([], "posting_id long, title string")
     a = spark.createDataFrame([(1, None)], "article_id long, title string")
     assert tc.found(p, a).collect() == [] and tc.counts(p, a).collect() == []
+
+
+VALUES = ["경력·신입", "신입 또는 경력", "경력무관(신입 가능)", "인턴(정규직 전환)", "정규 사원", "하계인턴십", "가람솔", "가람설회게법인", "나루미 테크 가람솔회계법인", "Daonbyeol", "없음", "무관", "신입경력무관"]
+
+
+@pytest.mark.parametrize("size", [1, 3, 10, 100])
+def test_answers_do_not_depend_on_blocks(spark, size):
+    """An alias inside a word, ties and readings of different length: each block ranks as the whole list does."""
+    whole = cv.Reference(ENTRIES)
+    values = [(f, v) for f in cv.FIELDS for v in VALUES]
+    want = {(f, v): whole.search(f, v) for f, v in values}
+    ref = spark.createDataFrame(ENTRIES, "ref_id long, field string, name string, name_en string, aliases string")
+    df = spark.createDataFrame(values, "field string, value string")
+    got = {(r["field"], r["value"]): (r["ref_id"], r["edits"]) for r in cv.matched(df, ref, size).collect()}
+    assert got == want and len({x for x, _ in want.values()}) > 5
+
+
+def test_all_entries_within_the_distance(spark):
+    near = [(1, "company", "가람솔회계법인", None, None), (2, "company", "가람술회계법인", None, None), (3, "company", "나루미테크", None, None)]
+    ref = spark.createDataFrame(near, "ref_id long, field string, name string, name_en string, aliases string")
+    df = spark.createDataFrame([(1, "가람설회계법인", None, None), (2, "바두리", None, None)], "posting_id long, company string, emp_type string, category string")
+    assert sorted(map(tuple, cv.entries(df, ref).collect())) == [("company", "가람설회계법인", 1, 1), ("company", "가람설회계법인", 2, 1)]
+    for value in VALUES:
+        own = cv.Reference(ENTRIES).within("company", value)
+        for reading in cv.readings(value):
+            letters = cv.jamo(reading)
+            for entry, name in ((1, "가람솔회계법인"), (2, "나루미테크")):
+                if (e := lev(letters, cv.jamo(name))) <= cv.distance_for(len(letters)):
+                    assert own[entry] <= e
+
+
+def test_aliases_are_data(spark):
+    ref = spark.createDataFrame(ENTRIES, "ref_id long, field string, name string, name_en string, aliases string")
+    more = spark.createDataFrame([("emp_type", "정규직", "perm"), ("emp_type", "정규직", "staff;payroll"), ("company", "정규직", "x")], "field string, name string, alias string")
+    wide = cv.with_aliases(ref, more)
+    assert wide.columns == ref.columns and wide.count() == ref.count()
+    df = spark.createDataFrame([(1, None, "payroll", None)], "posting_id long, company string, emp_type string, category string")
+    assert [r["ref_id"] for r in cv.found(df, wide).collect()] == [4] and [r["ref_id"] for r in cv.found(df, ref).collect()] == [0]
