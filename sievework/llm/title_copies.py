@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.operators.joining import lookup
 from sievework.session import task_count, written
 
 LIMIT = 20000
@@ -199,8 +200,9 @@ def titles(postings: DataFrame, articles: DataFrame) -> DataFrame:
 def found(postings: DataFrame, articles: DataFrame, limit: int = LIMIT) -> DataFrame:
     """record_kind, keeper_id and copy_id of every title copy."""
     rows = written(with_canonical(titles(postings, articles)), "titles")
-    several = groups(rows, limit).where("n > 1").select("canon", "keeper")
-    return rows.join(several, "canon").where(F.col("id") != F.col("keeper")).select(
+    several = written(groups(rows, limit).where("n > 1"), "title-groups")
+    joined = lookup(rows, several, "canon", ["keeper"], "n")  # a title of millions of copies isn't one task
+    return joined.where(F.col("id") != F.col("keeper")).select(
         F.col("kind").alias("record_kind"), F.col("keeper").alias("keeper_id"), F.col("id").alias("copy_id")
     )
 

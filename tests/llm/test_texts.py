@@ -188,3 +188,19 @@ def test_short_matches_that_hold_most_of_an_item_count(spark):
     e = spark.createDataFrame([(5, item)], "item_id long, text string")
     row = lk.matches(d, e).collect()
     assert [(r["doc_id"], r["item_id"]) for r in row] == [(1, 5)] and row[0]["longest"] < lk.LEAST["latin"] * 2
+
+
+def test_shares_meet_targets_within_a_document(spark):
+    """Each source's tokens are within its largest document of its target share of the total, no source repeated too often."""
+    rng = random.Random(12)
+    docs = [(i, " ".join(rng.choice(["tax", "audit", "fee"]) for _ in range(rng.randrange(1, 60))), "abcd"[min(3, i % 7)]) for i in range(400)]
+    targets = [("a", 0.5, 4), ("b", 0.3, 2), ("c", 0.15, 3), ("d", 0.05, 1), ("none", 0.0, 1)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
+    sizes = {r["source"]: r["m"] for r in mx.token_counts(d).groupBy("source").agg({"tokens": "max"}).withColumnRenamed("max(tokens)", "m").collect()}
+    mixed = mx.mixture(d, t)
+    got = {r["source"]: r for r in mx.shares(mixed, t).collect()}
+    total = sum(r["tokens"] for r in got.values())
+    for source, share, repeats in targets[:4]:
+        assert abs(got[source]["tokens"] - share * total) <= 2 * max(sizes.values()) and got[source]["repeats"] <= repeats
+    assert total > 0 and any(got[s]["repeats"] == r for s, _, r in targets[:4])  # the total can't be larger
