@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.operators.timestamps import interpret, normal_form
+from sievework.operators.timestamps import interpret, normal_form, plain_day, plain_second
 from sievework.session import written
 
 P1, P2, P3, P4, P5 = (  # fixed values: the primes of the 64-bit xxHash
@@ -96,9 +96,13 @@ def latest(snapshots: DataFrame) -> DataFrame:
     )
     for name in ("deadline", "first_seen"):
         kept = [c for c in best.columns]
-        read = interpret(best.withColumns({"text": F.col(name), "zone": F.lit("UTC")}))
+        # what is in plain form already isn't read: a null text passes all patterns unevaluated
+        plain = plain_day(F.col(name)) if name == "deadline" else plain_second(F.col(name))
+        marked = best.withColumn("is_plain", plain)
+        read = interpret(marked.withColumns({"text": F.when(~F.col("is_plain") & (F.col(name) != ""), F.col(name)), "zone": F.lit("UTC")}))
         first = F.try_element_at("all", F.lit(1))
-        form = normal_form(first["ep"], F.lit(name == "deadline"))
+        as_is = F.col(name) if name == "deadline" else F.concat(F.col(name), F.lit("Z"))
+        form = F.when(F.col("is_plain"), as_is).otherwise(normal_form(first["ep"], F.lit(name == "deadline")))
         best = read.withColumn(name, F.coalesce(form, F.trim(F.coalesce(F.col(name), F.lit(""))))).select(*kept)
     value = F.xxhash64(F.length("deadline"), "deadline", "first_seen")
     return best.withColumns({"k1": F.xxhash64("uid"), "k2": F.xxhash64(F.lit("second"), "uid"), "v": value})

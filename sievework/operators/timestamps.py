@@ -126,6 +126,16 @@ def interpret(df: DataFrame, default_zone: str = "UTC") -> DataFrame:
     return df.withColumn("all", F.array_compact(every)).drop(*[c for c in df.columns if c.startswith("_")])
 
 
+def plain_day(c: Column) -> Column:
+    """Whether a text is a real date written yyyy-mm-dd: nothing is left to interpret."""
+    return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}$") & c.try_cast("date").isNotNull(), F.lit(False))
+
+
+def plain_second(c: Column) -> Column:
+    """Whether a text is a real time written yyyy-mm-ddThh:mm:ss, without a zone."""
+    return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$") & c.try_cast("timestamp_ntz").isNotNull(), F.lit(False))
+
+
 def normal_form(ep: Column, day: Column) -> Column:
     """``yyyy-mm-dd`` of a date, ``yyyy-mm-ddThh:mm:ssZ`` of an instant; the session's zone has no part in it."""
     on = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ep / 86400).cast("int"))
