@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.operators.timestamps import interpret
+from sievework.operators.timestamps import interpret, plain_day
 
 LAST = 2147483647
 CUT_MARKS = r"(?:\s*(?:…|\.\.\.|\[…\]|\(더보기\)|\(more\)|\[\+?\d+ chars\]))+\s*$"
@@ -34,7 +34,7 @@ def usable_url(url: Column) -> Column:
 def survivors(sightings: DataFrame, sources: DataFrame) -> DataFrame:
     """cluster_id, field and sighting_id of the row whose value survives, for source, url, deadline and body_excerpt."""
     known = sources.groupBy(F.col("source").alias("_s")).agg(F.min("trust_rank").alias("rank"), F.first("zone").alias("zone"))
-    rows = sightings.where(F.col("cluster_id").isNotNull()).select("cluster_id", "sighting_id", "source", "url", F.col("deadline").alias("text"), "body_excerpt", "scraped_at")
+    rows = sightings.where(F.col("cluster_id").isNotNull()).select("cluster_id", "sighting_id", "source", "url", F.when(~plain_day(F.col("deadline")), F.col("deadline")).alias("text"), plain_day(F.col("deadline")).alias("plain"), "body_excerpt", "scraped_at")
     rows = interpret(rows.join(known, F.col("source") == F.col("_s"), "left").drop("_s").withColumn("rank", F.coalesce("rank", F.lit(LAST))))
     late = -F.unix_micros("scraped_at")
     late = F.coalesce(late, F.lit(9223372036854775807))
@@ -48,7 +48,7 @@ def survivors(sightings: DataFrame, sources: DataFrame) -> DataFrame:
         F.array(
             candidate("source", ~blank(F.col("source")), trust),
             candidate("url", usable_url(F.col("url")), trust),
-            candidate("deadline", F.size("all") > 0, F.lit(0).cast("long")),
+            candidate("deadline", F.col("plain") | (F.size("all") > 0), F.lit(0).cast("long")),
             candidate("body_excerpt", text_amount(F.col("body_excerpt")).isNotNull(), -text_amount(F.col("body_excerpt")).cast("long")),
         )
     )
