@@ -67,30 +67,23 @@ def leaders(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame
     """Greedy leader clustering over similarity edges (lo < hi): id and leader of every node.
 
     A row is a leader iff no earlier leader is adjacent; others belong to their first adjacent leader. Nodes without an
-    edge lead. The others are grouped by connected component: a component of at most ``LOCAL`` edges is decided whole in
-    one task, by one scan in order. Larger ones go by rounds: a row without an undecided or leading earlier neighbour
+    edge lead. At most ``LOCAL`` edges are decided whole in one task, by one scan in order; of more edges each connected
+    component that has no more is. Larger ones go by rounds: a row without an undecided or leading earlier neighbour
     leads; a row with a leading earlier neighbour follows; what isn't decided after ``rounds`` raises.
     """
     edges = written(edges.select("lo", "hi").distinct(), "edges")
-    if not edges.limit(1).count():
+    many = edges.count()
+    if not many:
         return nodes.select("id", F.col("id").alias("leader"))
+    if many <= LOCAL:  # all in one task
+        decided = written(edges.withColumn("component", F.lit(0)).groupBy("component").applyInPandas(_scan, "id long, leader long"), "decided")
+        return decided.unionByName(nodes.join(decided, "id", "left_anti").select("id", F.col("id").alias("leader")))
     ends = edges.select(F.col("lo").alias("id")).unionByName(edges.select(F.col("hi").alias("id"))).distinct()
     parts = components(ends, edges)
     placed = written(edges.join(parts.withColumnRenamed("id", "lo"), "lo"), "placed")
     sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
     small = placed.join(sizes.where(F.col("n") <= LOCAL), "component").select("component", "lo", "hi")
-
-    def scan(d: pd.DataFrame) -> pd.DataFrame:
-        before: dict[int, list[int]] = {}
-        for lo, hi in zip(d.lo.tolist(), d.hi.tolist()):
-            before.setdefault(lo, [])
-            before.setdefault(hi, []).append(lo)
-        own: dict[int, int] = {}
-        for i in sorted(before):
-            own[i] = min((j for j in before[i] if own[j] == j), default=i)
-        return pd.DataFrame({"id": list(own), "leader": list(own.values())})
-
-    out = small.groupBy("component").applyInPandas(scan, "id long, leader long")
+    out = small.groupBy("component").applyInPandas(_scan, "id long, leader long")
     large = written(placed.join(sizes.where(F.col("n") > LOCAL), "component").select("lo", "hi"), "large")
     if large.limit(1).count():
         out = out.unionByName(_leaders_by_rounds(large, rounds))
@@ -98,6 +91,18 @@ def leaders(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame
     return decided.unionByName(nodes.join(decided, "id", "left_anti").select("id", F.col("id").alias("leader")))
 
 
+def _scan(d: pd.DataFrame) -> pd.DataFrame:
+    """Leaders of the nodes of some edges by one scan in order."""
+    before: dict[int, list[int]] = {}
+    for lo, hi in zip(d.lo.tolist(), d.hi.tolist()):
+        before.setdefault(lo, [])
+        before.setdefault(hi, []).append(lo)
+    own: dict[int, int] = {}
+    for i in sorted(before):
+        own[i] = min((j for j in before[i] if own[j] == j), default=i)
+    return pd.DataFrame({"id": list(own), "leader": list(own.values())})
+
+
 def _leaders_by_rounds(edges: DataFrame, rounds: int) -> DataFrame:
     nodes = edges.select(F.col("lo").alias("id")).unionByName(edges.select(F.col("hi").alias("id"))).distinct()
     state = written(nodes.select("id", F.lit(None).cast("boolean").alias("leads")), "leaders")
@@ -157,13 +162,13 @@ def token_pairs(df: DataFrame, key: str, signature: str, block: str, least: int)
     return both.where(F.col("shared") >= least)
 
 
-def overlap_pairs(df: DataFrame, key: str, signature: str, overlap: float, least: int) -> DataFrame:
+def overlap_pairs(df: DataFrame, key: str, signature: str, overlap: float, least: int, sets: DataFrame | None = None) -> DataFrame:
     """lo, hi and shared of sets that share at least ``least`` tokens and ``overlap`` of the smaller set, exact.
 
     Prefix filter: sets that share k tokens have their rarest common token among the first ``size - k + 1`` of each; of the
     smaller set k is at least ``max(least, overlap * size)``, of the larger one ``least``.
     """
-    sets = _rare_first(df, key, signature, []).where(F.col("size") >= least)
+    sets = (_rare_first(df, key, signature, []) if sets is None else sets).where(F.col("size") >= least)
     own = F.greatest(F.lit(least), F.ceil(F.lit(overlap) * F.col("size") - F.lit(1e-9))).cast("int")
     tight = sets.select("id", "size", F.explode(F.slice("tokens", F.lit(1), F.col("size") - own + 1)).alias("token"))
     wide = sets.select("id", "size", F.explode(F.slice("tokens", F.lit(1), F.col("size") - least + 1)).alias("token"))
@@ -176,7 +181,8 @@ def overlap_pairs(df: DataFrame, key: str, signature: str, overlap: float, least
 
 def same_issue_pairs(df: DataFrame, key: str, signature: str, jaccard: float, overlap: float, least: int) -> DataFrame:
     """lo, hi and shared of titles of one issue: near by Jaccard, or with most tokens of the shorter one and at least ``least``."""
-    return prefix_pairs(df, key, signature, jaccard).unionByName(overlap_pairs(df, key, signature, overlap, least)).distinct()
+    sets = _rare_first(df, key, signature, [])
+    return prefix_pairs(df, key, signature, jaccard, sets).unionByName(overlap_pairs(df, key, signature, overlap, least, sets)).distinct()
 
 
 def representatives(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -208,13 +214,13 @@ def token_leaders(df: DataFrame, key: str, signature: str, jaccard: float, overl
     return members.unionByName(marked.where(F.coalesce(F.size("_sig"), F.lit(0)) <= 0).select(F.col("_key").alias("id"), F.col("_key").alias("leader")))
 
 
-def prefix_pairs(df: DataFrame, key: str, signature: str, jaccard: float) -> DataFrame:
+def prefix_pairs(df: DataFrame, key: str, signature: str, jaccard: float, sets: DataFrame | None = None) -> DataFrame:
     """lo, hi and shared of pairs with Jaccard at least ``jaccard``: exact prefix filtering on tokens by rising frequency.
 
     Two sets that similar share a token among their first ``size - ceil(jaccard * size) + 1`` rarest tokens, so only
     those are indexed; frequent tokens are met only by sets that have nothing else.
     """
-    sets = _rare_first(df, key, signature, [])
+    sets = _rare_first(df, key, signature, []) if sets is None else sets
     take = (F.col("size") - F.ceil(F.lit(jaccard) * F.col("size")) + 1).cast("int")
     index = sets.select("id", "size", F.explode(F.slice("tokens", F.lit(1), take)).alias("token"))
     lo, hi = index.withColumnsRenamed({"id": "lo", "size": "lo_size"}), index.withColumnsRenamed({"id": "hi", "size": "hi_size"})

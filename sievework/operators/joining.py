@@ -10,21 +10,27 @@ from pyspark.sql import functions as F
 from sievework.functions.scalars import text
 
 
+HOT = 10_000  # rows of a key that one task takes without harm
+
+
 def latest_by(df: DataFrame, key: str, order: str, fields: Sequence[str]) -> DataFrame:
     """The last row's fields of each key, by partial aggregation."""
     return df.groupBy(key).agg(F.max_by(F.struct(*fields), F.col(order)).alias("_r")).select(key, "_r.*")
 
 
-def lookup(rows: DataFrame, one: DataFrame, key: str, fields: Sequence[str], count: str, most: int = 4096) -> DataFrame:
+def lookup(rows: DataFrame, one: DataFrame, key: str, fields: Sequence[str], count: str, most: int = 4096, at_most: int | None = None) -> DataFrame:
     """Rows inner-joined to a table of one row a key whose column ``count`` says how many rows have that key.
 
     Keys that hold more than a ``most``-th of all rows are at most ``most``, so they are broadcast and their rows stay
     where they are; only rows of the other keys are shuffled, and none of those keys is hot. Null keys match nothing.
+    With fewer rows than ``HOT`` (``at_most``: a bound the caller knows) no key is hot and nothing is measured.
     """
     small = one.select(F.col(key).alias("_k"), F.col(count).alias("_n"), *[F.col(f).alias(f"_{f}") for f in fields])
+    if at_most is not None and at_most <= HOT:
+        return rows.join(small, F.col(key) == F.col("_k")).select(*rows.columns, *[F.col(f"_{f}").alias(f) for f in fields])
     sizes = small.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("all"), F.coalesce(F.max("_n"), F.lit(0)).alias("top")).first()
     limit = max(sizes["all"] // most, 1)
-    if sizes["top"] <= max(limit, 10_000):  # no key is hot
+    if sizes["top"] <= max(limit, HOT):  # no key is hot
         return rows.join(small, F.col(key) == F.col("_k")).select(*rows.columns, *[F.col(f"_{f}").alias(f) for f in fields])
     hot, cold = small.where(F.col("_n") > limit), small.where(F.col("_n") <= limit)
     names = [*rows.columns, *[F.col(f"_{f}").alias(f) for f in fields]]
