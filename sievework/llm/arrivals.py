@@ -296,7 +296,7 @@ class Cells:
         firsts.repartition(F.col("share")).sortWithinPartitions("share", "key").write.parquet(f"{self.path}/keys/batch={number}")
         firsts = self._table("keys", KEY).where(F.col("batch") == number)
         shared = firsts.where("n > 1 or not fresh")
-        linked = lookup(each, shared, "key", ["first_id"], "n").where(F.col("arrival_id") != F.col("first_id"))
+        linked = lookup(each, shared, "key", ["first_id"], "n", at_most=3 * size).where(F.col("arrival_id") != F.col("first_id"))
         return linked.select("arrival_id", "first_id", F.lit(None).cast("array<long>").alias("codes"))
 
     def _near(self, number: int) -> DataFrame:
