@@ -147,7 +147,11 @@ def first_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.first_by(table(spark, sf_dir, "postings").where("url <> ''"), ["url"], "posting_id").select("posting_id")
 
 
-@query()
+@query(
+    "with recursive k as (select article_id, row_number() over (order by article_id) i, case when url <> '' then dense_rank() over (order by url) end u, case when title <> '' then dense_rank() over (order by lower(title)) end t from articles), "
+    "walk(i, us, ts, kept) as (select 0::bigint, []::bigint[], []::bigint[], null::bigint union all select k.i, case when ok then list_append(w.us, k.u) else w.us end, case when ok then list_append(w.ts, k.t) else w.ts end, case when ok then k.article_id end "
+    "from walk w join (select * from k) k on k.i = w.i + 1, lateral (select not (coalesce(list_contains(w.us, k.u), false) or coalesce(list_contains(w.ts, k.t), false)) ok) o) select kept as article_id from walk where kept is not null"
+)
 def greedy_two_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy scan that drops rows whose url or title was kept before."""
     p = table(spark, sf_dir, "articles").select("article_id", "url", F.lower("title").alias("title"))
@@ -244,14 +248,23 @@ def previous_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.previous(counts_by_day(spark, sf_dir), ["source"], "day", "n", "before")
 
 
-@query()
+@query(
+    "with recursive d as (select strftime(fetched_at, '%Y-%m-%d') as day, list({'id': article_id, 'k': coalesce(category,'')} order by article_id) l from articles group by 1), "
+    "walk(day, l, last, run, id, place) as (select day, l, null::varchar, 0, null::bigint, -1 from d union all select day, list_filter(l, lambda x: x.id <> p.id), p.k, case when p.k = last then run + 1 else 1 end, p.id, place + 1 from "
+    "(select *, case when run >= 2 and l[1].k = last then coalesce(list_filter(l, lambda x: x.k <> last)[1], l[1]) else l[1] end p from walk where len(l) > 0)) "
+    "select day, id as article_id, place::int as place from walk where id is not null"
+)
 def category_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a day's articles reordered so that no category runs long."""
     a = table(spark, sf_dir, "articles").select("article_id", F.date_format("fetched_at", "yyyy-MM-dd").alias("day"), s.text(F.col("category")).alias("category"))
     return ranking.spread(a, "day", "category", "article_id").select("day", "article_id", "place")
 
 
-@query()
+@query(
+    "with recursive r as (select concat_ws(' ', source, strftime(fetched_at, '%Y-%m-%d')) list, row_number() over (partition by source, strftime(fetched_at, '%Y-%m-%d') order by article_id) i, length(coalesce(title,'')) n from articles), "
+    "walk(list, i, n, message, size) as (select list, i, n, 0, 10 + n + 2 from r where i = 1 union all select r.list, r.i, r.n, case when w.size + r.n + 2 <= 600 then w.message else w.message + 1 end, case when w.size + r.n + 2 <= 600 then w.size else 10 end + r.n + 2 from walk w join r on r.list = w.list and r.i = w.i + 1) "
+    "select list, message::int as message, count(*)::int as lines, (8 + case when message > 0 then 3 + length((message + 1)::varchar) else 0 end + sum(n + 2))::int as size from walk group by list, message"
+)
 def digest_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of a source and day packed into messages of bounded size."""
     a = table(spark, sf_dir, "articles").select(F.concat_ws(" ", "source", F.date_format("fetched_at", "yyyy-MM-dd")).alias("list"), "article_id", s.text(F.col("title")).alias("line"))
@@ -375,7 +388,15 @@ def article_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("article_id", "label", "day", F.coalesce(F.size("dupes"), F.lit(0)).alias("dupes"))
 
 
-@query()
+@query(
+    "with l as (select uid, arg_max(posting_id, (scraped_at, posting_id)) posting_id from postings group by uid), "
+    f"k as (select p.*, lower(trim(regexp_replace(coalesce(p.company,''), '{_WS}', ' ', 'g'))) firm, lower(regexp_replace(regexp_replace(coalesce(p.title,''), '^\\s*\\[[^\\]]*\\]', ''), '[\\s\\[\\]()·,./-]', '', 'g')) n from postings p join l using (posting_id)), "
+    "o as (select * from (select *, row_number() over (partition by firm, n order by case when starts_with(source,'ats_') then 0 else 1 end, posting_id) rn from k where firm <> '' and n <> '') where rn = 1 union all select *, 1 from k where firm = '' or n = ''), "
+    "j as (select *, lower(coalesce(title,'') || ' ' || coalesce(category,'')) hay, lower(coalesce(nullif(emp_type,''), coalesce(category,''))) kind, case when regexp_full_match(coalesce(deadline,''), '\\d{4}-\\d{2}-\\d{2}') then deadline else '' end d from o), "
+    f"q as (select posting_id, lower(coalesce(title,'') || ' ' || coalesce(company,'')) words, case when regexp_matches(hay, 'm&a|딜자문') then 'deal' when regexp_matches(hay, '세무|tax') then 'tax' when contains(hay, '감사') or contains(hay, 'audit') then 'audit' else 'other' end as label, "
+    "case when contains(kind, '인턴') then 'intern' when regexp_matches(kind, '계약|기간제') then 'contract' when regexp_matches(kind, '파트|시간제') then 'part' else 'regular' end as emp_kind, "
+    f"date_diff('day', date '{AS_OF}', try_cast(nullif(d,'') as date))::int dday, d = '' or d >= '{AS_OF}' as open from j) select posting_id, label, emp_kind, dday from q where open and dday is not null and label in ('tax','audit') and contains(words, '수습')"
+)
 def posting_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest rows, cross-source dedup, labels and status, queried for open ones."""
     jobs = pipelines.postings(table(spark, sf_dir, "postings"), "posting_id", AS_OF)
