@@ -185,6 +185,18 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder_of(entries: list[tuple]) -> Encoder:
+    """The encoder of a reference list, kept in this worker for the batches to come."""
+    key = hash(tuple(entries))
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(Reference(entries))
+    return _ENCODERS[key]
+
+
 def exact_key(codes: Sequence[int], title: str, body: str) -> int | None:
     """Key of exact copies: stated fields and body, and the title where a field is silent; null where nothing tells."""
     if all(codes[:-1]):
@@ -222,7 +234,7 @@ class Cells:
         entries, cells = self.entries, int(min(MOST_CELLS, max(1, expected // ROWS_A_CELL)))
 
         def kmeans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encoder, found = Encoder(Reference(entries)), []
+            encoder, found = encoder_of(entries), []
             for b in batches:
                 found += [encoder.encode(*r) for r in zip(*(b.column(c).to_pylist() for c in ("title", "company")))]
             if found:
@@ -251,7 +263,7 @@ class Cells:
         centroids, entries = self.centroids, self.entries
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encoder = Encoder(Reference(entries))
+            encoder = encoder_of(entries)
             for b in batches:
                 col = lambda c: b.column(c).to_pylist()  # noqa: E731, B023
                 if not b.num_rows:
