@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators.joining import lookup
 from sievework.session import written
 
 LOCAL = 100_000  # edges of a component that one task decides
+KEY_TOKENS = 4  # most tokens of a key by which sets meet
+MOST_KEYS = 512  # most keys of a set that has several tokens in each
+KEY_COST = 20  # what a shuffled key costs, in compared candidates
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -162,27 +169,98 @@ def token_pairs(df: DataFrame, key: str, signature: str, block: str, least: int)
     return both.where(F.col("shared") >= least)
 
 
-def overlap_pairs(df: DataFrame, key: str, signature: str, overlap: float, least: int, sets: DataFrame | None = None) -> DataFrame:
-    """lo, hi and shared of sets that share at least ``least`` tokens and ``overlap`` of the smaller set, exact.
+def _ranked(df: DataFrame, key: str, signature: str) -> DataFrame:
+    """id, tokens as their ranks by rising frequency, the rows that have each, and their number, written."""
+    own = written(df.select(F.col(key).alias("id"), F.array_distinct(signature).alias("all")), "signatures")
+    each = own.select("id", F.explode("all").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("n"))
+    ranks = written(counts.select("token", "n", F.col("n").alias("rows"), F.row_number().over(Window.orderBy("n", "token")).alias("rank")), "ranks")
+    sets = lookup(each, ranks, "token", ["rank", "rows"], "n").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "rows"))).alias("t"))
+    return written(sets.select("id", F.transform("t", lambda x: x["rank"]).alias("tokens"), F.transform("t", lambda x: x["rows"]).alias("rows"), F.size("t").alias("size")), "sets")
+
+
+class _Keys:
+    """What sets are indexed by: keys of several tokens, so that frequent tokens alone bring nothing together.
+
+    Two sets of sizes s <= n that are near share at least ``least`` tokens; the first ``k`` of these in the common order
+    lie among the first ``size - least + k`` of each. Every choice of k tokens of those is a key. ``levels`` holds the k
+    and the least number of shared tokens of every pair of sizes that can be near, ``choices`` what a set of a size is
+    indexed by, as the smaller one (side 0) or the larger (side 1). ``near`` says whether so many shared tokens are enough
+    for sets of two sizes, and more are then too. Sizes are few; means of the tokens' shares by place weigh keys against
+    candidates.
+    """
 
-    Prefix filter: sets that share k tokens have their rarest common token among the first ``size - k + 1`` of each; of the
-    smaller set k is at least ``max(least, overlap * size)``, of the larger one ``least``.
+    def __init__(self, counts: dict[int, int], shares: dict[int, list[float]], near: Callable[[int, int, int], bool]):
+        self.counts, sizes = counts, sorted(counts)
+        self.need = {(s, n): 1 + bisect.bisect_left(range(1, s + 1), True, key=lambda o: near(o, s, n)) for s in sizes for n in sizes if s <= n and near(s, s, n)}  # noqa: B023
+        self.loose: dict[int, int] = {}
+        for (_, n), o in self.need.items():
+            self.loose[n] = min(o, self.loose.get(n, o))
+        usual = set(sorted(counts, key=counts.get)[-24:])
+        self.levels, self.choices, best = {}, {}, None
+        for most in range(1, KEY_TOKENS + 1):
+            levels = {(s, n): (min(self._most(n, most), o), o) for (s, n), o in self.need.items()}
+            choices: dict[tuple[int, int, int], int] = {}
+            for (s, n), (k, o) in levels.items():
+                for z, side in ((s, 0), (n, 1)):
+                    choices[z, side, k] = max(z - o + k, choices.get((z, side, k), 0))
+            cost = KEY_COST * sum(counts[z] * comb(p, k) for (z, _, k), p in choices.items())
+            cost += sum(counts[s] * counts[n] * _chosen(shares[s][: s - o + k], k) for (s, n), (k, o) in levels.items() if s in usual and n in usual)
+            if best is None or cost < best:
+                self.levels, self.choices, best = levels, choices, cost
+
+    def _most(self, n: int, most: int) -> int:
+        """Tokens of a key of a set of n tokens; the larger of two sets has the more keys."""
+        return max(k for k in range(1, most + 1) if k == 1 or comb(n - self.loose[n] + k, k) <= MOST_KEYS)
+
+
+def _chosen(shares: Sequence[float], k: int) -> float:
+    """Sum over all choices of k of the shares of their product."""
+    sums = [1.0] + [0.0] * k
+    for x in shares:
+        for i in range(k, 0, -1):
+            sums[i] += x * sums[i - 1]
+    return sums[k]
+
+
+def _near(sets: DataFrame, near: Callable[[int, int, int], bool]) -> DataFrame:
+    """lo, hi and shared of all pairs of sets (``_ranked``) for whose shared tokens and sizes, the smaller first, ``near`` holds, exact.
+
+    Sets meet by the keys of ``_Keys`` and a pair comes out at the key of its first common tokens only, so candidates are
+    compared where they meet and never written.
     """
-    sets = (_rare_first(df, key, signature, []) if sets is None else sets).where(F.col("size") >= least)
-    own = F.greatest(F.lit(least), F.ceil(F.lit(overlap) * F.col("size") - F.lit(1e-9))).cast("int")
-    tight = sets.select("id", "size", F.explode(F.slice("tokens", F.lit(1), F.col("size") - own + 1)).alias("token"))
-    wide = sets.select("id", "size", F.explode(F.slice("tokens", F.lit(1), F.col("size") - least + 1)).alias("token"))
-    a, b = tight.withColumnsRenamed({"id": "a", "size": "na"}), wide.withColumnsRenamed({"id": "b", "size": "nb"})
-    found = a.join(b, "token").where((F.col("a") != F.col("b")) & (F.col("na") <= F.col("nb"))).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    x, y = sets.select(F.col("id").alias("lo"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("hi"), F.col("tokens").alias("tb"))
-    both = found.join(x, "lo").join(y, "hi").select("lo", "hi", F.size(F.array_intersect("ta", "tb")).alias("shared"), F.least(F.size("ta"), F.size("tb")).alias("small"))
-    return both.where((F.col("shared") >= least) & (F.col("shared") >= F.lit(overlap) * F.col("small"))).select("lo", "hi", "shared")
+    spark = sets.sparkSession
+    total = sets.count()
+    seen = sets.select("size", F.posexplode("rows").alias("pos", "n")).where("pos < 64").groupBy("size", "pos").agg(F.count("*").alias("sets"), F.avg("n").alias("n")).orderBy("pos").collect()  # at most 64 rows a size
+    shares: dict[int, list[float]] = {}
+    for r in seen:
+        shares.setdefault(r["size"], []).append(r["n"] / total)
+    keys = _Keys({r["size"]: r["sets"] for r in seen if r["pos"] == 0}, shares, near)
+    if not keys.levels:
+        return sets.select(F.col("id").alias("lo"), F.col("id").alias("hi"), F.lit(0).alias("shared")).limit(0)
+    chosen = [(z, side, k, p, [list(c) for c in combinations(range(p), k)] if k > 1 else []) for (z, side, k), p in sorted(keys.choices.items())]
+    table = F.broadcast(spark.createDataFrame(chosen, "size int, side int, k int, prefix int, places array<array<int>>"))
+    levels = F.broadcast(spark.createDataFrame([(s, n, k, o) for (s, n), (k, o) in keys.levels.items()], "na int, nb int, level int, least int"))
+    one = F.transform(F.slice("tokens", F.lit(1), F.col("prefix")), lambda t: F.xxhash64(F.array(t)))
+    several = F.transform("places", lambda c: F.xxhash64(F.transform(c, lambda i: F.get("tokens", i))))
+    keyed = sets.join(table, "size").select("id", "tokens", "side", "k", F.explode(F.array_distinct(F.when(F.col("k") == 1, one).otherwise(several))).alias("key"))
+    a = keyed.where("side = 0").select("key", F.col("k").alias("level"), F.col("id").alias("a"), F.col("tokens").alias("ta"))
+    b = keyed.where("side = 1").select("key", F.col("id").alias("b"), F.col("tokens").alias("tb"))
+    na, nb = F.size("ta"), F.size("tb")
+    met = a.join(b, "key").where((na < nb) | ((na == nb) & (F.col("a") < F.col("b"))))
+    met = met.select("key", "level", "a", "b", na.alias("na"), nb.alias("nb"), F.array_intersect("ta", "tb").alias("common"))
+    met = met.join(levels, ["na", "nb", "level"]).where((F.size("common") >= F.col("least")) & (F.xxhash64(F.slice("common", F.lit(1), F.col("level"))) == F.col("key")))
+    return met.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.size("common").alias("shared"))
+
+
+def overlap_pairs(df: DataFrame, key: str, signature: str, overlap: float, least: int) -> DataFrame:
+    """lo, hi and shared of sets that share at least ``least`` tokens and ``overlap`` of the smaller set, exact."""
+    return _near(_ranked(df, key, signature), lambda shared, small, large: shared >= least and shared >= overlap * small)
 
 
 def same_issue_pairs(df: DataFrame, key: str, signature: str, jaccard: float, overlap: float, least: int) -> DataFrame:
     """lo, hi and shared of titles of one issue: near by Jaccard, or with most tokens of the shorter one and at least ``least``."""
-    sets = _rare_first(df, key, signature, [])
-    return prefix_pairs(df, key, signature, jaccard, sets).unionByName(overlap_pairs(df, key, signature, overlap, least, sets)).distinct()
+    return _near(_ranked(df, key, signature), lambda shared, small, large: shared >= jaccard * (small + large - shared) or (shared >= least and shared >= overlap * small))
 
 
 def representatives(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -214,22 +292,9 @@ def token_leaders(df: DataFrame, key: str, signature: str, jaccard: float, overl
     return members.unionByName(marked.where(F.coalesce(F.size("_sig"), F.lit(0)) <= 0).select(F.col("_key").alias("id"), F.col("_key").alias("leader")))
 
 
-def prefix_pairs(df: DataFrame, key: str, signature: str, jaccard: float, sets: DataFrame | None = None) -> DataFrame:
-    """lo, hi and shared of pairs with Jaccard at least ``jaccard``: exact prefix filtering on tokens by rising frequency.
-
-    Two sets that similar share a token among their first ``size - ceil(jaccard * size) + 1`` rarest tokens, so only
-    those are indexed; frequent tokens are met only by sets that have nothing else.
-    """
-    sets = _rare_first(df, key, signature, []) if sets is None else sets
-    take = (F.col("size") - F.ceil(F.lit(jaccard) * F.col("size")) + 1).cast("int")
-    index = sets.select("id", "size", F.explode(F.slice("tokens", F.lit(1), take)).alias("token"))
-    lo, hi = index.withColumnsRenamed({"id": "lo", "size": "lo_size"}), index.withColumnsRenamed({"id": "hi", "size": "hi_size"})
-    near = (F.col("lo_size") >= F.lit(jaccard) * F.col("hi_size")) & (F.col("hi_size") >= F.lit(jaccard) * F.col("lo_size"))
-    found = lo.join(hi, "token").where(near & (F.col("lo") < F.col("hi"))).select("lo", "hi").distinct()
-    a, b = sets.select(F.col("id").alias("lo"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("hi"), F.col("tokens").alias("tb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    both = found.join(a, "lo").join(b, "hi").select("lo", "hi", shared.alias("shared"), (F.size("ta") + F.size("tb") - shared).alias("all"))
-    return both.where(F.col("shared") >= F.lit(jaccard) * F.col("all")).select("lo", "hi", "shared")
+def prefix_pairs(df: DataFrame, key: str, signature: str, jaccard: float) -> DataFrame:
+    """lo, hi and shared of pairs with Jaccard at least ``jaccard``, exact, by keys of the rarest tokens."""
+    return _near(_ranked(df, key, signature), lambda shared, small, large: shared >= jaccard * (small + large - shared))
 
 
 def duplicate_rows(df: DataFrame, leader: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

@@ -214,3 +214,32 @@ def test_cluster_without_shared_folder_raises():
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def shuffled_rows(spark, after=-1):
+    """Rows written to shuffles by the stages after a stage, and the last stage."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    lists, none = sc._jvm.java.util.ArrayList, sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(lists(), False, False, none, lists())
+    each = [stages.apply(i) for i in range(stages.size())]
+    return sum(s.shuffleWriteRecords() for s in each if s.stageId() > after), max([after, *(s.stageId() for s in each)])
+
+
+def slots(rng, n):
+    """Titles of few words, each from a short list of its own: no word is rare."""
+    return [sorted({f"{i}-{rng.randrange(k)}" for i, k in enumerate((40, 12, 10, 6, 4, 4, 3)[: rng.choice((5, 6, 7, 7))])}) for _ in range(n)]
+
+
+def test_pairs_of_titles_without_rare_words(spark):
+    """Near titles whose words are all frequent are found, and only sets and pairs that are near are shuffled, not all that share a word."""
+    sets = [list(x) for x in sorted({tuple(x) for x in slots(random.Random(8), 2000)})]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, sig array<string>").repartition(4).cache()
+    df.count()
+    of = [set(x) for x in sets]
+    want = {(i, j) for j in range(len(of)) for i in range(j) if len(of[i] & of[j]) >= 0.8 * len(of[i] | of[j])}
+    before = shuffled_rows(spark)[1]
+    got = dedup.prefix_pairs(df, "id", "sig", 0.8).collect()
+    assert len(got) == len(want) and {(r["lo"], r["hi"]) for r in got} == want and want
+    assert all(r["shared"] == len(of[r["lo"]] & of[r["hi"]]) for r in got)
+    assert shuffled_rows(spark, before)[0] < 60 * len(sets)
