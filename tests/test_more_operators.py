@@ -243,3 +243,22 @@ def test_pairs_of_titles_without_rare_words(spark):
     assert len(got) == len(want) and {(r["lo"], r["hi"]) for r in got} == want and want
     assert all(r["shared"] == len(of[r["lo"]] & of[r["hi"]]) for r in got)
     assert shuffled_rows(spark, before)[0] < 60 * len(sets)
+
+
+@pytest.mark.parametrize("most", [512, 6])
+def test_same_issue_without_rare_words(spark, monkeypatch, most):
+    """Pairs by the share of the shorter title, among them titles of one to sixty words and keys of different lengths."""
+    monkeypatch.setattr(dedup, "MOST_KEYS", most)
+    rng = random.Random(9)
+    some = slots(rng, 1500)
+    some += [sorted({*x, *(f"{i}-{rng.randrange(4)}" for i in range(4, 60))}) for x in some[:5]] + [x[:k] for x in some[:20] for k in (1, 2, 3, 4)]
+    sets = [set(x) for x in sorted({tuple(x) for x in some})]
+    df = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "id long, sig array<string>").repartition(4).cache()
+    df.count()
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if same_issue(sets[i], sets[j], 0.8, 0.8, 4)}
+    before = shuffled_rows(spark)[1]
+    got = dedup.same_issue_pairs(df, "id", "sig", 0.8, 0.8, 4).collect()
+    assert len(got) == len(want) and {(r["lo"], r["hi"]) for r in got} == want
+    assert {(r["lo"], r["hi"]) for r in dedup.overlap_pairs(df, "id", "sig", 0.8, 4).collect()} == {(i, j) for i, j in want if (n := len(sets[i] & sets[j])) >= 4 and n >= 0.8 * min(len(sets[i]), len(sets[j]))}
+    if most > 6:
+        assert shuffled_rows(spark, before)[0] < 150 * len(sets)
