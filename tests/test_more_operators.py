@@ -262,3 +262,18 @@ def test_same_issue_without_rare_words(spark, monkeypatch, most):
     assert {(r["lo"], r["hi"]) for r in dedup.overlap_pairs(df, "id", "sig", 0.8, 4).collect()} == {(i, j) for i, j in want if (n := len(sets[i] & sets[j])) >= 4 and n >= 0.8 * min(len(sets[i]), len(sets[j]))}
     if most > 6:
         assert shuffled_rows(spark, before)[0] < 150 * len(sets)
+
+
+def test_leaders_of_titles_without_rare_words(spark):
+    """Greedy leaders of titles whose words are all frequent, without shuffling all pairs that share a word."""
+    sets = [set(x) for x in slots(random.Random(10), 2000)]
+    df = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "id long, sig array<string>").repartition(4).cache()
+    df.count()
+    leaders, own = [], {}
+    for i, x in enumerate(sets):
+        own[i] = next((k for k in leaders if same_issue(x, sets[k], 0.8, 0.8, 4)), i)
+        if own[i] == i:
+            leaders.append(i)
+    before = shuffled_rows(spark)[1]
+    assert {r["id"]: r["leader"] for r in dedup.token_leaders(df, "id", "sig", 0.8, 0.8, 4).collect()} == own
+    assert shuffled_rows(spark, before)[0] < 100 * len(sets)
