@@ -104,13 +104,15 @@ def refine(rows: DataFrame, key: str, category: str, signature: str, vectors: Da
     """Rows merged where they share a category, ``least`` title tokens and a cosine, over any number of links.
 
     The smallest key of a group stays, with its own ``dupes`` first, then each absorbed row followed by its dupes, in key
-    order. Rows without tokens, vector or category are never merged. Candidates come from an exact prefix filter on
-    tokens, so no category is held against itself.
+    order. Rows without tokens, vector or category are never merged and left out before rows meet. Candidates come from an
+    exact prefix filter on tokens, so no category is held against itself.
     """
     able = rows.where(F.col(category).isNotNull() & (F.size(signature) > 0)).select(key, category, signature)
-    pairs = token_pairs(able, key, signature, category, least)
-    linked = components(rows.select(F.col(key).alias("id")), edges(vectors, key, vector, pairs, threshold))
-    whole = rows.join(linked.select(F.col("id").alias("_i"), F.col("component").alias("_g")), F.col(key) == F.col("_i")).drop("_i")
+    able = written(able.join(vectors.where(F.col(vector).isNotNull()).select(key).distinct(), key, "left_semi"), "able")
+    near = written(edges(vectors, key, vector, token_pairs(able, key, signature, category, least), threshold).select("lo", "hi"), "near")
+    ends = near.select(F.col("lo").alias("id")).unionByName(near.select(F.col("hi").alias("id"))).distinct()
+    linked = components(ends, near).select(F.col("id").alias("_i"), F.col("component"))
+    whole = rows.join(linked, F.col(key) == F.col("_i"), "left").withColumn("_g", F.coalesce("component", F.col(key))).drop("_i", "component")
     kind = whole.schema[dupes].dataType if dupes in rows.columns else None
     own = F.array(F.struct(key, *fields))
     held = F.coalesce(F.col(dupes), F.array().cast(kind)) if kind else None

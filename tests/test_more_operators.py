@@ -277,3 +277,14 @@ def test_leaders_of_titles_without_rare_words(spark):
     before = shuffled_rows(spark)[1]
     assert {r["id"]: r["leader"] for r in dedup.token_leaders(df, "id", "sig", 0.8, 0.8, 4).collect()} == own
     assert shuffled_rows(spark, before)[0] < 100 * len(sets)
+
+
+def test_refine_compares_only_rows_with_vectors(spark):
+    """Rows without a vector are never merged, so they don't meet anything: 3,000 alike rows of which three have one."""
+    df = spark.range(3000).select("id", F.lit("x").alias("cat"), F.array(F.lit("a"), F.lit("b"), F.concat(F.lit("c"), F.col("id") % 7)).alias("sig")).repartition(4).cache()
+    df.count()
+    v = spark.createDataFrame([(4, [1.0, 0.0]), (9, [1.0, 0.1]), (12, [0.0, 1.0]), (9000, [1.0, 0.0])], "id long, v array<double>")
+    before = shuffled_rows(spark)[1]
+    got = {r["id"]: [d["id"] for d in r["dupes"]] for r in vectors.refine(df, "id", "cat", "sig", v, "v", 0.9, 2, ["cat"]).where("dupes is not null").collect()}
+    assert got == {4: [9]}
+    assert shuffled_rows(spark, before)[0] < 30 * 3000
