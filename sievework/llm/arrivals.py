@@ -54,6 +54,7 @@ SAMPLE = 20_000  # rows the centroids are fitted on
 ROWS_A_CELL = 300
 MOST_CELLS = 4096
 BLOCK = 4096
+AT_ONCE = 1 << 20  # distances of rows to cells that are held at once, for each part of the vector
 MOST_SENT = 200_000  # probes of a batch, 32 bytes each, that are sent to all tasks to filter the cells
 SHARES = 64  # parts of the key index; its files are sorted by them, so that a lookup skips the others
 # Parameters of a url that don't choose the page.
@@ -212,6 +213,22 @@ def part_distances(codes: np.ndarray, centroids: np.ndarray, f: int) -> np.ndarr
     return d[at.ravel()]
 
 
+def nearest(codes: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each row and its distance by part; rows in slices, as many as ``AT_ONCE`` lets."""
+    cell, away = np.zeros(len(codes), dtype=np.int64), np.zeros((len(codes), len(PARTS)))
+    for at in slices(len(codes), len(centroids)):
+        by_part = np.stack([part_distances(codes[at], centroids, f) for f in range(len(PARTS))])
+        cell[at] = (by_part**2).sum(0).argmin(1)
+        away[at] = by_part[:, np.arange(by_part.shape[1]), cell[at]].T
+    return cell, away
+
+
+def slices(rows: int, columns: int, most: int = 1024) -> list[slice]:
+    """Slices of rows that hold at most ``AT_ONCE`` numbers each."""
+    step = max(1, min(most, AT_ONCE // max(columns, 1)))
+    return [slice(k, k + step) for k in range(0, rows, step)]
+
+
 ROW = "arrival_id long, batch_no int, keys array<string>, codes array<long>, title string, text string, mask int, cell int, away array<double>, hash long"
 HELD = "arrival_id long, batch_no int, codes array<long>, title string, text string, mask int, cell int, away array<double>, hash long, batch int"
 KEY = "key string, n long, batch_no int, first_id long, fresh boolean, share int, batch int"
@@ -269,9 +286,7 @@ class Cells:
                 if not b.num_rows:
                     continue
                 codes = np.array([encoder.encode(*r) for r in zip(col("title"), col("company"))], dtype=np.int64)
-                by_part = np.stack([part_distances(codes, centroids, f) for f in range(len(PARTS))])
-                cell = (by_part**2).sum(0).argmin(1)
-                away = by_part[:, np.arange(len(cell)), cell].T
+                cell, away = nearest(codes, centroids)
                 titles, texts = [fold(x) for x in col("title")], [fold(x) for x in col("body_excerpt")]
                 keys = []
                 for own, source, native, url, title, text in zip(codes.tolist(), col("source"), col("native_id"), col("url"), titles, texts):
@@ -335,34 +350,34 @@ class Cells:
         reach = np.array([self.cells[k][2] for k in live]).reshape(len(live), len(PARTS)) + SLACK
         blocks = np.array([-(-self.cells[k][0] // BLOCK) for k in live], dtype=np.int64)
         salts = np.array([-(-self.cells[k][1] // BLOCK) for k in live], dtype=np.int64)
-        turns = [max(-(-asked.get(k, (1, 1))[0] // (BLOCK * int(b))), -(-asked.get(k, (1, 1))[1] // BLOCK)) for k, b in zip(live, blocks)]
-        plain = max(map(int, blocks)) == max(map(int, salts)) == max(turns) == 1
+        plain = max(map(int, blocks)) == max(map(int, salts)) == 1
         centroids = self.centroids
         bits = (mask_of[:, None] >> np.arange(len(PARTS))) & 1  # stated by the rows of a cell
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for start in range(0, whole.num_rows, 1024):
-                    b = whole.slice(start, 1024)
-                    codes, ids = np.array(b.column("codes").to_pylist(), dtype=np.int64), b.column("arrival_id").to_pylist()
+                for part in slices(whole.num_rows, len(centroids)):
+                    b = whole.slice(part.start, part.stop - part.start)
+                    codes = np.array(b.column("codes").to_pylist(), dtype=np.int64)
                     pairs = []
                     by_part = [np.maximum(part_distances(codes, centroids, f), 0) for f in range(len(PARTS))]
                     for firm in np.unique(codes[:, 0]).tolist():  # the firm's part weighs most and leaves few cells
-                        rows = np.flatnonzero(codes[:, 0] == firm)
-                        over = np.maximum(by_part[0][rows[0], cell_of] - reach[:, 0], 0)
-                        cols = np.flatnonzero((over <= NEAR) | (bits[:, 0] == 0) | (firm == 0))
-                        # the square of the least distance a row of the cell can have
-                        least = np.tile(np.where((bits[cols, 0] == 1) & (firm != 0), over[cols] ** 2, 0), (len(rows), 1))
-                        for f in range(1, len(PARTS)):
-                            over = np.maximum(by_part[f][rows][:, cell_of[cols]] - reach[cols, f], 0)
-                            least += np.where((codes[rows, f] != 0)[:, None] & (bits[cols, f] == 1)[None, :], over**2, 0)
-                        x, y = np.nonzero(least <= NEAR**2)
-                        pairs.append((rows[x], cols[y]))
+                        own = np.flatnonzero(codes[:, 0] == firm)
+                        first = np.maximum(by_part[0][own[0], cell_of] - reach[:, 0], 0)
+                        cols = np.flatnonzero((first <= NEAR) | (bits[:, 0] == 0) | (firm == 0))
+                        for rows in (own[at] for at in slices(len(own), len(cols))):
+                            # the square of the least distance a row of the cell can have
+                            least = np.tile(np.where((bits[cols, 0] == 1) & (firm != 0), first[cols] ** 2, 0), (len(rows), 1))
+                            for f in range(1, len(PARTS)):
+                                over = np.maximum(by_part[f][rows][:, cell_of[cols]] - reach[cols, f], 0)
+                                least += np.where((codes[rows, f] != 0)[:, None] & (bits[cols, f] == 1)[None, :], over**2, 0)
+                            x, y = np.nonzero(least <= NEAR**2)
+                            pairs.append((rows[x], cols[y]))
                     i, j = (np.concatenate([p[k] for p in pairs]).astype(np.int64) for k in (0, 1)) if pairs else (np.zeros(0, dtype=np.int64),) * 2
                     whole_mask = np.all((codes[i] != 0) | (bits[j] == 0), axis=1)
                     hashes = [content(c) if w else None for c, w in zip((codes[i] * bits[j]).tolist(), whole_mask.tolist())]
-                    at, block, salt, turn = [], [], [], []
-                    for k, (q, c) in enumerate(zip(i.tolist(), j.tolist())):
+                    at, block, salt = [], [], []
+                    for k, c in enumerate(j.tolist()):
                         if plain:
                             break
                         for x in range(blocks[c]) if hashes[k] is None else [hashes[k] % int(blocks[c])]:
@@ -370,27 +385,34 @@ class Cells:
                                 at.append(k)
                                 block.append(x)
                                 salt.append(y)
-                                turn.append(ids[q] % turns[c])
                     if plain:
                         at, block = slice(None), np.zeros(len(i), dtype=np.int32)
-                        salt = turn = block
+                        salt = block
                     out = b.take(pa.array(i[at]))
                     cols = {n: out.column(n) for n in ("arrival_id", "batch_no", "codes", "title", "text")}
-                    yield pa.record_batch({**cols, "cell": pa.array(cell_of[j[at]]), "mask": pa.array(mask_of[j[at]]), "block": pa.array(block, pa.int32()), "salt": pa.array(salt, pa.int32()), "turn": pa.array(turn, pa.int32()), "hash": pa.array([hashes[k] for k in (range(len(i)) if plain else at)], pa.int64())})
+                    yield pa.record_batch({**cols, "cell": pa.array(cell_of[j[at]]), "mask": pa.array(mask_of[j[at]]), "block": pa.array(block, pa.int32()), "salt": pa.array(salt, pa.int32()), "hash": pa.array([hashes[k] for k in (range(len(i)) if plain else at)], pa.int64())})
 
         row = ["arrival_id", "batch_no", "codes", "title", "text"]
         keys = ["cell", "mask", "block", "salt", "turn"]
-        probes = queries.select(*row).mapInArrow(probe, "arrival_id long, batch_no int, codes array<long>, title string, text string, cell int, mask int, block int, salt int, turn int, hash long")
+        probes = queries.select(*row).mapInArrow(probe, "arrival_id long, batch_no int, codes array<long>, title string, text string, cell int, mask int, block int, salt int, hash long")
         probes = written(probes, "probes")
+        met = probes.groupBy("cell", "mask", "block", "salt").agg(F.count("*").alias("n")).groupBy("cell", "mask").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()  # one row a cell and mask
+        # whatever cells they come from, about BLOCK queries meet a block at a time
+        turns = {(r["cell"], r["mask"]): -(-r["most"] // BLOCK) for r in met}
+        if several := [(*k, t) for k, t in turns.items() if t > 1]:
+            split = F.broadcast(self.spark.createDataFrame(several, "cell int, mask int, turns int"))
+            probes = probes.join(split, ["cell", "mask"], "left").withColumn("turn", F.pmod(F.xxhash64("arrival_id"), F.coalesce("turns", F.lit(1))).cast("int")).drop("turns")
+        else:
+            probes = probes.withColumn("turn", F.lit(0))
         held = self._table("held", HELD)
         if sum(n for n, _ in asked.values()) < len(live):  # a small batch touches few cells: only those are read
-            touched = sorted({r["cell"] for r in probes.select("cell").distinct().collect()})  # at most MOST_CELLS
+            touched = sorted({r["cell"] for r in met})  # at most MOST_CELLS
             held = held.where(F.col("cell").isin(touched))  # files are sorted by cell: pushed down, other pages are skipped
         wanted = probes.select(F.col("cell").alias("_c"), F.col("mask").alias("_m"), F.col("hash").alias("_h")).distinct()
-        if probes.count() <= MOST_SENT:  # rows that no query can be near to stay where they are
+        if sum(r["n"] for r in met) <= MOST_SENT:  # rows that no query can be near to stay where they are
             can = (F.col("cell") == F.col("_c")) & (F.col("mask") == F.col("_m")) & (F.col("_h").isNull() | (F.col("hash") == F.col("_h")))
             held = held.join(F.broadcast(wanted), can, "left_semi")
-        many = {k: (int(b), int(y), t) for k, b, y, t in zip(live, blocks, salts, turns) if b > 1 or y > 1 or t > 1}
+        many = {k: (int(b), int(y), t) for k, b, y in zip(live, blocks, salts) if (t := turns.get(k, 1)) > 1 or b > 1 or y > 1}
 
         def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -177,3 +177,45 @@ def test_title_without_area_and_outside_the_words(spark):
     own = [(1, t + " 동부", firm, b), (2, t, firm, b), (3, t + " 서부", firm, b), (4, garden.format(1), firm, c), (5, garden.format(1) + "!", firm, c + " Again."), (6, garden.format(2), firm, c), (7, "채용", firm, "전혀 다른 글이며 겹치는 말이 없습니다")]
     rows = [(i, 0, "s", f"n{i}", None, title, company, body, "t", 0) for i, title, company, body in own]
     assert sorted(map(tuple, ar.deduplicate(spark.createDataFrame(rows, SCHEMA), ref).collect())) == [(1, 2), (4, 5)]
+
+
+def test_memory_of_cells_is_bounded():
+    """A full Arrow batch against very many cells is held in slices, and the cells found are those of the whole."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    codes = rng.integers(1, 40, (10_000, len(ar.PARTS)))
+    codes[::7, 2] = 0
+    centroids = rng.standard_normal((2048, ar.CODE * len(ar.PARTS))).astype(np.float32)
+    tracemalloc.start()
+    cell, away = ar.nearest(codes, centroids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6  # all at once they are 10,000 x 2,048 x 6 numbers, 983 MB
+    some = slice(4000, 4100)
+    by_part = np.stack([ar.part_distances(codes[some], centroids, f) for f in range(len(ar.PARTS))])
+    assert (cell[some] == (by_part**2).sum(0).argmin(1)).all() and np.allclose(away[some], by_part[:, np.arange(100), cell[some]].T)
+
+
+def test_queries_of_other_cells_are_split(spark, monkeypatch):
+    """A row that states little is met by very many queries from other cells, BLOCK or so at a time."""
+    whole, most = ar.search, 40
+
+    def search(q, x):
+        if len(q) > most * 2 or len(x) > most * 2:
+            raise ValueError(f"{len(q)} queries meet {len(x)} rows")
+        return whole(q, x)
+
+    monkeypatch.setattr(ar, "BLOCK", most)
+    monkeypatch.setattr(ar, "search", search)
+    t = "[인천 동부] 2027년도 1차 감사 {}팀 세무사 모집 (선임급 상근)"
+    ref = spark.createDataFrame(REF, "ref_id long, field string, name string, name_en string, aliases string")
+    bare = [(1, 0, "a", "n1", "", "세무사 모집", "가람솔회계법인", BODY.format(1, 1), "t", 0)]
+    full = [(i, 0, "a", f"n{i}", "", t.format(i % 50 + 1), "가람솔회계법인", BODY.format(i, i) + " x" * i, "t", 0) for i in range(2, 400)]
+    df = spark.createDataFrame(bare + full, SCHEMA)
+    got = sorted(map(tuple, ar.deduplicate(df, ref).collect()))
+    monkeypatch.setattr(ar, "BLOCK", 4096)
+    monkeypatch.setattr(ar, "search", whole)
+    assert got == sorted(map(tuple, ar.deduplicate(df, ref).collect())) and got
