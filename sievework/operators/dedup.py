@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 from math import comb
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.operators.joining import lookup
-from sievework.session import written
+from sievework.session import discard, written
 
-LOCAL = 100_000  # edges of a component that one task decides
+LOCAL = 8_000_000  # edges that one task decides, as arrays of some 50 bytes an edge
+GROUP = 100_000  # edges of a component that one task decides beside others
+SLICE = 2_000_000  # keys of sets above which they are joined in slices
+SLICES = 4
 KEY_TOKENS = 4  # most tokens of a key by which sets meet
 MOST_KEYS = 512  # most keys of a set that has several tokens in each
 KEY_COST = 20  # what a shuffled key costs, in compared candidates
@@ -75,39 +80,63 @@ def leaders(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame
 
     A row is a leader iff no earlier leader is adjacent; others belong to their first adjacent leader. Nodes without an
     edge lead. At most ``LOCAL`` edges are decided whole in one task, by one scan in order; of more edges each connected
-    component that has no more is. Larger ones go by rounds: a row without an undecided or leading earlier neighbour
+    component of at most ``GROUP`` is. Larger ones go by rounds: a row without an undecided or leading earlier neighbour
     leads; a row with a leading earlier neighbour follows; what isn't decided after ``rounds`` raises.
     """
-    edges = written(edges.select("lo", "hi").distinct(), "edges")
+    edges = written(edges.select("lo", "hi"), "edges")
     many = edges.count()
     if not many:
         return nodes.select("id", F.col("id").alias("leader"))
     if many <= LOCAL:  # all in one task
-        decided = written(edges.withColumn("component", F.lit(0)).groupBy("component").applyInPandas(_scan, "id long, leader long"), "decided")
+        decided = written(edges.coalesce(1).mapInArrow(_scan_all, "id long, leader long"), "decided")
+        discard(edges)
         return decided.unionByName(nodes.join(decided, "id", "left_anti").select("id", F.col("id").alias("leader")))
     ends = edges.select(F.col("lo").alias("id")).unionByName(edges.select(F.col("hi").alias("id"))).distinct()
     parts = components(ends, edges)
     placed = written(edges.join(parts.withColumnRenamed("id", "lo"), "lo"), "placed")
+    discard(edges, parts)
+    group = min(GROUP, LOCAL)
     sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
-    small = placed.join(sizes.where(F.col("n") <= LOCAL), "component").select("component", "lo", "hi")
+    small = placed.join(sizes.where(F.col("n") <= group), "component").select("component", "lo", "hi")
     out = small.groupBy("component").applyInPandas(_scan, "id long, leader long")
-    large = written(placed.join(sizes.where(F.col("n") > LOCAL), "component").select("lo", "hi"), "large")
+    large = written(placed.join(sizes.where(F.col("n") > group), "component").select("lo", "hi"), "large")
     if large.limit(1).count():
         out = out.unionByName(_leaders_by_rounds(large, rounds))
     decided = written(out, "decided")
+    discard(placed, large)
     return decided.unionByName(nodes.join(decided, "id", "left_anti").select("id", F.col("id").alias("leader")))
 
 
+def _first_leaders(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of some edges and their leaders by one scan in order."""
+    ids = np.unique(np.concatenate([lo, hi]))
+    pairs = (np.searchsorted(ids, hi) << 32) | np.searchsorted(ids, lo)
+    pairs.sort()
+    ends, first = np.unique(pairs >> 32, return_index=True)
+    before, own, leads = pairs & 0xFFFFFFFF, np.arange(len(ids)), np.ones(len(ids), dtype=bool)
+    for i, start, end in zip(ends.tolist(), first.tolist(), [*first[1:].tolist(), len(pairs)]):
+        near = before[start:end]
+        leading = leads[near]
+        k = leading.argmax()
+        if leading[k]:
+            own[i], leads[i] = near[k], False
+    return ids, ids[own]
+
+
 def _scan(d: pd.DataFrame) -> pd.DataFrame:
-    """Leaders of the nodes of some edges by one scan in order."""
-    before: dict[int, list[int]] = {}
-    for lo, hi in zip(d.lo.tolist(), d.hi.tolist()):
-        before.setdefault(lo, [])
-        before.setdefault(hi, []).append(lo)
-    own: dict[int, int] = {}
-    for i in sorted(before):
-        own[i] = min((j for j in before[i] if own[j] == j), default=i)
-    return pd.DataFrame({"id": list(own), "leader": list(own.values())})
+    """Leaders of the nodes of a component's edges."""
+    ids, own = _first_leaders(d.lo.to_numpy(), d.hi.to_numpy())
+    return pd.DataFrame({"id": ids, "leader": own})
+
+
+def _scan_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaders of the nodes of all edges that come."""
+    parts = [(b.column("lo").to_numpy(), b.column("hi").to_numpy()) for b in batches]
+    if not parts:
+        return
+    ids, own = _first_leaders(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    for i in range(0, len(ids), 100_000):
+        yield pa.record_batch([pa.array(ids[i : i + 100_000], pa.int64()), pa.array(own[i : i + 100_000], pa.int64())], names=["id", "leader"])
 
 
 def _leaders_by_rounds(edges: DataFrame, rounds: int) -> DataFrame:
@@ -120,7 +149,9 @@ def _leaders_by_rounds(edges: DataFrame, rounds: int) -> DataFrame:
             "id",
             F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("led", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True)).alias("leads"),
         )
-        state = written(new, "leaders")
+        new = written(new, "leaders")
+        discard(state)
+        state = new
         if not state.where("leads is null").limit(1).count():
             break
     else:
@@ -139,12 +170,16 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFr
         jump = labels.select(F.col("id").alias("low"), F.col("low").alias("j"))
         step = labels.join(heard, F.col("id") == F.col("a"), "left").join(jump, "low")
         new = written(step.select("id", F.least("low", F.coalesce("l", "low"), "j").alias("low"), F.col("low").alias("old")), "labels")
-        labels = new.select("id", "low")
+        discard(labels)
+        labels = new
         if not new.where("low != old").limit(1).count():
             break
     else:
         raise RuntimeError(f"components not found after {rounds} rounds")
-    return labels.select("id", F.col("low").alias("component"))
+    discard(links)
+    out = labels.select("id", F.col("low").alias("component"))
+    out._written = labels._written
+    return out
 
 
 def _rare_first(df: DataFrame, key: str, signature: str, keep: list[str]) -> DataFrame:
@@ -176,7 +211,9 @@ def _ranked(df: DataFrame, key: str, signature: str) -> DataFrame:
     counts = each.groupBy("token").agg(F.count("*").alias("n"))
     ranks = written(counts.select("token", "n", F.col("n").alias("rows"), F.row_number().over(Window.orderBy("n", "token")).alias("rank")), "ranks")
     sets = lookup(each, ranks, "token", ["rank", "rows"], "n").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "rows"))).alias("t"))
-    return written(sets.select("id", F.transform("t", lambda x: x["rank"]).alias("tokens"), F.transform("t", lambda x: x["rows"]).alias("rows"), F.size("t").alias("size")), "sets")
+    out = written(sets.select("id", F.transform("t", lambda x: x["rank"]).alias("tokens"), F.transform("t", lambda x: x["rows"]).alias("rows"), F.size("t").alias("size")), "sets")
+    discard(own, ranks)
+    return out
 
 
 class _Keys:
@@ -227,7 +264,7 @@ def _near(sets: DataFrame, near: Callable[[int, int, int], bool]) -> DataFrame:
     """lo, hi and shared of all pairs of sets (``_ranked``) for whose shared tokens and sizes, the smaller first, ``near`` holds, exact.
 
     Sets meet by the keys of ``_Keys`` and a pair comes out at the key of its first common tokens only, so candidates are
-    compared where they meet and never written.
+    compared where they meet and never written. Of many keys a slice is shuffled at a time.
     """
     spark = sets.sparkSession
     total = sets.count()
@@ -244,6 +281,14 @@ def _near(sets: DataFrame, near: Callable[[int, int, int], bool]) -> DataFrame:
     one = F.transform(F.slice("tokens", F.lit(1), F.col("prefix")), lambda t: F.xxhash64(F.array(t)))
     several = F.transform("places", lambda c: F.xxhash64(F.transform(c, lambda i: F.get("tokens", i))))
     keyed = sets.join(table, "size").select("id", "tokens", "side", "k", F.explode(F.array_distinct(F.when(F.col("k") == 1, one).otherwise(several))).alias("key"))
+    if sum(keys.counts[z] * comb(p, k) for (z, _, k), p in keys.choices.items()) <= SLICE:
+        return _met(keyed, levels)
+    parts = [written(_met(keyed.where(F.pmod("key", F.lit(SLICES)) == i), levels), "met") for i in range(SLICES)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _met(keyed: DataFrame, levels: DataFrame) -> DataFrame:
+    """The pairs of ``_near`` whose first common tokens are one of the keys."""
     a = keyed.where("side = 0").select("key", F.col("k").alias("level"), F.col("id").alias("a"), F.col("tokens").alias("ta"))
     b = keyed.where("side = 1").select("key", F.col("id").alias("b"), F.col("tokens").alias("tb"))
     na, nb = F.size("ta"), F.size("tb")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -288,3 +289,42 @@ def test_refine_compares_only_rows_with_vectors(spark):
     got = {r["id"]: [d["id"] for d in r["dupes"]] for r in vectors.refine(df, "id", "cat", "sig", v, "v", 0.9, 2, ["cat"]).where("dupes is not null").collect()}
     assert got == {4: [9]}
     assert shuffled_rows(spark, before)[0] < 30 * 3000
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("local", [8_000_000, 2])
+def test_leaders_in_slices_leave_nothing_on_disk(spark, monkeypatch, local):
+    """Pairs joined in slices of the keys give the leaders of a scan; tables of the steps are gone after them."""
+    monkeypatch.setattr(dedup, "LOCAL", local)
+    monkeypatch.setattr(dedup, "SLICE", 0)
+    rng = random.Random(8)
+    sets = [sorted(set(rng.choices("abcdefghij", k=rng.randrange(0, 9)))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, sig array<string>")
+    leaders, own = [], {}
+    for i, x in enumerate(sets):
+        own[i] = next((k for k in leaders if same_issue(set(x), set(sets[k]), 0.6, 0.67, 4)), i)
+        if own[i] == i:
+            leaders.append(i)
+    paths = set(session._PATHS)
+    led = dedup.token_leaders(df, "id", "sig", 0.6, 0.67, 4)
+    kept = {p.rsplit("/", 1)[1].split("-")[0] for p in session._PATHS if p not in paths}
+    assert kept <= {"signed", "reps", "sets", "met", "decided"} | ({"leaders"} if local == 2 else set())
+    assert {r["id"]: r["leader"] for r in led.collect()} == own
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    spark._jvm.System.gc()
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    before = shuffle_files(spark)
+    out = session.written(counts, "counts")
+    for _ in range(50):  # they are deleted in the background
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+    assert {(r["k"], r["n"]) for r in out.collect()} == {(k, 143 if k < 6 else 142) for k in range(7)}
+    assert counts.count() == 7 and spark.conf.get(session.CLEANUP) == "false"
