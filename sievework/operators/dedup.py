@@ -63,11 +63,14 @@ def greedy_keys(df: DataFrame, keys: Sequence[str], order: str, rounds: int = 10
         firsts = reduce(lambda a, b: a & b, [F.col(f"_m{i}").isNull() | (F.col(f"_m{i}") == F.col("_o")) for i in range(len(keys))])
         marked = written(marked.withColumn("_keep", firsts), "greedy")
         fresh = marked.where("_keep")
-        kept = fresh.select("_o") if kept is None else kept.unionByName(fresh.select("_o"))
+        first = written(fresh.select("_o"), "greedy")
+        kept = first if kept is None else kept.unionByName(first)
         rest = marked.where("not _keep").select("_o", *[f"_k{i}" for i in range(len(keys))])
         for i in range(len(keys)):
             rest = rest.join(fresh.where(f"_k{i} is not null").select(f"_k{i}").distinct(), f"_k{i}", "left_anti")
-        todo = written(rest.select("_o", *[f"_k{i}" for i in range(len(keys))]), "greedy")
+        rest = written(rest.select("_o", *[f"_k{i}" for i in range(len(keys))]), "greedy")
+        discard(todo, marked)
+        todo = rest
         if not todo.limit(1).count():
             break
     else:

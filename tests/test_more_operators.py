@@ -328,3 +328,19 @@ def test_written_leaves_no_shuffle_files(spark):
     assert not shuffle_files(spark) - before
     assert {(r["k"], r["n"]) for r in out.collect()} == {(k, 143 if k < 6 else 142) for k in range(7)}
     assert counts.count() == 7 and spark.conf.get(session.CLEANUP) == "false"
+
+
+def test_greedy_keys_keep_only_what_is_kept_on_disk(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["", *"abcdefgh"]), rng.choice(["", *"klmnopqrstuv"])) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, url string, title string")
+    seen, want = (set(), set()), set()
+    for i, u, t in rows:
+        if not (u and u in seen[0] or t and t in seen[1]):
+            want.add(i)
+            seen[0].add(u), seen[1].add(t)
+    paths = set(session._PATHS)
+    kept = dedup.greedy_keys(df, ["url", "title"], "id")
+    left = [p for p in session._PATHS if p not in paths]
+    assert {r["id"] for r in kept.collect()} == want
+    assert sum(spark.read.parquet(p).count() for p in left) == len(want)
