@@ -7,7 +7,8 @@ cut into windows of ``WINDOW`` days, so a firm that holds a third of all rows fa
 compared field by field in levels (disagree, near, agree, silent). Expectation-maximisation over the counts of the
 comparison patterns estimates how often the levels occur among matches and among non-matches, which are a mixture: chance
 pairs of each pass (its own fields agree by construction) and, for every field, siblings that differ in that field. The
-posterior of the match class is the confidence, and it alone decides.
+posterior of the match class is the confidence, and it alone decides. Pairs are compared where they meet, once to count
+their patterns and once to keep those the threshold takes, so what is only proposed is never written.
 
 Defined results: a field a title doesn't state is silent, it neither agrees nor disagrees; rows without title and firm
 match nothing; unreadable deadlines are silent; several board rows may match one firm row; repeated rows match each.
@@ -50,6 +51,7 @@ FIELDS = ["firm", "season", "team", "role", "city", "area", "grade", "mode"]
 NAMES = [*FIELDS, "deadline"]
 MAX_APART = 7
 WINDOW = 28  # days of a block
+TOGETHER = 100_000  # profiles above which the passes run one after the other, for less disk
 LEAST_CONFIDENCE = 0.9
 MOST_ERRORS = 0.01  # bound of the share of matches in which a stated field disagrees, by misreading
 PRIOR = 2.0  # pairs that the starting values weigh as
@@ -186,20 +188,39 @@ def profiles(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*FIELDS, "day").agg(F.count("*").alias("n"), F.min("id").alias("id"))
 
 
+def _sides(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The profiles of both listings with columns of their own names."""
+    return tuple(p.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("day").alias(f"day_{x}"), *[F.col(f).alias(f"{f}_{x}") for f in FIELDS]) for p, x in ((a, "a"), (b, "b")))
+
+
+def _all(columns: list[Column]) -> Column:
+    return reduce(lambda x, y: x & y, columns)
+
+
+def proposed(left: DataFrame, right: DataFrame, i: int) -> DataFrame:
+    """Pairs of profiles with the columns of both that blocking pass ``i`` proposes and none before it, each once.
+
+    Both sides are sorted whatever they are taken to hold: small files may hold more rows than the driver could broadcast.
+    """
+    sides = []
+    for rows, x in ((left, "a"), (right, "b")):
+        day, own = F.col(f"day_{x}"), [F.col(f"{f}_{x}") for f in PASSES[i]]
+        window = F.floor(day / WINDOW)
+        # a dated row meets the windows beside its own and the rows without a day; a row without a day meets all
+        if x == "a":
+            when = F.when(day.isNull(), F.array(F.lit("any"))).otherwise(F.array(window.cast("string"), F.lit("dated")))
+        else:
+            near = F.array(*[(window + k).cast("string") for k in (-1, 0, 1)])
+            when = F.when(day.isNull(), F.array(F.lit("any"), F.lit("dated"))).otherwise(F.concat(near, F.array(F.lit("any"))))
+        sides.append(rows.where(_all([c.isNotNull() for c in own])).select("*", F.xxhash64(*own).alias("key"), F.explode(when).alias("when")))
+    agree = [_all([F.coalesce(F.col(f"{f}_a") == F.col(f"{f}_b"), F.lit(False)) for f in fields]) for fields in PASSES[: i + 1]]
+    return sides[0].hint("merge").join(sides[1].hint("merge"), ["key", "when"]).where(_all([agree[i], *[~x for x in agree[:i]]])).drop("key", "when")
+
+
 def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of profiles (a, b) proposed by any blocking pass, each once."""
-    window = F.floor(F.col("day") / WINDOW)
-    found = []
-    for fields in PASSES:
-        stated = reduce(lambda x, y: x & y, [F.col(f).isNotNull() for f in fields])
-        key = F.xxhash64(*fields).alias("key")
-        left, right = a.where(stated), b.where(stated)
-        # a dated row meets the windows beside its own and the rows without a day; a row without a day meets all
-        near = F.array(*[window + k for k in (-1, 0, 1)])
-        lo = left.select(F.col("id").alias("a"), key, F.explode(F.when(F.col("day").isNull(), F.array(F.lit("any"))).otherwise(F.array(window.cast("string"), F.lit("dated")))).alias("when"))
-        hi = right.select(F.col("id").alias("b"), key, F.explode(F.when(F.col("day").isNull(), F.array(F.lit("any"), F.lit("dated"))).otherwise(F.concat(F.transform(near, lambda x: x.cast("string")), F.array(F.lit("any"))))).alias("when"))
-        found.append(lo.join(hi, ["key", "when"]).select("a", "b"))
-    return reduce(DataFrame.unionByName, found).distinct()
+    sides = _sides(a, b)
+    return reduce(DataFrame.unionByName, [proposed(*sides, i).select("a", "b") for i in range(len(PASSES))])
 
 
 def compare(f: str) -> Column:
@@ -278,8 +299,8 @@ def _expanded(scored: DataFrame, a: DataFrame, pa_: DataFrame, b: DataFrame, pb:
     """Pairs of profiles to pairs of rows."""
     for side, rows, own in (("a", a, pa_), ("b", b, pb)):
         same = reduce(lambda x, y: x & y, [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*FIELDS, "day"]])
-        member = rows.alias("r").join(own.alias("p"), same).select(F.col("p.id").alias(side), F.col("r.id").alias(f"row_{side}"))
-        scored = scored.join(member, side)
+        member = rows.alias("r").hint("merge").join(own.alias("p").hint("merge"), same).select(F.col("p.id").alias(side), F.col("r.id").alias(f"row_{side}"))
+        scored = scored.hint("merge").join(member.hint("merge"), side)
     return scored.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "confidence")
 
 
@@ -287,19 +308,21 @@ def link(board: DataFrame, firm: DataFrame, reference: DataFrame, least: float |
     """listing_a, listing_b (smaller id first) and confidence of the proposed pairs, those below ``least`` left out."""
     a, b = written(read_rows(board, reference), "board"), written(read_rows(firm, reference), "firm")
     pa_, pb = written(profiles(a), "board-profiles"), written(profiles(b), "firm-profiles")
-    left = pa_.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("day").alias("day_a"), *[F.col(f).alias(f"{f}_a") for f in FIELDS])
-    right = pb.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("day").alias("day_b"), *[F.col(f).alias(f"{f}_b") for f in FIELDS])
-    code = reduce(lambda x, y: x + y, [compare(f).cast("long") * 4**i for i, f in enumerate(NAMES)])
-    compared = written(candidates(pa_, pb).join(left, "a").join(right, "b").select("a", "b", code.alias("code"), (F.col("n_a") * F.col("n_b")).alias("n")), "compared")
-    grouped = compared.groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most 4^9 patterns
+    sides = _sides(pa_, pb)
+    code = reduce(lambda x, y: x + y, [compare(f).cast("long") * 4**i for i, f in enumerate(NAMES)]).alias("code")
+    alone = pa_.count() + pb.count() > TOGETHER
+    steps = [[i] for i in range(len(PASSES))] if alone else [[*range(len(PASSES))]]
+    pairs = [reduce(DataFrame.unionByName, [proposed(*sides, i).select("a", "b", code, (F.col("n_a") * F.col("n_b")).alias("n")) for i in step]) for step in steps]
+    counts = [written(p.groupBy("code").agg(F.sum("n").alias("n")), "patterns") for p in pairs]
+    grouped = reduce(DataFrame.unionByName, counts).groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most 4^9 patterns
     if not grouped:
-        return compared.select(F.col("a").alias("listing_a"), F.col("b").alias("listing_b"), F.lit(0.0).alias("confidence"))
+        return pa_.select(F.col("id").alias("listing_a"), F.col("id").alias("listing_b"), F.lit(0.0).alias("confidence")).limit(0)
     codes = np.array([r["code"] for r in grouped], dtype=np.int64)
     patterns = (codes[:, None] >> (2 * np.arange(len(NAMES)))) & 3
     fitted = Mixture(patterns, np.array([r["n"] for r in grouped], dtype=float), chance_agreement(pa_, pb))
     known = [(int(c), float(x)) for c, x in zip(codes, fitted.posterior) if least is None or x >= least]
-    table = compared.sparkSession.createDataFrame(known or [(-1, 0.0)], "code long, confidence double")  # at most 4^9 rows
-    scored = compared.join(F.broadcast(table), "code").select("a", "b", "confidence")
+    table = a.sparkSession.createDataFrame(known or [(-1, 0.0)], "code long, confidence double")  # at most 4^9 rows
+    scored = reduce(DataFrame.unionByName, [written(p.join(F.broadcast(table), "code").select("a", "b", "confidence"), "scored") for p in pairs])
     return _expanded(scored, a, pa_, b, pb).select(F.least("a", "b").alias("listing_a"), F.greatest("a", "b").alias("listing_b"), "confidence")
 
 

@@ -113,3 +113,36 @@ def test_equal_rows_are_compared_once_and_all_come_out(spark):
     read = lk.read_rows(a, ref)
     assert lk.profiles(read).count() == 1 and lk.candidates(lk.profiles(read), lk.profiles(lk.read_rows(b, ref))).count() == 1
     assert len(set(map(tuple, lk.found(a, b, ref).collect()))) == 600
+
+
+def test_pairs_are_proposed_once_without_broadcasts(spark):
+    """Silent fields and days: the pairs of a brute force over all passes, each once, and no side sent to the driver however small it looks."""
+    rng, values = np.random.default_rng(6), {"firm": ["#1", "#2"], "season": ["26h1", "27h1"], "team": ["tax1t", "tax2t"], "role": ["cpa", "cta"]}
+    own = lambda n: [(i, 1, None if rng.random() < 0.3 else int(rng.integers(0, 200)), *[None if f not in values or rng.random() < 0.25 else values[f][rng.integers(0, 2)] for f in lk.FIELDS]) for i in range(n)]
+    schema = "id long, n long, day int, " + ", ".join(f"{f} string" for f in lk.FIELDS)
+    a, b = own(70), own(80)
+    want = set()
+    for x in a:
+        for y in b:
+            apart = x[2] is not None and y[2] is not None and abs(x[2] // lk.WINDOW - y[2] // lk.WINDOW) > 1
+            if not apart and any(all(x[3 + k] is not None and x[3 + k] == y[3 + k] for k in map(lk.FIELDS.index, fields)) for fields in lk.PASSES):
+                want.add((x[0], y[0]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        pairs = lk.candidates(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema))
+        got = list(map(tuple, pairs.collect()))
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_passes_one_after_the_other_give_the_same_pairs(spark, monkeypatch):
+    ref = spark.createDataFrame(REF, "ref_id long, field string, name string, name_en string, aliases string")
+    t = "2027년도 1차 감사 {}팀 세무사 채용 인천"
+    a = spark.createDataFrame([(i, "b", t.format(i % 9 + 1), "가람솔회계법인", None, None, "x") for i in range(40)], LISTING)
+    b = spark.createDataFrame([(100 + i, "f", t.format(i % 7 + 1), "가람솔회계법인", None, None, "x") for i in range(40)], LISTING)
+    one = sorted(map(tuple, lk.link(a, b, ref).collect()))
+    monkeypatch.setattr(lk, "TOGETHER", 0)
+    assert one == sorted(map(tuple, lk.link(a, b, ref).collect())) and one
