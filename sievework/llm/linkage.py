@@ -7,8 +7,9 @@ cut into windows of ``WINDOW`` days, so a firm that holds a third of all rows fa
 compared field by field in levels (disagree, near, agree, silent). Expectation-maximisation over the counts of the
 comparison patterns estimates how often the levels occur among matches and among non-matches, which are a mixture: chance
 pairs of each pass (its own fields agree by construction) and, for every field, siblings that differ in that field. The
-posterior of the match class is the confidence, and it alone decides. Pairs are compared where they meet, once to count
-their patterns and once to keep those the threshold takes, so what is only proposed is never written.
+posterior of the match class is the confidence, and it alone decides. Pairs are compared where they meet; of
+many profiles once to count their patterns and once to keep those the threshold takes, so that what is only proposed is
+never written.
 
 Defined results: a field a title doesn't state is silent, it neither agrees nor disagrees; rows without title and firm
 match nothing; unreadable deadlines are silent; several board rows may match one firm row; repeated rows match each.
@@ -51,7 +52,7 @@ FIELDS = ["firm", "season", "team", "role", "city", "area", "grade", "mode"]
 NAMES = [*FIELDS, "deadline"]
 MAX_APART = 7
 WINDOW = 28  # days of a block
-TOGETHER = 100_000  # profiles above which the passes run one after the other, for less disk
+TOGETHER = 200_000  # profiles above which the passes run one after the other and twice, for less disk
 LEAST_CONFIDENCE = 0.9
 MOST_ERRORS = 0.01  # bound of the share of matches in which a stated field disagrees, by misreading
 PRIOR = 2.0  # pairs that the starting values weigh as
@@ -313,6 +314,8 @@ def link(board: DataFrame, firm: DataFrame, reference: DataFrame, least: float |
     alone = pa_.count() + pb.count() > TOGETHER
     steps = [[i] for i in range(len(PASSES))] if alone else [[*range(len(PASSES))]]
     pairs = [reduce(DataFrame.unionByName, [proposed(*sides, i).select("a", "b", code, (F.col("n_a") * F.col("n_b")).alias("n")) for i in step]) for step in steps]
+    if not alone:
+        pairs = [written(p, "compared") for p in pairs]
     counts = [written(p.groupBy("code").agg(F.sum("n").alias("n")), "patterns") for p in pairs]
     grouped = reduce(DataFrame.unionByName, counts).groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most 4^9 patterns
     if not grouped:
